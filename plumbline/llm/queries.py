@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality
+from . import chat, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 15 of all documents; equal texts stay together, bytes are as even as that allows."""
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the divergence verdict of every document."""
     return quality.assess(_table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ from e group by conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minimax_shards": op2_minimax_shards,
     "op5_quality_divergence": op5_quality_divergence,
     "op9_chat_parts": op9_chat_parts,
 }
