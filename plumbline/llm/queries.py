@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding
+from . import bpe, chat, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the divergence verdict of every document."""
     return quality.assess(_table(spark, sf_dir, "documents"))
@@ -58,6 +72,7 @@ from e group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_divergence": op5_quality_divergence,
     "op9_chat_parts": op9_chat_parts,
 }
