@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -152,12 +153,11 @@ def read_file(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """The worker's encoder, made once for each broadcast."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
+def _encoder(key: str, shared, pattern: str) -> Encoder:
+    """The worker's encoder, made once for each call on the driver."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(load_ranks(shared.value), pattern)
@@ -167,12 +167,13 @@ def _encoder(shared, pattern: str) -> Encoder:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """One row a document: id_col, then ids array<int> and decoded binary; with digests, instead of
     these, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256."""
+    key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(read_file(docs.sparkSession, ranks_path))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(key, shared, pattern)
         for batch in batches:
             # small pieces, so that a batch of long documents takes little memory
             for at in range(0, batch.num_rows, 256):

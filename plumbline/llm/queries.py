@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, sharding
+from . import bpe, chat, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 #: Conversation -1: control strings inside texts must come back as text.
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_divergence": op5_quality_divergence,
+    "op8_token_counts": op8_token_counts,
     "op9_chat_parts": op9_chat_parts,
 }
 
