@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, minhash, quality, sharding, token_counts
+
+
+def workers_find_us(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_us(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 of all documents; equal texts stay together, bytes are as even as that allows."""
     placed = sharding.shard(_table(spark, sf_dir, "documents"), 16)
@@ -83,6 +99,7 @@ from e group by conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_dart_minhash": op1_dart_minhash,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_divergence": op5_quality_divergence,
