@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, html_extract, minhash, quality, sharding, token_counts
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -55,6 +55,11 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of any benchmark item."""
     found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_divergence": op5_quality_divergence,
+    "op6_template_text": op6_template_text,
     "op7_winnowing": op7_winnowing,
     "op8_token_counts": op8_token_counts,
     "op9_chat_parts": op9_chat_parts,
