@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, minhash, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, token_counts
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -84,6 +84,14 @@ def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(messages))
 
 
+def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 OP9_SQL = """
 with m as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -112,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_winnowing": op7_winnowing,
     "op8_token_counts": op8_token_counts,
     "op9_chat_parts": op9_chat_parts,
+    "op10_semi_markov_pii": op10_semi_markov_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
