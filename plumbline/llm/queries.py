@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, suffix_dedup, token_counts
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -50,6 +50,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 200 bytes cover which also start anywhere else."""
+    return suffix_dedup.strip_repeats(_table(spark, sf_dir, "documents"), 200, "none", digests=True)
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the divergence verdict of every document."""
     return quality.assess(_table(spark, sf_dir, "documents"))
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_previous_factors": op4_previous_factors,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_template_text": op6_template_text,
     "op7_winnowing": op7_winnowing,
