@@ -164,13 +164,15 @@ def _encoder(key: str, shared, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """One row a document: id_col, then ids array<int> and decoded binary; with digests, instead of
-    these, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", digests: bool = False) -> DataFrame:
+    """One row a document: the columns of keep (doc_id unless given), then ids array<int> and decoded binary;
+    with digests, instead of these, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256."""
+    keep = ["doc_id"] if keep is None else keep
     key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(read_file(docs.sparkSession, ranks_path))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    kept = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept)], F.col(f"`{text}`").alias("text"))
+    made = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] if digests else [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "binary", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared, pattern)
@@ -178,8 +180,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             # small pieces, so that a batch of long documents takes little memory
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns: list[list] = [[], [], []]
-                for value in part.column(1):
+                columns: list[list] = [[] for _ in made]
+                for value in part.column(len(kept)):
                     ids = encoder.encode(value.as_py() or "")
                     if digests:
                         out = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
@@ -187,10 +189,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         out = (ids, encoder.decode(ids))
                     for column, x in zip(columns, out):
                         column.append(x)
-                types = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["id", *"abc"[: len(types)]])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *[pa.array(c, t) for c, (_, _, t) in zip(columns, made)]], names=[*kept, *[n for n, _, _ in made]])
 
-    names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    types = ("long", "string", "string") if digests else ("array<int>", "binary")
-    out = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t in zip("abc", types)))
-    return out.select(F.col("id").alias(id_col), *[F.col(a).alias(n) for a, n in zip("abc", names)])
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept] + [f"{n} {t}" for n, t, _ in made]
+    out = rows.mapInArrow(run, ", ".join(kinds))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(kept, keep)], *[n for n, _, _ in made])

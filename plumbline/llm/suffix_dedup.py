@@ -212,10 +212,11 @@ def _one_by_one(stretches: DataFrame, min_bytes: int) -> DataFrame:
     return windows.where("own").join(twice, F.col("w") == F.col("k")).select("t", "n", "low", F.col("low").alias("high"), (place != F.col("first")).alias("later"))
 
 
-def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP, order: bool = True) -> DataFrame:
     """(t, n, runs array<struct<low, high, later>>) of texts with repeated windows, from (d struct<.., text>, t, n).
 
-    later: the windows low..high have an earlier occurrence in the order of (t, place).
+    later: the windows low..high have an earlier occurrence in the order of (t, place); without
+    order it is only right for runs that are in one stretch throughout, and less is fetched.
     """
     spark = docs.sparkSession
     runs, runs_path = materialize(_runs(docs.where(F.col("n") >= min_bytes).select("t", "n", F.col("d.text").alias("text")), min_bytes), "runs")
@@ -229,8 +230,8 @@ def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP) -> DataFr
     twice = kinds.where("c >= 2").select(F.col("anchor").alias("ka"), F.col("stretch").alias("ks"), "first")
     place = F.struct("t", "n", "low", "high")
     whole = same.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("stretch") == F.col("ks"))).select("t", "n", "low", "high", (place != F.col("first")).alias("later"))
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1")).where("m >= 2 and c1 = 1").select(F.col("anchor").alias("ka"), (F.col("m") > group).alias("many"))
-    wanted = kinds.join(mixed, F.col("anchor") == F.col("ka")).select("first.*", "anchor", "many", (F.col("c") == 1).alias("own"))
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1")).where("m >= 2" if order else "m >= 2 and c1 = 1").select(F.col("anchor").alias("ka"), (F.col("m") > group).alias("many"))
+    wanted = kinds.join(mixed, F.col("anchor") == F.col("ka")).select("first.*", "anchor", "many", (F.lit(True) if order else F.col("c") == 1).alias("own"))
     wanted = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("anchor", "many", "own", "low", "high")).alias("wanted")).select(F.col("t").alias("wt"), F.col("n").alias("wn"), "wanted")
     held = docs.join(wanted, (F.col("t") == F.col("wt")) & (F.col("n") == F.col("wn")))
     stretches, stretches_path = materialize(_fetched(held, min_bytes).dropDuplicates(["t", "n", "low", "anchor"]), "stretches")
@@ -261,7 +262,7 @@ def strip_repeats(docs: DataFrame, min_bytes: int = 200, keep: str = "none", id_
         raise ValueError(keep)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), body.alias("text")).alias("d"), F.xxhash64(body).alias("t"), F.octet_length(body).alias("n"))
-    found = repeats(rows, min_bytes, group).select(F.col("t").alias("rt"), F.col("n").alias("rn"), "runs")
+    found = repeats(rows, min_bytes, group, keep == "first").select(F.col("t").alias("rt"), F.col("n").alias("rn"), "runs")
     joined = rows.join(found, (F.col("t") == F.col("rt")) & (F.col("n") == F.col("rn")), "left")
     if keep == "first":
         least = rows.groupBy("t", "n").agg(F.min("d.id").alias("least")).select(F.col("t").alias("lt"), F.col("n").alias("ln"), "least")
