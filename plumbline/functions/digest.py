@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampType
 
 PROFILES = ("exact", "portable")
 
@@ -25,7 +25,7 @@ def render(column: Column, kind: DataType, profile: str = "exact") -> Column:
         return F.hex(column)
     if isinstance(kind, DateType):
         return F.date_format(column, "yyyy-MM-dd")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
+    if isinstance(kind, TimestampType):
         return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if isinstance(kind, (DoubleType, FloatType)):
         if profile == "portable":
