@@ -48,14 +48,14 @@ class CompareRequest:
 
 def duplicate_keys(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Keys that more than one row has, with their number ``n``."""
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumnRenamed("__n", "n")
 
 
 def refuse_duplicates(df: DataFrame, keys: Iterable[str], side: str) -> None:
     """Raises, naming the side and one key, if a key repeats."""
     if found := duplicate_keys(df, keys).head(1):
         shown = ", ".join("NULL" if v is None else str(v) for v in found[0][:-1])
-        raise DuplicateKeys(f"the {side} has {found[0]['n']} rows of key ({shown})")
+        raise DuplicateKeys(f"the {side} has {found[0][-1]} rows of key ({shown})")
 
 
 def _keyed(df: DataFrame, keys: tuple[str, ...], compared: list[str], profile: str) -> DataFrame:

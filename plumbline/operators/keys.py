@@ -37,8 +37,8 @@ def check_key(df: DataFrame, keys: list[str]) -> DataFrame:
     any_null = cols[0].isNull()
     for c in cols[1:]:
         any_null = any_null | c.isNull()
-    by_key = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).withColumn("null", any_null)
-    sums = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("null"), F.col("n")).otherwise(0)), F.lit(0)).alias("null_key_count"))
+    by_key = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__null", any_null)
+    sums = by_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n")).otherwise(0)), F.lit(0)).alias("null_key_count"))
     return sums.withColumn("is_unique", (F.col("row_count") == F.col("distinct_count")) & (F.col("null_key_count") == 0))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.compare import apply_changes
 from .catalog import _files
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 class SnapshotTable:
