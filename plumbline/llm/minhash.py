@@ -5,22 +5,24 @@ weighted sets, of five-word shingles; a text of fewer words is one shingle.
 
 Darts. Every unit of a shingle's weight is a strip hit by a Poisson stream of darts of rate one; a
 dart has a rank (its arrival time), a place inside the strip (it counts where the weight reaches
-that far), a coordinate and an id, all hashed from shingle, strip and number alone, so equal
+that far), a coordinate, all hashed from shingle, strip and number alone, so equal
 shingles of two texts are hit by equal darts. Of a text only darts of rank below T / total weight
 are thrown, about T = k (ln k + 3) whatever its length; the earliest dart of a coordinate is that
 coordinate's signature. Texts with an empty coordinate are thrown again with T doubled. Two
 signatures agree in a coordinate with probability of the (weighted) Jaccard similarity.
 
 Links. Equal texts are one content first. Contents that share a band are candidates. A bucket
-never yields all its pairs. At first each content is held against one centre of its buckets, by the
-exact similarity of their shingles, which joins most copies. Then, round by round, up to
-``CENTRES`` members of every bucket that still holds several components are held against those
-members that are of another component, and leave the bucket; buckets of one component are done. So
-a bucket of thousands of copies costs about one comparison a copy, no candidate is dropped, and
-every pair that shares a bucket ends in one component or has been compared. Components are found
-by alternating large-star and small-star steps. Links, labels and signatures stay distributed and are written to the shared
-folder between rounds. With 32 bands of 5 a pair of similarity 0.8 shares no bucket with
-probability 3e-6.
+doesn't yield all its pairs. At first each content is held against one centre of its buckets, by the
+exact similarity of their shingles, which joins most copies; then, in ``TRIES`` rounds, those
+outside of the largest component of a bucket against one member of that. Contents of buckets that
+still hold several components then meet once more, exactly: by the prefixes of their shingles, rare
+ones first, with the position filter, so that only pairs of different components which share a
+shingle rare enough are made and compared. So a bucket of thousands of copies costs about one
+comparison a copy, no candidate is dropped, and every similar pair that shares a bucket ends in one
+component. Components are found by alternating large-star and small-star
+steps over the roots that new links connect. Links, labels and signatures stay distributed and are
+written to the shared folder between rounds. With 32 bands of 5 a pair of similarity 0.8 shares no
+bucket with probability 3e-6.
 
 Defined cases: null, empty and wordless texts have no shingles; they are near nothing but equal
 texts (null equals empty); the class of one is its own doc_id; null ids come last in the choice of a
@@ -36,15 +38,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .store import discard, materialize
 from .wordarrays import LOWER, grams, mix, pieces, word_table, words_of
 
 
-#: Members of a bucket that are held against the others in one round.
-CENTRES = 16
+#: Rounds in which a content is held against one member of a larger component.
+TRIES = 2
+PARITY_BITS = 512
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass(frozen=True)
@@ -96,52 +100,63 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def dart_signatures(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """The id of the earliest dart by text and coordinate; texts without elements get zeros."""
+    """The earliest dart, named by its rank, by text and coordinate; texts without elements get zeros."""
     n_docs = len(bounds) - 1
     signatures = np.zeros((n_docs, k), np.uint64)
     total = np.concatenate([[0.0], np.cumsum(weights)])
     mass = total[bounds[1:]] - total[bounds[:-1]]
     left = np.flatnonzero(mass > 0)
     reach = k * (np.log(k) + 3)
+    at_once = max(1, (1 << 16) // k - 1)  # a cell (text, coordinate) has 16 bits
     while len(left):
-        sizes = bounds[left + 1] - bounds[left]
-        doc = np.repeat(np.arange(len(left)), sizes)
-        at = np.arange(len(doc)) + np.repeat(bounds[left] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        # a row for each strip of each element; set weights have one strip
-        strips = np.ceil(weights[at]).astype(np.int64)
-        if len(strips) and strips.max() > 1:
-            number = np.arange(strips.sum()) - np.repeat(np.cumsum(strips) - strips, strips)
-            doc, at = np.repeat(doc, strips), np.repeat(at, strips)
-        else:
-            number = np.zeros(len(at), np.int64)
-        limit = (reach / mass[left])[doc]
-        seed = mix(hashes[at] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        room = weights[at] - number
-        rank = np.zeros(len(at))
-        found = []
-        while len(at):
-            seed = mix(seed + np.uint64(0xA0761D6478BD642F))
-            rank = rank - np.log(_uniform(seed))
-            on = rank < limit
-            doc, at, limit, seed, room, rank = (x[on] for x in (doc, at, limit, seed, room, rank))
-            dart = mix(seed ^ np.uint64(0xE7037ED1A0B428DB))
-            inside = _uniform(mix(dart)) <= room
-            found.append((doc[inside], rank[inside], dart[inside]))
-        doc, rank, dart = (np.concatenate(x) for x in zip(*found))
-        cell = doc * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((rank, cell))
-        cell, dart = cell[order], dart[order]
-        first = np.ones(len(cell), bool)
-        first[1:] = cell[1:] != cell[:-1]
-        cell, dart = cell[first], dart[first]
-        full = np.bincount(cell // k, minlength=len(left)) == k
-        grid = np.zeros((len(left), k), np.uint64)
-        grid.ravel()[cell] = dart
-        signatures[left[full]] = grid[full]
-        left, reach = left[~full], 2 * reach
+        missed = []
+        for i in range(0, len(left), at_once):
+            some = left[i : i + at_once]
+            grid = _thrown(hashes, weights, bounds, some, reach / mass[some], k)
+            full = (grid > 0).all(axis=1)
+            signatures[some[full]] = grid[full]
+            missed.append(some[~full])
+        left, reach = np.concatenate(missed), 2 * reach
     return signatures
 
 
+def _thrown(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, some: np.ndarray, limits: np.ndarray, k: int) -> np.ndarray:
+    """The earliest rank by text and coordinate among darts below the texts' limits; zero where there is none."""
+    sizes = bounds[some + 1] - bounds[some]
+    doc = np.repeat(np.arange(len(some)), sizes)
+    at = np.arange(len(doc)) + np.repeat(bounds[some] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    weight = weights[at]
+    plain = bool((weight == 1).all())  # one whole strip each: every dart counts
+    seed = hashes[at]
+    room = weight
+    if not plain:  # a row for each strip of each element
+        strips = np.ceil(weight).astype(np.int64)
+        number = np.arange(strips.sum()) - np.repeat(np.cumsum(strips) - strips, strips)
+        doc, seed, room = np.repeat(doc, strips), np.repeat(seed, strips) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.repeat(weight, strips) - number
+    seed = mix(seed)
+    rank = np.zeros(len(doc))
+    found = []
+    while len(doc):
+        seed = mix(seed + np.uint64(0xA0761D6478BD642F))
+        rank = rank - np.log(_uniform(seed))
+        on = np.flatnonzero(rank < limits[doc])
+        doc, seed, rank = doc[on], seed[on], rank[on]
+        # ranks are positive doubles, whose bits are in their order; the seed's low bits, unused so far, give the coordinate
+        cell = doc * k + (((seed & np.uint64(2047)) * np.uint64(k)) >> np.uint64(11)).astype(np.int64)
+        dart = (cell.astype(np.uint64) << np.uint64(48)) | (rank.view(np.uint64) >> np.uint64(16))
+        if not plain:
+            room = room[on]
+            dart = dart[_uniform(mix(seed ^ np.uint64(0xE7037ED1A0B428DB))) <= room]
+        found.append(dart)
+    darts = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    cell = (darts >> np.uint64(48)).astype(np.int64)
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    grid = np.zeros(len(some) * k, np.uint64)
+    grid[cell[first]] = darts[first] & np.uint64((1 << 48) - 1)
+    return grid.reshape(len(some), k)
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash by text and band, different bands never meeting."""
     keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15), len(signatures), axis=0)
@@ -198,15 +213,77 @@ def _verified(pairs: DataFrame, rules: NearRules) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    return digest(x) == digest(y)
+def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """(content, shingles array<long>, parity array<long>) of (content, text).
+
+    shingles are distinct hashes, with counts one for each occurrence. Bit i of parity tells whether an odd
+    number of them hash to i; so two parities differ in no more bits than the sets differ in shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in pieces(batch.column(1)):
+                hashes, weights, bounds = weigh(*shingles_of(data, offsets, rules.shingle))
+                if rules.weights == "count":
+                    n = weights.astype(np.int64)
+                    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    bounds = np.concatenate([[0], np.cumsum(n)])[bounds]
+                    hashes = mix(np.repeat(hashes, n) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                rows = len(bounds) - 1
+                cell = np.repeat(np.arange(rows), np.diff(bounds)) * PARITY_BITS + (mix(hashes) % np.uint64(PARITY_BITS)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
+                words = pa.array(np.packbits(odd).view(np.int64))
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITY_BITS // 64)), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists, parity], names=["content", "shingles", "parity"])
+
+    return docs.select("content", "text").mapInArrow(run, "content binary, shingles array<long>, parity array<long>")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(content, own): how many shingles a content shares with no other; contents without any are left out."""
+    owners = sets.select("content", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("owner")).where("n = 1")
+    return owners.groupBy(F.col("owner").alias("content")).agg(F.count(F.lit(1)).alias("own"))
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b): all pairs of different components that may be similar enough, by prefix and position.
+
+    Shingles are put in order, rare ones first. Two sets that are similar enough have their first common shingle
+    so early in both that what follows can still make up the overlap: sets meet only where they
+    share such a shingle, which for copies of one text are those that few copies have. Parities that
+    differ in too many bits rule out most of the rest. Both filters are exact.
+    """
+    tokens = sets.select("content", F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("s", "k")
+    ranked = tokens.join(often, F.col("s") == F.col("k")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
+    size = F.size("t")
+    early = ranked.select("content", size.alias("size"), F.posexplode(F.slice("t", 1, size - F.ceil(rules.similarity * size - 1e-9).cast("int") + 1)).alias("place", "x"))
+    bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_BITS // 64)]
+    marks = sets.select(F.col("content").alias("c"), *bits)
+    early = early.where("x.n > 1").join(labels, F.col("content") == F.col("node")).join(marks, F.col("content") == F.col("c"))
+    early = early.select("content", "root", "size", "place", F.col("x.s").alias("s"), *[f"p{i}" for i in range(PARITY_BITS // 64)])
+    x, y = early.alias("x"), early.alias("y")
+    follow = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
+    enough = follow >= rules.similarity / (1 + rules.similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    apart = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    near = apart <= (1 - 2 * rules.similarity / (1 + rules.similarity)) * (F.col("x.size") + F.col("y.size")) + 1e-9
+    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.content") > F.col("y.content")) & enough & near
+    return x.join(y, meet).select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
+
+
+def _counted(df: DataFrame, name: str, *columns: str) -> tuple[DataFrame, str, tuple]:
+    """A written table, its path, and (rows, sum of hashes), observed while writing."""
+    seen = Observation()
+    digest = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).alias("digest")
+    out, path = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), digest), name)
+    return out, path, (seen.get["rows"], seen.get["digest"])
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
     """(node, root), root the least node of the component, for all nodes in links (a, b); and its path."""
     spark = links.sparkSession
-    edges, path = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges, path, mark = _counted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", "u", "v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -214,73 +291,102 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        small = small.where("u <> v").distinct()
-        after, path_after = materialize(small, "edges")
-        done = _same(edges, after)
+        edges, after, mark_after = _counted(small.where("u <> v").distinct(), "edges", "u", "v")
         discard(spark, path)
-        edges, path = after, path_after
-        if done:
+        path = after
+        if mark == mark_after:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-            out, path_out = materialize(roots, "roots")
-            discard(spark, path)
-            return out, path_out
-
-
-def _labelled(rows: DataFrame, roots: DataFrame | None, column: str = "content") -> DataFrame:
-    """rows with ``root``: the component's, else the content itself."""
-    if roots is None:
-        return rows.withColumn("root", F.col(column))
-    return rows.join(roots, F.col(column) == F.col("node"), "left").withColumn("root", F.coalesce("root", column)).drop("node")
+            return roots, path
+        mark = mark_after
 
 
-def content_roots(spark: SparkSession, docs: DataFrame, rules: NearRules) -> DataFrame | None:
-    """(node, root) of all contents that are near another, from (content, text); None if none is."""
+def content_roots(spark: SparkSession, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """(node, root) of all contents that share a bucket with another, from (content, text)."""
     signed, signed_path = materialize(_bands(docs, rules), "bands")
     members = signed.select(F.explode("bands").alias("key"), "content").distinct()
-    shared = members.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("key")
-    rest, rest_path = materialize(members.join(shared, "key", "left_semi"), "buckets")
+    shared = members.groupBy("key").agg(F.min("content").alias("centre"), F.max("content").alias("high")).where("centre <> high").select(F.col("key").alias("k"), "centre")
+    first = members.join(shared, F.col("key") == F.col("k")).select("key", "content", "centre")
+    first, rest_path = materialize(first, "buckets")
     discard(spark, signed_path)
+    rest = first.select("key", "content")
     needed = rest.select(F.col("content").alias("c")).distinct()
     texts = docs.join(needed, F.col("content") == F.col("c"), "left_semi").groupBy("content").agg(F.any_value("text").alias("text"))
     texts, texts_path = materialize(texts, "texts")
-    roots = roots_path = links = tried = None
+    labels, labels_path = materialize(texts.select(F.col("content").alias("node"), F.col("content").alias("root")), "labels")
     spent: list[str] = []
-    while True:
-        rows = _labelled(rest, roots)
-        mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        rows, rows_path = materialize(rows.join(mixed, "key", "left_semi"), "buckets")
+
+    def verify(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Pairs whose texts are similar enough, and their number; in small batches, since each row holds two texts."""
+        held = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
+        before = spark.conf.get(BATCH)
+        spark.conf.set(BATCH, "500")
+        try:
+            links, path, (n, _) = _counted(_verified(held, rules), "links", "a", "b")
+        finally:
+            spark.conf.set(BATCH, before)
+        spent.append(path)
+        return links, n
+
+    def merged(links: DataFrame) -> None:
+        """labels after the components that links connect are one."""
+        nonlocal labels, labels_path
+        ends = [labels.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab"]
+        between = links.join(ends[0], F.col("a") == F.col("na")).join(ends[1], F.col("b") == F.col("nb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        roots, path = components(between)
+        moved = roots.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        after, after_path = materialize(labels.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
+        discard(spark, path, labels_path)
+        labels, labels_path = after, after_path
+
+    # each content against one centre: most copies are joined by this
+    pairs, path = materialize(first.where("content <> centre").groupBy(F.col("content").alias("a")).agg(F.min("centre").alias("b")), "pairs")
+    tried = pairs
+    spent.append(path)
+    links, n = verify(pairs)
+    if n:
+        merged(links)
+    sets = None
+    for turn in range(TRIES + 1):
+        rows = rest.join(labels, F.col("content") == F.col("node")).select("key", "content", "root")
+        by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select(F.col("key").alias("k"), "largest")
+        rows, path, (n, _) = _counted(rows.join(largest, F.col("key") == F.col("k")).drop("k"), "buckets", "key")
         discard(spark, rest_path)
-        rest, rest_path = rows.select("key", "content"), rows_path
-        if rows.isEmpty():
+        rest, rest_path = rows.select("key", "content"), path
+        if not n:
             break
-        centre = F.min(F.struct("content", "root")).alias("m")
-        if roots is None:  # most copies join the component of one centre at once; their other pairs needn't be read
-            centres = rows.groupBy("key").agg(centre)
-        else:
-            centres = rows.groupBy("key", F.pmod(F.xxhash64("content"), F.lit(CENTRES)).alias("s")).agg(centre)
-        centres = centres.select(F.col("key").alias("k"), F.col("m.content").alias("centre"), F.col("m.root").alias("centre_root"))
-        apart = rows.join(centres, (F.col("key") == F.col("k")) & (F.col("root") != F.col("centre_root")))
-        if roots is None:
-            pairs = apart.groupBy(F.col("content").alias("a")).agg(F.min("centre").alias("b"))
-        else:
-            rest = rest.join(centres, (F.col("key") == F.col("k")) & (F.col("content") == F.col("centre")), "left_anti")
+        if sets is None:
+            open_ones = rows.select(F.col("content").alias("c")).distinct()
+            sets, path = materialize(_sets(texts.join(open_ones, F.col("content") == F.col("c"), "left_semi"), rules), "sets")
+            own, own_path = materialize(_own_shingles(sets), "own")
+            spent += [path, own_path]
+        if turn < TRIES:
+            # each content outside of the largest component of its buckets against one member of that: first
+            # one with few shingles of its own, as what copies are made from has, then any
+            inside = rows.where("root = largest").join(own.withColumnRenamed("content", "c"), F.col("content") == F.col("c"), "left")
+            rank = F.coalesce("own", F.lit(0)) if turn == 0 else F.lit(0)
+            picked = F.min(F.struct(rank.alias("own"), F.xxhash64("content", F.lit(turn)).alias("h"), "content"))
+            centres = inside.groupBy("key").agg(picked.alias("m")).select(F.col("key").alias("k"), F.col("m.content").alias("centre"))
+            apart = rows.where("root <> largest").join(centres, F.col("key") == F.col("k"))
+            apart = apart.groupBy("content").agg(F.min(F.struct(F.xxhash64("content", "centre").alias("h"), "centre")).alias("m")).select("content", F.col("m.centre").alias("centre"))
             pairs = apart.select(F.greatest("content", "centre").alias("a"), F.least("content", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, path = materialize(pairs, "pairs")
-        spent.append(path)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        held = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-        new, path = materialize(_verified(held, rules), "links")
+        else:
+            open_ones = rows.select(F.col("content").alias("c")).distinct()
+            pairs = _prefix_pairs(sets.join(open_ones, F.col("content") == F.col("c"), "left_semi"), labels, rules)
+        pairs, path, (n, _) = _counted(pairs.join(tried, ["a", "b"], "left_anti"), "pairs", "a")
         spent.append(path)
-        links = new if links is None else links.unionByName(new)
-        if roots_path:
-            rest, path = materialize(rest, "buckets")
-            discard(spark, rest_path, roots_path)
-            rest_path = path
-        roots, roots_path = components(links)
+        tried = tried.unionByName(pairs)
+        if n:
+            links, n = verify(pairs)
+        if n:
+            merged(links)
     discard(spark, rest_path, texts_path, *spent)
-    return roots
+    return labels
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with ``root``: the component's, else the content itself."""
+    return rows.join(roots, F.col("content") == F.col("node"), "left").withColumn("root", F.coalesce("root", "content")).drop("node")
 
 
 def _content(text: str):
