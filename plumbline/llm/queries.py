@@ -57,7 +57,8 @@ def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the divergence verdict of every document."""
-    return quality.assess(_table(spark, sf_dir, "documents"))
+    judged = quality.assess(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,69 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+
+
+def _op5_sql() -> str:
+    """The quality verdict in SQL, from the same rules and word lists."""
+    rules = quality.QualityRules()
+    lists = quality.COMMON_WORDS
+    n_common = len(lists["en"])
+    without = lambda t, pattern: f"length(regexp_replace({t}, '{pattern}', '', 'g'))"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    chosen = "case l " + " ".join(f"when '{k}' then {quoted(v)}" for k, v in lists.items()) + f" else {quoted([''] * n_common)} end"
+    distance = lambda p, q: f"""sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: case when {p}[i] > 0 then {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end + case when {q}[i] > 0 then {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end)) / 2))"""
+    far = lambda h: f"case when n_words >= {rules.guard_words} then coalesce({distance(h, 'ref_' + h)}, 0) else 0 end"
+    shares = lambda h: f"list_transform({h}, lambda x: case when list_sum({h}) > 0 then x / list_sum({h}) else 0 end)"
+    mean = lambda h, n: "[" + ", ".join(f"avg({h}[{i}])" for i in range(1, n + 1)) + f"] as ref_{h}"
+    return f"""
+with t as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as t, case when lang in ({", ".join(f"'{k}'" for k in lists)}) then lang else 'other' end as l from documents
+), w as (
+  select *, regexp_extract_all(t, '{_WORD}') as ws, regexp_replace(t, '[a-z]+', '', 'g') as r,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t
+), g as (
+  select rid, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] as g from (select rid, ws, unnest(range(1, len(ws) - 1)) as p from w)
+), twice as (
+  select rid, count(distinct q) as n from (select rid, unnest([p, p + 1, p + 2]) as q from g join (select rid, g from g group by all having count(*) > 1) using (rid, g)) group by rid
+), c as (
+  select rid, doc_id, l, len(ws) as n_words, {without("t", _SPACE)} as word_chars, length(t) - {without("t", "[#*$%&|<>]+")} as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines,
+         list_transform({chosen}, lambda x: len(list_filter(ws, lambda y: lower(y) = x and x <> ''))) as cw,
+         length(t) - length(r) as c1, length(r) - {without("r", "[A-Z]+")} as c2, length(r) - {without("r", r"[\x{80}-\x{10FFFF}]+")} as c3, length(r) - {without("r", "[0-9]+")} as c4,
+         length(r) - {without("r", _SPACE)} as c5, length(r) - {without("r", '[.,;:!?' + "''" + '"()-]+')} as c6, length(r) as c7 from w
+), h as (
+  select c.*, coalesce(twice.n, 0) as n_repeat_words, [c1, c2, c3, c4, c5, c6, c7 - c2 - c3 - c4 - c5 - c6] as hc, list_append(cw, n_words - list_sum(cw)) as hw from c left join twice using (rid)
+), s as (select *, {shares("hc")} as c, {shares("hw")} as w from h),
+ref as (select l, {mean("c", 7)}, {mean("w", n_common + 1)} from s where n_words >= {rules.guard_words} group by l),
+f as (select s.*, {far("c")} as far_c, {far("w")} as far_w, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed from s left join ref using (l))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(far_c, 6) as class_distance, round(far_w, 6) as word_distance,
+       not base_failed and far_c <= {rules.max_class_distance} and far_w <= {rules.max_word_distance} as kept from f
+"""
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), i as (
+  select coalesce(item_id::varchar, 'null') as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null
+), ip as (
+  select item_id, w, n, unnest(range(1, len(w) - n + 2)) as p from (select *, least(10, len(w)) as n from i where len(w) > 0)
+), iw as (
+  select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as x from ip
+), dp as (
+  select rid, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from iw) where len(w) >= n
+), hits as (
+  select rid, p, n, item_id from (select rid, p, n, array_to_string(w[p:p + n - 1], ' ') as x from dp) join iw using (n, x)
+), words as (
+  select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from hits) group by rid
+), items as (
+  select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from hits) group by rid
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (rid) left join items using (rid)
+"""
+
 OP9_SQL = """
 with m as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -134,5 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_divergence": _op5_sql(),
+    "op7_winnowing": OP7_SQL,
     "op9_chat_parts": OP9_SQL,
 }
