@@ -1,0 +1 @@
+"""Row-level operators over two DataFrames."""

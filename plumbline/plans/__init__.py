@@ -1,0 +1 @@
+"""Planning on the driver, over metadata."""

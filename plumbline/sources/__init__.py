@@ -1,0 +1 @@
+"""Databases as folders of tables, and where changes go."""

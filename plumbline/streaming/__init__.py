@@ -1,0 +1 @@
+"""Empty on purpose: comparing and syncing are batch jobs, and no operator here reads a stream."""
