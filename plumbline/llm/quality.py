@@ -154,59 +154,71 @@ def repeated_window_words(words: Column) -> Column:
     return let(let(words, windows), by_hash)
 
 
-def measured(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """keep, the reference's name ``__l`` and one struct ``__m`` with counts and histograms."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole(F.col(f"`{text}`")).alias("__t"), language(F.col(f"`{lang}`")).alias("__l"))
-    t = F.col("__t")
+def _measure(text: Column, lang: Column) -> Column:
+    """One struct with the base counts and both histograms; text is whole, lang the reference's name."""
 
-    def measure(w: Column) -> Column:
+    def of(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            _length_without(t, SPACE + "+").cast("long").alias("word_chars"),
-            (F.length(t) - _length_without(t, "[#*$%&|<>]+")).cast("long").alias("n_symbols"),
-            repeated_lines(t).cast("long").alias("n_dup_lines"),
+            _length_without(text, SPACE + "+").cast("long").alias("word_chars"),
+            (F.length(text) - _length_without(text, "[#*$%&|<>]+")).cast("long").alias("n_symbols"),
+            repeated_lines(text).cast("long").alias("n_dup_lines"),
             repeated_window_words(w).cast("long").alias("n_repeat_words"),
-            shares(class_counts(t)).alias("c"),
-            shares(common_word_counts(w, F.col("__l"))).alias("w"),
+            shares(class_counts(text)).alias("c"),
+            shares(common_word_counts(w, lang)).alias("w"),
         )
 
-    return rows.withColumn("__m", let(words_of(t), measure)).drop("__t")
+    return let(words_of(text), of)
+
+
+def _histograms(text: Column, lang: Column) -> Column:
+    """The part of _measure that references are made of."""
+    return let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), shares(class_counts(text)).alias("c"), shares(common_word_counts(w, lang)).alias("w")))
 
 
 def references(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Mean histograms by language over all measured documents that reach the guard: at most five rows."""
+    """Mean histograms by language over all measured rows (``__l``, ``__m``) that reach the guard: at most five rows."""
     sizes = {"c": 7, "w": len(COMMON_WORDS["en"]) + 1}
     mean = [F.array(*[F.avg(F.get(F.col(f"__m.{k}"), F.lit(i))) for i in range(n)]).alias(f"ref_{k}") for k, n in sizes.items()]
     return rows.where(F.col("__m.n_words") >= rules.guard_words).groupBy(F.col("__l").alias("ref_lang")).agg(*mean)
 
 
-def _judged(docs: DataFrame, rules: QualityRules, text: str, lang: str, keep: list[str]) -> DataFrame:
-    """keep, then one struct column ``__q`` with every measure and the verdict.
-
-    Measures are written once: the references need all of them before the first verdict.
-    """
-    rows, _ = materialize(measured(docs, keep, text, lang), "quality")
-    rows = rows.join(F.broadcast(references(rows, rules)), F.col("__l") == F.col("ref_lang"), "left")
-    m = F.col("__m")
-    distance = {k: F.when(m["n_words"] >= rules.guard_words, F.coalesce(js_distance(m[k], F.col(f"ref_{k}")), F.lit(0.0))).otherwise(F.lit(0.0)) for k in "cw"}
+def _verdict(m: Column, rules: QualityRules) -> Column:
+    """Base counts, distances from ``ref_c`` and ``ref_w``, base_failed and kept."""
+    guarded = m["n_words"] >= rules.guard_words
+    far = {k: F.when(guarded, F.coalesce(js_distance(m[k], F.col(f"ref_{k}")), F.lit(0.0))).otherwise(F.lit(0.0)) for k in "cw"}
     failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
-    q = F.struct(
-        *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        failed.alias("base_failed"),
-        distance["c"].alias("class_distance"),
-        distance["w"].alias("word_distance"),
-    )
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], q.alias("__q"))
-    q = F.col("__q")
-    kept = ~q["base_failed"] & (q["class_distance"] <= rules.max_class_distance) & (q["word_distance"] <= rules.max_word_distance)
-    return rows.withColumn("__q", q.withField("kept", kept))
+    counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    judged = F.struct(*counts, failed.alias("base_failed"), far["c"].alias("class_distance"), far["w"].alias("word_distance"))
+
+    def kept(q: Column) -> Column:
+        good = ~q["base_failed"] & (q["class_distance"] <= rules.max_class_distance) & (q["word_distance"] <= rules.max_word_distance)
+        return F.struct(*[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance")], good.alias("kept"))
+
+    return let(judged, kept)
 
 
 def assess(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row a document: id_col, the base counts, both distances, base_failed and kept."""
-    return _judged(docs, rules, text, lang, [id_col]).select(F.col(f"`{id_col}`"), "__q.*")
+    """One row a document: id_col, the base counts, both distances, base_failed and kept.
+
+    Measures, without the texts, are written once: the references need all of them before the first verdict.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text}`")).alias("__t"), language(F.col(f"`{lang}`")).alias("__l"))
+    rows, _ = materialize(rows.select("id", "__l", _measure(F.col("__t"), F.col("__l")).alias("__m")), "quality")
+    rows = rows.join(F.broadcast(references(rows, rules)), F.col("__l") == F.col("ref_lang"), "left")
+    return rows.select("id", _verdict(F.col("__m"), rules).alias("q")).select(F.col("id").alias(id_col), "q.*")
 
 
 def keep(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that pass, with all their columns unchanged."""
-    return _judged(docs, rules, text, lang, docs.columns).where("__q.kept").drop("__q")
+    """The documents that pass, with all their columns unchanged.
+
+    Texts are read twice, once for the references, so that none has to be written in between.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own)], whole(F.col(f"`{text}`")).alias("__t"), language(F.col(f"`{lang}`")).alias("__l"))
+    hist = rows.select("__l", _histograms(F.col("__t"), F.col("__l")).alias("__m"))
+    refs, _ = materialize(references(hist, rules), "references")
+    rows = rows.join(F.broadcast(refs), F.col("__l") == F.col("ref_lang"), "left")
+    # one expression, so that a filter pushed about evaluates it once
+    rows = rows.where(let(_measure(F.col("__t"), F.col("__l")), lambda m: _verdict(m, rules)["kept"]))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
