@@ -221,16 +221,21 @@ def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP, order: bo
     spark = docs.sparkSession
     runs, runs_path = materialize(_runs(docs.where(F.col("n") >= min_bytes).select("t", "n", F.col("d.text").alias("text")), min_bytes), "runs")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("anchor")
+    again, again_path = materialize(again, "anchors")
+    # both sides and the result are written: Spark splits a hot anchor's rows only in a join of plain exchanges
+    several, several_path = materialize(runs.join(again, "anchor", "left_semi"), "several")
+    discard(spark, runs_path, again_path)
     # copies of a text have equal rows, which are one row from here on
-    same = runs.join(again, "anchor", "left_semi").groupBy("anchor", "stretch", "t", "n", "low", "high").agg(F.count(F.lit(1)).alias("copies"))
+    same = several.groupBy("anchor", "stretch", "t", "n", "low", "high").agg(F.count(F.lit(1)).alias("copies"))
     same, same_path = materialize(same, "again")
-    discard(spark, runs_path)
+    discard(spark, several_path)
     kinds = same.groupBy("anchor", "stretch").agg(F.sum("copies").alias("c"), F.min(F.struct("t", "n", "low", "high")).alias("first"))
     kinds, kinds_path = materialize(kinds, "kinds")
     twice = kinds.where("c >= 2").select(F.col("anchor").alias("ka"), F.col("stretch").alias("ks"), "first")
     place = F.struct("t", "n", "low", "high")
     whole = same.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("stretch") == F.col("ks"))).select("t", "n", "low", "high", (place != F.col("first")).alias("later"))
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1")).where("m >= 2" if order else "m >= 2 and c1 = 1").select(F.col("anchor").alias("ka"), (F.col("m") > group).alias("many"))
+    mixed, mixed_path = materialize(mixed, "mixed")
     wanted = kinds.join(mixed, F.col("anchor") == F.col("ka")).select("first.*", "anchor", "many", (F.lit(True) if order else F.col("c") == 1).alias("own"))
     wanted = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("anchor", "many", "own", "low", "high")).alias("wanted")).select(F.col("t").alias("wt"), F.col("n").alias("wn"), "wanted")
     held = docs.join(wanted, (F.col("t") == F.col("wt")) & (F.col("n") == F.col("wn")))
@@ -238,7 +243,7 @@ def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP, order: bo
     edges = _ordered(stretches.where("not many"), min_bytes).unionByName(_one_by_one(stretches.where("many"), min_bytes))
     found = whole.unionByName(edges).groupBy("t", "n").agg(F.collect_list(F.struct("low", "high", "later")).alias("runs"))
     out, _ = materialize(found, "repeats")
-    discard(spark, same_path, kinds_path, stretches_path)
+    discard(spark, same_path, kinds_path, mixed_path, stretches_path)
     return out
 
 
