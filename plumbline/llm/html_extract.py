@@ -241,12 +241,17 @@ def templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataF
     spark = pages.sparkSession
     vectors, path = materialize(_vectors(pages).distinct(), "vectors")
     sizes = vectors.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= rules.min_pages).withColumnRenamed("host", "h")
+    sizes, sizes_path = materialize(sizes, "hosts")
     marks = vectors.groupBy("host", "token", "is_text").agg(F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("support"))
     marks = marks.join(sizes, F.col("host") == F.col("h")).where(F.col("support") >= F.col("pages") * rules.min_share).drop("h", "pages")
     marks = marks.withColumn("class", F.xxhash64("vector", "support"))
+    # both sides and the result are written: Spark splits a hot host's rows only in a join of plain exchanges
+    marks, marks_path = materialize(marks, "marks")
+    discard(spark, path, sizes_path)
     sized = marks.groupBy(F.col("host").alias("h"), F.col("class").alias("c")).agg(F.count(F.lit(1)).alias("tokens"), F.max("is_text").alias("any_text")).where("tokens >= 2")
+    sized, sized_path = materialize(sized, "sized")
     found, found_path = materialize(marks.join(sized, (F.col("host") == F.col("h")) & (F.col("class") == F.col("c"))).select("host", "token", "is_text", "class", "any_text"), "classes")
-    discard(spark, path)
+    discard(spark, marks_path, sized_path)
     by_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("classes"), F.max("any_text").alias("any_text")).where("any_text").select(F.col("host").alias("h"), "classes")
     held = pages.join(by_host, F.col("host") == F.col("h")).select("host", "html", "classes")
     bad = _faults(held).groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossed").alias("crossed")).where("low <> high or crossed")
