@@ -7,8 +7,9 @@ has changed since is stale and skipped. The work is n log n in the pre-token's l
 content (the log for leftmost-first order inside a bucket), so a pre-token of a million bytes is no
 special case.
 
-Encoded pre-tokens are kept in a worker's cache up to ``CACHE_ENTRIES`` entries, then the cache
-starts anew; that bounds memory and never changes a result.
+Encoded pre-tokens are kept in a worker's cache of two generations of ``CACHE_ENTRIES`` entries: a
+full one becomes the old one, from which what is met again comes back. That bounds memory and never
+changes a result.
 
 Defined cases: a null text is the empty text, with no tokens; texts of any length are taken whole;
 repeated rows are each encoded; an empty table gives an empty result; columns other than id and
@@ -22,12 +23,13 @@ import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens aren't cached.
 CACHE_LENGTH = 64
 
@@ -65,52 +67,58 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     get, buckets, low, pairs, top = ranks.get, queue.buckets, queue.low, queue.pairs, 0
     waiting = [pairs[a][b] for a, b in zip(piece, piece[1:])]  # the rank that a start's pair has now
     waiting.append(-1)
-    fresh = enumerate(waiting)
-    while True:
-        for i, rank in fresh:
-            if rank >= 0:
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                else:
-                    buckets[rank] = [i]
-                    word = rank >> 8
-                    if not low[word]:
-                        top |= BIT[word]
-                    low[word] |= BIT[rank & 255]
-        # the lowest rank that has entries, by find-first-set, until an entry isn't stale
-        while top:
-            word = (top & -top).bit_length() - 1
-            bits = low[word]
-            rank = (word << 8) + (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
+            if rank in buckets:
+                heappush(buckets[rank], i)
             else:
-                i = bucket[0]
-                del buckets[rank]
-                low[word] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
-            if waiting[i] == rank:
-                break
+                buckets[rank] = [i]
+                word = rank >> 8
+                top |= BIT[word]
+                low[word] |= BIT[rank & 255]
+    while top:
+        # the lowest rank that has entries, by find-first-set
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
         else:
-            break
+            i = bucket[0]
+            del buckets[rank]
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+        if waiting[i] != rank:
+            continue  # stale
         gone = ends[i]
         end = ends[i] = ends[gone]
         waiting[gone] = -1
-        fresh = []
         if end < n:
             before[end] = i
             waiting[i] = new = get(piece[i : ends[end]], -1)
-            fresh.append((i, new))
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    word = new >> 8
+                    top |= BIT[word]
+                    low[word] |= BIT[new & 255]
         else:
             waiting[i] = -1
         left = before[i]
-        if left >= 0:
-            new = get(piece[left:end], -1)
-            if new != waiting[left]:
-                waiting[left] = new
-                fresh.append((left, new))
+        if left >= 0 and (new := get(piece[left:end], -1)) != waiting[left]:
+            waiting[left] = new
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], left)
+                else:
+                    buckets[new] = [left]
+                    word = new >> 8
+                    top |= BIT[word]
+                    low[word] |= BIT[new & 255]
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : ends[i]]])
@@ -125,23 +133,27 @@ class Encoder(dict):
         import regex
 
         super().__init__()
+        self.old: dict[str, tuple[int, ...]] = {}  # the cache's generation before; what is met again comes back
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.queue = RankQueue(ranks)
         self.vocabulary = {i: token for token, i in ranks.items()}
+        self.decimal = {i: str(i) for i in self.vocabulary}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        rank = self.ranks.get(data)
-        ids = (rank,) if rank is not None else tuple(merge(data, self.ranks, self.queue))
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(data)
+            ids = (rank,) if rank is not None else tuple(merge(data, self.ranks, self.queue))
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        of = self.__getitem__
-        return [i for ids in map(of, self.split(text)) for i in ids]
+        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -184,7 +196,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
                 for value in part.column(len(kept)):
                     ids = encoder.encode(value.as_py() or "")
                     if digests:
-                        out = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
+                        out = (len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
                     else:
                         out = (ids, encoder.decode(ids))
                     for column, x in zip(columns, out):
