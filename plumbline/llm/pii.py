@@ -2,14 +2,14 @@
 
 Base spans come from four patterns (e-mail, IP, card, phone), each left to right without overlaps.
 Around what may be personal data, a semi-Markov CRF then segments the text: a segment is one chunk
-outside of any entity, or up to ``MAX_CHUNKS`` chunks (runs without white space) that form one
-entity of a type. Features look at the whole span: its shape, digits, separators, checksum, the words before
-it. A dynamic programme over (position, type) finds the best segmentation, so boundaries and types
+outside of any entity, or up to ``MAX_CHUNKS`` chunks (runs without white space, cut after quotes,
+commas, = and the like too) that form one entity of a type. Features look at the whole span: its
+shape, digits, separators, checksum, the words before it, how its value mixes letters. A dynamic programme over (position, type) finds the best segmentation, so boundaries and types
 are chosen together; its cost is positions x MAX_CHUNKS x types, whatever the text.
 
 The weights are fitted here, once a driver process, by gradient ascent on the likelihood of
 generated labelled sentences (``EXAMPLES`` of them, seed fixed), with the forward-backward sums of the
-same lattice. They are broadcast: a few hundred numbers.
+same lattice. They are broadcast: a few thousand numbers.
 
 Spans that the model adds never overlap base spans or each other. Offsets are code points, end
 exclusive.
@@ -36,7 +36,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 TYPES = (*BASE_KINDS, "secret", "iban", "ssn")
 OUT = "o"
 MAX_CHUNKS = 7
-EXAMPLES = 240
+EXAMPLES = 400
 EPOCHS = 8
 
 Span = tuple[str, int, int]
@@ -90,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
 
 # The lattice: chunks, whole-span features, transitions.
 
-_CHUNK = re.compile(r"\S+")
+_CHUNK = re.compile(r"""["'`,;=:|&<>]*[^\s"'`,;=:|&<>]+["'`,;=:|&<>]*|["'`,;=:|&<>]+""")
 # Words that announce personal data, by what they announce.
 CUES = {
     "secret": "password passwd pwd secret token key apikey api_key auth bearer credential credentials access".split(),
@@ -102,10 +102,18 @@ CUES = {
     "ip": "ip host server address".split(),
 }
 _CUE = {w: k for k, words in CUES.items() for w in words}
-_EDGE = "\"'()[]{}<>,;:!?.»«“”"
+_EDGE = "\"'`()[]{}<>,;:!?.&|»«“”"
 _SHAPES = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUN = re.compile(r"(.)\1+")
 _NAME = re.compile(r"[a-z_-]+(?=\s*[=:])|[a-z_-]+", re.I)
+_ASSIGNED = re.compile(r"""["'`]?\s*[=:]""")
+_SPLIT = re.compile(r"""[=:\s"'`]+""")
+_PREFIX = re.compile(r"AKIA|ASIA|AIza|sk-|pk-|gh[pousr]_|glpat-|xox[a-z]-|eyJ")
+_HUMP = re.compile(r"[a-z][A-Z]|[0-9][A-Za-z]|[A-Za-z][0-9]|[A-Z]{2}[a-z]")
+_TOKEN = re.compile(r"[A-Za-z0-9_/+.-]+")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
+#: What may be in an entity: a digit, an @, a word that announces a secret, a value of mixed letters, long capitals.
+_HINT = re.compile(r"[0-9@]|[a-z][A-Z]|[A-Z]{12}|(?<![A-Za-z])(?:sk-|pk-|gh[pousr]_|glpat-|xox[a-z]-|(?i:" + "|".join(sorted(CUES["secret"], key=len, reverse=True)) + r")(?![A-Za-z]))")
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -117,22 +125,33 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _cue_of(word: str) -> str:
+    """What a name announces, by itself or by its last part (db_password)."""
+    word = word.lower().strip("_-")
+    return _CUE.get(word) or _CUE.get(re.split("[_-]", word)[-1], "none")
+
+
 def span_features(text: str, chunks: list[tuple[int, int]], i: int, j: int) -> tuple[str, ...]:
     """Features of chunks i..j-1 as one entity; none if they can't be one."""
     start, end = _trim(text, chunks[i][0], chunks[j - 1][1])
     body = text[start:end]
     n_digits = sum(map(len, _DIGITS.findall(body)))
-    if len(body) < 5 or len(body) > 80 or n_digits < 3 and "@" not in body:
+    if len(body) < 5:
         return ()
-    shape = _RUN.sub(r"\1", body.translate(_SHAPES))
-    classes = "".join(sorted(set(body.translate(_SHAPES)) - {"9", "a", "A"}))
-    letters = len(body) - n_digits
     before = text[max(0, start - 24) : start].lower().split()
     cue = next((_CUE[w] for w in reversed([x.strip(_EDGE + "=") for x in before[-2:]]) if w in _CUE), "none")
     own = _NAME.match(body)
-    name = _CUE.get(own[0].lower(), "none") if own and own.end() < len(body) else "none"
-    value = re.split(r"[=:\s\"']+", body)[-1]
-    mixed = len(value) >= 12 and bool(re.fullmatch(r"[A-Za-z0-9_/+-]+", value)) and bool(_DIGIT.search(value)) and bool(re.search("[A-Za-z]", value))
+    name = _cue_of(own[0]) if own and own.end() < len(body) else "none"
+    value = _SPLIT.split(body.rstrip("="))[-1]
+    humps = len(_HUMP.findall(value)) if len(value) >= 8 else 0
+    prefix = _PREFIX.match(value)
+    # all but secrets have an @ or digits; a secret is announced, or its value isn't a word
+    if n_digits < 3 and "@" not in body and cue != "secret" and name != "secret" and not prefix and not humps and not (len(value) >= 12 and value.isupper()):
+        return ()
+    shape = _RUN.sub(r"\1", body.translate(_SHAPES))
+    classes = "".join(sorted(set(body.translate(_SHAPES)) - {"9", "a", "A"}))
+    letters = len(body) - n_digits
+    mixed = len(value) >= 12 and bool(_TOKEN.fullmatch(value)) and humps >= 3
     features = [
         "bias",
         f"chunks={j - i}",
@@ -145,14 +164,26 @@ def span_features(text: str, chunks: list[tuple[int, int]], i: int, j: int) -> t
         f"letters={'some' if letters > len(classes) else 'none'}",
         f"value={min(len(value) // 4, 10)}:{'x' if re.fullmatch('[0-9a-f]+', value) else 'X' if re.fullmatch('[0-9A-Z]+', value) else '-'}",
     ]
+    assigned = bool(own and _ASSIGNED.match(body, own.end()))
     if name != "none":
-        features.append(f"assigned={'=' in body or ':' in body}")
+        features.append(f"assigned={assigned}")
+    plain = bool(_WORDLIKE.fullmatch(value)) and (value[1:].islower() or value.isupper() and len(value) < 12)
+    if n_digits < 3 and "@" not in body:
+        announced = "own" if name == "secret" and assigned else "before" if cue == "secret" and text[:start].rstrip(" \"'`").endswith(("=", ":")) else "loose" if cue == "secret" else "none"
+        features += [f"few={announced}:{plain}", f"few={announced}:{j - i}", f"words={min(len(body.split()), 4)}:{plain}", f"equals={'=' in body}:{plain}", f"pieces={len([x for x in _SPLIT.split(body) if x]) - (announced == 'own')}"]
+    features.append(f"humps={min(humps, 5)}:{min(len(value) // 8, 4)}")
+    if prefix:
+        features.append(f"prefix={len(value) >= 16}")
+        features.append(f"prefix:{j - i}:{name}")
+    if digit_groups := re.fullmatch(r"\(?[0-9]+\)?(?:[ .-][0-9]+)+", body):
+        features.append(f"groups={'-'.join(str(min(len(g), 5)) for g in _DIGITS.findall(digit_groups[0]))[:15]}")
+        features.append(f"pairs={len(_DIGITS.findall(body)) >= 4 and 9 <= n_digits <= 11 and body[0] == '0'}")
     if 13 <= n_digits <= 19 and not letters - body.count(" ") - body.count("-"):
         features.append(f"luhn={luhn(''.join(_DIGITS.findall(body)))}")
     if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{2,4}){3,8}", body):
-        features.append("iban")
+        features.append("shape of iban")
     if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", body):
-        features.append("ssn")
+        features.append("shape of ssn")
     return tuple(features)
 
 
@@ -166,19 +197,19 @@ def lattice(text: str, chunks: list[tuple[int, int]]) -> list[list[tuple[int, tu
     return out
 
 
-Weights = dict[tuple[str, str], float]
+#: By type: weights of features and of the type that comes next.
+Weights = dict[str, dict[str, float]]
 
 
-def _score(weights: Weights, kind: str, features: tuple[str, ...]) -> float:
-    get = weights.get
-    return sum(get((kind, f), 0.0) for f in features)
+def _score(weights: dict[str, float], features: tuple[str, ...]) -> float:
+    return sum([weights[f] for f in features if f in weights])
 
 
 def viterbi(weights: Weights, segments: list[list[tuple[int, tuple[str, ...]]]]) -> list[tuple[int, int, str]]:
     """The entities (i, j, type) of the best segmentation."""
     n = len(segments) - 1
     kinds = (OUT, *TYPES)
-    step = {(a, b): weights.get((a, b), 0.0) for a in kinds for b in kinds}
+    step = {(a, b): weights[a].get(b, 0.0) for a in kinds for b in kinds}
     best = [{OUT: (0.0, None)}]
     for j in range(1, n + 1):
         here: dict[str, tuple] = {}
@@ -192,7 +223,7 @@ def viterbi(weights: Weights, segments: list[list[tuple[int, tuple[str, ...]]]])
         offer(j - 1, OUT, 0.0)
         for i, features in segments[j]:
             for kind in TYPES:
-                offer(i, kind, _score(weights, kind, features))
+                offer(i, kind, _score(weights[kind], features))
         best.append(here)
     found, j, kind = [], n, max(best[n], key=lambda k: best[n][k][0])
     while j:
@@ -203,44 +234,50 @@ def viterbi(weights: Weights, segments: list[list[tuple[int, tuple[str, ...]]]])
     return found[::-1]
 
 
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a + math.log1p(math.exp(b - a)) if b > -700 + a else a
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
 
 
 def expectations(weights: Weights, segments: list[list[tuple[int, tuple[str, ...]]]]) -> dict:
     """Expected counts of all features and transitions under the model, by forward-backward sums."""
     n = len(segments) - 1
     kinds = (OUT, *TYPES)
-    step = {(a, b): weights.get((a, b), 0.0) for a in kinds for b in kinds}
+    step = {(a, b): weights[a].get(b, 0.0) for a in kinds for b in kinds}
     arcs = [[] for _ in range(n + 1)]  # by end: (start, kind, score, features)
     for j in range(1, n + 1):
-        arcs[j] = [(j - 1, OUT, 0.0, ())] + [(i, k, _score(weights, k, f), f) for i, f in segments[j] for k in TYPES]
+        arcs[j] = [(j - 1, OUT, 0.0, ())] + [(i, k, _score(weights[k], f), f) for i, f in segments[j] for k in TYPES]
     ahead: list[dict[str, float]] = [{OUT: 0.0}] + [{} for _ in range(n)]
+    into: list[dict[str, float]] = [{} for _ in range(n + 1)]  # sums over what may come before a kind
     for j in range(1, n + 1):
+        into[j - 1] = {k: _log_sum([v + step[last, k] for last, v in ahead[j - 1].items()]) for k in kinds}
+        sums: dict[str, list[float]] = {}
         for i, kind, score, _ in arcs[j]:
-            for last, value in ahead[i].items():
-                total = value + score + step[last, kind]
-                ahead[j][kind] = _log_add(ahead[j][kind], total) if kind in ahead[j] else total
+            sums.setdefault(kind, []).append(into[i][kind] + score)
+        ahead[j] = {k: _log_sum(v) for k, v in sums.items()}
+    whole = _log_sum(list(ahead[n].values()))
+    starts: list[list] = [[] for _ in range(n + 1)]  # arcs by start
+    for j in range(1, n + 1):
+        for i, kind, score, features in arcs[j]:
+            starts[i].append((j, kind, score, features))
     back: list[dict[str, float]] = [{} for _ in range(n)] + [dict.fromkeys(ahead[n], 0.0)]
     expected: dict = {}
-    whole = -math.inf
-    for value in ahead[n].values():
-        whole = _log_add(whole, value) if whole > -math.inf else value
-    for j in range(n, 0, -1):
-        for i, kind, score, features in arcs[j]:
-            after = back[j].get(kind)
-            if after is None:
-                continue
-            for last, value in ahead[i].items():
-                rest = score + step[last, kind] + after
-                back[i][last] = _log_add(back[i][last], rest) if last in back[i] else rest
-                p = math.exp(value + rest - whole)
+    for i in range(n - 1, -1, -1):
+        sums = {}
+        for j, kind, score, features in starts[i]:
+            rest = score + back[j][kind]
+            sums.setdefault(kind, []).append(rest)
+            p = math.exp(into[i][kind] + rest - whole)
+            if p > 1e-6:
+                for f in features:
+                    expected[kind, f] = expected.get((kind, f), 0.0) + p
+        after = {k: _log_sum(v) for k, v in sums.items()}
+        for last, value in ahead[i].items():
+            back[i][last] = _log_sum([step[last, k] + v for k, v in after.items()])
+            for k, v in after.items():
+                p = math.exp(value + step[last, k] + v - whole)
                 if p > 1e-6:
-                    expected[last, kind] = expected.get((last, kind), 0.0) + p
-                    for f in features:
-                        expected[kind, f] = expected.get((kind, f), 0.0) + p
+                    expected[last, k] = expected.get((last, k), 0.0) + p
     return expected
 
 
@@ -261,10 +298,25 @@ def _entity(rnd: random.Random, kind: str) -> str:
         number = body + last
         return number if rnd.random() < 0.5 else rnd.choice([" ", "-"]).join(number[i : i + 4] for i in range(0, 16, 4))
     if kind == "phone":
+        if rnd.random() < 0.25:
+            return rnd.choice([" ", " ", ".", "-"]).join(["0" + digits(1), *[digits(2) for _ in range(4)]])
         return rnd.choice([f"+{rnd.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rnd.randint(1, 99)} {digits(3)} {digits(7)}"])
     if kind == "secret":
         name = rnd.choice(CUES["secret"][:8])
         value = pick("0123456789abcdef", rnd.choice([16, 18, 32, 40]))
+        if rnd.random() < 0.5:  # few digits or none, or long
+            quote = rnd.choice(["", '"'])
+            word = pick(lower, rnd.randint(5, 12))
+            password = rnd.choice([word, word, word.title() + rnd.choice("!?#$%") + pick(lower, 3), word + digits(rnd.randint(1, 2)), pick(upper + lower, rnd.randint(8, 24)), word + "-" + pick(lower, 4), "".join(rnd.choice(lower + upper + "!#$%*+") for _ in range(rnd.randint(8, 16))) + "x"])
+            web = lambda n: pick(upper + lower + "0123456789_-", n - 1) + "Q"
+            return rnd.choice([
+                f"{rnd.choice(['', 'db_', 'my-'])}{name}={quote}{password}{quote}",
+                f"{rnd.choice(CUES['secret'][:4])}: {password}" if not password.isalpha() or not password.islower() else f"{name}={password}",
+                f"AKIA{pick(upper + rnd.choice(['', '234567', '0123456789']), 16)}",
+                f"{rnd.choice(['sk-', 'ghp_', 'pk-', 'glpat-'])}{pick(upper + lower, rnd.choice([20, 32, 36]))}",
+                f"eyJ{web(rnd.randint(15, 60))}.eyJ{web(rnd.randint(30, 200))}.{web(43)}",
+                pick(upper + lower + "234567", rnd.choice([24, 32, 40])),
+            ])
         return rnd.choice([f"AKIA{pick(upper + '0123456789', 15)}7", f"{name}={value}", f'{name} = "{value}"', f"{name}: {value}", f"sk-{pick(upper + lower + '0123456789', 31)}4", f"ghp_{pick(upper + lower + '0123456789', 34)}9"])
     if kind == "iban":
         return f"{pick(upper, 2)}{digits(2)}" + rnd.choice(["", " "]).join(["", *[digits(4) for _ in range(rnd.randint(3, 5))]])
@@ -272,8 +324,16 @@ def _entity(rnd: random.Random, kind: str) -> str:
 
 
 def _plain(rnd: random.Random) -> str:
-    """What has digits and is no personal data."""
+    """What has digits, cues or mixed letters and is no personal data."""
     d = lambda a, b: rnd.randint(a, b)
+    if rnd.random() < 0.1:  # as long as a card, with a wrong check digit
+        number = str(d(10**15, 10**16 - 2))
+        return number if not luhn(number) else number[:-1] + str((int(number[-1]) + 1) % 10)
+    if rnd.random() < 0.4:
+        word = lambda: rnd.choice("main value words reading lights minor house green answer matter found people quick river stone public given things".split())
+        hump = lambda: "".join(w.title() for w in (word(), word()))
+        cue = rnd.choice(CUES["secret"])
+        return rnd.choice([f"{cue} {word()} {word()}", f"{cue.title()}: {word()} {word()} {word()}", f"the {cue}, {word()} and {word()}", f"{cue} to {word()}", f"{word()} {cue}.", f"{cue} {word()}", hump(), word() + hump(), word() + hump() + hump(), word()[:3] + hump() + "By" + hump()[:2], f"{hump()}.{word()}", "".join(word() for _ in range(2)).upper(), f"{word()}={d(1, 99)}", f"{word()}: {word()}", f"{word().upper()} {word().upper()}", f"{word()}-{word()}-{word()}", f"https://{word()}.org/{word()}/{word()}", f"{cue}s {word()}", f"{d(1, 31)} {d(1, 12)} {d(10, 99)}", f"{d(1, 9)} {d(1, 9)} {d(10, 99)} {d(10, 99)}", f"{word()}, {d(1, 9)}, {d(1, 99)}, {d(1, 99)}, {d(1, 99)}", f"{word()}{d(1, 99)}"])
     return rnd.choice([f"{d(1900, 2100)}", f"{d(1, 9)}.{d(0, 9)}.", f"{d(1900, 2099)}-{d(1, 12):02}-{d(1, 28):02}", f"{d(1, 999)},{d(0, 999):03}", f"{d(1, 28)}.{d(1, 12)}.{d(1990, 2030)}", f"{d(10000, 9999999)}", f"{d(1900, 2000)}-{d(2001, 2099)}", f"{d(1, 24)}:{d(0, 59):02}:{d(0, 59):02}", f"({d(1000, 2100)})", f"v{d(1, 9)}.{d(0, 20)}.{d(0, 200)}", f"{d(100, 999)}.{d(1000, 9999)}", f"key {d(1, 9999)}", f"ISBN {d(10**12, 10**13 - 1)}", f"+{d(1, 9999)}", f"{d(10**13, 10**14)}km", f"abc{d(100, 999)}", f"{d(1, 99)}-{d(100, 999)}"])
 
 
@@ -323,38 +383,39 @@ def fit() -> Weights:
                 gold[kind, f] = gold.get((kind, f), 0.0) + 1
             last, j = kind, end
         prepared.append((segments, gold))
-    weights: Weights = {}
+    weights: Weights = {k: {} for k in (OUT, *TYPES)}
     for epoch in range(EPOCHS):
         rate = 0.35 / (1 + 0.3 * epoch)
         for segments, gold in prepared:
             expected = expectations(weights, segments)
             for key in gold.keys() | expected.keys():
-                old = weights.get(key, 0.0)
-                weights[key] = old + rate * (gold.get(key, 0.0) - expected.get(key, 0.0) - 0.002 * old)
-    return {k: round(v, 4) for k, v in weights.items() if abs(v) > 1e-3}
+                of, name = key
+                old = weights[of].get(name, 0.0)
+                weights[of][name] = old + rate * (gold.get(key, 0.0) - expected.get(key, 0.0) - 0.002 * old)
+    return {k: {f: round(v, 4) for f, v in of.items() if abs(v) > 1e-3} for k, of in weights.items()}
+
 
+_WHITE = re.compile(r"\s|\Z")
+_NUMBERS = re.compile(r"[0-9](?:\W{0,3}[0-9]){2}|[0-9]{0,2}[A-Za-z_]")
 
-def _triggers(text: str, chunk: tuple[int, int]) -> bool:
-    """Whether a chunk may be in an entity: an @, three digits or more, or letters with a digit."""
-    body = text[chunk[0] : chunk[1]]
-    return "@" in body or sum(map(len, _DIGITS.findall(body))) >= 3
 
+def _number_near(text: str, at: int) -> bool:
+    """Whether the first digit of a chunk has two more close by, signs or a space between, or letters beside it."""
+    return bool(_NUMBERS.match(text, at)) or at > 0 and (text[at - 1].isalpha() or text[at - 1] in "-_/+.")
 
 
 def model_spans(text: str, weights: Weights) -> list[Span]:
     """Entities that the model finds, in order."""
-    if not _SIGN.search(text):
-        return []
-    regions: list[list[int]] = []  # [start, end): around each chunk that may matter
+    regions: list[list[int]] = []  # [start, end): around each hint
     at = 0
-    while m := _SIGN.search(text, at):
-        a = m.start()
+    while m := _HINT.search(text, at):
+        at = m.end()
+        if m.end() - m.start() == 1 and m[0] != "@" and not _number_near(text, m.start()):
+            continue
+        a, e = m.span()
         while a > 0 and not text[a - 1].isspace():
             a -= 1
-        e = _CHUNK.match(text, a).end()
-        at = e
-        if not _triggers(text, (a, e)):
-            continue
+        at = e = _WHITE.search(text, e).start()
         low, high = max(0, a - 40), min(len(text), e + 40)
         if regions and low <= regions[-1][1]:
             regions[-1][1] = high
