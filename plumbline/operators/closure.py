@@ -47,11 +47,12 @@ def orphans(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
 
 @dataclass
 class Closure:
-    """added: by table, rows to insert besides; required: (parent, rows, child, key); warnings."""
+    """added: by table, rows to insert besides; required: (parent, rows, child, key); warnings; stopped: whether more are needed."""
 
     added: dict[str, DataFrame] = field(default_factory=dict)
     required: list[tuple[str, int, str, str]] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    stopped: bool = False
 
 
 def close(planned: Mapping[str, DataFrame], source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], keys: Mapping[str, list[ForeignKey]], max_rows: int = MAX_ROWS) -> Closure:
@@ -79,6 +80,7 @@ def close(planned: Mapping[str, DataFrame], source: Mapping[str, DataFrame], tar
                 continue
             if pulled + n > max_rows:
                 out.warnings.append(f"{fk.name}: {n} more parents would go beyond {max_rows} rows; nothing further was followed")
+                out.stopped = True
                 return out
             found = materialize(source[fk.parent].alias("s").join(wanted.alias("w"), _match("s", "w", pairs), "left_semi"), "closure")
             if (lost := wanted.alias("w").join(found.alias("f"), _match("w", "f", pairs), "left_anti").count()):

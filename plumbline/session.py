@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .functions.predicate import to_spark
 from .model import Schema, fold
@@ -12,6 +13,7 @@ from .operators import closure, columns, compare, drift, keys, screen
 from .plans import collation, guards, schema_diff, script, selection, sizes
 from .sources.catalog import ParquetDatabase
 from .sources.snapshot import SnapshotTable
+from .sources.store import materialize
 
 
 class NotComparable(ValueError):
@@ -120,7 +122,7 @@ class CompareSession:
             self.choices[fold(table)] = choice
 
     def changes(self) -> dict[str, DataFrame]:
-        """The change set of every chosen table, with the parents that its rows need."""
+        """The change set of every chosen table; closed_changes adds the parents that its rows need."""
         out = {}
         for name, choice in self.choices.items():
             table = self.source_schema.table(name)
@@ -136,29 +138,51 @@ class CompareSession:
         links = {t.name: list(t.foreign_keys) for t in self.source_schema.tables}
         return closure.close(written, source, target, links, self.limits.closure_rows)
 
+    def closed_changes(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame], closure.Closure]:
+        """Change sets with the parents that their rows need, those of the parents alone, and the closure."""
+        changes = self.changes()
+        found = self.closure(changes)
+        parents = {}
+        for name, rows in found.added.items():
+            key = self._parent_key(name)
+            target = self.target.table(name) if name in self.target.names() else rows.limit(0)
+            compared = self.request(name, TableChoice()) if self.key(name) and self.target_schema.table(name) else compare.CompareRequest(key)
+            on = [F.col(f"t.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in key]
+            there = target.alias("t").join(rows.select(*[F.col(f"`{k}`") for k in key]).alias("s"), on, "left_semi")
+            parents[name] = materialize(compare.changes(rows, there, compared), "parents")
+        union = {n: c.unionByName(parents[n]) if n in parents else c for n, c in changes.items()}
+        return parents | union, parents, found
+
+    def _parent_key(self, name: str) -> tuple[str, ...]:
+        """A table's key, else the columns by which a foreign key refers to it."""
+        refers = (fk.parent_columns for t in self.source_schema.tables for fk in t.foreign_keys if fold(fk.parent) == fold(name))
+        return tuple(self.key(name) or next(refers, ()))
+
     def script(self) -> script.Script:
         """Schema statements for the selection, data statements for chosen tables, warnings; remembers what was reviewed."""
         diffs = self.schema_diff()
         plan = selection.compile_plan(selection.schema_units(diffs), self.selections, self.exclusions)
-        made = script.schema_script(plan, self.source_schema, self.target_schema, diffs)
         needed = selection.close_schema(plan, self.source_schema, self.target_schema, diffs)
+        wanted = {fold(a) for a, _, _ in needed.required}
+        closed = selection.Plan(plan.units + tuple(u for u in selection.schema_units(diffs) if fold(u.object) in wanted), plan.exclusions)
+        made = script.schema_script(closed, self.source_schema, self.target_schema, diffs)
         made.refusals += [f"{a} is needed by {b} but excluded" for a, b in needed.blocked] + needed.unsatisfiable
         made.warnings += [f"{a} is needed by {b}: {why}" for a, b, why in needed.required]
-        changes = self.changes()
-        made.warnings += self.closure(changes).warnings
+        changes, parents, found = self.closed_changes()
+        made.warnings += found.warnings
         deletes, inserts = script.data_order(self.source_schema.tables)
         for phase, order in (("DataDeletes", deletes), ("DataUpserts", inserts)):
             for name in order:
                 if name in changes:
                     self._data_steps(made, phase, name, changes[name])
-        self.reviewed = self.row_state()
+        self.reviewed = self._row_state(parents)
         return made
 
     def _data_steps(self, made: script.Script, phase: str, name: str, changes: DataFrame) -> None:
         wanted = changes.where("op = 'Delete'" if phase == "DataDeletes" else "op <> 'Delete'")
-        key = list(self.key(name))
+        key = list(self._parent_key(name))
         size = sizes.script_size(wanted, key, [c for c in changes.columns if c not in (*key, "op", "target_hash")]).first()["bytes"]
-        if phase == "DataDeletes":
+        if phase == "DataDeletes" and name in self.target.names():
             n, rows = wanted.count(), self.target.table(name).count()
             if sizes.delete_share(n, rows, self.limits.delete_share):
                 made.warnings.append(f"{name}: {n} of {rows} rows are deleted")
@@ -169,14 +193,19 @@ class CompareSession:
             made.steps.append(script.Step(phase, name, row["sql"], phase == "DataDeletes"))
 
     def row_state(self) -> DataFrame | None:
-        """Differences of all chosen tables as they are now."""
+        """Differences of all chosen tables, and of the parents that they need, as they are now."""
+        return self._row_state(self.closed_changes()[1])
+
+    def _row_state(self, parents: dict[str, DataFrame]) -> DataFrame | None:
         out = None
         for name in self.choices:
             table = self.source_schema.table(name).name
             request = self.request(table)
             one = drift.snapshot(compare.classify(self.source.table(table), self.target.table(table), request), table, list(request.keys))
             out = one if out is None else out.unionByName(one)
-        return out
+        for name, rows in parents.items():
+            out = out.unionByName(drift.snapshot(rows.withColumnRenamed("op", "classification"), name, list(self._parent_key(name))))
+        return out.distinct() if parents else out
 
     def drift(self) -> list[str]:
         """What has changed since the last script, by table."""
@@ -188,16 +217,17 @@ class CompareSession:
 
     def apply(self, tables: dict[str, SnapshotTable], environment: str, confirmation: str, acknowledged: bool = False) -> dict:
         """Applies the change sets to versioned tables if nothing forbids it; returns what blocked or what was done."""
-        changes = self.changes()
+        changes, needed, parents = self.closed_changes()
         destructive = tuple(f"deletes in {n}" for n, c in changes.items() if not c.where("op = 'Delete'").isEmpty())
         request = guards.ApplyRequest(self.target_schema.name, environment, confirmation, acknowledged, destructive, tuple(self.drift()), len(changes))
-        if blocked := guards.blockers(request, self.limits):
+        blocked = guards.blockers(request, self.limits)
+        if parents.stopped:
+            blocked += parents.warnings
+        blocked += [f"{n}: rows that others need can't be written, no versioned table is given" for n in needed if n not in tables]
+        if blocked:
             return {"outcome": "Blocked", "why": blocked}
-        parents = self.closure(changes)
         done = {}
         for name in script.data_order(self.source_schema.tables)[1]:
-            if name in parents.added and name in tables and name not in changes:
-                done[name] = tables[name].write(tables[name].read().unionByName(parents.added[name]))
-            elif name in changes and name in tables:
-                done[name] = tables[name].apply(changes[name], self.key(name))
-        return {"outcome": "Applied", "done": done}
+            if name in changes and name in tables:
+                done[name] = tables[name].apply(changes[name], self._parent_key(name))
+        return {"outcome": "Applied", "done": done, "warnings": parents.warnings}

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from plumbline.functions.predicate import Refusal
+from plumbline.plans.guards import Limits
 from plumbline.plans.selection import DATABASE, Selection
 from plumbline.session import CompareSession, NotComparable, TableChoice
 from plumbline.sources.catalog import ParquetDatabase
@@ -59,3 +60,32 @@ def test_script_needs_parents_and_apply_converges(spark, session, tmp_path):
     assert {tuple(r) for r in tables["company"].read().collect()} == {(1, "A", 1), (2, "B", 3)}
     assert 3 in {r.id for r in tables["category"].read().collect()}
     assert session.drift() == []
+
+
+def test_parents_are_scripted_and_written_beside_picked_rows(spark, session, tmp_path):
+    session.select("company", TableChoice())
+    text = session.script().text()
+    assert text.index("INSERT INTO `category` (`id`, `name`) VALUES (3, 'Energy')") < text.index("INSERT INTO `company`")
+    session.select("category", TableChoice(picks=spark.createDataFrame([(2,)], "id int")))
+    text = session.script().text()
+    assert "VALUES (3, 'Energy')" in text and "'Wholesale'" in text and "DELETE" not in text
+    tables = {}
+    for name in ("category", "company"):
+        tables[name] = SnapshotTable(spark, f"{tmp_path}/versions/{name}")
+        tables[name].write(session.target.table(name))
+    session.limits = Limits(closure_rows=0)
+    assert session.apply(tables, "Dev", "target")["outcome"] == "Blocked"
+    session.limits = Limits()
+    assert session.apply({"company": tables["company"]}, "Dev", "target")["outcome"] == "Blocked"
+    assert session.apply(tables, "Dev", "target")["outcome"] == "Applied"
+    assert {tuple(r) for r in tables["category"].read().collect()} == {(1, "Retail"), (2, "Wholesale"), (3, "Energy"), (4, "Obsolete")}
+
+
+def test_schema_script_creates_what_is_needed(spark, session, tmp_path):
+    spark.createDataFrame([(1, 1)], "id int, branch int").write.parquet(f"{tmp_path}/source/site.parquet")
+    spark.createDataFrame([(1,)], "id int").write.parquet(f"{tmp_path}/source/branch.parquet")
+    keys = {"site": {"primary_key": ["id"], "foreign_keys": [{"name": "to_branch", "columns": ["branch"], "parent": "branch", "parent_columns": ["id"]}]}, "branch": {"primary_key": ["id"]}}
+    (tmp_path / "source" / "constraints.json").write_text(json.dumps(keys))
+    session = CompareSession(*[ParquetDatabase(spark, f"{tmp_path}/{s}") for s in ("source", "target")])
+    session.selections.append(Selection("Table", "site"))
+    assert {s.object for s in session.script().steps if s.phase == "CreateTables"} == {"site", "branch"}
