@@ -56,6 +56,10 @@ DROPPED_WORDS = frozenset(
 )
 LEAF = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "li", "option", "td", "th", "tr", "pre"])
 
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: So many links in a row, with nothing else between them, are a list of links.
+LINK_LIST = 3
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>""",
     re.S | re.I,
@@ -68,29 +72,45 @@ _WORD = re.compile(r"[a-z]+")
 class Block:
     """Text between block boundaries: its path, whether a container drops it, whether it's in an article."""
 
-    __slots__ = ("path", "text", "dropped", "inside", "linked")
+    __slots__ = ("path", "text", "dropped", "inside", "linked", "links")
 
-    def __init__(self, path: str, text: str, dropped: bool, inside: bool, linked: bool) -> None:
-        self.path, self.text, self.dropped, self.inside, self.linked = path, text, dropped, inside, linked
+    def __init__(self, path: str, text: str, dropped: bool, inside: bool, linked: bool, links: int) -> None:
+        self.path, self.text, self.dropped, self.inside, self.linked, self.links = path, text, dropped, inside, linked, links
 
 
 def parse(html: str) -> tuple[list[str | Block], bool]:
-    """(tag tokens as strings and blocks, in page order; whether there is an article or main element)."""
+    """(tag tokens as strings and blocks, in page order; whether there is an article or main element).
+
+    A word of a class, id or role drops no element that holds all articles and main elements of the
+    page or, where there are none, most of its text.
+    """
+    out, has_main, kept = _parse(html, frozenset())
+    return _parse(html, kept)[:2] if kept else (out, has_main)
+
+
+def _parse(html: str, kept: frozenset[int]) -> tuple[list[str | Block], bool, frozenset[int]]:
+    """As parse, but words don't drop the elements numbered in kept; also the elements that they mustn't drop."""
     out: list[str | Block] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # name, path, dropped, inside, link
+    stack: list[tuple] = [("", "", False, False, False, False, ())]  # name, path, dropped, inside, link, dropped not by words, elements marked by words
+    chars: Counter = Counter()  # text by marked element; -1 is all
+    mains: Counter = Counter()
+    links = 0
     text: list[str] = []
     plain = False  # text outside of links
     has_main = False
 
     def flush() -> None:
-        nonlocal plain
+        nonlocal plain, links
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                _, path, dropped, inside, _ = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
-                out.append(Block(path, joined, dropped, inside, not plain))
+                _, path, dropped, inside, _, hard, marked = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
+                out.append(Block(path, joined, dropped, inside, not plain, links))
+                if not hard:
+                    for k in (-1, *marked):
+                        chars[k] += len(joined)
             text.clear()
-        plain = False
+        plain, links = False, 0
 
     def add(piece: str) -> None:
         nonlocal plain
@@ -123,18 +143,27 @@ def parse(html: str) -> tuple[list[str | Block], bool]:
             flush()
             if name in LEAF or any(s[0] == "p" for s in stack):
                 _close(stack, name)
-        _, path, dropped, inside, link = stack[-1]
+        _, path, dropped, inside, link, hard, marked = stack[-1]
         words, mark = _marks(m[4])
         in_main = inside or name in MAIN and not dropped or "main" in words and not dropped and "role" in mark
-        gone = dropped or name in DROPPED or name == "header" and not inside or bool(words & DROPPED_WORDS) and name not in ("html", "body") or "header" in words and not inside and name not in ("html", "body") or (m[4] != "" and bool(_HIDDEN.search(m[4])))
+        hard = hard or name in DROPPED or name == "header" and not inside or (m[4] != "" and bool(_HIDDEN.search(m[4])))
+        by_word = name not in ("html", "body") and (bool(words & DROPPED_WORDS) or "header" in words and not inside)
+        if by_word:
+            marked = (*marked, len(out))
+        if not hard and (name in MAIN or "main" in words and "role" in mark):
+            for k in (-1, *marked):
+                mains[k] += 1
+        gone = dropped or hard or by_word and len(out) not in kept
+        links += name == "a"
         has_main = has_main or in_main and not gone
         here = f"{path}/{name}{mark}"
         out.append(here)
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, here, gone, in_main, link or name == "a"))
+            stack.append((name, here, gone, in_main, link or name == "a", hard, marked))
     add(html[at:])
     flush()
-    return out, has_main
+    held = mains if mains[-1] else chars
+    return out, has_main, frozenset(k for k, n in held.items() if k >= 0 and (n == held[-1] if mains[-1] else 2 * n > held[-1]))
 
 
 def _close(stack: list, name: str) -> None:
@@ -152,10 +181,21 @@ def _marks(attributes: str) -> tuple[set[str], str]:
     if not attributes or "=" not in attributes:
         return set(), ""
     found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)]
-    words = {w for _, v in found for w in _WORD.findall(v.lower())}
+    words = {w for _, v in found for n in v.lower().split() for w in _said(n)}
     return words, "".join(f"[{k}={v}]" for k, v in found)
 
 
+def _said(name: str) -> list[str]:
+    """The words of one class or id, without what it says is only had beside or not there (no-sidebar, has-comments, alert-none)."""
+    words = _WORD.findall(name)
+    for i, word in enumerate(words):
+        if word in ("no", "not", "has", "have", "with", "without"):
+            return words[:i]
+        if word in ("none", "off", "disabled"):
+            return []
+    return words
+
+
 def _number(token: str | Block) -> int:
     import xxhash
 
@@ -166,13 +206,26 @@ def _number(token: str | Block) -> int:
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """The page's main text; template has the numbers of the host's template tokens."""
     tokens, has_main = parse(html)
-    kept = []
+    kept: list[str] = []
+    run: list[str] = []  # blocks that are each a link, in a row
+
+    def end_run() -> None:
+        if len(run) < LINK_LIST:
+            kept.extend(run)
+        run.clear()
+
     for token in tokens:
         if isinstance(token, str) or token.dropped or has_main and not token.inside:
             continue
-        if not has_main and token.linked or template and _number(token) in template:
+        if template and _number(token) in template:
+            continue
+        if not has_main and token.linked and token.path.rsplit("/", 1)[-1][:2] not in HEADINGS:
+            if token.links < LINK_LIST:
+                run.append(token.text)
             continue
+        end_run()
         kept.append(token.text)
+    end_run()
     return "\n".join(kept)
 
 
