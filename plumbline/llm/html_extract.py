@@ -7,9 +7,11 @@ blocks of text. For every host, over its distinct pages:
    fingerprint, a commutative sum of hashes of (page, count), so that a host of any size is counted
    with partial sums and never gathered.
 2. Tokens of equal vectors form an equivalence class. A class is a candidate if it has two tokens
-   or more and its pages are at least ``min_pages`` and ``min_share`` of the host's.
+   or more and its pages are at least ``min_pages`` and ``min_share`` of the host's. The share is low,
+   so that each layout of a host has its classes; it bounds a host's classes whatever its size.
 3. A class is valid if its tokens come in one order on all pages, and if its span on each page
-   crosses no other's: it is apart, or nests in one slot (the gap between two consecutive tokens).
+   crosses that of no ordered class of more pages: it is apart, or nests in one slot (the gap between
+   two consecutive tokens).
 4. The valid classes, nested, are the host's template. Its text tokens are boilerplate; everything
    between template tokens is slots. A page keeps the blocks of its slots, unless a slot lies
    inside a container that can't hold main text (a menu, footer, form, advert, reader comments).
@@ -42,7 +44,7 @@ class TemplateRules:
     """Support that a class needs: pages of the host, and their share."""
 
     min_pages: int = 5
-    min_share: float = 0.9
+    min_share: float = 0.05
 
 
 # Elements by their role in a page.
@@ -253,7 +255,7 @@ def _vectors(pages: DataFrame) -> DataFrame:
 
 
 def _faults(pages: DataFrame) -> DataFrame:
-    """(host, class, low, high, crossed) from pages (host, html, classes): hashes of a class's token order, and crossings."""
+    """(host, class, low, high, crossed) from pages (host, html, classes): hashes of a class's token order, and the classes before it that it crosses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -262,6 +264,7 @@ def _faults(pages: DataFrame) -> DataFrame:
             seen: dict[tuple[str, int], list] = {}
             for host, html, classes in zip(*[c.to_pylist() for c in batch.columns]):
                 of = {c["token"]: c["class"] for c in classes}
+                rank = {c["class"]: (c["support"], c["class"]) for c in classes}
                 orders: dict[int, list[int]] = {}
                 spans: dict[int, list[int]] = {}
                 for i, token in enumerate(parse(html or "")[0]):
@@ -271,14 +274,14 @@ def _faults(pages: DataFrame) -> DataFrame:
                         spans.setdefault(of[number], []).append(i)
                 for kind, order in orders.items():
                     code = xxhash.xxh3_64_intdigest(repr(order).encode()) - (1 << 63)
-                    crossed = any(_crosses(spans[kind], other) for k, other in spans.items() if k != kind)
-                    entry = seen.setdefault((host, kind), [code, code, False])
-                    entry[:] = min(entry[0], code), max(entry[1], code), entry[2] or crossed
-            columns = list(zip(*[(h, k, *v) for (h, k), v in seen.items()])) or [()] * 5
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                    entry = seen.setdefault((host, kind), [code, code, set()])
+                    entry[2].update(k for k, other in spans.items() if k not in entry[2] and rank[k] > rank[kind] and _crosses(spans[kind], other))
+                    entry[:2] = min(entry[0], code), max(entry[1], code)
+            columns = list(zip(*[(h, k, a, b, sorted(c)) for (h, k), (a, b, c) in seen.items()])) or [()] * 5
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "class", "low", "high", "crossed"])
 
-    return pages.mapInArrow(run, "host string, class long, low long, high long, crossed boolean")
+    return pages.mapInArrow(run, "host string, class long, low long, high long, crossed array<long>")
 
 
 def _crosses(a: list[int], b: list[int]) -> bool:
@@ -296,21 +299,24 @@ def templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataF
     sizes = vectors.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= rules.min_pages).withColumnRenamed("host", "h")
     sizes, sizes_path = materialize(sizes, "hosts")
     marks = vectors.groupBy("host", "token", "is_text").agg(F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("support"))
-    marks = marks.join(sizes, F.col("host") == F.col("h")).where(F.col("support") >= F.col("pages") * rules.min_share).drop("h", "pages")
+    marks = marks.join(sizes, F.col("host") == F.col("h")).where((F.col("support") >= rules.min_pages) & (F.col("support") >= F.col("pages") * rules.min_share)).drop("h", "pages")
     marks = marks.withColumn("class", F.xxhash64("vector", "support"))
     # both sides and the result are written: Spark splits a hot host's rows only in a join of plain exchanges
     marks, marks_path = materialize(marks, "marks")
     discard(spark, path, sizes_path)
     sized = marks.groupBy(F.col("host").alias("h"), F.col("class").alias("c")).agg(F.count(F.lit(1)).alias("tokens"), F.max("is_text").alias("any_text")).where("tokens >= 2")
     sized, sized_path = materialize(sized, "sized")
-    found, found_path = materialize(marks.join(sized, (F.col("host") == F.col("h")) & (F.col("class") == F.col("c"))).select("host", "token", "is_text", "class", "any_text"), "classes")
+    found, found_path = materialize(marks.join(sized, (F.col("host") == F.col("h")) & (F.col("class") == F.col("c"))).select("host", "token", "is_text", "class", "support", "any_text"), "classes")
     discard(spark, marks_path, sized_path)
-    by_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("classes"), F.max("any_text").alias("any_text")).where("any_text").select(F.col("host").alias("h"), "classes")
+    by_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "support")).alias("classes"), F.max("any_text").alias("any_text")).where("any_text").select(F.col("host").alias("h"), "classes")
     held = pages.join(by_host, F.col("host") == F.col("h")).select("host", "html", "classes")
-    bad = _faults(held).groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossed").alias("crossed")).where("low <> high or crossed")
+    faults, faults_path = materialize(_faults(held), "faults")
+    unordered = faults.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "class")
+    crossed = faults.select("host", F.col("class").alias("by"), F.explode("crossed").alias("class")).distinct().join(unordered, ["host", "class"], "left_anti").select("host", F.col("by").alias("class"))
+    bad = unordered.unionByName(crossed).distinct()
     good = found.where("is_text").join(bad.select("host", "class"), ["host", "class"], "left_anti")
     out, _ = materialize(good.groupBy("host").agg(F.collect_list("token").alias("tokens")), "templates")
-    discard(spark, found_path)
+    discard(spark, found_path, faults_path)
     return out
 
 

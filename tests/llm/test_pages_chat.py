@@ -198,3 +198,11 @@ def test_words_drop_no_article_and_lone_links_stay():
     assert html_extract.main_text("<article><p>Short.</p></article><div id='comments'><article><p>A comment that is longer.</p></article></div>") == "Short."
     page = "<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul><div><a>a</a> <a>b</a> <a>c</a></div><h1><a>Title</a></h1><p>One.</p><p><a>A linked paragraph.</a></p><p>Two.</p>"
     assert html_extract.main_text(page) == "Title\nOne.\nA linked paragraph.\nTwo."
+
+
+def test_each_layout_of_a_host_has_a_template(spark):
+    news = lambda i: f"<body><main><p>Share this story now</p><h1>Title {i}</h1><p>Body of page {i}.</p><p>Read more like it</p></main></body>"
+    shop = lambda i: f"<body><div><section><p>Add to basket</p><p>Thing {i} is good.</p><p>Delivery in two days</p></section></div></body>"
+    rows = [(i, f"https://a.example/{i}", news(i) if i < 12 else shop(i)) for i in range(20)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Title {i}\nBody of page {i}." if i < 12 else f"Thing {i} is good." for i in range(20)}
