@@ -12,14 +12,19 @@ coordinate's signature. Texts with an empty coordinate are thrown again with T d
 signatures agree in a coordinate with probability of the (weighted) Jaccard similarity.
 
 Links. Equal texts are one content first. Contents that share a band are candidates. A bucket
-doesn't yield all its pairs. At first each content is held against one centre of its buckets, by the
-exact similarity of their shingles, which joins most copies; then, in ``TRIES`` rounds, those
-outside of the largest component of a bucket against one member of that. Contents of buckets that
-still hold several components then meet once more, exactly: by the prefixes of their shingles, rare
-ones first, with the position filter, so that only pairs of different components which share a
-shingle rare enough are made and compared. So a bucket of thousands of copies costs about one
-comparison a copy, no candidate is dropped, and every similar pair that shares a bucket ends in one
-component. Components are found by alternating large-star and small-star
+doesn't yield all its pairs: contents are held against representatives of their buckets. At first
+that is one centre of each bucket; then, for ``ROUNDS`` rounds at most or until one links nothing,
+contents outside of the largest component of a bucket meet one random member of that component, a fresh one
+by bucket and round. So a content meets up to ``bands`` members a round, whatever a bucket's size; of
+these the ``NEAREST`` by parity (below) are verified by the exact similarity of their shingles. What is still
+apart in a common bucket then meets once more, exactly: by the prefixes of the shingles, rare ones first,
+with the position and parity filters, so that only pairs of different components that share a
+shingle rare enough are made. So a bucket of thousands of copies costs about one comparison a copy, no candidate is
+dropped, and every similar pair that shares a bucket ends in one component. A parity has a bit for
+each of 512 classes of shingles: whether an odd number of the set's shingles is in it; two parities
+differ in no more bits than the sets in shingles, so a pair whose parities are too far apart can't be similar.
+
+Components are found by alternating large-star and small-star
 steps over the roots that new links connect. Links, labels and signatures stay distributed and are
 written to the shared folder between rounds. With 32 bands of 5 a pair of similarity 0.8 shares no
 bucket with probability 3e-6.
@@ -38,17 +43,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .store import discard, materialize
 from .wordarrays import LOWER, grams, mix, pieces, word_table, words_of
 
 
-#: Rounds in which a content is held against one member of a larger component.
-TRIES = 2
+#: Rounds in which contents are held against members of a larger component.
+ROUNDS = 2
+#: Of the members that a content meets in a round, so many are verified.
+NEAREST = 3
 PARITY_BITS = 512
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass(frozen=True)
@@ -213,62 +219,77 @@ def _verified(pairs: DataFrame, rules: NearRules) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(content, shingles array<long>, parity array<long>) of (content, text).
+def _elements(column: pa.Array, rules: NearRules) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, distinct elements, bounds): shingles or, with counts, one element for each occurrence."""
+    for first, end, data, offsets in pieces(column):
+        hashes, weights, bounds = weigh(*shingles_of(data, offsets, rules.shingle))
+        if rules.weights == "count":
+            n = weights.astype(np.int64)
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            bounds = np.concatenate([[0], np.cumsum(n)])[bounds]
+            hashes = mix(np.repeat(hashes, n) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        yield first, end, hashes, bounds
 
-    shingles are distinct hashes, with counts one for each occurrence. Bit i of parity tells whether an odd
-    number of them hash to i; so two parities differ in no more bits than the sets differ in shingles.
-    """
+
+def _sketched(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """(content, text, size, parity binary) of (content, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in pieces(batch.column(1)):
-                hashes, weights, bounds = weigh(*shingles_of(data, offsets, rules.shingle))
-                if rules.weights == "count":
-                    n = weights.astype(np.int64)
-                    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    bounds = np.concatenate([[0], np.cumsum(n)])[bounds]
-                    hashes = mix(np.repeat(hashes, n) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            for first, end, hashes, bounds in _elements(batch.column(1), rules):
                 rows = len(bounds) - 1
                 cell = np.repeat(np.arange(rows), np.diff(bounds)) * PARITY_BITS + (mix(hashes) % np.uint64(PARITY_BITS)).astype(np.int64)
                 odd = (np.bincount(cell, minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
                 words = pa.array(np.packbits(odd).view(np.int64))
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITY_BITS // 64)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists, parity], names=["content", "shingles", "parity"])
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds).astype(np.int32)), parity], names=["content", "text", "size", "parity"])
+
+    return texts.select("content", "text").mapInArrow(run, "content binary, text string, size int, parity array<long>")
+
+
+def _sets(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """(content, shingles array<long>) of (content, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, hashes, bounds in _elements(batch.column(1), rules):
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], names=["content", "shingles"])
 
-    return docs.select("content", "text").mapInArrow(run, "content binary, shingles array<long>, parity array<long>")
+    return texts.select("content", "text").mapInArrow(run, "content binary, shingles array<long>")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(content, own): how many shingles a content shares with no other; contents without any are left out."""
-    owners = sets.select("content", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("owner")).where("n = 1")
-    return owners.groupBy(F.col("owner").alias("content")).agg(F.count(F.lit(1)).alias("own"))
+def _apart(x: str, y: str) -> Column:
+    """In how many bits two parities differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
-    """(a, b): all pairs of different components that may be similar enough, by prefix and position.
+def _may_be_near(apart: Column, sizes: Column, rules: NearRules) -> Column:
+    """Whether two sets of so many elements in all may be similar enough."""
+    return apart <= (1 - rules.similarity) / (1 + rules.similarity) * sizes + 1e-9
+
+
+def _prefix_pairs(sets: DataFrame, marks: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b): all pairs of different components that may be similar enough, by prefix, position and parity.
 
     Shingles are put in order, rare ones first. Two sets that are similar enough have their first common shingle
     so early in both that what follows can still make up the overlap: sets meet only where they
-    share such a shingle, which for copies of one text are those that few copies have. Parities that
-    differ in too many bits rule out most of the rest. Both filters are exact.
+    share such a shingle, which for copies of one text are those that few copies have. Both filters are exact.
     """
     tokens = sets.select("content", F.explode("shingles").alias("s"))
-    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("s", "k")
-    ranked = tokens.join(often, F.col("s") == F.col("k")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
-    size = F.size("t")
-    early = ranked.select("content", size.alias("size"), F.posexplode(F.slice("t", 1, size - F.ceil(rules.similarity * size - 1e-9).cast("int") + 1)).alias("place", "x"))
-    bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_BITS // 64)]
-    marks = sets.select(F.col("content").alias("c"), *bits)
-    early = early.where("x.n > 1").join(labels, F.col("content") == F.col("node")).join(marks, F.col("content") == F.col("c"))
-    early = early.select("content", "root", "size", "place", F.col("x.s").alias("s"), *[f"p{i}" for i in range(PARITY_BITS // 64)])
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("s", "k")
+    shared = tokens.join(often, F.col("s") == F.col("k")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t"))
+    marked = shared.join(marks.select(F.col("content").alias("c"), "size", "parity"), F.col("content") == F.col("c")).join(labels, F.col("content") == F.col("node"))
+    # shingles of this set alone come first in its order and meet nothing
+    alone = F.col("size") - F.size("t")
+    reach = F.col("size") - F.ceil(rules.similarity * F.col("size") - 1e-9).cast("int") + 1 - alone
+    early = marked.where(reach > 0).select("content", "root", "size", "parity", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), reach)).alias("place", "x"))
+    early = early.select("content", "root", "size", "parity", (F.col("alone") + F.col("place")).alias("place"), F.col("x.s").alias("s"))
     x, y = early.alias("x"), early.alias("y")
-    follow = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
-    enough = follow >= rules.similarity / (1 + rules.similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    apart = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_BITS // 64)), F.lit(0))
-    near = apart <= (1 - 2 * rules.similarity / (1 + rules.similarity)) * (F.col("x.size") + F.col("y.size")) + 1e-9
-    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.content") > F.col("y.content")) & enough & near
+    sizes = F.col("x.size") + F.col("y.size")
+    enough = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= rules.similarity / (1 + rules.similarity) * sizes - 1e-9
+    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.content") > F.col("y.content")) & enough & _may_be_near(_apart("x.parity", "y.parity"), sizes, rules)
     return x.join(y, meet).select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
 
 
@@ -302,28 +323,39 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
 
 def content_roots(spark: SparkSession, docs: DataFrame, rules: NearRules) -> DataFrame:
     """(node, root) of all contents that share a bucket with another, from (content, text)."""
-    signed, signed_path = materialize(_bands(docs, rules), "bands")
-    members = signed.select(F.explode("bands").alias("key"), "content").distinct()
+    spent: list[str] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize(df, name)
+        spent.append(path)
+        return out
+
+    signed = written(_bands(docs, rules).groupBy("content").agg(F.any_value("bands").alias("bands")), "bands")
+    members = signed.select(F.explode("bands").alias("key"), "content")
     shared = members.groupBy("key").agg(F.min("content").alias("centre"), F.max("content").alias("high")).where("centre <> high").select(F.col("key").alias("k"), "centre")
-    first = members.join(shared, F.col("key") == F.col("k")).select("key", "content", "centre")
-    first, rest_path = materialize(first, "buckets")
-    discard(spark, signed_path)
+    # groups are written before they are joined: Spark splits a hot key's rows only between plain exchanges
+    first, rest_path = materialize(members.join(written(shared, "shared"), F.col("key") == F.col("k")).select("key", "content", "centre"), "buckets")
     rest = first.select("key", "content")
     needed = rest.select(F.col("content").alias("c")).distinct()
-    texts = docs.join(needed, F.col("content") == F.col("c"), "left_semi").groupBy("content").agg(F.any_value("text").alias("text"))
-    texts, texts_path = materialize(texts, "texts")
+    one_text = docs.groupBy("content").agg(F.any_value("text").alias("text"))
+    texts = written(_sketched(one_text.join(needed, F.col("content") == F.col("c"), "left_semi"), rules), "texts")
+    marks = texts.select("content", "size", "parity")
     labels, labels_path = materialize(texts.select(F.col("content").alias("node"), F.col("content").alias("root")), "labels")
-    spent: list[str] = []
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) that may be similar enough, for each a the NEAREST ones; an a has at most one b by band."""
+        ends = [marks.select(F.col("content").alias(f"c{x}"), F.col("size").alias(f"s{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
+        held = pairs.distinct().join(ends[0], F.col("a") == F.col("ca")).join(ends[1], F.col("b") == F.col("cb"))
+        sizes = F.col("sa") + F.col("sb")
+        held = held.withColumn("apart", _apart("pa", "pb")).where(_may_be_near(F.col("apart"), sizes, rules))
+        best = F.slice(F.sort_array(F.collect_list(F.struct((F.col("apart") / sizes).alias("far"), "b"))), 1, NEAREST)
+        return held.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
 
     def verify(pairs: DataFrame) -> tuple[DataFrame, int]:
-        """Pairs whose texts are similar enough, and their number; in small batches, since each row holds two texts."""
+        """Pairs whose texts are similar enough, and their number."""
+        pairs = written(pairs, "pairs")
         held = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-        before = spark.conf.get(BATCH)
-        spark.conf.set(BATCH, "500")
-        try:
-            links, path, (n, _) = _counted(_verified(held, rules), "links", "a", "b")
-        finally:
-            spark.conf.set(BATCH, before)
+        links, path, (n, _) = _counted(_verified(held, rules), "links", "a", "b")
         spent.append(path)
         return links, n
 
@@ -338,49 +370,31 @@ def content_roots(spark: SparkSession, docs: DataFrame, rules: NearRules) -> Dat
         discard(spark, path, labels_path)
         labels, labels_path = after, after_path
 
-    # each content against one centre: most copies are joined by this
-    pairs, path = materialize(first.where("content <> centre").groupBy(F.col("content").alias("a")).agg(F.min("centre").alias("b")), "pairs")
-    tried = pairs
-    spent.append(path)
-    links, n = verify(pairs)
-    if n:
-        merged(links)
-    sets = None
-    for turn in range(TRIES + 1):
+    links, n = verify(nearest(first.where("content <> centre").select(F.col("content").alias("a"), F.col("centre").alias("b"))))
+    for turn in range(ROUNDS + 1):
+        if n:
+            merged(links)
+        # what is left: buckets that still hold several components
         rows = rest.join(labels, F.col("content") == F.col("node")).select("key", "content", "root")
         by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select(F.col("key").alias("k"), "largest")
-        rows, path, (n, _) = _counted(rows.join(largest, F.col("key") == F.col("k")).drop("k"), "buckets", "key")
+        rows, path, (left, _) = _counted(rows.join(written(largest, "largest"), F.col("key") == F.col("k")).drop("k"), "buckets", "key")
         discard(spark, rest_path)
         rest, rest_path = rows.select("key", "content"), path
-        if not n:
+        if not left:
             break
-        if sets is None:
-            open_ones = rows.select(F.col("content").alias("c")).distinct()
-            sets, path = materialize(_sets(texts.join(open_ones, F.col("content") == F.col("c"), "left_semi"), rules), "sets")
-            own, own_path = materialize(_own_shingles(sets), "own")
-            spent += [path, own_path]
-        if turn < TRIES:
-            # each content outside of the largest component of its buckets against one member of that: first
-            # one with few shingles of its own, as what copies are made from has, then any
-            inside = rows.where("root = largest").join(own.withColumnRenamed("content", "c"), F.col("content") == F.col("c"), "left")
-            rank = F.coalesce("own", F.lit(0)) if turn == 0 else F.lit(0)
-            picked = F.min(F.struct(rank.alias("own"), F.xxhash64("content", F.lit(turn)).alias("h"), "content"))
-            centres = inside.groupBy("key").agg(picked.alias("m")).select(F.col("key").alias("k"), F.col("m.content").alias("centre"))
-            apart = rows.where("root <> largest").join(centres, F.col("key") == F.col("k"))
-            apart = apart.groupBy("content").agg(F.min(F.struct(F.xxhash64("content", "centre").alias("h"), "centre")).alias("m")).select("content", F.col("m.centre").alias("centre"))
-            pairs = apart.select(F.greatest("content", "centre").alias("a"), F.least("content", "centre").alias("b")).distinct()
-        else:
-            open_ones = rows.select(F.col("content").alias("c")).distinct()
-            pairs = _prefix_pairs(sets.join(open_ones, F.col("content") == F.col("c"), "left_semi"), labels, rules)
-        pairs, path, (n, _) = _counted(pairs.join(tried, ["a", "b"], "left_anti"), "pairs", "a")
-        spent.append(path)
-        tried = tried.unionByName(pairs)
-        if n:
-            links, n = verify(pairs)
+        if n and turn < ROUNDS:
+            inside = rows.where("root = largest").groupBy("key").agg(F.min_by("content", F.xxhash64("content", "key", F.lit(turn))).alias("b")).select(F.col("key").alias("k"), "b")
+            met = rows.where("root <> largest").join(written(inside, "inside"), F.col("key") == F.col("k")).select(F.col("content").alias("a"), "b")
+            links, n = verify(nearest(met))
+            continue
+        open_ones = rest.select(F.col("content").alias("c")).distinct()
+        sets = written(_sets(texts.join(open_ones, F.col("content") == F.col("c"), "left_semi"), rules), "sets")
+        links, n = verify(_prefix_pairs(sets, marks, labels, rules))
         if n:
             merged(links)
-    discard(spark, rest_path, texts_path, *spent)
+        break
+    discard(spark, rest_path, *spent)
     return labels
 
 
@@ -398,8 +412,8 @@ def classes(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), _content(text), F.col(f"`{text}`").alias("text"))
     roots = content_roots(docs.sparkSession, rows, rules)
     contents = rows.groupBy("content").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    labelled = _labelled(contents, roots)
-    by_root = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).withColumnRenamed("root", "r")
+    labelled, _ = materialize(_labelled(contents, roots), "labelled")
+    by_root, _ = materialize(labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).withColumnRenamed("root", "r"), "classes")
     by_content = labelled.join(by_root, F.col("root") == F.col("r")).select(F.col("content").alias("c"), "class_id", "class_size")
     return rows.select("id", "content").join(by_content, F.col("content") == F.col("c")).select(F.col("id").alias(id_col), "class_id", "class_size")
 
