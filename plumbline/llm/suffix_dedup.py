@@ -7,21 +7,22 @@ keep="first" those of windows that have an earlier occurrence.
 A suffix array of the whole corpus fits no machine, so windows are first dealt to groups within
 which all equal windows meet. A window's anchor is its k-gram of least hash (the leftmost, on ties); equal
 windows have equal anchors at equal places. The windows of one anchor form a run, one stretch of
-text. Runs are counted by hashes of 64 bits of the anchor and 64 of the stretch:
+text.
 
 1. Anchors that occur once hold nothing repeated; most of the corpus ends here, as hashes only.
-2. Stretches that occur twice or more are repeated as a whole.
-3. What is left are anchors with several stretches, at the edges of repeated passages. One
-   stretch of each kind is fetched and the stretches of an anchor go into one suffix order, cut at min_bytes, ties by
-   position. There the previous smaller position of a window is an earlier match of full length
-   exactly if it is the neighbour of the same factor: the longest previous factor reaches min_bytes. The
-   next smaller one from the other end gives later matches.
-
-An anchor with more than ``GROUP`` kinds is not put into one task: its windows are counted one by
-one, by 128-bit hashes, with partial sums.
+2. Equal stretches are counted by 128 bits of hash (64 of the anchor, 64 of the stretch): those that
+   occur twice or more are repeated as a whole, and one of them stands for all.
+3. What is left are anchors with several kinds of stretches, at the edges of repeated passages. The
+   stretches of an anchor go into one suffix order, cut at min_bytes. From its previous and next smaller
+   positions comes the array of longest previous factors; a window whose factor reaches min_bytes has an earlier
+   occurrence, and the place that the factor is from a later one.
+4. An anchor with more than ``GROUP`` kinds is split first, so that no task holds a hot one: its
+   windows are dealt by ranges of ``WIDTHS[0]`` places before the anchor, and a range by the bytes that all its windows
+   share. Equal windows still meet; steps 1 to 3 are repeated with these groups. A group that is still
+   too large is split by single places, where a group is one window.
 
 Positions are in UTF-8 bytes, and the order of occurrences is that of (text hash, place); of equal
-texts the document of least id is the first. Texts are named by a 64-bit hash and their length.
+texts the document of least id is the first. Texts are named by their MD5.
 
 Defined cases: a null text is the empty text; texts shorter than min_bytes lose nothing; repeated
 rows are copies of each other; an empty table gives an empty result; texts are taken whole; columns
@@ -35,24 +36,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, materialize
 from .wordarrays import mix, pieces, powers, window_minimum
 
 GRAM = 32
+#: Kinds of stretches of one anchor that one task orders; an anchor with more is split.
 GROUP = 2_000
+#: Places by which a group is split, then split again.
+WIDTHS = (12, 1)
 #: Bytes of stretches that are put in order at once.
 ORDER_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of many texts: (text, first window, last window, anchor hash); windows count from each text's start."""
+    """Runs of many texts: (text, first window, last window, anchor hash, place of the anchor), counted from each text's start."""
     n_grams, n = len(data) - gram + 1, len(data) - min_bytes + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none, none
+        return none, none, none, none, none
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
     hashes = mix((sums[gram:] - sums[:-gram]) * powers(n_grams, -1))
@@ -62,43 +66,68 @@ def anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int, gram: int = G
     text = np.repeat(np.arange(len(sizes)), sizes)[:n]
     starts = np.flatnonzero(np.arange(n) + min_bytes <= offsets[1:][text])
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none
     place, text = place[starts], text[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     base = offsets[text[first]]
-    return text[first], starts[first] - base, starts[last] - base, hashes[place[first]].view(np.int64)
+    return text[first], starts[first] - base, starts[last] - base, hashes[place[first]].view(np.int64), place[first] - base
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each of distinct values the index of the nearest smaller one before it, or -1."""
+    found = np.arange(-1, len(x) - 1)
+    open_ones = np.flatnonzero((found >= 0) & (x[found] > x))
+    while len(open_ones):  # what lies between a candidate and its own candidate is larger still
+        found[open_ones] = found[found[open_ones]]
+        at = found[open_ones]
+        open_ones = open_ones[(at >= 0) & (x[at] > x[open_ones])]
+    return found
 
 
-def repeated_in_groups(data: np.ndarray, bounds: np.ndarray, groups: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of stretches data[bounds[i]:bounds[i + 1]] in suffix order by group.
+def previous_factors(data: np.ndarray, bounds: np.ndarray, groups: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factors, cut at min_bytes, of the windows of stretches data[bounds[i]:bounds[i + 1]], by group.
 
-    Returns (start in data, has an earlier match of the group, has a later one) of each window that has a match.
+    Returns (start in data, length of the longest earlier match in the group, its start in data or -1), by start.
     """
-    padded = np.concatenate([data, np.zeros(min_bytes + 8, np.uint8)])
+    padded = np.concatenate([data, np.zeros(2 * min_bytes + 8, np.uint8)])
     n = len(data)
-    rank = np.zeros(n + min_bytes, np.uint64)
+    word = np.zeros(n + min_bytes, np.uint64)
     for j in range(8):
-        rank |= padded[j : j + n + min_bytes].astype(np.uint64) << np.uint64(56 - 8 * j)
-    rank = np.unique(rank, return_inverse=True)[1]
+        word |= padded[j : j + n + min_bytes].astype(np.uint64) << np.uint64(56 - 8 * j)
+    ranks = [(8, np.unique(word, return_inverse=True)[1])]
     length = 8
     while length < min_bytes:  # ranks by the first `length` bytes, doubled, the last step as far as needed
         step = min(length, min_bytes - length)
+        rank = ranks[-1][1]
         pairs = (rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)) | rank[step:].astype(np.uint64)
-        rank = np.unique(pairs, return_inverse=True)[1]
         length += step
+        ranks.append((length, np.unique(pairs, return_inverse=True)[1]))
+    rank = ranks[-1][1]
     stretch = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = np.flatnonzero(np.arange(n) + min_bytes <= bounds[1:][stretch])
     group = groups[stretch[starts]]
     order = np.lexsort((starts, rank[starts], group))
-    place = starts[order]
-    same = np.zeros(len(place) + 1, bool)
-    same[1:-1] = (rank[place][1:] == rank[place][:-1]) & (group[order][1:] == group[order][:-1])
-    earlier, later = same[:-1], same[1:]
-    some = earlier | later
-    return place[some], earlier[some], later[some]
+    place, group = starts[order], group[order]
+    best, source = np.zeros(len(place), np.int64), np.full(len(place), -1)
+    for found in (previous_smaller(place), len(place) - 1 - previous_smaller(place[::-1])[::-1]):
+        some = np.flatnonzero((found >= 0) & (found < len(place)))
+        some = some[group[found[some]] == group[some]]
+        a, b = place[some], place[found[some]]
+        same = np.zeros(len(some), np.int64)
+        for length, by in reversed(ranks):  # common bytes, by halves; what is asked beyond a stretch is cut below
+            fits = np.flatnonzero(same + length <= min_bytes)
+            fits = fits[by[a[fits] + same[fits]] == by[b[fits] + same[fits]]]
+            same[fits] += length
+        differ = word[np.minimum(a + same, n)] ^ word[np.minimum(b + same, n)]
+        tail = sum((differ >> np.uint64(64 - 8 * j) == 0).astype(np.int64) for j in range(1, 8))
+        same = np.minimum(same + np.where(same < min_bytes, tail, 0), min_bytes)
+        better = same > best[some]
+        best[some[better]], source[some[better]] = same[better], b[better]
+    back = np.argsort(place)
+    return place[back], best[back], source[back]
 
 
 def _runs(docs: DataFrame, min_bytes: int) -> DataFrame:
@@ -110,7 +139,7 @@ def _runs(docs: DataFrame, min_bytes: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for at, end, data, offsets in pieces(batch.column(2)):
-                text, low, high, anchor = anchors(data, offsets, min_bytes)
+                text, low, high, anchor, _ = anchors(data, offsets, min_bytes)
                 if not len(text):
                     continue
                 view = memoryview(np.ascontiguousarray(data))
@@ -121,7 +150,7 @@ def _runs(docs: DataFrame, min_bytes: int) -> DataFrame:
                 columns = [pa.array(anchor), pa.array(np.array(stretch, np.uint64).view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "stretch", "t", "n", "low", "high"])
 
-    return docs.select("t", "n", "text").mapInArrow(run, "anchor long, stretch long, t long, n int, low int, high int")
+    return docs.select("t", "n", "text").mapInArrow(run, "anchor long, stretch long, t binary, n int, low int, high int")
 
 
 def _fetched(rows: DataFrame, min_bytes: int) -> DataFrame:
@@ -136,23 +165,25 @@ def _fetched(rows: DataFrame, min_bytes: int) -> DataFrame:
                     data = text.encode("utf-8", "surrogatepass")
                     out += [(w["anchor"], w["many"], w["own"], t, n, w["low"], data[w["low"] : w["high"] + min_bytes]) for w in wanted]
                 columns = list(zip(*out)) or [()] * 7
-                types = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                types = (pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["anchor", "many", "own", "t", "n", "low", "body"])
 
-    return rows.select("t", "n", "d", "wanted").mapInArrow(run, "anchor long, many boolean, own boolean, t long, n int, low int, body binary")
+    return rows.select("t", "n", "d", "wanted").mapInArrow(run, "anchor long, many boolean, own boolean, t binary, n int, low int, body binary")
 
 
 def _ordered(stretches: DataFrame, min_bytes: int) -> DataFrame:
-    """(t, n, low, high, later) of repeated windows among stretches of equal anchors, by suffix order."""
+    """(t, n, low, high, later) of repeated windows among stretches of equal anchors, by longest previous factors."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         anchor = table["anchor"].to_numpy()
         bodies = table["body"].to_pylist()
         data = np.frombuffer(b"".join(bodies), np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-        place, earlier, _ = repeated_in_groups(data, bounds, np.unique(anchor, return_inverse=True)[1], min_bytes)
-        order = np.argsort(place)
-        place, earlier = place[order], earlier[order]
+        place, factor, source = previous_factors(data, bounds, np.unique(anchor, return_inverse=True)[1], min_bytes)
+        earlier = factor >= min_bytes
+        some = earlier.copy()
+        some[np.searchsorted(place, source[earlier])] = True  # has a later occurrence
+        place, earlier = place[some], earlier[some]
         which = np.searchsorted(bounds, place, "right") - 1
         own = table["own"].to_numpy(zero_copy_only=False)[which]
         place, earlier, which = place[own], earlier[own], which[own]
@@ -188,28 +219,40 @@ def _ordered(stretches: DataFrame, min_bytes: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     ordered = stretches.repartition("anchor").sortWithinPartitions("anchor", "t", "n", "low")
-    return ordered.select("anchor", "own", "t", "n", "low", "body").mapInArrow(run, "t long, n int, low int, high int, later boolean")
+    return ordered.select("anchor", "own", "t", "n", "low", "body").mapInArrow(run, "t binary, n int, low int, high int, later boolean")
 
 
-def _one_by_one(stretches: DataFrame, min_bytes: int) -> DataFrame:
-    """The same as _ordered, for anchors of any number of stretches."""
+def _split(stretches: DataFrame, width: int, min_bytes: int) -> DataFrame:
+    """(anchor, stretch, own, t, n, low, high, body): the stretches cut by ranges of width places before the anchor.
+
+    The new anchor is a hash of the old one, the range and the bytes that every window of the range has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        signed = lambda *parts: xxhash.xxh3_64_intdigest(b"".join(parts)) - (1 << 63)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
-                part = whole.slice(at, 200).to_pydict()
-                rows = [(digest(body[i : i + min_bytes]), own, t, n, low + i) for own, t, n, low, body in zip(part["own"], part["t"], part["n"], part["low"], part["body"]) for i in range(len(body) - min_bytes + 1)]
-                columns = list(zip(*rows)) or [()] * 5
-                types = (pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["w", "own", "t", "n", "low"])
-
-    windows = stretches.select("own", "t", "n", "low", "body").mapInArrow(run, "w binary, own boolean, t long, n int, low int")
-    place = F.struct("t", "n", "low")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c >= 2").select(F.col("w").alias("k"), "first")
-    return windows.where("own").join(twice, F.col("w") == F.col("k")).select("t", "n", "low", F.col("low").alias("high"), (place != F.col("first")).alias("later"))
+                part = whole.slice(at, 200)
+                bodies = part.column(4).to_pylist()
+                offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+                places = anchors(np.frombuffer(b"".join(bodies), np.uint8), offsets, min_bytes)[4].tolist()  # one run a stretch
+                out = []
+                for own, t, n, low, body, place in zip(*[c.to_pylist() for c in part.columns], places):
+                    least = place - (len(body) - min_bytes)  # places before the anchor of the last window, of the first: place
+                    gram = body[place : place + GRAM]
+                    for j in range(least // width, place // width + 1):
+                        first, last = max(least, j * width), min(place, j * width + width - 1)
+                        core = body[place - j * width : place + min_bytes - (j * width + width - 1)]
+                        piece = body[place - last : place - first + min_bytes]
+                        key = f"{j}:{len(core)}:".encode()
+                        out.append((signed(key, gram, core), signed(f"{first}:{last}:".encode(), piece), own, t, n, low + place - last, low + place - first, piece))
+                columns = list(zip(*out)) or [()] * 8
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["anchor", "stretch", "own", "t", "n", "low", "high", "body"])
+
+    return stretches.select("own", "t", "n", "low", "body").mapInArrow(run, "anchor long, stretch long, own boolean, t binary, n int, low int, high int, body binary")
 
 
 def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP, order: bool = True) -> DataFrame:
@@ -219,31 +262,50 @@ def repeats(docs: DataFrame, min_bytes: int = 200, group: int = GROUP, order: bo
     order it is only right for runs that are in one stretch throughout, and less is fetched.
     """
     spark = docs.sparkSession
+    spent: list[str] = []
+    place = F.struct("t", "n", "low", "high")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        # both sides of a join and its result are written: Spark splits a hot key's rows only between plain exchanges
+        out, path = materialize(df, name)
+        spent.append(path)
+        return out
+
+    def counted(pieces: DataFrame, copies: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of pieces (anchor, stretch, t, n, low, high): the kinds; runs that are repeated as a whole; anchors of several kinds."""
+        kinds = written(pieces.groupBy("anchor", "stretch").agg(F.sum(copies).alias("c"), F.min(place).alias("first")), "kinds")
+        twice = kinds.where("c >= 2").select(F.col("anchor").alias("ka"), F.col("stretch").alias("ks"), "first")
+        whole = pieces.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("stretch") == F.col("ks")))
+        mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1")).where("m >= 2" if order else "m >= 2 and c1 = 1")
+        return kinds, whole, written(mixed.select(F.col("anchor").alias("ka"), (F.col("m") > group).alias("many")), "mixed")
+
     runs, runs_path = materialize(_runs(docs.where(F.col("n") >= min_bytes).select("t", "n", F.col("d.text").alias("text")), min_bytes), "runs")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("anchor")
     again, again_path = materialize(again, "anchors")
-    # both sides and the result are written: Spark splits a hot anchor's rows only in a join of plain exchanges
     several, several_path = materialize(runs.join(again, "anchor", "left_semi"), "several")
     discard(spark, runs_path, again_path)
     # copies of a text have equal rows, which are one row from here on
-    same = several.groupBy("anchor", "stretch", "t", "n", "low", "high").agg(F.count(F.lit(1)).alias("copies"))
-    same, same_path = materialize(same, "again")
+    same = written(several.groupBy("anchor", "stretch", "t", "n", "low", "high").agg(F.count(F.lit(1)).alias("copies")), "again")
     discard(spark, several_path)
-    kinds = same.groupBy("anchor", "stretch").agg(F.sum("copies").alias("c"), F.min(F.struct("t", "n", "low", "high")).alias("first"))
-    kinds, kinds_path = materialize(kinds, "kinds")
-    twice = kinds.where("c >= 2").select(F.col("anchor").alias("ka"), F.col("stretch").alias("ks"), "first")
-    place = F.struct("t", "n", "low", "high")
-    whole = same.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("stretch") == F.col("ks"))).select("t", "n", "low", "high", (place != F.col("first")).alias("later"))
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1")).where("m >= 2" if order else "m >= 2 and c1 = 1").select(F.col("anchor").alias("ka"), (F.col("m") > group).alias("many"))
-    mixed, mixed_path = materialize(mixed, "mixed")
+    kinds, whole, mixed = counted(same, F.col("copies"))
+    found = whole.select("t", "n", "low", "high", (place != F.col("first")).alias("later"))
     wanted = kinds.join(mixed, F.col("anchor") == F.col("ka")).select("first.*", "anchor", "many", (F.lit(True) if order else F.col("c") == 1).alias("own"))
     wanted = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("anchor", "many", "own", "low", "high")).alias("wanted")).select(F.col("t").alias("wt"), F.col("n").alias("wn"), "wanted")
     held = docs.join(wanted, (F.col("t") == F.col("wt")) & (F.col("n") == F.col("wn")))
-    stretches, stretches_path = materialize(_fetched(held, min_bytes).dropDuplicates(["t", "n", "low", "anchor"]), "stretches")
-    edges = _ordered(stretches.where("not many"), min_bytes).unionByName(_one_by_one(stretches.where("many"), min_bytes))
-    found = whole.unionByName(edges).groupBy("t", "n").agg(F.collect_list(F.struct("low", "high", "later")).alias("runs"))
-    out, _ = materialize(found, "repeats")
-    discard(spark, same_path, kinds_path, mixed_path, stretches_path)
+    stretches = written(_fetched(held, min_bytes).dropDuplicates(["t", "n", "low", "anchor"]), "stretches")
+    for width in (*WIDTHS, None):
+        found = found.unionByName(_ordered(stretches.where("not many"), min_bytes))
+        stretches = stretches.where("many")
+        if width is None or stretches.isEmpty():
+            break
+        pieces = written(_split(stretches, width, min_bytes), "pieces")
+        kinds, whole, mixed = counted(pieces, F.lit(1))
+        found = found.unionByName(whole.where("own").select("t", "n", "low", "high", (place != F.col("first")).alias("later")))
+        one = kinds.join(mixed, F.col("anchor") == F.col("ka")).select(F.col("anchor").alias("oa"), F.col("stretch").alias("os"), "many", "c", "first")
+        one = pieces.join(written(one, "one"), (F.col("anchor") == F.col("oa")) & (F.col("stretch") == F.col("os"))).where(place == F.col("first"))
+        stretches = written(one.select("anchor", "many", (F.col("own") & (F.lit(True) if order else F.col("c") == 1)).alias("own"), "t", "n", "low", "body"), "stretches")
+    out, _ = materialize(found.groupBy("t", "n").agg(F.collect_list(F.struct("low", "high", "later")).alias("runs")), "repeats")
+    discard(spark, *spent)
     return out
 
 
@@ -266,7 +328,7 @@ def strip_repeats(docs: DataFrame, min_bytes: int = 200, keep: str = "none", id_
     if keep not in ("none", "first"):
         raise ValueError(keep)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), body.alias("text")).alias("d"), F.xxhash64(body).alias("t"), F.octet_length(body).alias("n"))
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), body.alias("text")).alias("d"), F.unhex(F.md5(body.cast("binary"))).alias("t"), F.octet_length(body).alias("n"))
     found = repeats(rows, min_bytes, group, keep == "first").select(F.col("t").alias("rt"), F.col("n").alias("rn"), "runs")
     joined = rows.join(found, (F.col("t") == F.col("rt")) & (F.col("n") == F.col("rn")), "left")
     if keep == "first":
