@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType
 
-MAX_COLUMNS = 40
 #: Distinct counts in one aggregate make Spark repeat each row for each of them.
 AT_ONCE = 8
 _NOT_KEYS = (ArrayType, MapType, StructType, BinaryType, VariantType)
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, row_count, distinct_count, null_count, could_be_key of up to MAX_COLUMNS columns.
+    """column_name, row_count, distinct_count, null_count, could_be_key of all columns that can be compared.
 
     A column could be a key if it has no null and as many values as there are rows, of which there are some.
     """
-    names = [c for c in columns or df.columns if not isinstance(df.schema[c].dataType, _NOT_KEYS)][:MAX_COLUMNS]
+    names = [c for c in columns or df.columns if not isinstance(df.schema[c].dataType, _NOT_KEYS)]
     out = None
     for at in range(0, len(names), AT_ONCE):
         some = names[at : at + AT_ONCE]

@@ -29,7 +29,7 @@ def screen(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], key
         raise ValueError("there are no tables")
     spark = next(iter([*source.values(), *target.values()])).sparkSession
     told: list[tuple[str, str, str]] = []
-    prints: list[DataFrame] = []
+    prints: list[tuple[DataFrame, DataFrame]] = []
     for name in sorted({*source, *target}):
         if name not in target:
             told.append((name, "not comparable", "only on source"))
@@ -46,16 +46,40 @@ def screen(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], key
                 if not set(columns) - set(keys[name]):
                     told.append((name, "not comparable", "no comparable columns"))
                     continue
-                a, b = (fingerprint(side[name], columns, name, profile, algorithm) for side in (source, target))
-                prints.append(a.alias("a").crossJoin(b.alias("b")).select(F.col("a.table_name"), F.when(F.struct("a.*") == F.struct("b.*"), "same").otherwise("differs").alias("state"), F.lit("").alias("reason")))
+                prints.append(tuple(fingerprint(side[name], columns, name, profile, algorithm) for side in (source, target)))
             except Exception as e:  # noqa: BLE001  what can't be read is reported, not fatal
                 told.append((name, "not comparable", f"could not be read: {type(e).__name__}"))
     result = spark.createDataFrame(told, "table_name string, state string, reason string")
-    for p in prints:
-        result = result.unionByName(p)
+    if prints:
+        a, b = (union([p[i] for p in prints]) for i in (0, 1))
+        same = (F.col("a.row_count") == F.col("b.row_count")) & (F.col("a.xor_hash") == F.col("b.xor_hash")) & (F.col("a.sum_hash") == F.col("b.sum_hash"))
+        compared = a.alias("a").join(b.alias("b"), F.col("a.table_name") == F.col("b.table_name"))
+        result = result.unionByName(compared.select("a.table_name", F.when(same, "same").otherwise("differs").alias("state"), F.lit("").alias("reason")))
     return result
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    """All of them, as a balanced tree: hundreds of tables don't nest hundreds deep."""
+    while len(frames) > 1:
+        frames = [a.unionByName(b) for a, b in zip(frames[::2], frames[1::2])] + frames[len(frames) // 2 * 2 :]
+    return frames[0]
+
+
+def screened(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]], sizes: Mapping[str, int] | None = None, max_bytes: int | None = None) -> list[tuple[str, str, str]]:
+    """The rows of screen, by name. A table that fails while it is read takes only itself down: then each is asked alone."""
+    try:
+        return sorted(map(tuple, screen(source, target, keys, sizes, max_bytes).collect()))  # a row a table
+    except Exception:  # noqa: BLE001  which table it was, is found out below
+        rows = []
+        for name in sorted({*source, *target}):
+            pick = lambda side: {name: side[name]} if name in side else {}
+            try:
+                rows += map(tuple, screen(pick(source), pick(target), keys, sizes, max_bytes).collect())
+            except Exception as e:  # noqa: BLE001
+                rows.append((name, "not comparable", f"could not be read: {type(e).__name__}"))
+        return rows
+
+
 def scan_summary(screened: DataFrame) -> DataFrame:
     """How many tables are comparable, differ, aren't comparable, were skipped."""
     return screened.agg(

@@ -62,7 +62,11 @@ def column_sql(c: Column) -> str:
 
 
 def create_table(table: Table) -> str:
-    return f"CREATE TABLE {qualify(*table.name.split('.'))} (\n  " + ",\n  ".join(column_sql(c) for c in table.columns) + "\n)"
+    lines = [column_sql(c) for c in table.columns]
+    if table.primary_key:
+        lines.append(f"PRIMARY KEY ({', '.join(map(quote, table.primary_key))})")
+    lines += [f"CONSTRAINT {quote(k.name)} UNIQUE ({', '.join(map(quote, k.columns))})" for k in table.uniques if not k.filter]
+    return f"CREATE TABLE {qualify(*table.name.split('.'))} (\n  " + ",\n  ".join(lines) + "\n)"
 
 
 def column_change(target: Column | None, source: Column | None) -> str:
@@ -114,6 +118,8 @@ def _table_steps(out: Script, kind: str, name: str, source: Table | None, target
         out.steps.append(Step("DropTables", diff.name, f"DROP TABLE {name}", True))
     elif kind == "Create":
         out.steps.append(Step("CreateTables", diff.name, create_table(source)))
+        out.refusals += [f"{diff.name}.{k.name}: an index has no counterpart" for k in (*source.indexes, *[u for u in source.uniques if u.filter])]
+        out.refusals += [f"{diff.name}.{c.name}: an identity has no counterpart" for c in source.columns if c.identity]
         for fk in source.foreign_keys:
             out.steps.append(Step("AddForeignKeys", diff.name, _add_key(name, fk)))
         for check in source.checks:
@@ -142,16 +148,20 @@ def _child_step(out: Script, name: str, source: Table, target: Table, child: Obj
         loss = narrowing(old, new)
         if loss.kind != "None":
             out.warnings.append(loss.why)
-        out.steps.append(Step("AlterColumns", source.name, f"ALTER TABLE {name} ALTER COLUMN {quote(child.name)} TYPE {new.type}", loss.kind == "Narrows"))
-    elif change == "default":
+        alter = f"ALTER TABLE {name} ALTER COLUMN {quote(child.name)} "
+        if old.type != new.type or old.collation != new.collation:
+            out.steps.append(Step("AlterColumns", source.name, f"{alter}TYPE {new.type}" + (f" COLLATE {new.collation}" if new.collation else ""), loss.kind == "Narrows"))
+        if old.nullable != new.nullable:
+            out.steps.append(Step("AlterColumns", source.name, f"{alter}{'DROP' if new.nullable else 'SET'} NOT NULL"))
+    if change in ("alter", "default") and old.default != new.default:
         out.steps.append(Step("AlterColumns", source.name, f"ALTER TABLE {name} ALTER COLUMN {quote(child.name)} " + (f"SET DEFAULT {new.default}" if new.default else "DROP DEFAULT")))
-    elif change != "none":
+    elif change in ("computed", "rebuild"):
         out.refusals.append(f"{source.name}.{child.name}: the table has to be rebuilt for this ({change})")
 
 
 def _add_key(name: str, fk) -> str:
     columns, parents = (", ".join(map(quote, c)) for c in (fk.columns, fk.parent_columns))
-    return f"ALTER TABLE {name} ADD CONSTRAINT {quote(fk.name)} FOREIGN KEY ({columns}) REFERENCES {qualify(*fk.parent.split('.'))} ({parents})"
+    return f"ALTER TABLE {name} ADD CONSTRAINT {quote(fk.name)} FOREIGN KEY ({columns}) REFERENCES {qualify(*fk.parent.split('.'))} ({parents})" + "".join(f" ON {event} {action}" for event, action in (("DELETE", fk.on_delete), ("UPDATE", fk.on_update)) if action.upper() != "NO ACTION")
 
 
 def statements(change_set: DataFrame, table: str, keys: list[str]) -> DataFrame:

@@ -153,10 +153,6 @@ def cmp_topn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _URGENT = "o_orderpriority = '1-URGENT'"
-_CALLS = "LEN(o_orderpriority) > 5 AND CHARINDEX('LOW', o_orderpriority) > 0 AND YEAR(o_orderdate) >= 1995 AND ISNULL(o_custkey, 0) % 2 = 0"
-_CALLS_SQL = "length(rtrim(o_orderpriority)) > 5 and strpos(o_orderpriority, 'LOW') > 0 and year(o_orderdate) >= 1995 and coalesce(o_custkey, 0) % 2 = 0"
-
-
 @query(classified_sql("orders", "left", f"(select * from orders where {_URGENT})", f"(select * from {perturbed_sql('orders')} where {_URGENT})"))
 def cmp_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = sides(spark, sf_dir, "orders")
@@ -164,11 +160,56 @@ def cmp_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.classify(source, target, request("orders", mode="Filter", predicate=predicate)).drop("target_hash")
 
 
-@query(classified_sql("orders", "left", f"(select * from orders where {_CALLS_SQL})", f"(select * from {perturbed_sql('orders')} where {_CALLS_SQL})"))
-def cmp_filter_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = sides(spark, sf_dir, "orders")
-    predicate = to_spark(_CALLS, source.columns)
-    return compare.classify(source, target, request("orders", mode="Filter", predicate=predicate)).drop("target_hash")
+#: By group of functions: a table, a filter, and what it means in SQL.
+FILTERS = {
+    "functions": (
+        "orders",
+        "LEN(o_orderpriority) >= 5 AND CHARINDEX('LOW', o_orderpriority) > 0 AND YEAR(o_orderdate) >= 1995 AND ISNULL(o_custkey, 0) % 2 = 0",
+        "length(rtrim(o_orderpriority)) >= 5 and strpos(o_orderpriority, 'LOW') > 0 and year(o_orderdate) >= 1995 and coalesce(o_custkey, 0) % 2 = 0",
+    ),
+    "text": (
+        "orders",
+        "SUBSTRING(o_orderpriority, 0, 3) = N'2-' OR STUFF(o_orderpriority, 1, 2, 'x') = 'xLOW' OR REVERSE(RIGHT(o_orderpriority, 3)) = 'TNE' AND LEFT(UPPER(o_orderpriority), 1) = '1'",
+        "substr(o_orderpriority, 1, 2) = '2-' or 'x' || substr(o_orderpriority, 3) = 'xLOW' or reverse(right(o_orderpriority, 3)) = 'TNE' and left(upper(o_orderpriority), 1) = '1'",
+    ),
+    "joined_text": (
+        "customer",
+        "CONCAT(LOWER(c_mktsegment), NULL, '!') LIKE 'b%!' OR CONCAT_WS('-', c_mktsegment, 'x') = REPLACE('MACHINERY+x', '+', '-') AND PATINDEX('%[5-9]', c_name) > 0 AND REPLICATE('ab', 2) = 'abab' AND LEN(SPACE(2)) = 0",
+        "lower(c_mktsegment) || '!' like 'b%!' or c_mktsegment || '-x' = replace('MACHINERY+x', '+', '-') and regexp_matches(c_name, '[5-9]$')",
+    ),
+    "codes": (
+        "nation",
+        "ASCII(n_name) >= UNICODE(N'I') AND NCHAR(300) > CHAR(65) AND CHAR(ASCII(n_name)) = LEFT(n_name, 1) AND DATALENGTH(TRIM(n_name)) > 4",
+        "ascii(n_name) >= 73 and octet_length(encode(trim(n_name))) > 4",
+    ),
+    "numbers": (
+        "orders",
+        "o_orderkey / 7 % 2 = 1 AND ABS(o_totalprice) > SQUARE(20) AND FLOOR(o_totalprice) <> CEILING(o_totalprice) AND SIGN(o_custkey) >= 0 AND ROUND(o_totalprice, 0) > SQRT(100) AND POWER(2, 3) = 8",
+        "(o_orderkey // 7) % 2 = 1 and abs(o_totalprice) > 400 and floor(o_totalprice) <> ceil(o_totalprice) and o_custkey >= 0 and round(o_totalprice, 0) > 10",
+    ),
+    "logarithms": (
+        "part",
+        "LOG10(p_retailprice) > 3 AND LOG(p_retailprice) > LOG(1024, 2) - 3 AND EXP(0) = 1 AND p_partkey % 3 <> 1",
+        "log10(p_retailprice) > 3 and ln(p_retailprice) > 7 and p_partkey % 3 <> 1",
+    ),
+    "dates_and_nulls": (
+        "orders",
+        "MONTH(o_orderdate) BETWEEN 3 AND 6 AND DAY(o_orderdate) / 10 = 1 AND COALESCE(NULLIF(o_orderstatus, 'F'), 'none') IN ('none', 'O') AND IIF(o_custkey > 10, 1, 0) = 1",
+        "month(o_orderdate) between 3 and 6 and day(o_orderdate) // 10 = 1 and coalesce(nullif(o_orderstatus, 'F'), 'none') in ('none', 'O') and o_custkey > 10",
+    ),
+}
+
+
+def _filtered(name: str, table: str, predicate: str, sql: str) -> None:
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, target = sides(spark, sf_dir, table)
+        return compare.classify(source, target, request(table, mode="Filter", predicate=to_spark(predicate, source.dtypes))).drop("target_hash")
+
+    query(classified_sql(table, "left", f"(select * from {table} where {sql})", f"(select * from {perturbed_sql(table)} where {sql})"), f"cmp_filter_{name}")(rows)
+
+
+for _name, (_of, _predicate, _meaning) in FILTERS.items():
+    _filtered(_name, _of, _predicate, _meaning)
 
 
 _OPEN = "o_orderstatus <> 'Z'"
@@ -339,25 +380,26 @@ def _keys_of(*names: str) -> dict[str, list[ForeignKey]]:
     return {n: [ForeignKey(k, (c,), p, (pc,)) for k, c, p, pc in FOREIGN_KEYS[n]] for n in names}
 
 
-@query("select c.* from customer c where c_custkey in (select o_custkey from orders where o_orderkey % 20 = 0) and not (c_custkey % 3 = 0)")
+@query("select c.* from customer c where c_custkey in (select o_custkey from orders) and not (c_custkey % 3 = 0)")
 def closure_orders_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders are written; the target lacks two thirds of the customers."""
     orders, customer, nation = (read(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    found = closure.close({"orders": orders.where("o_orderkey % 20 = 0")}, {"customer": customer, "nation": nation}, {"customer": customer.where("c_custkey % 3 = 0"), "nation": nation}, _keys_of("orders", "customer"), max_rows=10_000_000)
+    found = closure.close({"orders": orders}, {"customer": customer, "nation": nation}, {"customer": customer.where("c_custkey % 3 = 0"), "nation": nation}, _keys_of("orders", "customer"), max_rows=1 << 60)
     return found.added["customer"]
 
 
-_CHAIN = """with o as (select * from orders where o_orderkey in (select l_orderkey from lineitem where l_linenumber = 1 and l_orderkey % 50 = 1) and o_orderkey % 2 = 1),
+_CHAIN = """with o as (select * from orders where o_orderkey in (select l_orderkey from lineitem) and o_orderkey % 2 = 1),
 c as (select * from customer where c_custkey in (select o_custkey from o)), n as (select * from nation where n_nationkey in (select c_nationkey from c))
 select 'orders' as table_name, count(*) as n from o union all select 'customer', count(*) from c union all select 'nation', count(*) from n union all select 'region', count(*) from region where r_regionkey in (select n_regionkey from n)"""
 
 
 @query(_CHAIN)
 def closure_lineitem_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lineitems are written; the target has every second order and nothing above it."""
     source = {n: read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
-    planned = {"lineitem": source["lineitem"].where("l_linenumber = 1 and l_orderkey % 50 = 1")}
     target = {"orders": source["orders"].where("o_orderkey % 2 = 0")} | {n: source[n].limit(0) for n in ("customer", "nation", "region")}
     links = _keys_of("orders", "customer", "nation") | {"lineitem": _keys_of("lineitem")["lineitem"][:1]}
-    found = closure.close(planned, source, target, links, max_rows=10_000_000)
+    found = closure.close({"lineitem": source["lineitem"]}, source, target, links, max_rows=1 << 60)
     out = None
     for name, rows in found.added.items():
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
@@ -452,6 +494,36 @@ def drift_moved_settled_appeared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_counts(drift.drift(reviewed, now))
 
 
+@query(
+    f"""with a as (select c.* from ({classified_sql("conversations")}) c where classification <> 'Same'),
+b as (select * from a where turn % 3 <> 0) select 'conversations' as table_name, 0::bigint as moved, (select count(*) from a) - (select count(*) from b) as settled, 0::bigint as appeared"""
+)
+def drift_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.classify(*sides(spark, sf_dir, "conversations"), request("conversations"))
+    reviewed, now = (drift.snapshot(rows, "conversations", list(TABLES["conversations"].key)) for rows in (found, found.where("turn % 3 <> 0")))
+    return drift.drift_counts(drift.drift(reviewed, now))
+
+
+@query("select c_custkey, c_nationkey, c_mktsegment from customer where c_custkey % 3 = 0 or c_custkey in (select o_custkey from orders)")
+def apply_parents_converges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of the target once all orders can be written: its own, and those that orders need."""
+    orders, customer, nation = (read(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    target = customer.where("c_custkey % 3 = 0")
+    found = closure.close({"orders": orders}, {"customer": customer, "nation": nation}, {"customer": target, "nation": nation}, _keys_of("orders", "customer"), max_rows=1 << 60)
+    there = target.join(found.added["customer"].select("c_custkey"), "c_custkey", "left_semi")
+    needed = compare.changes(found.added["customer"], there, request("customer"))
+    return compare.apply_changes(target, needed, ["c_custkey"]).select("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+@query("select 'INSERT INTO `customer` (`c_custkey`, `c_mktsegment`) VALUES (' || c_custkey || ', ''' || c_mktsegment || ''')' as sql from customer where c_custkey % 3 <> 0 and c_custkey in (select o_custkey from orders)")
+def script_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements by which the customers that all orders need, and the target lacks, are written."""
+    orders, customer = (read(spark, sf_dir, n).drop("c_name", "c_nationkey", "c_acctbal") for n in ("orders", "customer"))
+    found = closure.close({"orders": orders}, {"customer": customer}, {"customer": customer.where("c_custkey % 3 = 0")}, _keys_of("orders"), max_rows=1 << 60)
+    missing = compare.changes(found.added["customer"], customer.limit(0), request("customer"))
+    return script.statements(missing, "customer", ["c_custkey"]).select("sql")
+
+
 @query("select o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders")
 def apply_orders_converges(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = sides(spark, sf_dir, "orders")

@@ -43,6 +43,7 @@ class CompareSession:
     selections: list[selection.Selection] = field(default_factory=list)
     exclusions: list[selection.Exclusion] = field(default_factory=list)
     reviewed: DataFrame | None = None
+    script_bytes: int = 0
 
     def __post_init__(self) -> None:
         self.source_schema: Schema = self.source.schema()
@@ -80,7 +81,8 @@ class CompareSession:
         """State and reason of every table."""
         sides = [{n: d.table(n) for n in d.names()} for d in (self.source, self.target)]
         every = {n: self.key(n) for s in sides for n in s}
-        return screen.screen(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes)
+        rows = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes)
+        return self.source.spark.createDataFrame(rows, "table_name string, state string, reason string")
 
     def request(self, table: str, choice: TableChoice | None = None) -> compare.CompareRequest:
         """The checked request for a table: key, columns, collations, filter."""
@@ -97,7 +99,7 @@ class CompareSession:
             raise NotComparable("; ".join(f"{f.column}: {f.why}" for f in found if f.risk == "Blocking"))
         if not resolved.can_compare:
             raise NotComparable(f"{table} has no comparable columns")
-        predicate = to_spark(choice.predicate, [*key, *resolved.compared]) if choice.mode == "Filter" else None
+        predicate = to_spark(choice.predicate, [x for x in self.source.table(table).dtypes if x[0] in {*key, *resolved.compared}]) if choice.mode == "Filter" else None
         return compare.CompareRequest(key, resolved.compared, choice.mode, choice.top, predicate)
 
     def compare(self, table: str, choice: TableChoice | None = None) -> dict:
@@ -175,7 +177,10 @@ class CompareSession:
             for name in order:
                 if name in changes:
                     self._data_steps(made, phase, name, changes[name])
-        self.reviewed = self._row_state(parents)
+        # written, so that what was reviewed stays as it was
+        state = self._row_state(parents)
+        self.reviewed = state if state is None else materialize(state, "reviewed")
+        self.script_bytes = len(made.text().encode())
         return made
 
     def _data_steps(self, made: script.Script, phase: str, name: str, changes: DataFrame) -> None:
@@ -210,8 +215,10 @@ class CompareSession:
     def drift(self) -> list[str]:
         """What has changed since the last script, by table."""
         now = self.row_state()
-        if self.reviewed is None or now is None:
+        if now is None:
             return []
+        if self.reviewed is None:
+            return ["no script of this plan was reviewed"]
         rows = drift.drift_counts(drift.drift(self.reviewed, now)).collect()
         return [f"{r['table_name']}: {r['moved']} moved, {r['settled']} settled, {r['appeared']} appeared" for r in rows]
 
@@ -219,7 +226,7 @@ class CompareSession:
         """Applies the change sets to versioned tables if nothing forbids it; returns what blocked or what was done."""
         changes, needed, parents = self.closed_changes()
         destructive = tuple(f"deletes in {n}" for n, c in changes.items() if not c.where("op = 'Delete'").isEmpty())
-        request = guards.ApplyRequest(self.target_schema.name, environment, confirmation, acknowledged, destructive, tuple(self.drift()), len(changes))
+        request = guards.ApplyRequest(self.target_schema.name, environment, confirmation, acknowledged, destructive, tuple(self.drift()), len(changes), self.script_bytes)
         blocked = guards.blockers(request, self.limits)
         if parents.stopped:
             blocked += parents.warnings

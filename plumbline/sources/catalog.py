@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Check, ForeignKey, Key, Module, Schema, Table
+from ..model import Check, ForeignKey, Key, Module, Schema, Sequence, Table, TypeSpec, UserType, fold
 
 SIDECAR = "constraints.json"
 
@@ -44,7 +46,7 @@ class ParquetDatabase:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def constraints(self) -> dict:
-        """{table: {primary_key, uniques, foreign_keys, checks, not_null}} of the file, or as given."""
+        """Of the file, or as given: {table: {primary_key, uniques, indexes, foreign_keys, checks, not_null, columns}}, and modules, types, sequences."""
         if self._given is not None:
             return self._given
         fs, where = _files(self.spark, f"{self.path}/{SIDECAR}")
@@ -60,8 +62,11 @@ class ParquetDatabase:
                 tables.append(_with_constraints(Table.of(name, self.table(name).schema), held.get(name, {})))
             except Exception as e:  # noqa: BLE001  reported, not fatal
                 warnings.append(f"{name} could not be read: {type(e).__name__}")
-        modules = tuple(Module(m["kind"], m["name"], m["body"], tuple(m.get("depends_on", ()))) for m in held.get("modules", []))
-        return Schema(self.path.rpartition("/")[2], tuple(tables), modules, warnings=tuple(warnings))
+        known = {fold(m["name"]) for m in held.get("modules", [])} | {fold(t.name) for t in tables}
+        modules = tuple(Module(m["kind"], m["name"], m["body"], _depends(m, known), m.get("table")) for m in held.get("modules", []))
+        types = tuple(UserType(t["name"], t["kind"], t["shape"]) for t in held.get("types", []))
+        sequences = tuple(Sequence(q["name"], TypeSpec(q.get("type", "bigint")), *[q.get(k, d) for k, d in (("start", 1), ("increment", 1), ("minimum", None), ("maximum", None), ("cycles", False))]) for q in held.get("sequences", []))
+        return Schema(self.path.rpartition("/")[2], tuple(tables), modules, types, sequences, tuple(warnings))
 
     def bytes_of(self, name: str) -> int:
         fs, where = _files(self.spark, f"{self.path}/{name}.parquet")
@@ -84,17 +89,33 @@ class ParquetDatabase:
             return {"name": self.path, "tables": 0, "modules": 0, "bytes": 0, "problem": str(e).splitlines()[0]}
 
 
-def _with_constraints(table: Table, held: dict) -> Table:
-    from dataclasses import replace
+def _depends(module: dict, known: set[str]) -> tuple[str, ...]:
+    """What a module needs: as stated, and every known name that its text has after FROM or JOIN."""
+    stated = dict.fromkeys(module.get("depends_on", ()))
+    for name in re.findall(r"(?i)\b(?:from|join)\s+([\w.`\[\]\"]+)", module["body"]):
+        plain = re.sub(r"[`\[\]\"]", "", name)
+        if fold(plain) in known and fold(plain) != fold(module["name"]) and fold(plain) not in {fold(n) for n in stated}:
+            stated[plain] = None
+    return tuple(stated)
+
+
+def _keys(held: list[dict], unique: bool) -> tuple[Key, ...]:
+    return tuple(Key(k["name"], tuple(k["columns"]), k.get("unique", unique), k.get("filter"), tuple(k.get("included", ()))) for k in held)
 
+
+def _with_constraints(table: Table, held: dict) -> Table:
     never_null = {c.lower() for c in [*held.get("not_null", []), *held.get("primary_key", [])]}
+    more = {fold(n): v for n, v in held.get("columns", {}).items()}  # identity, computed, default, collation, generated
     return replace(
         table,
-        columns=tuple(replace(c, nullable=c.nullable and c.name.lower() not in never_null) for c in table.columns),
+        columns=tuple(replace(c, nullable=c.nullable and c.name.lower() not in never_null, **more.get(fold(c.name), {})) for c in table.columns),
         primary_key=tuple(held.get("primary_key", ())),
-        uniques=tuple(Key(k["name"], tuple(k["columns"])) for k in held.get("uniques", [])),
-        foreign_keys=tuple(ForeignKey(k["name"], tuple(k["columns"]), k["parent"], tuple(k["parent_columns"])) for k in held.get("foreign_keys", [])),
-        checks=tuple(Check(c["name"], c["expression"]) for c in held.get("checks", [])),
+        uniques=_keys(held.get("uniques", []), True),
+        indexes=_keys(held.get("indexes", []), False),
+        foreign_keys=tuple(
+            ForeignKey(k["name"], tuple(k["columns"]), k["parent"], tuple(k["parent_columns"]), k.get("on_delete", "NO ACTION"), k.get("on_update", "NO ACTION"), k.get("disabled", False)) for k in held.get("foreign_keys", [])
+        ),
+        checks=tuple(Check(c["name"], c["expression"], tuple(c.get("columns", ()))) for c in held.get("checks", [])),
     )
 
 

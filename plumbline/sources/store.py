@@ -1,4 +1,4 @@
-"""The shared folder for tables written between steps: the one in spark.checkpoint.dir, else our own."""
+"""The shared folder for tables written between steps: the one in spark.checkpoint.dir; without it, on one machine only, our own."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ DEFAULT_DIR = "/tmp/checkpoints/plumbline"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or DEFAULT_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

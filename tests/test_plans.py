@@ -148,3 +148,22 @@ def test_collations():
     assert [(f.column, f.risk) for f in found] == [("k", "Blocking"), ("a", "Advisory"), ("b", "Blocking")] and collation.blocked(found)
     assert collation.findings(make(None, "x", "UNICODE"), make("UNICODE", "X", "unicode"), ("k",), ("a", "b")) == []
     assert collation.findings(make("lost", None, None), make("UNICODE", None, None), ("k",), ())[0].risk == "Blocking"
+
+
+def test_tables_are_created_with_their_keys_and_altered_in_every_respect():
+    from plumbline.model import Column, ForeignKey, Key, Schema, Table, TypeSpec
+    from plumbline.plans import schema_diff, script, selection
+
+    text, number = TypeSpec("string"), TypeSpec("int")
+    fk = ForeignKey("to_p", ("p",), "p", ("id",), "CASCADE", "SET NULL")
+    made = Table("n", (Column("id", number, False), Column("p", number)), ("id",), (Key("once", ("p",)),), (Key("ix", ("p",), False),), (fk,))
+    new = Table("t", (Column("a", text, False, default="'x'"), Column("b", text, collation="UNICODE_CI"), Column("c", number)))
+    old = Table("t", (Column("a", text), Column("b", text), Column("c", number, False)))
+    source, target = Schema("s", (made, new)), Schema("t", (old,))
+    diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
+    plan = selection.compile_plan(selection.schema_units(diffs), [selection.Selection(selection.DATABASE)], [])
+    out = script.schema_script(plan, source, target, diffs)
+    sql = out.text()
+    for part in ("PRIMARY KEY (`id`)", "CONSTRAINT `once` UNIQUE (`p`)", "REFERENCES `p` (`id`) ON DELETE CASCADE ON UPDATE SET NULL", "ALTER COLUMN `a` SET NOT NULL", "ALTER COLUMN `a` SET DEFAULT 'x'", "ALTER COLUMN `b` TYPE STRING COLLATE UNICODE_CI", "ALTER COLUMN `c` DROP NOT NULL", "n.ix: an index has no counterpart"):
+        assert part in sql, (part, sql)
+    assert "ALTER COLUMN `a` TYPE" not in sql

@@ -89,3 +89,34 @@ def test_schema_script_creates_what_is_needed(spark, session, tmp_path):
     session = CompareSession(*[ParquetDatabase(spark, f"{tmp_path}/{s}") for s in ("source", "target")])
     session.selections.append(Selection("Table", "site"))
     assert {s.object for s in session.script().steps if s.phase == "CreateTables"} == {"site", "branch"}
+
+
+def test_what_was_reviewed_stays_as_it_was(spark, session, tmp_path):
+    session.select("category", TableChoice())
+    tables = {"category": SnapshotTable(spark, f"{tmp_path}/versions/category")}
+    tables["category"].write(session.target.table("category"))
+    assert "reviewed" in str(session.apply(tables, "Dev", "target", True)["why"])  # no script yet
+    session.script()
+    rows = [(1, "Retail"), (2, "Wholesale"), (4, "Gone"), (9, "New")]
+    spark.createDataFrame(rows, "id int, name string").write.mode("overwrite").parquet(f"{tmp_path}/target/category.parquet")
+    assert session.drift() == ["category: 1 moved, 1 settled, 1 appeared"]
+    assert session.apply(tables, "Dev", "target", True)["outcome"] == "Blocked"
+    session.script()
+    session.limits = Limits(script_bytes=10)
+    assert any("larger than 10 bytes" in w for w in session.apply(tables, "Dev", "target", True)["why"])
+
+
+def test_drift_tells_keys_apart(spark):
+    from plumbline.operators import drift
+
+    rows = [("a, b", "c", "Update", "1"), ("a", "b, c", "Update", "2"), (None, "x", "Update", "3"), ("NULL", "x", "Update", "4")]
+    found = spark.createDataFrame(rows, "p string, q string, classification string, target_hash string")
+    state = drift.snapshot(found, "t", ["p", "q"])
+    assert drift.drift(state, state).collect() == []
+
+
+def test_a_table_that_fails_while_read_takes_only_itself_down(spark, session, tmp_path):
+    path = next((tmp_path / "source" / "company.parquet").glob("part-*"))
+    path.write_bytes(b"PAR1" + b"x" * 50 + b"PAR1")
+    states = {r.table_name: (r.state, r.reason) for r in session.scan().collect()}
+    assert states["category"][0] == "differs" and states["company"][0] == "not comparable"
