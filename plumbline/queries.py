@@ -189,8 +189,8 @@ FILTERS = {
     ),
     "logarithms": (
         "part",
-        "LOG10(p_retailprice) > 3 AND LOG(p_retailprice) > LOG(1024, 2) - 3 AND EXP(0) = 1 AND p_partkey % 3 <> 1",
-        "log10(p_retailprice) > 3 and ln(p_retailprice) > 7 and p_partkey % 3 <> 1",
+        "LOG10(p_retailprice) > 2.97 AND LOG(p_retailprice) > LOG(1024, 2) - 3.15 AND EXP(0) = 1 AND p_partkey % 3 <> 1",
+        "log10(p_retailprice) > 2.97 and ln(p_retailprice) > 6.85 and p_partkey % 3 <> 1",
     ),
     "dates_and_nulls": (
         "orders",
