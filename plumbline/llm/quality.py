@@ -1,10 +1,14 @@
 """Quality rules by distribution divergence, in DataFrame operations only.
 
-Every document gets a histogram of character classes and one of the common words of its language.
-Each is compared with its language's reference by the Jensen-Shannon distance (base 2, so 0 to 1).
-References are the mean of the normalised histograms of all documents of the language that reach
-the length guard; languages outside ``COMMON_WORDS``, null included, share one reference, so the
-reference table has five rows whatever the input.
+Every document gets a histogram of character classes and one of the common words of its language,
+found whatever their case and the punctuation beside them. Each is compared with its language's reference by
+the Jensen-Shannon distance (base 2, so 0 to 1), rounded to six digits.
+
+A reference can be given, so that no other row moves a verdict. Else it is, bin by bin, the median of
+the shares of all distinct texts of the language that pass the base rules and reach the length guard,
+in steps of 1 / ``STEPS``, divided by their sum. The median of steps is found by counting, so it
+is exact, the same in whatever order rows come, and of bounded size; neither copies nor a third of junk move it far.
+Languages outside ``COMMON_WORDS``, null included, share one reference, so there are five whatever the input.
 
 Defined cases: a null text is the empty text and fails the word-count rule; an empty table gives
 an empty result; repeated rows are judged alike and all returned; texts below ``guard_words``
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import NOT_SPACE, SPACE, let, whole, words_of
@@ -24,11 +28,14 @@ from .store import materialize
 
 # Common function words of four languages.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on", "are", "with", "be", "at"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
+    "en": "the of and to in a is that it was for on are with be at as by this from or an not have which but his they had were you all".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par avec sur pas au plus ce il sont ou aux se son cette ne sa mais".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre".split(),
 }
+#: Signs that part words when common ones are looked for.
+MARKS = ".,;:!?()\"'«»“”"
+STEPS = 10_000
 OTHER = "other"
 
 
@@ -67,23 +74,27 @@ def class_counts(text: Column) -> Column:
     return let(F.regexp_replace(text, "[a-z]+", ""), rest)
 
 
-def common_word_counts(words: Column, lang: Column) -> Column:
-    """Occurrences of each common word of the language, whatever its case, then of all other words."""
+def common_word_counts(text: Column, lang: Column) -> Column:
+    """Occurrences of each common word of the language, then of all other words."""
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     size = len(COMMON_WORDS["en"])
     chosen = F.coalesce(F.element_at(lists, lang), F.array_repeat(F.lit(""), size))
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
-    found = F.filter(F.transform(words, F.lower), lambda w: w.isin(*every))
-    joined = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
+    words = words_of(F.translate(F.lower(text), MARKS, " " * len(MARKS)))
+
+    def counts(w: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(*every)), "  "), F.lit(" "))
+
+        def count(padded: Column) -> Column:
+            def one(word: Column) -> Column:
+                gone = F.octet_length(padded) - F.octet_length(F.replace(padded, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
+                return F.when(word == "", F.lit(0)).otherwise((gone / (F.octet_length(word) + 2)).cast("int"))
 
-    def count(padded: Column) -> Column:
-        def one(word: Column) -> Column:
-            gone = F.octet_length(padded) - F.octet_length(F.replace(padded, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
-            return F.when(word == "", F.lit(0)).otherwise((gone / (F.octet_length(word) + 2)).cast("int"))
+            return F.transform(chosen, one)
 
-        return F.transform(chosen, one)
+        return let(let(padded, count), lambda c: F.concat(c, F.array(F.size(w) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
 
-    return let(let(joined, count), lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+    return let(words, counts)
 
 
 def shares(counts: Column) -> Column:
@@ -155,7 +166,7 @@ def repeated_window_words(words: Column) -> Column:
 
 
 def _measure(text: Column, lang: Column) -> Column:
-    """One struct with the base counts and both histograms; text is whole, lang the reference's name."""
+    """One struct with the base counts and both histograms as counts; text is whole, lang the reference's name."""
 
     def of(w: Column) -> Column:
         return F.struct(
@@ -164,30 +175,42 @@ def _measure(text: Column, lang: Column) -> Column:
             (F.length(text) - _length_without(text, "[#*$%&|<>]+")).cast("long").alias("n_symbols"),
             repeated_lines(text).cast("long").alias("n_dup_lines"),
             repeated_window_words(w).cast("long").alias("n_repeat_words"),
-            shares(class_counts(text)).alias("c"),
-            shares(common_word_counts(w, lang)).alias("w"),
+            class_counts(text).alias("c"),
+            common_word_counts(text, lang).alias("w"),
+            F.xxhash64(text).alias("h"),
         )
 
     return let(words_of(text), of)
 
 
-def _histograms(text: Column, lang: Column) -> Column:
-    """The part of _measure that references are made of."""
-    return let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), shares(class_counts(text)).alias("c"), shares(common_word_counts(w, lang)).alias("w")))
+def _base_failed(m: Column, rules: QualityRules) -> Column:
+    return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
 
 
 def references(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Mean histograms by language over all measured rows (``__l``, ``__m``) that reach the guard: at most five rows."""
-    sizes = {"c": 7, "w": len(COMMON_WORDS["en"]) + 1}
-    mean = [F.array(*[F.avg(F.get(F.col(f"__m.{k}"), F.lit(i))) for i in range(n)]).alias(f"ref_{k}") for k, n in sizes.items()]
-    return rows.where(F.col("__m.n_words") >= rules.guard_words).groupBy(F.col("__l").alias("ref_lang")).agg(*mean)
+    """``ref_lang``, ``ref_c``, ``ref_w``: median histograms by language over measured rows (``__l``, ``__m``), at most five rows."""
+    m = F.col("__m")
+
+    def steps(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+        return let(total, lambda n: F.transform(counts, lambda x: F.when(n > 0, F.floor((x.cast("long") * (2 * STEPS) + n) / (2 * n)).cast("int")).otherwise(F.lit(0))))
+
+    good = rows.where((m["n_words"] >= rules.guard_words) & ~_base_failed(m, rules))
+    texts = good.groupBy(F.col("__l").alias("l"), m["h"].alias("h")).agg(F.any_value(F.concat(steps(m["c"]), steps(m["w"]))).alias("q"))
+    counted = texts.select("l", F.posexplode("q").alias("i", "q")).groupBy("l", "i", "q").agg(F.count(F.lit(1)).alias("n"))
+    bins = Window.partitionBy("l", "i")
+    counted = counted.select("l", "i", "q", F.sum("n").over(bins.orderBy("q")).alias("upto"), F.sum("n").over(bins).alias("all"))
+    medians = counted.where(2 * F.col("upto") >= F.col("all")).groupBy("l", "i").agg(F.min("q").alias("q"))
+    listed = medians.groupBy("l").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+    n_classes, n_words = 7, len(COMMON_WORDS["en"]) + 1
+    return listed.select(F.col("l").alias("ref_lang"), shares(F.slice("q", 1, n_classes)).alias("ref_c"), shares(F.slice("q", n_classes + 1, n_words)).alias("ref_w"))
 
 
 def _verdict(m: Column, rules: QualityRules) -> Column:
     """Base counts, distances from ``ref_c`` and ``ref_w``, base_failed and kept."""
     guarded = m["n_words"] >= rules.guard_words
-    far = {k: F.when(guarded, F.coalesce(js_distance(m[k], F.col(f"ref_{k}")), F.lit(0.0))).otherwise(F.lit(0.0)) for k in "cw"}
-    failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+    far = {k: F.when(guarded, F.coalesce(F.round(js_distance(shares(m[k]), F.col(f"ref_{k}")), 6), F.lit(0.0))).otherwise(F.lit(0.0)) for k in "cw"}
+    failed = _base_failed(m, rules)
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     judged = F.struct(*counts, failed.alias("base_failed"), far["c"].alias("class_distance"), far["w"].alias("word_distance"))
 
@@ -198,27 +221,26 @@ def _verdict(m: Column, rules: QualityRules) -> Column:
     return let(judged, kept)
 
 
-def assess(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def _measured(docs: DataFrame, keep: list[str], rules: QualityRules, text: str, lang: str, refs: DataFrame | None) -> DataFrame:
+    """Columns keep as c0, c1 .., ``__m``, ``ref_c``, ``ref_w``. Measures are written once: the references need all before the first verdict."""
+    t, of = whole(F.col(f"`{text}`")), language(F.col(f"`{lang}`"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], of.alias("__l"), _measure(t, of).alias("__m"))
+    if refs is None:
+        rows, _ = materialize(rows, "quality")
+        refs, _ = materialize(references(rows, rules), "references")
+    return rows.join(F.broadcast(refs), F.col("__l") == F.col("ref_lang"), "left")
+
+
+def assess(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text: str = "text", lang: str = "lang", refs: DataFrame | None = None) -> DataFrame:
     """One row a document: id_col, the base counts, both distances, base_failed and kept.
 
-    Measures, without the texts, are written once: the references need all of them before the first verdict.
+    refs: references (``ref_lang``, ``ref_c``, ``ref_w``: shares) that hold instead of those of docs.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text}`")).alias("__t"), language(F.col(f"`{lang}`")).alias("__l"))
-    rows, _ = materialize(rows.select("id", "__l", _measure(F.col("__t"), F.col("__l")).alias("__m")), "quality")
-    rows = rows.join(F.broadcast(references(rows, rules)), F.col("__l") == F.col("ref_lang"), "left")
-    return rows.select("id", _verdict(F.col("__m"), rules).alias("q")).select(F.col("id").alias(id_col), "q.*")
+    rows = _measured(docs, [id_col], rules, text, lang, refs)
+    return rows.select("c0", _verdict(F.col("__m"), rules).alias("q")).select(F.col("c0").alias(id_col), "q.*")
 
 
-def keep(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that pass, with all their columns unchanged.
-
-    Texts are read twice, once for the references, so that none has to be written in between.
-    """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own)], whole(F.col(f"`{text}`")).alias("__t"), language(F.col(f"`{lang}`")).alias("__l"))
-    hist = rows.select("__l", _histograms(F.col("__t"), F.col("__l")).alias("__m"))
-    refs, _ = materialize(references(hist, rules), "references")
-    rows = rows.join(F.broadcast(refs), F.col("__l") == F.col("ref_lang"), "left")
-    # one expression, so that a filter pushed about evaluates it once
-    rows = rows.where(let(_measure(F.col("__t"), F.col("__l")), lambda m: _verdict(m, rules)["kept"]))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def keep(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang", refs: DataFrame | None = None) -> DataFrame:
+    """The documents that pass, with all their columns unchanged. refs: as for assess."""
+    rows = _measured(docs, docs.columns, rules, text, lang, refs)
+    return rows.where(_verdict(F.col("__m"), rules)["kept"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
