@@ -7,9 +7,10 @@ those of the benchmark. Around every hit the match is extended: each run of ``wi
 covers the hit is held against the benchmark's own runs, word by word, and the runs found are
 united. An item shorter than a window is one window by itself, found by the hashes of as many words.
 
-The benchmark side is broadcast in blocks of proven size: its bytes are summed first, and items are
-dealt to as many blocks as keep each under ``BLOCK_BYTES``; documents pass by each block in turn, in
-one stage. Documents are never shuffled.
+The benchmark side is broadcast in blocks of proven size: its words are counted first, and items are
+dealt to as many blocks as keep each, as built, under ``BLOCK_BYTES`` (on average, and a single item is never cut). Documents
+pass by ``BLOCKS`` blocks in one stage; where there are more, what has been found is written and the next
+blocks follow, so that neither the driver nor a worker ever holds more. Documents are never shuffled.
 
 Defined cases: null texts have no words, are clean and, as items, match nothing; items without words
 match nothing; a null item_id counts as "null"; repeated items of one id count once; repeated
@@ -27,9 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import discard, materialize
 from .wordarrays import LOWER, grams, pieces, window_minimum, word_table, words_of
 
 BLOCK_BYTES = 32 << 20
+#: Blocks of one stage.
+BLOCKS = 4
+#: Of a built block: a word's hash, and the key, place and item of the run that begins with it.
+BYTES_A_WORD = 32
 
 
 @dataclass(frozen=True)
@@ -41,39 +47,47 @@ class WinnowRules:
 
 
 class Benchmark:
-    """One block: sorted fingerprints, and sorted hashes of all runs with their words and items."""
+    """One block: the hashes of all words, sorted fingerprints, and sorted hashes of all runs with their places and items."""
 
     def __init__(self, items: list[tuple[str, str]], rules: WinnowRules) -> None:
         self.rules = rules
         texts = pa.array([t for _, t in items], pa.large_string())
+        words: list[np.ndarray] = [np.empty(0, np.uint64)]
         runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         prints = []
+        base = 0
         for first, _, data, offsets in pieces(texts):
             _, _, hashes, bounds = words_of(LOWER[data], offsets, word_table("alnum"))
+            words.append(hashes)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 size = min(b - a, rules.window)
                 if not size:
                     continue
                 own = hashes[a:b]
-                runs.setdefault(size, []).append((grams(own, size), np.lib.stride_tricks.sliding_window_view(own, size), np.full(b - a - size + 1, first + i)))
+                n = b - a - size + 1
+                runs.setdefault(size, []).append((grams(own, size), np.arange(base + a, base + a + n, dtype=np.int32), np.full(n, first + i, np.int32)))
                 if size == rules.window:
                     prints.append(window_minimum(grams(own, rules.k), rules.window - rules.k + 1))
+            base += len(hashes)
+        self.words = np.concatenate(words)
         self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
         self.ids = [i for i, _ in items]
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size, found in runs.items():
-            keys, spelled, owner = (np.concatenate(x) for x in zip(*found))
+            keys, place, owner = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((owner, keys))
-            keys, spelled, owner = keys[order], spelled[order], owner[order]
-            unique, at = np.unique(keys, return_index=True)
-            self.runs[size] = (unique, spelled[at], np.append(at, len(keys)), owner)
+            self.runs[size] = keys[order], place[order], owner[order]
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays and ids."""
+        return self.words.nbytes + self.prints.nbytes + sum(a.nbytes for r in self.runs.values() for a in r) + sum(map(len, self.ids))
 
     def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, first words of matching runs, index of the run's entry), over words of many texts."""
+        """(size, first words of matching runs, index of the first entry of an equal run), over words of many texts."""
         out = []
         last = np.repeat(bounds[1:], np.diff(bounds))  # end of the text that a word is of
         k, window = self.rules.k, self.rules.window
-        for size, (keys, spelled, _, _) in self.runs.items():
+        for size, (keys, place, _) in self.runs.items():
             if len(hashes) < size:
                 continue
             if size == window:
@@ -81,16 +95,20 @@ class Benchmark:
             else:
                 starts = np.arange(len(hashes) - size + 1)
             starts = starts[starts + size <= last[starts]]
-            own = np.lib.stride_tricks.sliding_window_view(hashes, size)[starts]
             found = grams(hashes, size)[starts]
             at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             same = keys[at] == found
-            starts, at, own = starts[same], at[same], own[same]
-            same = (own == spelled[at]).all(axis=1)
+            starts, at = starts[same], at[same]
+            same = (hashes[starts[:, None] + np.arange(size)] == self.words[place[at][:, None] + np.arange(size)]).all(axis=1)
             if same.any():
                 out.append((size, starts[same], at[same]))
         return out
 
+    def owners(self, size: int, at: int) -> list[str]:
+        """Ids of the items that have the run of that entry."""
+        keys, _, owner = self.runs[size]
+        return [self.ids[o] for o in owner[at : np.searchsorted(keys, keys[at], "right")]]
+
     def _near(self, hashes: np.ndarray, k: int, window: int) -> np.ndarray:
         """Starts of the windows that cover a k-gram whose fingerprint the block has, if it is theirs."""
         kgrams = grams(hashes, k)
@@ -99,12 +117,12 @@ class Benchmark:
         return np.flatnonzero(self.prints[at] == least)
 
 
-def _blocks(items: DataFrame, id_col: str, text: str, rules: WinnowRules) -> list[Benchmark]:
-    rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    n = -(-size // BLOCK_BYTES)
-    own = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1)))
-    return [Benchmark([tuple(r) for r in rows.where(own == b).collect()], rules) for b in range(n)]
+def _items(items: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
+    """(i, t) of items with a text, and how many blocks they make."""
+    rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+    words = F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    size = rows.agg(F.coalesce(F.sum(words * BYTES_A_WORD + F.octet_length("i")), F.lit(0))).first()[0]
+    return rows, max(1, -(-size // BLOCK_BYTES))
 
 
 def _attach(docs: DataFrame, items: DataFrame, rules: WinnowRules, text: str, item_id: str, item_text: str, keep: list[str]) -> DataFrame:
@@ -113,8 +131,21 @@ def _attach(docs: DataFrame, items: DataFrame, rules: WinnowRules, text: str, it
     made = "array<struct<start:int,end:int>>"
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").cast("string").alias("__t"), F.lit(0).cast("long").alias("__n"), F.array().cast(made).alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, rules)] or [sc.broadcast(Benchmark([], rules))]
-    for block in blocks:
+    parts, n_blocks = _items(items, item_id, item_text)
+    own = F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks))
+    passed = None
+    for b in range(n_blocks):
+        if b and b % BLOCKS == 0:
+            after, path = materialize(rows, "passed")
+            for shared in held:
+                shared.destroy()
+            if passed:
+                discard(docs.sparkSession, passed)
+            rows, passed = after, path
+        if b % BLOCKS == 0:
+            held = []
+        block = sc.broadcast(Benchmark([tuple(r) for r in parts.where(own == b).collect()], rules))
+        held.append(block)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -136,9 +167,8 @@ def _run(block: Benchmark, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             np.add.at(marks, starts, 1)
             np.add.at(marks, starts + size, -1)
             doc = np.searchsorted(bounds, starts, "right") - 1
-            first_owner, owner = block.runs[size][2:]
             for d, a in np.unique(np.stack([doc, at]), axis=1).T:
-                owners.setdefault(int(d), set()).update(block.ids[o] for o in owner[first_owner[a] : first_owner[a + 1]])
+                owners.setdefault(int(d), set()).update(block.owners(size, a))
         hit = np.cumsum(marks[:-1]) > 0
         spans, ids = part.column(where["__spans"]).to_pylist(), part.column(where["__items"]).to_pylist()
         for d, found in owners.items():
