@@ -1,8 +1,10 @@
 """Token counts by a map-side two-tier lookup; no pre-token is ever shuffled.
 
 Tier one is a broadcast table of the lengths of frequent pre-tokens: keys joined in one buffer, one
-byte a length, ``TABLE_ENTRIES`` entries of at most ``KEY_LENGTH`` characters, so under 10 MB. It is
-fitted on about ``SAMPLE_ROWS`` sampled rows; it saves work and never changes a count. Tier two is
+byte a length, ``TABLE_ENTRIES`` entries of at most ``KEY_LENGTH`` characters, so under 10 MB. It comes from
+all documents: every task keeps a summary of ``SUMMARY`` counters of its rows (when it is full, the
+rarer half goes), sends its ``SENT`` most frequent, and these are added up. So what is frequent anywhere is
+known whatever the size, and what is shuffled is bounded by task. The table saves work and never changes a count. Tier two is
 each worker's cache of what it has encoded itself. Misses are encoded by the tokenizer library, a
 batch of distinct ones at a time.
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .bpe import read_file
 
-SAMPLE_ROWS = 4_000
 TABLE_ENTRIES = 65_536
+SUMMARY = 50_000
+SENT = 8_192
 KEY_LENGTH = 48
 CACHE_ENTRIES = 500_000
 #: How byte-level pre-tokenization splits a text (fixed value).
@@ -103,12 +106,9 @@ def _counter(key: str, spec, frequent) -> PieceCounter:
     return _counters[key]
 
 
-def frequent_table(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The most frequent pre-tokens of a sample of about sample_rows rows."""
-    total = docs.count()
-    if not total:
-        return []
-    rows = docs.select(F.col(f"`{text}`").alias("text")).sample(fraction=min(1.0, sample_rows / total), seed=7)
+def frequent_table(docs: DataFrame, text: str = "text", summary: int = SUMMARY, sent: int = SENT) -> list[str]:
+    """The most frequent pre-tokens of all texts, by bounded summaries of each task."""
+    rows = docs.select(F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -117,18 +117,21 @@ def frequent_table(docs: DataFrame, text: str = "text", sample_rows: int = SAMPL
         seen: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
-                seen.update(p for p in split(value.as_py() or "") if len(p) <= KEY_LENGTH and "\0" not in p)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+                seen.update(split(value.as_py() or ""))
+                if len(seen) > summary:
+                    seen = Counter(dict(seen.most_common(summary // 2)))
+        most = [(p, n) for p, n in seen.most_common(sent) if len(p) <= KEY_LENGTH and "\0" not in p]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["piece", "n"])
 
     counted = rows.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: id_col, n_bytes (UTF-8), n_tokens."""
     sc = docs.sparkSession.sparkContext
     spec = read_file(docs.sparkSession, tokenizer_path).decode()
-    common = frequent_table(docs, text, sample_rows)
+    common = frequent_table(docs, text)
     measured = PieceCounter(spec, ("", b""))
     lengths = [(p, n) for p in common for n in measured.count([p]) if 0 < n < 256]
     key, shared = uuid.uuid4().hex, sc.broadcast(spec)
