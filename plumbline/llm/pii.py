@@ -11,7 +11,8 @@ The weights are fitted here, once a driver process, by gradient ascent on the li
 generated labelled sentences (``EXAMPLES`` of them, seed fixed), with the forward-backward sums of the
 same lattice. They are broadcast: a few thousand numbers.
 
-Spans that the model adds never overlap base spans or each other. Offsets are code points, end
+A card number has to pass its check digit, whoever finds it; a secret's span is its value, without the name
+it is given to. Spans that the model adds never overlap base spans or each other. Offsets are code points, end
 exclusive.
 
 Defined cases: a null text is the empty text without spans (``redact`` keeps it null); texts are taken
@@ -35,7 +36,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the model adds to these.
 TYPES = (*BASE_KINDS, "secret", "iban", "ssn")
 OUT = "o"
-MAX_CHUNKS = 7
+#: An IBAN in groups of four has nine.
+MAX_CHUNKS = 9
 EXAMPLES = 400
 EPOCHS = 8
 
@@ -74,7 +76,7 @@ def base_spans(text: str) -> list[Span]:
             free = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(v) <= 3 and int(v or "0") <= 255 for v in [p.lstrip("0") for p in m[0].split(".")]):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -169,7 +171,7 @@ def span_features(text: str, chunks: list[tuple[int, int]], i: int, j: int) -> t
         features.append(f"assigned={assigned}")
     plain = bool(_WORDLIKE.fullmatch(value)) and (value[1:].islower() or value.isupper() and len(value) < 12)
     if n_digits < 3 and "@" not in body:
-        announced = "own" if name == "secret" and assigned else "before" if cue == "secret" and text[:start].rstrip(" \"'`").endswith(("=", ":")) else "loose" if cue == "secret" else "none"
+        announced = "own" if name == "secret" and assigned else "before" if cue == "secret" and text[max(0, start - 8) : start].rstrip(" \"'`").endswith(("=", ":")) else "loose" if cue == "secret" else "none"
         features += [f"few={announced}:{plain}", f"few={announced}:{j - i}", f"words={min(len(body.split()), 4)}:{plain}", f"equals={'=' in body}:{plain}", f"pieces={len([x for x in _SPLIT.split(body) if x]) - (announced == 'own')}"]
     features.append(f"humps={min(humps, 5)}:{min(len(value) // 8, 4)}")
     if prefix:
@@ -180,7 +182,7 @@ def span_features(text: str, chunks: list[tuple[int, int]], i: int, j: int) -> t
         features.append(f"pairs={len(_DIGITS.findall(body)) >= 4 and 9 <= n_digits <= 11 and body[0] == '0'}")
     if 13 <= n_digits <= 19 and not letters - body.count(" ") - body.count("-"):
         features.append(f"luhn={luhn(''.join(_DIGITS.findall(body)))}")
-    if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{2,4}){3,8}", body):
+    if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{1,4}){3,8}", body):
         features.append("shape of iban")
     if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", body):
         features.append("shape of ssn")
@@ -201,6 +203,11 @@ def lattice(text: str, chunks: list[tuple[int, int]]) -> list[list[tuple[int, tu
 Weights = dict[str, dict[str, float]]
 
 
+def _fits(kind: str, features: tuple[str, ...]) -> bool:
+    """A card number passes the check of its last digit; anything may be of the other types."""
+    return kind != "card" or "luhn=True" in features
+
+
 def _score(weights: dict[str, float], features: tuple[str, ...]) -> float:
     return sum([weights[f] for f in features if f in weights])
 
@@ -223,7 +230,8 @@ def viterbi(weights: Weights, segments: list[list[tuple[int, tuple[str, ...]]]])
         offer(j - 1, OUT, 0.0)
         for i, features in segments[j]:
             for kind in TYPES:
-                offer(i, kind, _score(weights[kind], features))
+                if _fits(kind, features):
+                    offer(i, kind, _score(weights[kind], features))
         best.append(here)
     found, j, kind = [], n, max(best[n], key=lambda k: best[n][k][0])
     while j:
@@ -246,7 +254,7 @@ def expectations(weights: Weights, segments: list[list[tuple[int, tuple[str, ...
     step = {(a, b): weights[a].get(b, 0.0) for a in kinds for b in kinds}
     arcs = [[] for _ in range(n + 1)]  # by end: (start, kind, score, features)
     for j in range(1, n + 1):
-        arcs[j] = [(j - 1, OUT, 0.0, ())] + [(i, k, _score(weights[k], f), f) for i, f in segments[j] for k in TYPES]
+        arcs[j] = [(j - 1, OUT, 0.0, ())] + [(i, k, _score(weights[k], f), f) for i, f in segments[j] for k in TYPES if _fits(k, f)]
     ahead: list[dict[str, float]] = [{OUT: 0.0}] + [{} for _ in range(n)]
     into: list[dict[str, float]] = [{} for _ in range(n + 1)]  # sums over what may come before a kind
     for j in range(1, n + 1):
@@ -319,7 +327,8 @@ def _entity(rnd: random.Random, kind: str) -> str:
             ])
         return rnd.choice([f"AKIA{pick(upper + '0123456789', 15)}7", f"{name}={value}", f'{name} = "{value}"', f"{name}: {value}", f"sk-{pick(upper + lower + '0123456789', 31)}4", f"ghp_{pick(upper + lower + '0123456789', 34)}9"])
     if kind == "iban":
-        return f"{pick(upper, 2)}{digits(2)}" + rnd.choice(["", " "]).join(["", *[digits(4) for _ in range(rnd.randint(3, 5))]])
+        number = pick(upper, 2) + digits(2) + pick(rnd.choice(["0123456789", "0123456789", "0123456789" + upper]), rnd.randint(11, 28))
+        return number if rnd.random() < 0.5 else " ".join(number[i : i + 4] for i in range(0, len(number), 4))
     return f"{digits(3)}-{digits(2)}-{digits(4)}"
 
 
@@ -429,10 +438,19 @@ def model_spans(text: str, weights: Weights) -> list[Span]:
             high += 1
         chunks = [m.span() for m in _CHUNK.finditer(text, low, high)]
         for i, j, kind in viterbi(weights, lattice(text, chunks)):
-            found.append((kind, *_trim(text, chunks[i][0], chunks[j - 1][1])))
+            found.append((kind, *value_of(text, kind, *_trim(text, chunks[i][0], chunks[j - 1][1]))))
     return found
 
 
+_NAMED = re.compile(r"""["'`]?[A-Za-z][\w-]*["'`]?\s*[=:]\s*["'`]*""")
+
+
+def value_of(text: str, kind: str, start: int, end: int) -> tuple[int, int]:
+    """The span of a secret without the name it is given to and its opening quote."""
+    named = _NAMED.match(text, start, end) if kind == "secret" else None
+    return (named.end(), end) if named and named.end() < end else (start, end)
+
+
 def all_spans(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by start, then kind in the order of TYPES."""
     base = base_spans(text)
