@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,30 +72,72 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _WORD = re.compile(r"[a-z]+")
 
 
+#: After so many tags whose quotes never end, > ends a tag even inside quotes: work stays linear on any input.
+OPEN_QUOTES = 16
+_PLAIN_TAG = re.compile(_TOKEN.pattern.rsplit("|<(/?)", 1)[0] + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S | re.I)
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match) of all markup, in order; without a match for what is unclosed at the end."""
+    end = html.rfind(">") + 1  # no tag ends beyond
+    at = odd = 0
+    pattern = _TOKEN
+    while m := pattern.search(html, at, end):
+        at = m.end()
+        if at == end < len(html) and m[3] is None and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not _ENDS.search(m[0])):
+            yield m.start(), len(html), None  # a comment or script that goes on
+            return
+        if m[3] is None and not m[1] and m[0][1] not in "!?":
+            odd += 1
+            if odd == OPEN_QUOTES:
+                pattern = _PLAIN_TAG
+        yield m.start(), at, m
+    if (opened := html.find("<!--", max(at, end))) >= 0:
+        yield opened, len(html), None
+
+
+_ENDS = re.compile(r"</(?:script|style)[^>]*+>\Z", re.I)
+
+
 class Block:
-    """Text between block boundaries: its path, whether a container drops it, whether it's in an article."""
+    """Text between block boundaries: number of its path, name of its element, whether a container drops it, whether it's in an article."""
+
+    __slots__ = ("path", "name", "text", "dropped", "inside", "linked", "links")
+
+    def __init__(self, path: int, name: str, text: str, dropped: bool, inside: bool, linked: bool, links: int) -> None:
+        self.path, self.name, self.text, self.dropped, self.inside, self.linked, self.links = path, name, text, dropped, inside, linked, links
+
+
+class Element:
+    """An open element. path numbers it by its names and marks from the top, block is the index of the nearest block on the stack, marked that of the nearest element marked by words."""
 
-    __slots__ = ("path", "text", "dropped", "inside", "linked", "links")
+    __slots__ = ("name", "path", "dropped", "inside", "link", "hard", "marked", "block")
 
-    def __init__(self, path: str, text: str, dropped: bool, inside: bool, linked: bool, links: int) -> None:
-        self.path, self.text, self.dropped, self.inside, self.linked, self.links = path, text, dropped, inside, linked, links
+    def __init__(self, name: str, path: int, dropped: bool, inside: bool, link: bool, hard: bool, marked: int, block: int) -> None:
+        self.name, self.path, self.dropped, self.inside, self.link, self.hard, self.marked, self.block = name, path, dropped, inside, link, hard, marked, block
 
 
-def parse(html: str) -> tuple[list[str | Block], bool]:
-    """(tag tokens as strings and blocks, in page order; whether there is an article or main element).
+def _code(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def parse(html: str) -> tuple[list[int | Block], bool]:
+    """(tag tokens as numbers and blocks, in page order; whether there is an article or main element).
 
     A word of a class, id or role drops no element that holds all articles and main elements of the
-    page or, where there are none, most of its text.
+    page or, where there are none, most of its text. Time and memory grow with the page, however it nests.
     """
     out, has_main, kept = _parse(html, frozenset())
     return _parse(html, kept)[:2] if kept else (out, has_main)
 
 
-def _parse(html: str, kept: frozenset[int]) -> tuple[list[str | Block], bool, frozenset[int]]:
+def _parse(html: str, kept: frozenset[int]) -> tuple[list[int | Block], bool, frozenset[int]]:
     """As parse, but words don't drop the elements numbered in kept; also the elements that they mustn't drop."""
-    out: list[str | Block] = []
-    stack: list[tuple] = [("", "", False, False, False, False, ())]  # name, path, dropped, inside, link, dropped not by words, elements marked by words
-    chars: Counter = Counter()  # text by marked element; -1 is all
+    out: list[int | Block] = []
+    stack = [Element("", 0, False, False, False, False, -1, 0)]
+    opened: Counter = Counter()  # open elements by name
+    parents = {-1: -1}  # marked elements, by the one around
+    chars: Counter = Counter()  # text by innermost marked element
     mains: Counter = Counter()
     links = 0
     text: list[str] = []
@@ -106,35 +149,42 @@ def _parse(html: str, kept: frozenset[int]) -> tuple[list[str | Block], bool, fr
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                _, path, dropped, inside, _, hard, marked = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
-                out.append(Block(path, joined, dropped, inside, not plain, links))
-                if not hard:
-                    for k in (-1, *marked):
-                        chars[k] += len(joined)
+                own = stack[stack[-1].block]
+                out.append(Block(own.path, own.name, joined, own.dropped, own.inside, not plain, links))
+                if not own.hard:
+                    chars[own.marked] += len(joined)
             text.clear()
         plain, links = False, 0
 
     def add(piece: str) -> None:
         nonlocal plain
-        if piece and not (stack[-1][2] and stack[-1][0] not in BLOCKS):
+        top = stack[-1]
+        if piece and not (top.dropped and top.name not in BLOCKS):
             text.append(piece)
-            if not plain and not stack[-1][4] and not piece.isspace():
+            if not plain and not top.link and not piece.isspace():
                 plain = True
 
+    def cut(size: int) -> None:
+        for gone in stack[size:]:
+            opened[gone.name] -= 1
+        del stack[size:]
+
     at = 0
-    for m in _TOKEN.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for start, end, m in _tags(html):
+        add(html[at:start])
+        at = end
+        name = m and m[3]
         if name is None:
             continue
         name = name.lower()
         if m[2]:
-            if any(s[0] == name for s in stack):
-                if name in BLOCKS or any(s[0] in BLOCKS for s in stack[next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) :]):
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                if stack[-1].block >= i:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                cut(i)
             elif name == "p":
                 flush()
             continue
@@ -143,40 +193,47 @@ def _parse(html: str, kept: frozenset[int]) -> tuple[list[str | Block], bool, fr
             continue
         if name in BLOCKS:
             flush()
-            if name in LEAF or any(s[0] == "p" for s in stack):
-                _close(stack, name)
-        _, path, dropped, inside, link, hard, marked = stack[-1]
+            if name in LEAF or opened["p"]:
+                cut(_close(stack, name))
+        top = stack[-1]
         words, mark = _marks(m[4])
-        in_main = inside or name in MAIN and not dropped or "main" in words and not dropped and "role" in mark
-        hard = hard or name in DROPPED or name == "header" and not inside or (m[4] != "" and bool(_HIDDEN.search(m[4])))
-        by_word = name not in ("html", "body") and (bool(words & DROPPED_WORDS) or "header" in words and not inside)
+        in_main = top.inside or name in MAIN and not top.dropped or "main" in words and not top.dropped and "role" in mark
+        hard = top.hard or name in DROPPED or name == "header" and not top.inside or (m[4] != "" and bool(_HIDDEN.search(m[4])))
+        by_word = name not in ("html", "body") and (bool(words & DROPPED_WORDS) or "header" in words and not top.inside)
+        marked = top.marked
         if by_word:
-            marked = (*marked, len(out))
+            parents[len(out)] = marked
+            marked = len(out)
         if not hard and (name in MAIN or "main" in words and "role" in mark):
-            for k in (-1, *marked):
-                mains[k] += 1
-        gone = dropped or hard or by_word and len(out) not in kept
+            mains[marked] += 1
+        gone = top.dropped or hard or by_word and len(out) not in kept
         links += name == "a"
         has_main = has_main or in_main and not gone
-        here = f"{path}/{name}{mark}"
+        here = _code(f"{top.path}/{name}{mark}")
         out.append(here)
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, here, gone, in_main, link or name == "a", hard, marked))
+            stack.append(Element(name, here, gone, in_main, top.link or name == "a", hard, marked, len(stack) if name in BLOCKS else top.block))
+            opened[name] += 1
     add(html[at:])
     flush()
-    held = mains if mains[-1] else chars
-    return out, has_main, frozenset(k for k, n in held.items() if k >= 0 and (n == held[-1] if mains[-1] else 2 * n > held[-1]))
-
-
-def _close(stack: list, name: str) -> None:
-    """What an opening block ends: an open paragraph; for items, cells and rows an open one of the same kind."""
-    for i in range(len(stack) - 1, 0, -1):
-        open_name = stack[i][0]
+    held = mains if mains else chars
+    for k in sorted(parents, reverse=True):  # what is in an element is in those around it
+        if k >= 0:
+            held[parents[k]] += held[k]
+    return out, has_main, frozenset(k for k in parents if k >= 0 and (held[k] == held[-1] if mains else 2 * held[k] > held[-1]))
+
+
+def _close(stack: list[Element], name: str) -> int:
+    """What an opening block leaves open: an open paragraph ends; for items, cells and rows an open one of the same kind."""
+    i = stack[-1].block
+    while i > 0:
+        open_name = stack[i].name
         if open_name == "p" or open_name == name and name in LEAF:
-            del stack[i:]
-            return
-        if open_name in BLOCKS and open_name not in LEAF:
-            return
+            return i
+        if open_name not in LEAF:
+            break
+        i = stack[i - 1].block
+    return len(stack)
 
 
 def _marks(attributes: str) -> tuple[set[str], str]:
@@ -198,11 +255,8 @@ def _said(name: str) -> list[str]:
     return words
 
 
-def _number(token: str | Block) -> int:
-    import xxhash
-
-    key = token if isinstance(token, str) else f"{token.path}\0{token.text}"
-    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _number(token: int | Block) -> int:
+    return token if isinstance(token, int) else _code(f"{token.path}\0{token.text}")
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
@@ -217,11 +271,11 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
         run.clear()
 
     for token in tokens:
-        if isinstance(token, str) or token.dropped or has_main and not token.inside:
+        if isinstance(token, int) or token.dropped or has_main and not token.inside:
             continue
         if template and _number(token) in template:
             continue
-        if not has_main and token.linked and token.path.rsplit("/", 1)[-1][:2] not in HEADINGS:
+        if not has_main and token.linked and token.name not in HEADINGS:
             if token.links < LINK_LIST:
                 run.append(token.text)
             continue
@@ -245,7 +299,7 @@ def _vectors(pages: DataFrame) -> DataFrame:
                         for token in parse(html or "")[0]:
                             number = _number(token)
                             counted[number] += 1
-                            texts[number] = not isinstance(token, str)
+                            texts[number] = not isinstance(token, int)
                         rows += [(host, page, t, texts[t], n) for t, n in counted.items()]
                 columns = list(zip(*rows)) or [()] * 5
                 types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
@@ -258,8 +312,6 @@ def _faults(pages: DataFrame) -> DataFrame:
     """(host, class, low, high, crossed) from pages (host, html, classes): hashes of a class's token order, and the classes before it that it crosses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             seen: dict[tuple[str, int], list] = {}
             for host, html, classes in zip(*[c.to_pylist() for c in batch.columns]):
