@@ -57,8 +57,7 @@ def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the divergence verdict of every document."""
-    judged = quality.assess(_table(spark, sf_dir, "documents"))
-    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+    return quality.assess(_table(spark, sf_dir, "documents"))
 
 
 def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +101,49 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+OP1_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(text, '') as t from documents
+), k as (
+  select row_number() over (order by t) as k, t, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from (select distinct t from d)
+), s as materialized (
+  select distinct k, array_to_string(w[p:p + n - 1], ' ') as s from (select k, w, least(5, len(w)) as n, unnest(range(1, len(w) - least(5, len(w)) + 2)) as p from k where len(w) > 0)
+), z as materialized (select k, count(*) as n from s group by k),
+often as (select s from s group by s having count(*) > 1),
+o as materialized (select s.k, s.s from s join often using (s)),
+pairs as materialized (
+  select a, b from (select x.k as a, y.k as b, count(*) as c from o x join o y on x.s = y.s and x.k < y.k group by 1, 2) p join z za on za.k = a join z zb on zb.k = b where c >= 0.8 * (za.n + zb.n - c)
+), e as materialized (select a, b from pairs union all select b, a from pairs),
+r(k, root) as (
+  select k, k from k
+  union
+  select e.b, r.root from r join e on e.a = r.k where r.root < e.b
+), roots as (select k, min(root) as root from r group by k),
+m as (select d.doc_id, roots.root from d join k using (t) join roots using (k)),
+g as (select root, min(doc_id) as class_id, count(*) as class_size from m group by root)
+select doc_id, class_id, class_size from m join g using (root)
+"""
+
+OP4_SQL = """
+with d as materialized (
+  select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as materialized (
+  select rid, p, md5_number(substr(h, 2 * p + 1, 400)) as m from (select rid, h, unnest(range(0, len(h) // 2 - 199)) as p from d where len(h) >= 400)
+), twice as (select m from w group by m having count(*) > 1),
+hit as (select rid, p from w join twice using (m)),
+edge as (select rid, p, p - lag(p) over (partition by rid order by p) as gap from hit),
+run as (select rid, p, count(*) filter (gap is null or gap > 200) over (partition by rid order by p) as run from edge),
+span as (select rid, run, min(p) as a, max(p) + 200 as b from run group by rid, run),
+cut as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as before from span),
+kept as (
+  select rid, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, max(b) as last
+  from cut join d using (rid) group by rid
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(case when n_spans is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join kept using (rid)
+"""
+
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 
@@ -114,31 +156,39 @@ def _op5_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     chosen = "case l " + " ".join(f"when '{k}' then {quoted(v)}" for k, v in lists.items()) + f" else {quoted([''] * n_common)} end"
     distance = lambda p, q: f"""sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: case when {p}[i] > 0 then {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end + case when {q}[i] > 0 then {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end)) / 2))"""
-    far = lambda h: f"case when n_words >= {rules.guard_words} then coalesce({distance(h, 'ref_' + h)}, 0) else 0 end"
+    far = lambda h: f"case when n_words >= {rules.guard_words} then coalesce(round({distance(h, 'ref_' + h)}, 6), 0) else 0 end"
     shares = lambda h: f"list_transform({h}, lambda x: case when list_sum({h}) > 0 then x / list_sum({h}) else 0 end)"
-    mean = lambda h, n: "[" + ", ".join(f"avg({h}[{i}])" for i in range(1, n + 1)) + f"] as ref_{h}"
+    steps = lambda h: f"list_transform({h}, lambda x: case when list_sum({h}) > 0 then (x * {2 * quality.STEPS} + list_sum({h})) // (2 * list_sum({h})) else 0 end)"
+    marks = quality.MARKS.replace("'", "''")
     return f"""
 with t as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as t, case when lang in ({", ".join(f"'{k}'" for k in lists)}) then lang else 'other' end as l from documents
 ), w as (
-  select *, regexp_extract_all(t, '{_WORD}') as ws, regexp_replace(t, '[a-z]+', '', 'g') as r,
+  select *, regexp_extract_all(t, '{_WORD}') as ws, regexp_extract_all(translate(lower(t), '{marks}', '{" " * len(quality.MARKS)}'), '{_WORD}') as vs, regexp_replace(t, '[a-z]+', '', 'g') as r,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t
 ), g as (
   select rid, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] as g from (select rid, ws, unnest(range(1, len(ws) - 1)) as p from w)
 ), twice as (
   select rid, count(distinct q) as n from (select rid, unnest([p, p + 1, p + 2]) as q from g join (select rid, g from g group by all having count(*) > 1) using (rid, g)) group by rid
 ), c as (
-  select rid, doc_id, l, len(ws) as n_words, {without("t", _SPACE)} as word_chars, length(t) - {without("t", "[#*$%&|<>]+")} as n_symbols,
-         len(lines) - len(list_distinct(lines)) as n_dup_lines,
-         list_transform({chosen}, lambda x: len(list_filter(ws, lambda y: lower(y) = x and x <> ''))) as cw,
+  select rid, doc_id, l, t, len(ws) as n_words, {without("t", _SPACE)} as word_chars, length(t) - {without("t", "[#*$%&|<>]+")} as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines, len(vs) as n_vs,
+         list_transform({chosen}, lambda x: len(list_filter(vs, lambda y: y = x and x <> ''))) as cw,
          length(t) - length(r) as c1, length(r) - {without("r", "[A-Z]+")} as c2, length(r) - {without("r", r"[\x{80}-\x{10FFFF}]+")} as c3, length(r) - {without("r", "[0-9]+")} as c4,
          length(r) - {without("r", _SPACE)} as c5, length(r) - {without("r", '[.,;:!?' + "''" + '"()-]+')} as c6, length(r) as c7 from w
 ), h as (
-  select c.*, coalesce(twice.n, 0) as n_repeat_words, [c1, c2, c3, c4, c5, c6, c7 - c2 - c3 - c4 - c5 - c6] as hc, list_append(cw, n_words - list_sum(cw)) as hw from c left join twice using (rid)
-), s as (select *, {shares("hc")} as c, {shares("hw")} as w from h),
-ref as (select l, {mean("c", 7)}, {mean("w", n_common + 1)} from s where n_words >= {rules.guard_words} group by l),
-f as (select s.*, {far("c")} as far_c, {far("w")} as far_w, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed from s left join ref using (l))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(far_c, 6) as class_distance, round(far_w, 6) as word_distance,
+  select c.*, coalesce(twice.n, 0) as n_repeat_words, n_words < {rules.min_words} or 100 * coalesce(twice.n, 0) > {rules.max_repeat_percent} * n_words as base_failed,
+         [c1, c2, c3, c4, c5, c6, c7 - c2 - c3 - c4 - c5 - c6]::bigint[] as hc, list_append(cw, n_vs - list_sum(cw))::bigint[] as hw from c left join twice using (rid)
+), q as (
+  select l, list_concat({steps("hc")}, {steps("hw")})::bigint[] as q from (select distinct l, t, hc, hw from h where n_words >= {rules.guard_words} and not base_failed)
+), m as (
+  select l, i, quantile_disc(x, 0.5) as q from (select l, unnest(range(1, len(q) + 1)) as i, unnest(q) as x from q) group by l, i
+), n as (
+  select l, list(q order by i) filter (where i <= 7) as qc, list(q order by i) filter (where i > 7) as qw from m group by l
+), ref as (select l, {shares("qc")} as ref_c, {shares("qw")} as ref_w from n),
+s as (select *, {shares("hc")} as c, {shares("hw")} as w from h),
+f as (select s.*, {far("c")} as far_c, {far("w")} as far_w from s left join ref using (l))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, far_c as class_distance, far_w as word_distance,
        not base_failed and far_c <= {rules.max_class_distance} and far_w <= {rules.max_word_distance} as kept from f
 """
 
@@ -198,6 +248,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_dart_minhash": OP1_SQL,
+    "op4_previous_factors": OP4_SQL,
     "op5_quality_divergence": _op5_sql(),
     "op7_winnowing": OP7_SQL,
     "op9_chat_parts": OP9_SQL,

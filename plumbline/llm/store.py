@@ -1,7 +1,7 @@
 """Shared working folder: where operators write tables that later stages read again.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as
-in tests on one machine, a folder of our own is used. Written tables cut lineage, so a lost
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset on one
+machine, as in tests, a folder of our own is used; a cluster that names none is refused. Written tables cut lineage, so a lost
 executor costs the tasks it ran and no more.
 """
 
@@ -16,8 +16,11 @@ DEFAULT_DIR = "/tmp/checkpoints/plumbline"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, else our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    """The shared folder named by the session, else, on one machine, our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or DEFAULT_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:

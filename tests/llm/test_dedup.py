@@ -161,11 +161,45 @@ def test_winnowing_equals_brute_force(spark, monkeypatch):
     docs = [(i, make(rnd.randint(0, 200), v) if i % 9 else None) for i in range(150)]
     items = [(i, make(rnd.choice([0, 3, 9, 10, 11, 12, 15]), v)) for i in range(40)] + [(99, None), (3, "a b")]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 1_000):  # one block and several
+    for block in (decontaminate.BLOCK_BYTES, 3_000, 1_000):  # one block, several, and more than one stage takes
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find(*frames).collect()}
         assert found == decontaminated(docs, items)
     kept = {r.doc_id for r in decontaminate.remove(*frames).collect()}
+    assert decontaminate._items(frames[1], "item_id", "text")[1] > decontaminate.BLOCKS
     assert kept == {d for d, (_, n, _) in decontaminated(docs, items).items() if not n}
     assert decontaminate.find(frames[0].limit(0), frames[1]).collect() == []
     assert decontaminate.find(frames[0], frames[1].limit(0)).where("n_hit > 0").collect() == []
+
+
+def test_a_built_block_is_no_larger_than_counted():
+    rnd = random.Random(4)
+    items = [(str(i), " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 400)))) for i in range(200)]
+    block = decontaminate.Benchmark(items, decontaminate.WinnowRules())
+    assert block.nbytes() <= sum(len(words(t)) * decontaminate.BYTES_A_WORD + len(i) for i, t in items)
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rnd = random.Random(9)
+    for _ in range(12):
+        size = rnd.choice([16, 24, 40])
+        bodies = ["".join(rnd.choice("ab") if rnd.random() < 0.3 else "a" for _ in range(rnd.randint(size, 3 * size))) for _ in range(8)]
+        groups = np.array([rnd.randint(0, 1) for _ in bodies])
+        data, bounds = "".join(bodies), np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+        which = np.repeat(np.arange(8), [len(b) for b in bodies])
+        starts, factor, source = suffix_dedup.previous_factors(np.frombuffer(data.encode(), np.uint8), bounds, groups, size)
+        places = [p for p in range(len(data)) if p + size <= bounds[which[p] + 1]]
+        assert starts.tolist() == places
+        for p, length, q in zip(places, factor.tolist(), source.tolist()):
+            common = lambda x, y: next((i for i in range(size) if data[x + i] != data[y + i]), size)
+            want = max([common(p, x) for x in places if x < p and groups[which[x]] == groups[which[p]]], default=0)
+            assert length == want and (length == 0 or q < p and common(p, q) == length)
+
+
+def test_a_hot_anchor_is_split(spark):
+    rnd = random.Random(11)
+    make = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = make(260)
+    docs = [(i, make(rnd.randint(0, 250)) + passage[rnd.choice([0, 0, 0, 5]) :] + make(rnd.randint(0, 250))) for i in range(2400)]
+    found = suffix_dedup.strip_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 200, digests=True)
+    assert sorted(map(tuple, found.collect())) == stripped(docs, 200)

@@ -50,7 +50,7 @@ def test_counts_equal_the_library(spark):
     rnd = random.Random(1)
     texts = TEXTS + ["".join(rnd.choice(["a", "'s", "<|endoftext|>", " ", "\n", "é", "|>", "<|", "1"]) for _ in range(rnd.randint(0, 40))) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = token_counts.count_tokens(docs, path, sample_rows=50).collect()
+    rows = token_counts.count_tokens(docs, path).collect()
     assert len(rows) == len(texts)
     for row in rows:
         text = texts[row.doc_id] or ""
@@ -62,3 +62,11 @@ def test_other_tokenizers_are_refused(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(ValueError):
         token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_frequent_pieces_come_from_all_rows(spark):
+    rows = [(" often" + " some" * (i % 2) + f" once{i}",) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    assert token_counts.frequent_table(docs, summary=200, sent=60)[:2] == [" often", " once"]
+    assert {" often", " some"} <= set(token_counts.frequent_table(docs, summary=200, sent=60)[:3])
+    assert token_counts.frequent_table(docs.limit(0)) == []
