@@ -13,7 +13,8 @@ blocks of text. For every host, over its distinct pages:
    crosses that of no ordered class of more pages: it is apart, or nests in one slot (the gap between
    two consecutive tokens).
 4. The valid classes, nested, are the host's template. Its text tokens are boilerplate; everything
-   between template tokens is slots. A page keeps the blocks of its slots, unless a slot lies
+   between template tokens is slots, each named by the innermost class around and the number of that class's
+   tokens before it. A page keeps the blocks of its slots, unless a slot lies
    inside a container that can't hold main text (a menu, footer, form, advert, reader comments).
    Where a page has an article or main element, only slots inside it are main text.
 
@@ -62,6 +63,8 @@ LEAF = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "li", "op
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: So many links in a row, with nothing else between them, are a list of links.
 LINK_LIST = 3
+#: Templates that a task keeps.
+HELD = 64
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>""",
@@ -259,30 +262,51 @@ def _number(token: int | Block) -> int:
     return token if isinstance(token, int) else _code(f"{token.path}\0{token.text}")
 
 
-def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text; template has the numbers of the host's template tokens."""
+def slots(html: str, template: dict[int, int] | None = None) -> list[tuple[int, int, str]]:
+    """The page's main text by slot: (class, how many of its tokens come before, text of a block); class 0 is outside of all.
+
+    template: the host's template tokens, by number, and the class of each. Classes nest; a block is in the innermost one's slot.
+    """
     tokens, has_main = parse(html)
-    kept: list[str] = []
-    run: list[str] = []  # blocks that are each a link, in a row
+    template = template or {}
+    owners = [template.get(_number(t)) for t in tokens] if template else [None] * len(tokens)
+    last = {c: i for i, c in enumerate(owners) if c is not None}
+    nested: list[int] = []  # classes whose span holds the place, outer ones first
+    before: Counter = Counter()
+    kept: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str]] = []  # blocks that are each a link, in a row
 
     def end_run() -> None:
         if len(run) < LINK_LIST:
             kept.extend(run)
         run.clear()
 
-    for token in tokens:
-        if isinstance(token, int) or token.dropped or has_main and not token.inside:
+    for i, (token, owner) in enumerate(zip(tokens, owners)):
+        if owner is not None:
+            while nested and last[nested[-1]] < i:
+                nested.pop()
+            if not before[owner]:
+                nested.append(owner)
+            before[owner] += 1
             continue
-        if template and _number(token) in template:
+        if isinstance(token, int) or token.dropped or has_main and not token.inside:
             continue
+        while nested and last[nested[-1]] < i:
+            nested.pop()
+        held = (nested[-1], before[nested[-1]], token.text) if nested else (0, 0, token.text)
         if not has_main and token.linked and token.name not in HEADINGS:
             if token.links < LINK_LIST:
-                run.append(token.text)
+                run.append(held)
             continue
         end_run()
-        kept.append(token.text)
+        kept.append(held)
     end_run()
-    return "\n".join(kept)
+    return kept
+
+
+def main_text(html: str, template: dict[int, int] | None = None) -> str:
+    """The page's main text: the texts of its slots, in order."""
+    return "\n".join(text for _, _, text in slots(html, template))
 
 
 def _vectors(pages: DataFrame) -> DataFrame:
@@ -345,7 +369,7 @@ def _crosses(a: list[int], b: list[int]) -> bool:
 
 
 def templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """(host, tokens array<long>): the text tokens of each host's template, from pages (host, page, html)."""
+    """(host, tokens array<long>, classes array<long>): each host's template, its tokens and the class of each, from pages (host, page, html)."""
     spark = pages.sparkSession
     vectors, path = materialize(_vectors(pages).distinct(), "vectors")
     sizes = vectors.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= rules.min_pages).withColumnRenamed("host", "h")
@@ -366,8 +390,9 @@ def templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataF
     unordered = faults.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "class")
     crossed = faults.select("host", F.col("class").alias("by"), F.explode("crossed").alias("class")).distinct().join(unordered, ["host", "class"], "left_anti").select("host", F.col("by").alias("class"))
     bad = unordered.unionByName(crossed).distinct()
-    good = found.where("is_text").join(bad.select("host", "class"), ["host", "class"], "left_anti")
-    out, _ = materialize(good.groupBy("host").agg(F.collect_list("token").alias("tokens")), "templates")
+    good = found.join(bad.select("host", "class"), ["host", "class"], "left_anti")
+    listed = good.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class"))).alias("t"), F.max("is_text").alias("any_text")).where("any_text")
+    out, _ = materialize(listed.select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes")), "templates")
     discard(spark, found_path, faults_path)
     return out
 
@@ -376,14 +401,21 @@ def extract(pages: DataFrame, rules: TemplateRules = TemplateRules(), id_col: st
     """One row a page: id_col, url, text (blocks joined by a line feed, empty if none), n_chars."""
     name = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url}`").alias("url"), name.alias("host"), F.xxhash64(F.coalesce(F.col(f"`{html}`"), F.lit(""))).alias("page"), F.col(f"`{html}`").alias("html"))
-    known = templates(rows, rules).select(F.col("host").alias("h"), "tokens")
-    rows = rows.join(known, F.col("host") == F.col("h"), "left").select("id", "url", "html", "tokens")
+    known = templates(rows, rules).select(F.col("host").alias("h"), "tokens", "classes")
+    rows = rows.join(known, F.col("host") == F.col("h"), "left").select("id", "url", "html", "h", "tokens", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, dict[int, int]] = {None: {}}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [main_text(h or "", frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = []
+                for i, (html, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    if host not in held:
+                        if len(held) >= HELD:
+                            held = {None: {}}
+                        held[host] = dict(zip(part.column(4)[i].as_py(), part.column(5)[i].as_py()))
+                    texts.append(main_text(html or "", held[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
