@@ -103,15 +103,28 @@ def render(messages: DataFrame, rules: TokenRules = TokenRules(), conv_id: str =
     return conv.select("conv_id", formatted.alias("formatted"), "segments", "attachments", total.alias("n_placeholder_tokens"))
 
 
+#: Before and after each placeholder. In escaped text no control string survives, so these are placeholders only.
+_PLACEHOLDER = r"<\|(?:image|audio|document)\|>"
+_AROUND = rf"(?={_PLACEHOLDER})|(?<=<\|image\|>)|(?<=<\|audio\|>)|(?<=<\|document\|>)"
+
+
 def parse(formatted: Column) -> Column:
-    """Reads turns back: array<struct<role, text>>, both unescaped; placeholders stay as they are."""
+    """Reads turns back: array<struct<role, text, parts>>, unescaped. text keeps placeholders; parts is array<struct<type, text>>, text null for placeholders.
+
+    The k-th part that is no text is the k-th attachment. Texts side by side come back as one.
+    """
     chunks = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2147483647 - 2)
 
+    def part(piece: Column) -> Column:
+        held = piece.rlike("^" + _PLACEHOLDER + "$")
+        return F.struct(F.when(held, F.substring(piece, F.lit(3), F.length(piece) - 4)).otherwise("text").alias("type"), F.when(~held, unescape(piece)).alias("text"))
+
     def one(chunk: Column) -> Column:
         at = F.instr(chunk, F.lit("\n"))
         role = F.substring(chunk, F.lit(1), at - 1)
         body = F.substring(chunk, at + 1, F.length(chunk) - at - len(END) - 1)
-        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"))
+        parts = F.transform(F.filter(F.split(body, _AROUND), lambda p: p != ""), part)
+        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"), parts.alias("parts"))
 
     return F.transform(chunks, one)
 
@@ -122,7 +135,7 @@ def loss_text(segments: Column) -> Column:
 
 
 def digest(rendered: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: all read back from the output."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, n_placeholder_tokens: all read back from the output."""
     line = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
     of_turns = lambda t: F.struct(F.size(t).cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform(t, line), ""), 256).alias("turns_sha256"))
     of_loss = lambda x: F.struct(F.length(x).cast("long").alias("loss_chars"), F.sha2(x, 256).alias("loss_sha256"))
@@ -131,5 +144,7 @@ def digest(rendered: DataFrame) -> DataFrame:
         let(parse(F.col("formatted")), of_turns).alias("t"),
         let(loss_text(F.col("segments")), of_loss).alias("l"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "n_placeholder_tokens",
     )
-    return rows.select("conv_id", "t.*", "l.*", "formatted_chars")
+    return rows.select("conv_id", "t.*", "l.*", "formatted_chars", "n_attachments", "n_placeholder_tokens")

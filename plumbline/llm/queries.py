@@ -229,7 +229,8 @@ select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, esc)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, esc) filter (where role = 'assistant'), '')) as loss_sha256,
-       sum(length('<|im_start|>' || esc_role || chr(10) || esc || '<|im_end|>' || chr(10)))::bigint as formatted_chars
+       sum(length('<|im_start|>' || esc_role || chr(10) || esc || '<|im_end|>' || chr(10)))::bigint as formatted_chars,
+       0::bigint as n_attachments, 0::bigint as n_placeholder_tokens
 from e group by conv_id
 """
 
