@@ -127,18 +127,19 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text: str
     """One row an input row: id_col, size, text_crc32, shard, slot.
 
     Slots count from 0 in each shard without gaps. They are dealt by bucket: a row's place among
-    its bucket's rows plus the rows of the shard's earlier buckets, so no task sorts a whole shard.
+    its bucket's rows plus the rows of the shard's earlier buckets, so no task sorts a whole shard. Buckets are
+    by row number (as written), so rows that are alike in every column spread too.
     """
     t = whole(F.col(f"`{text}`"))
     digest = F.conv(F.substring(F.sha2(t, 256), 1, KEY_BITS // 4), 16, 10).cast("long")
-    slim, _ = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), digest.alias("key")), "shard-sizes")
+    slim, _ = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), digest.alias("key"), F.monotonically_increasing_id().alias("row")), "shard-sizes")
     _, bounds = minimax_bounds(slim, n_shards)
     number = sum((F.when(F.col("key") >= b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
     n_buckets = max(1, slim.count() // (n_shards * rows_per_slot_bucket) + 8)
-    placed = slim.withColumn("shard", number).withColumn("bucket", F.pmod(F.xxhash64("id", "key"), F.lit(n_buckets)).cast("int"))
+    placed = slim.withColumn("shard", number).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n_buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")
     starts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), before.alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "id"))
+    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "id", "row"))
     rows = placed.withColumn("place", place).join(starts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
     return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
