@@ -24,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as Parquet in the shared folder and reads it again; also returns the path."""
+    """Writes df as Parquet in the shared folder and reads it again; also returns the path. What isn't discarded goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema: StructType = df.schema
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path), path
 
 

@@ -64,6 +64,9 @@ def test_chat_attachments(spark):
     assert row.formatted == "<|im_start|>user\nsee <|image|><|audio|><|document|><\\|image|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [(a.turn, a.kind, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "i.png", 3), (0, "audio", "a.wav", 38), (0, "document", "d.pdf", 2048)]
     assert row.n_placeholder_tokens == 3 + 38 + 2048
+    back = chat.render(frame).select(chat.parse(F.col("formatted")).alias("t")).first().t
+    assert [(p.type, p.text) for p in back[0].parts] == [("text", "see "), ("image", None), ("audio", None), ("document", None), ("text", "<|image|>")] and back[1].parts == []
+    assert [p.type for p in back[0].parts if p.type != "text"] == [a.kind for a in row.attachments]
     assert chat.render(frame.limit(0)).collect() == []
 
 
@@ -287,3 +290,44 @@ def test_hostile_pages_take_linear_time():
         html_extract.main_text(page)
     assert time.monotonic() - began < 60
     assert html_extract.main_text("a<p>b<!-- c > d <p>e") == "a\nb" and html_extract.main_text("a > b <script>x > y") == "a > b"
+
+
+def brute_template(pages, min_pages=5, share=0.05):
+    """{token: tokens of its class} of the valid classes of one host, from distinct pages."""
+    lists = [[html_extract._number(t) for t in html_extract.parse(h)[0]] for h in dict.fromkeys(pages)]
+    vectors = defaultdict(list)
+    for token in {t for x in lists for t in x}:
+        vectors[tuple(x.count(token) for x in lists)].append(token)
+    found = {}
+    for vector, tokens in vectors.items():
+        support = sum(n > 0 for n in vector)
+        if len(tokens) >= 2 and support >= max(min_pages, share * len(lists)):
+            found[vector] = (support, set(tokens))
+    orders = {v: {tuple(t for t in x if t in tokens) for x in lists if tokens & set(x)} for v, (_, tokens) in found.items()}
+    ordered = {v: t for v, t in found.items() if len(orders[v]) == 1}
+    good = dict(ordered)
+    for v, (support, tokens) in ordered.items():
+        for w, (other, around) in ordered.items():
+            # the larger one stays; which of two of equal support stays is by class number, so the test has none that cross
+            if v != w and other > support and any(html_extract._crosses([i for i, t in enumerate(x) if t in tokens], [i for i, t in enumerate(x) if t in around]) for x in lists if tokens & set(x) and around & set(x)):
+                good.pop(v, None)
+    return {t: frozenset(tokens) for _, tokens in good.values() for t in tokens}
+
+
+def test_templates_equal_brute_force(spark):
+    rnd = random.Random(3)
+    body = lambda i: "".join(f"<p>{rnd.choice('abc')}{rnd.randint(0, 999)}</p>" for _ in range(rnd.randint(1, 4)))
+    page = lambda i: f"<body><div class=top><p>Site name</p></div>{'<section><p>Offer</p><p>Buy</p></section>' if i % 3 else ''}<main><h1>T{i}</h1>{body(i)}<p>Share</p>{('<p>x</p><p>y</p>', '<p>y</p><p>x</p>')[i % 2] if i % 5 else ''}</main><p>Imprint</p></body>"
+    html = [page(i) for i in range(30)]
+    rows = [(i, f"https://a.example/{i}", h) for i, h in enumerate(html)] + [(99, "https://b.example/", html[0])]
+    frame = spark.createDataFrame(rows, "id long, url string, html string").select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), F.xxhash64("html").alias("page"), "html")
+    found = {r.host: dict(zip(r.tokens, r.classes)) for r in html_extract.templates(frame).collect()}
+    want = brute_template(html)
+    assert set(found) == {"a.example"} and set(found["a.example"]) == set(want)
+    for token, members in want.items():
+        assert {t for t, c in found["a.example"].items() if c == found["a.example"][token]} == members
+    assert len(want) > 8 and len(set(want.values())) == 2  # of the whole page and of the offer; x and y have no order
+    # slots: the title comes after the same template token on every page, with the offer before it or without
+    texts = {tuple(t for _, _, t in html_extract.slots(h, found["a.example"])) for h in html}
+    assert all(t[0].startswith("T") and not {"Site name", "Offer", "Share", "Imprint"} & set(t) for t in texts)
+    assert len({html_extract.slots(h, found["a.example"])[0][:2] for h in html}) == 1
