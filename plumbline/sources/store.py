@@ -17,8 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+    """df written as Parquet in the shared folder and read again; the files go when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(schema).parquet(path)
