@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: null and empty texts have too few words and go with the first stage; of rows alike in every
+column one stays, as of any near-duplicates; a null id is kept, last in the choice of a group's document; a
+null language has the reference of other languages; an empty benchmark removes nothing; an empty table gives an
+empty result; texts are taken whole. Further columns are kept up to the last stage.
 """
 
 from __future__ import annotations
