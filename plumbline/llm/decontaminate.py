@@ -126,7 +126,7 @@ def _items(items: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
 
 
 def _attach(docs: DataFrame, items: DataFrame, rules: WinnowRules, text: str, item_id: str, item_text: str, keep: list[str]) -> DataFrame:
-    """keep, then ``__n`` words, ``__spans`` hit runs of words [start, end), ``__items`` ids."""
+    """The columns of keep as c0, c1 .., then ``__n`` words, ``__spans`` hit runs of words [start, end), ``__items`` ids."""
     sc = docs.sparkSession.sparkContext
     made = "array<struct<start:int,end:int>>"
     names = [f"c{i}" for i in range(len(keep))]
@@ -152,7 +152,7 @@ def _attach(docs: DataFrame, items: DataFrame, rules: WinnowRules, text: str, it
                 yield from _run(block.value, batch)
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "__n", "__spans", "__items")
+    return rows.select(*names, "__n", "__spans", "__items")
 
 
 def _run(block: Benchmark, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,10 @@ def find(docs: DataFrame, items: DataFrame, rules: WinnowRules = WinnowRules(),
     """One row a document: id_col, n_words, n_hit (words in spans), spans (of words), items (ids as strings, sorted)."""
     rows = _attach(docs, items, rules, text, item_id, item_text, [id_col])
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return rows.select(F.col(f"`{id_col}`"), F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    return rows.select(F.col("c0").alias(id_col), F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def remove(docs: DataFrame, items: DataFrame, rules: WinnowRules = WinnowRules(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
     rows = _attach(docs, items, rules, text, item_id, item_text, docs.columns)
-    return rows.where(F.size("__items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(F.size("__items") == 0).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

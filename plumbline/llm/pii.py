@@ -482,8 +482,8 @@ def _mapped(docs: DataFrame, keep: list[str], text: str, make: Callable, fields:
                 made = [pa.array(c, t) for c, (_, _, t) in zip(columns, fields)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*names, *[n for n, _, _ in fields]])
 
-    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [f"{n} {t}" for n, t, _ in fields]
-    return rows.mapInArrow(run, ", ".join(kinds)).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *[n for n, _, _ in fields])
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [f"`{n}` {t}" for n, t, _ in fields]
+    return rows.mapInArrow(run, ", ".join(kinds)).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *[F.col(f"`{n}`") for n, _, _ in fields])
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -516,7 +516,8 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
             at = b
         return ("".join(out) + value[at:],)
 
-    changed = _mapped(docs, docs.columns, text, make, [("__new", "string", pa.string())])
-    new = F.col("__new")
+    name = "new_" + "_".join(docs.columns)  # no column's name
+    changed = _mapped(docs, docs.columns, text, make, [(name, "string", pa.string())])
+    new = F.col(f"`{name}`")
     of = {text: new.alias(text), length: F.coalesce(F.length(new), F.lit(0)).cast("long").alias(length)}
     return changed.select(*[of.get(c, F.col(f"`{c}`")) for c in docs.columns])

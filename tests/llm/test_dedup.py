@@ -203,3 +203,27 @@ def test_a_hot_anchor_is_split(spark):
     docs = [(i, make(rnd.randint(0, 250)) + passage[rnd.choice([0, 0, 0, 5]) :] + make(rnd.randint(0, 250))) for i in range(2400)]
     found = suffix_dedup.strip_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 200, digests=True)
     assert sorted(map(tuple, found.collect())) == stripped(docs, 200)
+
+
+def test_edges_of_pairs_and_benchmark(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.classes(empty).collect() == []
+    rows = [(None, None), (None, None), (7, ""), (8, "one"), (8, "one"), (9, " , ")]
+    found = sorted([tuple(r) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    assert found == [(7, 7, 3), (8, 8, 2), (8, 8, 2), (9, 9, 1), (None, 7, 3), (None, 7, 3)]
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 1, 2, 3, 4)], "doc_id long, text string, __items int, __n int, n_hit int, c0 int")
+    items = spark.createDataFrame([(1, "b c d e f g h i j k"), (2, "z")], "item_id long, text string")
+    assert decontaminate.find(docs, items).first()["n_hit"] == 10
+    assert decontaminate.remove(docs, items.where("item_id = 2")).columns == docs.columns
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(13)
+    text = " ".join(rnd.choice("abcdefghijkl") + str(rnd.randint(0, 999)) for _ in range(150_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short"), (4, "x" * 1_000_000), (5, text[:400_000] + "y")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    items = spark.createDataFrame([(1, text[-200_000:]), (2, text[:100])], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
+    assert found[1]["items"] == ["1", "2"] and found[5]["items"] == ["2"] and found[4].n_hit == 0
+    rows = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs, 200).collect()}
+    assert bytes(rows[1].kept) == b"" and bytes(rows[2].kept) == b" more" and bytes(rows[4].kept) == b"" and bytes(rows[5].kept) == b"y" and bytes(rows[3].kept) == b"short"

@@ -331,3 +331,16 @@ def test_templates_equal_brute_force(spark):
     texts = {tuple(t for _, _, t in html_extract.slots(h, found["a.example"])) for h in html}
     assert all(t[0].startswith("T") and not {"Site name", "Offer", "Share", "Imprint"} & set(t) for t in texts)
     assert len({html_extract.slots(h, found["a.example"])[0][:2] for h in html}) == 1
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rnd = random.Random(14)
+    text = " ".join(rnd.choice("abcdefghijkl") + str(rnd.randint(0, 9999)) for _ in range(150_000)) + " mail a@b.co"
+    docs = spark.createDataFrame([(1, text, "en", 1, 1, 1, 1), (2, "x" * 1_000_000, None, 1, 1, 1, 1)], "doc_id long, text string, lang string, __m int, ref_c int, spans int, shard int")
+    judged = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert (judged[1].n_words, judged[2].n_words, judged[2].word_chars) == (150_002, 1, 1_000_000)
+    assert quality.keep(docs).columns == pii.redact(docs.withColumn("__new", F.lit(1))).drop("__new").columns == docs.columns
+    assert {r.doc_id: [(s.kind, s.end) for s in r.base_spans] for r in pii.find(docs).collect()} == {1: [("email", len(text))], 2: []}
+    assert sorted(r["size"] for r in sharding.shard(docs).collect()) == sorted([len(text) + 1, 1_000_001])
+    html = spark.createDataFrame([(1, None, f"<p>{text}</p>", 1, 1)], "page_id long, url string, html string, host int, tokens int")
+    assert html_extract.extract(html).first().n_chars == len(text)

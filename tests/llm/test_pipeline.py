@@ -41,3 +41,17 @@ def test_stages_keep_columns(spark):
 def test_one_query_for_each_operator():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty benchmark, an empty table."""
+    pytest.importorskip("public_tokenizers")
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "en", "s", 9), (1, text(1), "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text(4), None, None, None), (5, text(5) + " a@b.co", "xx", "s", 1), (6, text(6), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, " ".join(text(6).split()[5:20])), (2, None)], "item_id long, text string")
+    for name, documents, benchmark, want in (("some", docs, items, {(1, text(1)), (None, text(4)), (5, text(5) + " [EMAIL]")}), ("open", docs, items.limit(0), {(1, text(1)), (None, text(4)), (5, text(5) + " [EMAIL]"), (6, text(6))}), ("none", docs.limit(0), items, set())):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {(r.doc_id, r.text) for r in found} == want and len(found) == len(want)

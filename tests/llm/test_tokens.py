@@ -70,3 +70,14 @@ def test_frequent_pieces_come_from_all_rows(spark):
     assert token_counts.frequent_table(docs, summary=200, sent=60)[:2] == [" often", " once"]
     assert {" often", " some"} <= set(token_counts.frequent_table(docs, summary=200, sent=60)[:3])
     assert token_counts.frequent_table(docs.limit(0)) == []
+
+
+def test_long_texts_and_clashing_names(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice("abcdefg") * rnd.randint(1, 9) for _ in range(100_000)) + "x" * 300_000
+    docs = spark.createDataFrame([(1, text, 5, 6, 7)], "doc_id long, text string, id int, n_tokens int, piece int")
+    row = token_counts.count_tokens(docs, path).first()
+    assert (row.n_bytes, row.n_tokens) == (len(text), len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids))
