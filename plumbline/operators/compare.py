@@ -153,6 +153,13 @@ def cell_diffs(source: DataFrame, target: DataFrame, request: CompareRequest, li
     return joined.select(*[F.col(f"u.`{k}`") for k in keys], F.explode(changed).alias("c")).select(*keys, "c.*")
 
 
+def row_details(source: DataFrame, target: DataFrame, request: CompareRequest, limit: int | None = 200) -> DataFrame:
+    """Keys, ``changed`` (names of changed columns) and ``unchanged`` (how many compared columns are alike) of updated rows."""
+    compared = [c for c in (request.compared if request.compared is not None else source.columns) if c not in request.keys]
+    by_row = cell_diffs(source, target, request, limit).groupBy(*[F.col(f"`{k}`") for k in request.keys])
+    return by_row.agg(F.sort_array(F.collect_list("column_name")).alias("changed")).withColumn("unchanged", F.lit(len(compared)) - F.size("changed"))
+
+
 def apply_changes(target: DataFrame, change_set: DataFrame, keys: Iterable[str]) -> DataFrame:
     """The target after the change set: untouched rows, and the source's values of inserts and updates."""
     keys = list(keys)

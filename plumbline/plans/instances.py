@@ -60,13 +60,50 @@ def match_frames(source: DataFrame, target: DataFrame, declared: DataFrame) -> D
     return first.unionByName(named)
 
 
-def signal(source: tuple[int, int, int] | None, target: tuple[int, int, int] | None) -> str:
-    """What (tables, modules, bytes) of two databases say at a glance."""
+@dataclass(frozen=True)
+class Described:
+    """What is known of one database without comparing it."""
+
+    tables: int = 0
+    views: int = 0
+    routines: int = 0
+    collation: str | None = None
+    accessible: bool = True
+    state: str = "ONLINE"
+    problem: str | None = None
+
+    @property
+    def counts(self) -> tuple[int, int, int]:
+        return self.tables, self.views, self.routines
+
+
+def signal(pair: Pair, source: Described | None = None, target: Described | None = None) -> tuple[str, str]:
+    """What a pair says at a glance, and in words. Equal counts are never called equal schemas."""
+    if pair.kind in ("SourceOnly", "TargetOnly"):
+        return pair.kind, "only on source; no plan creates it" if pair.kind == "SourceOnly" else "only on target; no plan removes it"
+    sides = [("source", source), ("target", target)]
+    closed = [f"{'not accessible' if not d.accessible else d.state.lower()} on {side}" for side, d in sides if d and (not d.accessible or d.state.upper() != "ONLINE")]
+    if closed:
+        return "Unreadable", "on both sides but " + ", ".join(closed)
     if source is None or target is None:
-        return "unreadable"
-    if source == target:
-        return "alike"
-    for i, what in enumerate(("tables", "modules")):
-        if source[i] != target[i]:
-            return f"{'more' if source[i] > target[i] else 'fewer'} {what} on source"
-    return "sizes differ"
+        return "NotCompared", "on both sides; nothing was read yet"
+    if source.problem or target.problem:
+        return "Unreadable", f"on both sides but can't be read: {source.problem or target.problem}"
+    if fold(source.collation or "") != fold(target.collation or ""):
+        return "CollationDiffers", f"collations are {source.collation} and {target.collation}"
+    shown = ["/".join(map(str, d.counts)) for d in (source, target)]
+    if source.counts != target.counts:
+        return "CountsDiffer", f"{shown[0]} against {shown[1]} tables/views/routines"
+    return "CountsMatch", f"both have {shown[0]} tables/views/routines, which isn't yet the same schema"
+
+
+def survey(source: dict[str, Described | None], target: dict[str, Described | None], declared: list[tuple[str, str]] = ()) -> tuple[list[tuple[Pair, str, str]], list[str]]:
+    """Each pair with its signal, and warnings. None: not read yet."""
+    pairs, problems = match(list(source), list(target), declared)
+    rows = [(p, *signal(p, source.get(p.source), target.get(p.target))) for p in pairs]
+    both = [r for r in rows if r[0].kind in ("Declared", "ByName")]
+    if source and target and not both:
+        problems.append("no name is on both sides, so nothing is compared; databases of other names may belong together: declare such pairs")
+    if unread := [r for r in both if r[1] == "NotCompared"]:
+        problems.append(f"{len(unread)} pairs weren't read yet")
+    return rows, problems

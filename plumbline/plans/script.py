@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.literals import literal_column, qualify, quote
 from ..model import Column, Schema, Table, fold
+from .dependents import dependents
 from .ordering import Graph, topological
 from .schema_diff import ObjectDiff, narrowing, rename_header
 from .selection import Plan
@@ -95,6 +96,8 @@ def schema_script(plan: Plan, source: Schema, target: Schema, diffs: Iterable[Ob
         name = qualify(*unit.object.split("."))
         if diff.type == "Table":
             _table_steps(out, unit.kind, name, source.table(unit.object), target.table(unit.object), diff)
+            if unit.kind == "Alter":
+                _bracket(out, name, source, target, diff)
         elif diff.type.upper() in ("VIEW", "FUNCTION", "PROCEDURE", "TRIGGER"):
             if unit.kind == "Drop":
                 out.steps.append(Step("DropProgrammables", unit.object, f"DROP {diff.type.upper()} IF EXISTS {name}", True))
@@ -135,6 +138,11 @@ def _child_step(out: Script, name: str, source: Table, target: Table, child: Obj
             out.steps.append(Step("AddForeignKeys", source.name, _add_key(name, next(k for k in source.foreign_keys if fold(k.name) == fold(child.name)))))
         elif child.type == "ForeignKey" and child.kind == "TargetOnly":
             out.steps.append(Step("DropForeignKeys", source.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(child.name)}"))
+        elif child.type in ("UniqueConstraint", "CheckConstraint") or child.type == "ForeignKey":
+            if child.kind != "SourceOnly":
+                out.steps.append(Step("DropForeignKeys", source.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(child.name)}"))
+            if child.kind != "TargetOnly":
+                out.steps.append(_added(name, source, child))
         else:
             out.refusals.append(f"{source.name}.{child.name}: a {child.type} can't be changed by a statement")
         return
@@ -159,6 +167,44 @@ def _child_step(out: Script, name: str, source: Table, target: Table, child: Obj
         out.refusals.append(f"{source.name}.{child.name}: the table has to be rebuilt for this ({change})")
 
 
+def _added(name: str, source: Table, child: ObjectDiff) -> Step:
+    """The step that adds a constraint as the source has it."""
+    own = {"UniqueConstraint": source.uniques, "CheckConstraint": source.checks, "ForeignKey": source.foreign_keys}[child.type]
+    found = next(k for k in own if fold(k.name) == fold(child.name))
+    if child.type == "ForeignKey":
+        return Step("AddForeignKeys", source.name, _add_key(name, found))
+    body = f"CHECK ({found.expression})" if child.type == "CheckConstraint" else f"UNIQUE ({', '.join(map(quote, found.columns))})"
+    return Step("CheckConstraints" if child.type == "CheckConstraint" else "Keys", source.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(found.name)} {body}")
+
+
+def _bracket(out: Script, name: str, source: Schema, target: Schema, diff: ObjectDiff) -> None:
+    """Keys and checks that hold a column whose type changes go before it and come back after; what can't is refused."""
+    old, new = target.table(diff.name), source.table(diff.name)
+    changed = [c.name for c in diff.children if c.type == "Column" and c.kind == "Different" and (a := old.column(c.name)) and (b := new.column(c.name)) and (a.type != b.type or a.collation != b.collation)]
+    if not changed:
+        return
+    held = dependents(target, old, changed)
+    own = {(c.type, fold(c.name)) for c in diff.children if c.changed}
+    for table, fk in [(diff.name, k) for k in held.outbound] + list(held.inbound):
+        if fold(table) == fold(diff.name) and ("ForeignKey", fold(fk.name)) in own:
+            continue  # goes or comes by itself
+        of = qualify(*table.split("."))
+        out.steps.append(Step("DropForeignKeys", table, f"ALTER TABLE {of} DROP CONSTRAINT {quote(fk.name)}"))
+        out.steps.append(Step("AddForeignKeys", table, _add_key(of, fk)))
+    for check in held.checks:
+        if ("CheckConstraint", fold(check.name)) not in own:
+            out.steps.append(Step("DropForeignKeys", diff.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(check.name)}"))
+            out.steps.append(Step("CheckConstraints", diff.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(check.name)} CHECK ({check.expression})"))
+    for unique in held.uniques:
+        if ("UniqueConstraint", fold(unique.name)) not in own:
+            out.steps.append(Step("DropForeignKeys", diff.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(unique.name)}"))
+            out.steps.append(Step("Keys", diff.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(unique.name)} UNIQUE ({', '.join(map(quote, unique.columns))})"))
+    if held.primary_key:
+        out.refusals.append(f"{diff.name}: its primary key holds {', '.join(changed)}; the table has to be rebuilt for this")
+    out.refusals += [f"{diff.name}.{c.name}: computed from {', '.join(changed)}; the table has to be rebuilt for this" for c in held.computed]
+    out.warnings += [f"{m} reads {diff.name}, of which {', '.join(changed)} changes" for m in held.modules]
+
+
 def _add_key(name: str, fk) -> str:
     columns, parents = (", ".join(map(quote, c)) for c in (fk.columns, fk.parent_columns))
     return f"ALTER TABLE {name} ADD CONSTRAINT {quote(fk.name)} FOREIGN KEY ({columns}) REFERENCES {qualify(*fk.parent.split('.'))} ({parents})" + "".join(f" ON {event} {action}" for event, action in (("DELETE", fk.on_delete), ("UPDATE", fk.on_update)) if action.upper() != "NO ACTION")

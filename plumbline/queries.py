@@ -6,6 +6,7 @@ string is changed where it is one of 7, and copies under key + 10^9 are added wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,10 @@ from .functions.predicate import to_spark
 from .model import Column, ForeignKey, Table, TypeSpec
 from .operators import closure, columns, compare, drift, keys, screen
 from .plans import instances, ordering, schema_diff, script, sizes
+from .sources import catalog
 from .sources.catalog import ParquetDatabase
+from .sources.snapshot import SnapshotTable
+from .sources.store import shared_dir
 
 FAR = 1_000_000_000
 
@@ -581,3 +585,39 @@ def instance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" union all ".join(f"select '{n}' as table_name, count(*) as row_count from {n}" for n in sorted([*TABLES, "embeddings"])))
 def volume_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ParquetDatabase(spark, sf_dir).volume().select("table_name", "row_count")
+
+
+_KEYS = [(n, "primary key", "", t.key) for n, t in TABLES.items() if t.key] + [(n, "foreign key", k, (c,)) for n, ks in FOREIGN_KEYS.items() for k, c, _, _ in ks]
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{kind}', '{name}', '{','.join(cols)}')" for n, kind, name, cols in _KEYS) + ") as t(table_name, kind, constraint_name, columns)")
+def catalog_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.constraints_frame(spark, _schema(spark, sf_dir)).withColumn("columns", F.array_join("columns", ","))
+
+
+@query(
+    "select t.table_name, t.column_name, coalesce(string_agg(distinct k.kind, ',' order by k.kind), '') as keys from (values "
+    + ", ".join(f"('{n}', '{c}')" for n, t in TABLES.items() for c in t.names)
+    + ") as t(table_name, column_name) left join (values "
+    + ", ".join(f"('{n}', '{kind}', '{c}')" for n, kind, _, cols in _KEYS for c in cols)
+    + ") as k(table_name, kind, column_name) using (table_name, column_name) group by all"
+)
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.catalog_frame(spark, _schema(spark, sf_dir)).where("table_name <> 'embeddings'")
+    return found.select("table_name", "column_name", F.array_join("keys", ",").alias("keys"))
+
+
+@query(f"select o_orderkey, 'o_orderstatus' as changed, 4 as unchanged from ({_UPDATED})")
+def row_details_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.row_details(*sides(spark, sf_dir, "orders"), request("orders"), None)
+    return found.select("o_orderkey", F.array_join("changed", ",").alias("changed"), "unchanged")
+
+
+@query("select case when n_nationkey % 10 = 0 then n_nationkey + 100 else n_nationkey end::bigint as n_nationkey, n_name as title, null::varchar as note from nation")
+def rebuild_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose columns change in type and name, as a new version with all its rows."""
+    table = SnapshotTable(spark, f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}")
+    nation = read(spark, sf_dir, "nation")
+    table.write(nation.withColumn("n_nationkey", F.when(F.col("n_nationkey") % 10 == 0, F.col("n_nationkey") + 100).otherwise(F.col("n_nationkey"))))
+    table.rebuild({"n_nationkey": "bigint", "title": "string", "note": "string"}, {"title": "n_name"})
+    return table.read()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.predicate import to_spark
 from .model import Schema, fold
 from .operators import closure, columns, compare, drift, keys, screen
-from .plans import collation, guards, schema_diff, script, selection, sizes
+from .plans import collation, detail, fk_map, guards, schema_diff, script, selection, sizes
 from .sources.catalog import ParquetDatabase
 from .sources.snapshot import SnapshotTable
 from .sources.store import materialize
@@ -44,6 +44,7 @@ class CompareSession:
     exclusions: list[selection.Exclusion] = field(default_factory=list)
     reviewed: DataFrame | None = None
     script_bytes: int = 0
+    scanned: list[tuple[str, str, str]] | None = None
 
     def __post_init__(self) -> None:
         self.source_schema: Schema = self.source.schema()
@@ -74,15 +75,87 @@ class CompareSession:
             if why := keys.verdict(row["row_count"], row["distinct_count"], row["null_key_count"]):
                 raise NotComparable(f"{side}: {why}")
         self.key_overrides[fold(table)] = tuple(chosen)
+        self.scanned = None
 
     # Data.
 
-    def scan(self) -> DataFrame:
-        """State and reason of every table."""
+    def volumes(self) -> list[dict]:
+        """Rows and bytes of every source table on both sides, its key and whether that is declared; the largest first."""
+        here, there = ({r["table_name"]: r for r in d.volume().collect()} for d in (self.source, self.target))  # a row a table
+        out = []
+        for table in self.source_schema.tables:
+            a, b, key = here[table.name], there.get(table.name), self.key(table.name)
+            state = "none" if not key else "chosen" if fold(table.name) in self.key_overrides else "declared"
+            sizes_ = {f"{side}_{n}": (r[f"{'row_count' if n == 'rows' else 'data_bytes'}"] if r else 0) for side, r in (("source", a), ("target", b)) for n in ("rows", "bytes")}
+            out.append({"table": table.name, **sizes_, "key": key, "key_state": state, "on_target": b is not None})
+        return sorted(out, key=lambda r: (-r["source_bytes"], r["table"]))
+
+    def fk_map(self, table: str, depth: int = 1, direction: str = "both") -> fk_map.FkMap:
+        """The neighbourhood of a table, with what the comparison says of it."""
+        return fk_map.fk_map(self.source_schema, self.target_schema, self.schema_diff(), table, depth, direction)
+
+    def detail(self, name: str) -> dict:
+        """An object's difference in words, and both sides as text."""
+        diff = next(d for d in self.schema_diff() if fold(d.name) == fold(name))
+        return {"summary": detail.summary(diff)} | {side: self._text_of(schema, name) for side, schema in (("source", self.source_schema), ("target", self.target_schema))}
+
+    @staticmethod
+    def _text_of(schema: Schema, name: str) -> str | None:
+        if table := schema.table(name):
+            return detail.sketch(table)
+        return next((m.body for m in schema.modules if fold(m.name) == fold(name)), None)
+
+    # What of the schemas is in the plan.
+
+    def tick(self, name: str, chosen: bool = True) -> dict:
+        """Puts an object that differs into the plan, or takes it out; returns the selection's state."""
+        unit = next((u for u in selection.schema_units(self.schema_diff()) if fold(u.object) == fold(name)), None)
+        if unit is None:
+            raise ValueError(f"{name} has no difference to be planned")
+        own = selection.Selection(selection.TABLE, unit.object)
+        self.exclusions = [e for e in self.exclusions if (fold(e.object), e.kind) != (fold(unit.object), unit.kind)]
+        if not chosen:
+            self.selections = [s for s in self.selections if not (s.scope == selection.TABLE and fold(s.object or "") == fold(name))]
+        covered = any(s.covers(own) for s in self.selections)
+        if chosen and not covered:
+            self.selections.append(own)
+        elif not chosen and covered:  # by the whole database, from which it is left out
+            self.exclusions.append(selection.Exclusion(unit.object, unit.kind))
+        return self.selection_state()
+
+    def set_scope(self, whole: bool) -> dict:
+        """The whole database, or what is in the plan now as single picks; exclusions go."""
+        held = self._schema_plan()[1]
+        self.exclusions.clear()
+        self.selections[:] = [selection.Selection(selection.DATABASE)] if whole else [selection.Selection(selection.TABLE, n) for n in dict.fromkeys(u.object for u in held.units)]
+        return self.selection_state()
+
+    def selection_state(self) -> dict:
+        """What is in the plan, what else that needs, and what stands against it."""
+        diffs, plan = self._schema_plan()
+        needed = selection.close_schema(plan, self.source_schema, self.target_schema, diffs)
+        made = script.schema_script(plan, self.source_schema, self.target_schema, diffs)
+        return {
+            "scope": "Database" if any(s.scope == selection.DATABASE for s in self.selections) else "Picked",
+            "selected": sorted(u.object for u in plan.units),
+            "required": needed.required,
+            "conflicts": needed.unsatisfiable + [f"{a} is needed by {b} but excluded" for a, b in needed.blocked] + made.refusals,
+            "exclusions": list(self.exclusions),
+        }
+
+    def _schema_plan(self) -> tuple[list[schema_diff.ObjectDiff], selection.Plan]:
+        diffs = self.schema_diff()
+        return diffs, selection.compile_plan(selection.schema_units(diffs), self.selections, self.exclusions)
+
+    def scan(self, again: bool = False) -> DataFrame:
+        """State and reason of every table, as found last unless asked again."""
+        schema = "table_name string, state string, reason string"
+        if self.scanned is not None and not again:
+            return self.source.spark.createDataFrame(self.scanned, schema)
         sides = [{n: d.table(n) for n in d.names()} for d in (self.source, self.target)]
         every = {n: self.key(n) for s in sides for n in s}
-        rows = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes)
-        return self.source.spark.createDataFrame(rows, "table_name string, state string, reason string")
+        self.scanned = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes)
+        return self.source.spark.createDataFrame(self.scanned, schema)
 
     def request(self, table: str, choice: TableChoice | None = None) -> compare.CompareRequest:
         """The checked request for a table: key, columns, collations, filter."""
@@ -162,8 +235,7 @@ class CompareSession:
 
     def script(self) -> script.Script:
         """Schema statements for the selection, data statements for chosen tables, warnings; remembers what was reviewed."""
-        diffs = self.schema_diff()
-        plan = selection.compile_plan(selection.schema_units(diffs), self.selections, self.exclusions)
+        diffs, plan = self._schema_plan()
         needed = selection.close_schema(plan, self.source_schema, self.target_schema, diffs)
         wanted = {fold(a) for a, _, _ in needed.required}
         closed = selection.Plan(plan.units + tuple(u for u in selection.schema_units(diffs) if fold(u.object) in wanted), plan.exclusions)
@@ -237,4 +309,5 @@ class CompareSession:
         for name in script.data_order(self.source_schema.tables)[1]:
             if name in changes and name in tables:
                 done[name] = tables[name].apply(changes[name], self._parent_key(name))
+        self.scanned = None
         return {"outcome": "Applied", "done": done, "warnings": parents.warnings}

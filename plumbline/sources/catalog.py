@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..model import Check, ForeignKey, Key, Module, Schema, Sequence, Table, TypeSpec, UserType, fold
 
 SIDECAR = "constraints.json"
+#: How names of system objects begin: they are in no comparison.
+HIDDEN = ("_", ".", "sys.", "information_schema.")
 
 
 class Provider(Protocol):
@@ -40,7 +42,7 @@ class ParquetDatabase:
     def names(self) -> list[str]:
         fs, where = _files(self.spark, self.path)
         found = [s.getPath().getName() for s in fs.listStatus(where)]
-        return sorted(n[: -len(".parquet")] for n in found if n.endswith(".parquet"))
+        return sorted(n[: -len(".parquet")] for n in found if n.endswith(".parquet") and not n.startswith(HIDDEN))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -130,7 +132,33 @@ def list_databases(spark: SparkSession, root: str) -> DataFrame:
     for status in fs.listStatus(where):
         if status.isDirectory():
             names = [s.getPath() for s in fs.listStatus(status.getPath())]
-            tables = [p for p in names if p.getName().endswith(".parquet")]
-            if tables:
+            tables = [p for p in names if p.getName().endswith(".parquet") and not p.getName().startswith(HIDDEN)]
+            if tables and not status.getPath().getName().startswith(HIDDEN):
                 rows.append((status.getPath().getName(), sum(fs.getContentSummary(p).getLength() for p in tables)))
     return spark.createDataFrame(rows, "name string, data_bytes bigint")
+
+
+def columns_frame(spark: SparkSession, schema: Schema) -> DataFrame:
+    """table_name, ordinal, column_name, type, nullable of all tables."""
+    rows = [(t.name, c.ordinal, c.name, str(c.type), c.nullable) for t in schema.tables for c in t.columns]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, type string, nullable boolean")
+
+
+def constraints_frame(spark: SparkSession, schema: Schema) -> DataFrame:
+    """table_name, kind, constraint_name, columns (in the constraint's order) of all keys."""
+    rows = []
+    for t in schema.tables:
+        keys = [("primary key", "", t.primary_key)] if t.primary_key else []
+        keys += [("unique", k.name, k.columns) for k in t.uniques] + [("index", k.name, k.columns) for k in t.indexes] + [("foreign key", k.name, k.columns) for k in t.foreign_keys]
+        rows += [(t.name, kind, name, i, c) for kind, name, columns in keys for i, c in enumerate(columns)]
+    of = spark.createDataFrame(rows, "table_name string, kind string, constraint_name string, place int, column_name string")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "column_name"))), lambda x: x["column_name"])
+    return of.groupBy("table_name", "kind", "constraint_name").agg(listed.alias("columns"))
+
+
+def catalog_frame(spark: SparkSession, schema: Schema) -> DataFrame:
+    """Every column with the kinds of keys that it is in, sorted; none is an empty list."""
+    held = constraints_frame(spark, schema).select("table_name", "kind", F.explode("columns").alias("column_name"))
+    kinds = held.groupBy("table_name", "column_name").agg(F.sort_array(F.collect_set("kind")).alias("keys"))
+    joined = columns_frame(spark, schema).join(kinds, ["table_name", "column_name"], "left")
+    return joined.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))

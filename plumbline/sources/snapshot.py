@@ -66,6 +66,19 @@ class SnapshotTable:
         return {"version": version, "rows": expected, "applied": by_op, "seconds": time.time() - started}
 
 
+    def rebuild(self, columns: dict[str, str], renamed: dict[str, str] | None = None) -> str:
+        """A new version with these columns (name: type, in order), from those of the same or the old name; new ones are null.
+
+        For changes that no statement makes. All rows are copied and counted before the pointer moves; a value that a type
+        can't hold fails the rebuild, and the old version stays.
+        """
+        before = self.read()
+        there = {c.lower(): c for c in before.columns}
+        old = {new: there.get((renamed or {}).get(new, new).lower()) for new in columns}
+        shown = [(F.col(f"`{old[c]}`") if old[c] else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+        return self.write(before.select(*shown), before.count())
+
+
 def stage(change_set: DataFrame, path: str) -> None:
     """The change set as files by operation, for changes too many to be statements."""
     change_set.withColumnRenamed("op", "_op").write.partitionBy("_op").parquet(path)

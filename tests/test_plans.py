@@ -138,7 +138,14 @@ def test_instances():
     pairs, problems = instances.match(["A", "b", "c"], ["a", "B2", "d"], [("b", "b2"), ("B", "d"), ("", "x"), ("c", "nope")])
     assert [(p.source, p.target, p.kind) for p in pairs] == [("A", "a", "ByName"), ("b", "B2", "Declared"), ("c", None, "SourceOnly"), (None, "d", "TargetOnly")]
     assert len(problems) == 3
-    assert instances.signal((1, 1, 1), (1, 1, 1)) == "alike" and instances.signal(None, (1, 1, 1)) == "unreadable" and instances.signal((2, 1, 1), (1, 1, 1)) == "more tables on source"
+    D = instances.Described
+    a = D(3, 2, 1, "ci")
+    cases = [(None, None, "NotCompared"), (a, D(3, 2, 1, "CI"), "CountsMatch"), (a, D(3, 2, 2, "ci"), "CountsDiffer"), (a, D(3, 2, 2, "cs"), "CollationDiffers"), (a, D(problem="no"), "Unreadable"), (a, D(3, 2, 1, "ci", accessible=False), "Unreadable"), (D(state="OFFLINE"), a, "Unreadable")]
+    for x, y, want in cases:
+        assert instances.signal(instances.Pair("a", "a", "ByName"), x, y)[0] == want
+    rows, problems = instances.survey({"A": a, "b": None}, {"a": a, "b": None, "c": a})
+    assert [(p.source, s) for p, s, _ in rows] == [("A", "CountsMatch"), ("b", "NotCompared"), (None, "TargetOnly")] and len(problems) == 1
+    assert "declare" in instances.survey({"x": a}, {"y": a})[1][0]
 
 
 def test_collations():
@@ -167,3 +174,67 @@ def test_tables_are_created_with_their_keys_and_altered_in_every_respect():
     for part in ("PRIMARY KEY (`id`)", "CONSTRAINT `once` UNIQUE (`p`)", "REFERENCES `p` (`id`) ON DELETE CASCADE ON UPDATE SET NULL", "ALTER COLUMN `a` SET NOT NULL", "ALTER COLUMN `a` SET DEFAULT 'x'", "ALTER COLUMN `b` TYPE STRING COLLATE UNICODE_CI", "ALTER COLUMN `c` DROP NOT NULL", "n.ix: an index has no counterpart"):
         assert part in sql, (part, sql)
     assert "ALTER COLUMN `a` TYPE" not in sql
+
+
+def _keyed():
+    from plumbline.model import Check, ForeignKey, Key, Module, Schema
+
+    number = TypeSpec("int")
+    top = Table("top", (Column("id", number, False),), ("id",))
+    mid = Table(
+        "mid", (Column("id", number, False), Column("top", number, False), Column("code", number, default="1"), Column("twice", number, computed="code * 2"), Column("more", number, computed="[twice] + 1")),
+        ("id",), (Key("u", ("code",)),), (Key("ix", ("top",), False, "code > 1"),), (ForeignKey("to_top", ("top",), "top", ("id",)),), (Check("positive", "CODE > 0"), Check("other", "top <> 'code'")),
+    )
+    low = Table("low", (Column("id", number, False), Column("code", number)), ("id",), (), (), (ForeignKey("to_mid", ("code",), "mid", ("code",)),))
+    loop = Table("loop", (Column("id", number, False), Column("low", number)), ("id",), (), (), (ForeignKey("to_low", ("low",), "low", ("id",)),))
+    return Schema("s", (top, mid, low, loop), (Module("VIEW", "v", "CREATE VIEW v AS SELECT code FROM mid", ("mid",)),))
+
+
+def test_dependents_of_a_column():
+    from plumbline.plans.dependents import dependents
+
+    schema = _keyed()
+    found = dependents(schema, schema.table("mid"), ["Code"])
+    assert [c.name for c in found.computed] == ["twice", "more"] and [c.name for c in found.defaults] == ["code"]
+    assert [k.name for k in found.indexes] == ["ix"] and [k.name for k in found.uniques] == ["u"] and found.primary_key == ()
+    assert [c.name for c in found.checks] == ["positive"] and found.outbound == () and [(t, k.name) for t, k in found.inbound] == [("low", "to_mid")] and found.modules == ("v",)
+    assert [k.name for k in dependents(schema, schema.table("mid"), ["top"]).outbound] == ["to_top"]
+    assert dependents(schema, schema.table("top"), [], [("ID",)]).inbound[0][0] == "mid"
+
+
+def test_keys_are_bracketed_round_a_changed_column():
+    from dataclasses import replace
+
+    from plumbline.plans import schema_diff, script, selection
+
+    source = target = _keyed()
+    mid = source.table("mid")
+    columns = tuple(replace(c, type=TypeSpec("bigint")) if c.name == "code" else c for c in mid.columns)
+    source = replace(source, tables=tuple(replace(mid, columns=columns, checks=(*mid.checks, Check("new", "id > 0"))) if t.name == "mid" else t for t in source.tables))
+    diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
+    plan = selection.compile_plan(selection.schema_units(diffs), [selection.Selection(selection.DATABASE)], [])
+    made = script.schema_script(plan, source, target, diffs)
+    sql = [s.sql for s in made.ordered()]
+    at = lambda part: next(i for i, s in enumerate(sql) if part in s)
+    assert at("`low` DROP CONSTRAINT `to_mid`") < at("TYPE BIGINT") < at("`low` ADD CONSTRAINT `to_mid`")
+    assert at("DROP CONSTRAINT `u`") < at("TYPE BIGINT") < at("ADD CONSTRAINT `u` UNIQUE (`code`)")
+    assert at("DROP CONSTRAINT `positive`") < at("TYPE BIGINT") < at("ADD CONSTRAINT `positive` CHECK") and at("ADD CONSTRAINT `new` CHECK (id > 0)")
+    assert any("twice" in r for r in made.refusals) and any(w.startswith("v reads mid") for w in made.warnings)
+
+
+def test_fk_map_and_words():
+    from dataclasses import replace
+
+    from plumbline.plans import detail, fk_map, schema_diff
+
+    source = _keyed()
+    target = replace(source, tables=(source.tables[0], replace(source.tables[1], checks=()), *source.tables[3:]))
+    diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
+    found = fk_map.fk_map(source, target, diffs, "MID", 2, "parents")
+    assert [(n.table, n.band, n.state) for n in found.nodes] == [("top", -1, "Untouched"), ("mid", 0, "Focus")] and found.nodes[1].note == "will be altered"
+    assert [(e.child, e.parent, e.nullable, e.in_cycle) for e in found.edges] == [("mid", "top", False, False)]
+    assert len(found.notes) == 3 and "2 children aren't shown" in found.notes[0] and found.cyclic == ()
+    assert [n.state for n in fk_map.fk_map(source, target, diffs, "mid", 1).nodes] == ["Untouched", "Focus", "InPlan"]
+    by = {d.name: detail.summary(d) for d in diffs}
+    assert by["mid"] == "2 constraints differ" and by["low"] == "only on source" and by["top"] == "identical"
+    assert "  FOREIGN KEY to_top (top) REFERENCES top (id)\n" in detail.sketch(source.table("mid")) and "  id INT NOT NULL\n" in detail.sketch(source.table("top"))

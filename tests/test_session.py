@@ -120,3 +120,21 @@ def test_a_table_that_fails_while_read_takes_only_itself_down(spark, session, tm
     path.write_bytes(b"PAR1" + b"x" * 50 + b"PAR1")
     states = {r.table_name: (r.state, r.reason) for r in session.scan().collect()}
     assert states["category"][0] == "differs" and states["company"][0] == "not comparable"
+
+
+def test_selection_volumes_details_and_cached_scan(spark, session, tmp_path):
+    spark.createDataFrame([(1,)], "id int").write.parquet(f"{tmp_path}/source/fresh.parquet")
+    session = CompareSession(session.source, session.target)
+    assert session.tick("fresh")["selected"] == ["fresh"] and session.set_scope(True)["scope"] == "Database"
+    state = session.tick("fresh", False)
+    assert state["selected"] == [] and [e.object for e in state["exclusions"]] == ["fresh"]
+    assert session.tick("fresh")["selected"] == ["fresh"] and session.set_scope(False) == session.selection_state() and session.exclusions == []
+    with pytest.raises(ValueError):
+        session.tick("category")
+    volumes = {r["table"]: r for r in session.volumes()}
+    assert volumes["company"]["source_rows"] == 2 and volumes["company"]["target_rows"] == 1 and volumes["keyless"]["key_state"] == "none" and not volumes["fresh"]["on_target"]
+    assert session.detail("fresh")["summary"] == "only on source" and session.detail("fresh")["target"] is None
+    first = session.scan().collect()
+    spark.createDataFrame([(9, "new")], "id int, name string").write.mode("append").parquet(f"{tmp_path}/target/category.parquet")
+    assert session.scan().collect() == first and session.fk_map("company").nodes[0].table == "category"
+    assert session.scan(again=True).count() == len(first)

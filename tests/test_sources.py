@@ -88,3 +88,58 @@ def test_partitioning_changes_nothing(spark):
     a = queries.screen.fingerprint(orders, orders.columns).first()
     b = queries.screen.fingerprint(orders.repartition(7).orderBy(F.desc("o_custkey")), orders.columns).first()
     assert a == b
+
+
+def test_catalog_of_keys_types_and_hidden_names(spark, tmp_path):
+    import json
+
+    from plumbline.sources import catalog
+    from plumbline.sources.catalog import ParquetDatabase
+
+    for name in ("t", "_hidden", "p"):
+        spark.createDataFrame([(1, 2, "x")], "b int, a int, s string").write.parquet(f"{tmp_path}/{name}.parquet")
+    held = {
+        "t": {"primary_key": ["b", "a"], "indexes": [{"name": "ix", "columns": ["s", "a"], "included": ["b"]}], "foreign_keys": [{"name": "f", "columns": ["a"], "parent": "p", "parent_columns": ["b"], "on_delete": "CASCADE", "disabled": True}], "columns": {"S": {"default": "'q'", "collation": "UNICODE"}}},
+        "modules": [{"kind": "VIEW", "name": "v", "body": "CREATE VIEW v AS SELECT * FROM [t] JOIN p ON 1 = 1 JOIN t ON 1 = 1"}],
+        "types": [{"name": "mood", "kind": "enum", "shape": "good,bad"}], "sequences": [{"name": "q", "increment": 5}],
+    }
+    (tmp_path / "constraints.json").write_text(json.dumps(held))
+    schema = ParquetDatabase(spark, str(tmp_path)).schema()
+    assert [t.name for t in schema.tables] == ["p", "t"] and schema.modules[0].depends_on == ("t", "p") and schema.types[0].shape == "good,bad" and schema.sequences[0].increment == 5
+    t = schema.table("t")
+    assert t.indexes[0].included == ("b",) and t.foreign_keys[0].on_delete == "CASCADE" and t.foreign_keys[0].disabled and t.column("s").default == "'q'"
+    keys = {(r.table_name, r.kind): r["columns"] for r in catalog.constraints_frame(spark, schema).collect()}
+    assert keys == {("t", "primary key"): ["b", "a"], ("t", "index"): ["s", "a"], ("t", "foreign key"): ["a"]}
+    assert {(r.table_name, r.column_name): r["keys"] for r in catalog.catalog_frame(spark, schema).collect()}[("t", "a")] == ["foreign key", "index", "primary key"]
+
+
+def test_profiles_and_recent_pairs(spark, tmp_path):
+    from plumbline.sources.profiles import JsonFiles, RecentPairs
+
+    files = JsonFiles(spark, f"{tmp_path}/profiles")
+    assert files.names() == [] and files.load("a") is None
+    files.save("a", {"x": 1})
+    files.save("a", {"x": 2})
+    assert files.load("a") == {"x": 2} and files.names() == ["a"] and files.delete("a") and not files.delete("a")
+    with pytest.raises(ValueError):
+        files.save("../a", 1)
+    recent = RecentPairs(spark, f"{tmp_path}/profiles")
+    for i in [*range(12), 5]:
+        recent.add(f"S{i}", "t")
+    assert recent.all()[0] == ("S5", "t") and len(recent.all()) == 10
+    recent.add("s11", "T")
+    assert recent.all()[0] == ("s11", "T") and len(recent.all()) == 10
+
+
+def test_rebuild_keeps_every_row_or_the_old_version(spark, tmp_path):
+    from plumbline.sources.snapshot import SnapshotTable
+
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    table.write(spark.createDataFrame([(1, "5"), (2, None)], "id int, n string"))
+    table.rebuild({"id": "bigint", "m": "int", "fresh": "string"}, {"m": "N"})
+    assert [tuple(r) for r in table.read().orderBy("id").collect()] == [(1, 5, None), (2, None, None)] and table.read().schema["id"].dataType.simpleString() == "bigint"
+    table.write(spark.createDataFrame([(1, "no number")], "id int, n string"))
+    version = table.version()
+    with pytest.raises(Exception):
+        table.rebuild({"id": "int", "n": "int"})
+    assert table.version() == version
