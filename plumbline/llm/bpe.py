@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 #: Longer pre-tokens aren't cached.
 CACHE_LENGTH = 64
 
@@ -70,7 +70,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     for i, rank in enumerate(waiting):
         if rank >= 0:
             if rank in buckets:
-                heappush(buckets[rank], i)
+                buckets[rank].append(i)  # in order, so it is a heap
             else:
                 buckets[rank] = [i]
                 word = rank >> 8
@@ -126,38 +126,61 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     return ids
 
 
-class Encoder(dict):
-    """pre-token -> tuple of ids; misses are merged and cached."""
+class Pieces(dict):
+    """pre-token -> what make says of it, kept in two generations: what is met again comes back from the older one."""
+
+    def __init__(self, make: Callable[[str], tuple]) -> None:
+        super().__init__()
+        self.make = make
+        self.old: dict[str, tuple] = {}
+
+    def __missing__(self, piece: str) -> tuple:
+        found = self.old.pop(piece, None)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Encoder:
+    """Ids of texts and texts of ids; pre-tokens are merged where they are met first."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        super().__init__()
-        self.old: dict[str, tuple[int, ...]] = {}  # the cache's generation before; what is met again comes back
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.queue = RankQueue(ranks)
         self.vocabulary = {i: token for token, i in ranks.items()}
         self.decimal = {i: str(i) for i in self.vocabulary}
+        self.ids = Pieces(self.ids_of)
+        self.written = Pieces(self.written_of)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.pop(piece, None)
-        if ids is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            rank = self.ranks.get(data)
-            ids = (rank,) if rank is not None else tuple(merge(data, self.ranks, self.queue))
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "surrogatepass")
+        rank = self.ranks.get(data)
+        return (rank,) if rank is not None else tuple(merge(data, self.ranks, self.queue))
+
+    def written_of(self, piece: str) -> tuple[int, str, bytes]:
+        """Number of ids, the ids in decimal, and the bytes that they decode to."""
+        ids = self.ids_of(piece)
+        return len(ids), " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+        return list(chain.from_iterable(map(self.ids.__getitem__, self.split(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids; SHA-256 of the ids in decimal, joined by a space, and of what they decode to."""
+        found = [self.written[p] for p in self.split(text)]
+        ids, decoded = " ".join([x[1] for x in found]), b"".join([x[2] for x in found])
+        return sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
 
 def read_file(spark: SparkSession, path: str) -> bytes:
     """A small file of the driver's machine."""
@@ -194,10 +217,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
                 part = batch.slice(at, 256)
                 columns: list[list] = [[] for _ in made]
                 for value in part.column(len(kept)):
-                    ids = encoder.encode(value.as_py() or "")
+                    whole = value.as_py() or ""
                     if digests:
-                        out = (len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
+                        out = encoder.digests(whole)
                     else:
+                        ids = encoder.encode(whole)
                         out = (ids, encoder.decode(ids))
                     for column, x in zip(columns, out):
                         column.append(x)
