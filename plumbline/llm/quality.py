@@ -243,4 +243,6 @@ def assess(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
 def keep(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang", refs: DataFrame | None = None) -> DataFrame:
     """The documents that pass, with all their columns unchanged. refs: as for assess."""
     rows = _measured(docs, docs.columns, rules, text, lang, refs)
-    return rows.where(_verdict(F.col("__m"), rules)["kept"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # unwritten measures are one expression, so that a filter pushed about evaluates it once
+    kept = _verdict(F.col("__m"), rules)["kept"] if refs is None else let(F.col("__m"), lambda m: _verdict(m, rules)["kept"])
+    return rows.where(kept).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
