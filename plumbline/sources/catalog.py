@@ -91,11 +91,47 @@ class ParquetDatabase:
             return {"name": self.path, "tables": 0, "modules": 0, "bytes": 0, "problem": str(e).splitlines()[0]}
 
 
+class CatalogDatabase(ParquetDatabase):
+    """The tables and views of a database in Spark's catalog, in whatever format they are stored; constraints as given."""
+
+    def __init__(self, spark: SparkSession, database: str, constraints: dict | None = None) -> None:
+        super().__init__(spark, database, constraints or {})
+        self.database = database
+
+    def _listed(self, views: bool) -> list[str]:
+        found = [t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and (t.tableType == "VIEW") == views]
+        return sorted(n for n in found if not n.startswith(HIDDEN))
+
+    def names(self) -> list[str]:
+        return self._listed(False)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(f"`{self.database}`.`{name}`")
+
+    def constraints(self) -> dict:
+        """As given, with the views and their texts as modules."""
+        views = [{"kind": "VIEW", "name": n, "body": self.spark.sql(f"SHOW CREATE TABLE `{self.database}`.`{n}`").first()[0]} for n in self._listed(True)]
+        return {**self._given, "modules": [*self._given.get("modules", []), *views]}
+
+    def bytes_of(self, name: str) -> int:
+        sizes = [_files(self.spark, f) for f in self.table(name).inputFiles()]
+        return sum(fs.getContentSummary(where).getLength() for fs, where in sizes)
+
+
+def open_database(spark: SparkSession, kind: str, where: str, constraints: dict | None = None) -> Provider:
+    """A provider by name: parquet (a folder) or catalog (a database of Spark's catalog)."""
+    known = {"parquet": ParquetDatabase, "catalog": CatalogDatabase}
+    if kind not in known:
+        raise ValueError(f"{kind!r} is no kind of database; those are {', '.join(known)}")
+    return known[kind](spark, where, constraints)
+
+
 def _depends(module: dict, known: set[str]) -> tuple[str, ...]:
     """What a module needs: as stated, and every known name that its text has after FROM or JOIN."""
     stated = dict.fromkeys(module.get("depends_on", ()))
     for name in re.findall(r"(?i)\b(?:from|join)\s+([\w.`\[\]\"]+)", module["body"]):
         plain = re.sub(r"[`\[\]\"]", "", name)
+        plain = plain if fold(plain) in known else plain.rpartition(".")[2]
         if fold(plain) in known and fold(plain) != fold(module["name"]) and fold(plain) not in {fold(n) for n in stated}:
             stated[plain] = None
     return tuple(stated)

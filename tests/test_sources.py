@@ -143,3 +143,19 @@ def test_rebuild_keeps_every_row_or_the_old_version(spark, tmp_path):
     with pytest.raises(Exception):
         table.rebuild({"id": "int", "n": "int"})
     assert table.version() == version
+
+
+def test_tables_of_the_catalog(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS held LOCATION '{tmp_path}/held'")
+    try:
+        spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").write.format("json").saveAsTable("held.things")
+        spark.sql("CREATE VIEW held.some AS SELECT id FROM held.things WHERE id > 1")
+        base = catalog.open_database(spark, "catalog", "held", {"things": {"primary_key": ["id"]}})
+        schema = base.schema()
+        assert base.names() == ["things"] and schema.table("things").primary_key == ("id",) and schema.modules[0].name == "some" and schema.modules[0].depends_on == ("things",)
+        row = base.volume().first()
+        assert row.row_count == 2 and row.data_bytes > 0 and base.table("things").count() == 2
+        with pytest.raises(ValueError):
+            catalog.open_database(spark, "other", "x")
+    finally:
+        spark.sql("DROP DATABASE held CASCADE")
