@@ -152,9 +152,20 @@ class CompareSession:
         schema = "table_name string, state string, reason string"
         if self.scanned is not None and not again:
             return self.source.spark.createDataFrame(self.scanned, schema)
-        sides = [{n: d.table(n) for n in d.names()} for d in (self.source, self.target)]
+        failed: dict[str, str] = {}
+        sides: list[dict[str, DataFrame]] = [{}, {}]
+        for side, database in zip(sides, (self.source, self.target)):
+            for name in database.names():
+                try:
+                    side[name] = database.table(name)
+                except Exception as e:  # noqa: BLE001  reported, not fatal
+                    failed[name] = f"could not be read: {type(e).__name__}"
+        for side in sides:
+            for name in failed:
+                side.pop(name, None)
         every = {n: self.key(n) for s in sides for n in s}
-        self.scanned = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes)
+        rows = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes) if any(sides) else []
+        self.scanned = sorted(rows + [(n, "not comparable", why) for n, why in failed.items()])
         return self.source.spark.createDataFrame(self.scanned, schema)
 
     def request(self, table: str, choice: TableChoice | None = None) -> compare.CompareRequest:
