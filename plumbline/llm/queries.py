@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, suffix_dedup, token_counts
+from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, suffix_dedup, token_counts, variants
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -101,6 +101,11 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op13_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form and root of every word of all documents."""
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with recursive d as (
   select doc_id, coalesce(text, '') as t from documents
@@ -246,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_parts": op9_chat_parts,
     "op10_semi_markov_pii": op10_semi_markov_pii,
+    "op13_pivotal_variants": op13_pivotal_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
