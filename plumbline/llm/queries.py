@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, minhash, pii, quality, sharding, suffix_dedup, token_counts, variants
+from . import bpe, chat, decontaminate, html_extract, minhash, phrases, pii, quality, sharding, suffix_dedup, token_counts, variants
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -101,6 +101,11 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op11_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language."""
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form and root of every word of all documents."""
     return variants.group(_table(spark, sf_dir, "documents"))
@@ -240,6 +245,36 @@ from e group by conv_id
 """
 
 
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents
+), w as materialized (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(pieces) as piece from d)
+), f1 as materialized (
+  select lang, x, count(*) as f from (select lang, unnest(w) as x from w) group by all
+), f2 as materialized (
+  select lang, w[i] as x, w[i + 1] as y, count(*) as f from (select lang, w, unnest(range(1, len(w))) as i from w) group by all having count(*) >= 10
+), f3 as materialized (
+  select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z, count(*) as f from (select lang, w, unnest(range(1, len(w) - 1)) as i from w) group by all having count(*) >= 10
+), two as (
+  select f2.lang, x || ' ' || y as phrase, f2.f as a, p.f as l, q.f as r
+  from f2 join f1 p using (lang, x) join f1 q on q.lang = f2.lang and q.x = f2.y
+  where not exists (select 1 from f3 where f3.lang = f2.lang and 100 * f3.f >= 50 * f2.f and ((f3.x = f2.x and f3.y = f2.y) or (f3.y = f2.x and f3.z = f2.y)))
+), cuts as (
+  select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z as phrase, f3.f as a, 1 as k, p.f as l, q.f as r from f3 join f1 p using (lang, x) join f2 q on q.lang = f3.lang and q.x = f3.y and q.y = f3.z
+  union all
+  select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, 2, p.f, q.f from f3 join f2 p using (lang, x, y) join f1 q on q.lang = f3.lang and q.x = f3.z
+), every as (
+  select lang, phrase, a, 1 as k, l, r, 1000000::hugeint * a * a // (l::hugeint * r) as score from two
+  union all select lang, phrase, a, k, l, r, 1000000::hugeint * a * a // (l::hugeint * r) from cuts
+), lowest as (
+  select * from every qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), total as (select lang, sum(f)::bigint as n from f1 group by lang)
+select lang, rank, phrase, a, l, r, n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest) join total using (lang) where rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_minimax_shards": op2_minimax_shards,
@@ -251,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_parts": op9_chat_parts,
     "op10_semi_markov_pii": op10_semi_markov_pii,
+    "op11_phrase_growth": op11_phrase_growth,
     "op13_pivotal_variants": op13_pivotal_variants,
 }
 
@@ -260,4 +296,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_divergence": _op5_sql(),
     "op7_winnowing": OP7_SQL,
     "op9_chat_parts": OP9_SQL,
+    "op11_phrase_growth": OP11_SQL,
 }
