@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, minhash, phrases, pii, quality, sharding, suffix_dedup, token_counts, variants
+from . import bpe, chat, decontaminate, html_extract, minhash, ngram_join, phrases, pii, quality, sharding, suffix_dedup, token_counts, variants
 
 
 def workers_find_us(spark: SparkSession) -> None:
@@ -106,6 +106,11 @@ def op11_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by links of common 4-word shingles."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op13_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form and root of every word of all documents."""
     return variants.group(_table(spark, sf_dir, "documents"))
@@ -275,6 +280,30 @@ from (select *, row_number() over (partition by lang order by score desc, a desc
 """
 
 
+OP12_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), k as (
+  select row_number() over (order by w) as k, w from (select distinct w from d)
+), s as materialized (
+  select distinct k, array_to_string(w[p:p + n - 1], ' ') as s from (select k, w, least(4, len(w)) as n, unnest(range(1, len(w) - least(4, len(w)) + 2)) as p from k where len(w) > 0)
+), z as materialized (select k, count(*) as n from s group by k),
+often as (select s from s group by s having count(*) > 1),
+o as materialized (select s.k, s.s from s join often using (s)),
+pairs as materialized (
+  select a, b from (select x.k as a, y.k as b, count(*) as c from o x join o y on x.s = y.s and x.k < y.k group by 1, 2) p join z za on za.k = a join z zb on zb.k = b where 100 * c >= 85 * (za.n + zb.n - c)
+), e as materialized (select a, b from pairs union all select b, a from pairs),
+r(k, root) as (
+  select k, k from k
+  union
+  select e.b, r.root from r join e on e.a = r.k where r.root < e.b
+), roots as (select k, min(root) as root from r group by k),
+m as (select d.doc_id, k.k, roots.root from d join k using (w) join roots using (k)),
+g as (select root, min(doc_id) as component_id from m group by root)
+select doc_id, coalesce(z.n, 0) as n_shingles, case when z.n is null then doc_id else component_id end as component_id from m join g using (root) left join z using (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_minimax_shards": op2_minimax_shards,
@@ -287,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_parts": op9_chat_parts,
     "op10_semi_markov_pii": op10_semi_markov_pii,
     "op11_phrase_growth": op11_phrase_growth,
+    "op12_vertical_join": op12_vertical_join,
     "op13_pivotal_variants": op13_pivotal_variants,
 }
 
@@ -297,4 +327,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_winnowing": OP7_SQL,
     "op9_chat_parts": OP9_SQL,
     "op11_phrase_growth": OP11_SQL,
+    "op12_vertical_join": OP12_SQL,
 }
