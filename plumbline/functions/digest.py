@@ -60,6 +60,16 @@ def row_hash(text: Column, algorithm: str = "sha256") -> Column:
     return F.md5(text.cast("binary")) if algorithm == "md5" else F.sha2(text.cast("binary"), 256)
 
 
+def pair_hash(text: Column) -> tuple[Column, Column]:
+    """128 bits of a row's text as two whole numbers, which aggregates hold at a fixed width."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def pair_hex(first: Column, second: Column) -> Column:
+    """Such a pair as 32 hex digits, lower case."""
+    return F.lower(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(second), 16, "0")))
+
+
 def fingerprint_hash(text: Column, algorithm: str = "xxhash64") -> Column:
     """A number for order-independent sums: 64 bits, or 32 of the MD5 where other engines must agree."""
     if algorithm == "md5":

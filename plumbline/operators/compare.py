@@ -1,20 +1,22 @@
 """Two tables, row by row: what to insert, update and delete to make the target like the source.
 
-One full outer join on the typed keys; a row's side is told by presence flags, never by null keys,
-and keys match null-safely. The rest of a row crosses the shuffle as a digest only. Under TopN and
-Filter a target row without a source row means nothing, so the join is a left outer one and the
-target is first cut down to the source's keys or the same predicate.
+Both sides are one stream of keys and digests, aggregated by key: how many rows each side has of it, and
+each side's digest. So one partial aggregate and one exchange find the classes, what is on one side only, and keys that repeat;
+no key is dealt twice and nothing is sorted. A repeated key fails the query that reads the result, by a message
+that names the side and the key. Null keys are keys. Under TopN and Filter a target row without a source
+row means nothing; the target is first cut down to the source's keys or the same predicate.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digest import render, row_hash, row_text
+from ..functions.digest import display, pair_hash, pair_hex, render, row_text
 
 CLASSES = ("Insert", "Update", "Delete", "Same")
 MODES = ("SchemaOnly", "AllRows", "TopN", "Filter")
@@ -51,15 +53,38 @@ def duplicate_keys(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumnRenamed("__n", "n")
 
 
-def refuse_duplicates(df: DataFrame, keys: Iterable[str], side: str) -> None:
-    """Raises, naming the side and one key, if a key repeats."""
-    if found := duplicate_keys(df, keys).head(1):
-        shown = ", ".join("NULL" if v is None else str(v) for v in found[0][:-1])
-        raise DuplicateKeys(f"the {side} has {found[0][-1]} rows of key ({shown})")
+def collected(df: DataFrame) -> list:
+    """The rows of a small result; a repeated key that it met is told as such."""
+    try:
+        return df.collect()
+    except Exception as e:
+        if found := re.search(r"the (source|target) has \d+ rows of key \(.*?\)(?=\s|$|\.)", str(e)):
+            raise DuplicateKeys(found[0]) from e
+        raise
 
 
-def _keyed(df: DataFrame, keys: tuple[str, ...], compared: list[str], profile: str) -> DataFrame:
-    return df.select(*[F.col(f"`{k}`") for k in keys], row_hash(row_text(df.schema, compared, profile)).alias("__hash"), F.lit(True).alias("__here"))
+#: Sides in the stream; HIDDEN are rows of the target that a filter leaves out.
+_SOURCE, _TARGET, _HIDDEN = 0, 1, 2
+
+
+def _keyed(df: DataFrame, keys: tuple[str, ...], compared: list[str], profile: str, side: Column) -> DataFrame:
+    first, second = pair_hash(row_text(df.schema, compared, profile))
+    return df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], first.alias("h1"), second.alias("h2"), side.cast("int").alias("side"))
+
+
+def _by_key(both: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """k0.., n_source, n_target, n_hidden, and the digests of either side."""
+    of = lambda side, h: F.max(F.when(F.col("side") == side, F.col(h)))
+    count = lambda side: F.count_if(F.col("side") == side)
+    digests = [of(side, h).alias(f"{name}{h}") for side, name in ((_SOURCE, "s_"), (_TARGET, "t_")) for h in ("h1", "h2")]
+    return both.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(count(_SOURCE).alias("n_source"), count(_TARGET).alias("n_target"), count(_HIDDEN).alias("n_hidden"), *digests)
+
+
+def _unique(rows: DataFrame, n_keys: int) -> DataFrame:
+    """rows; reading them fails at a key that repeats on a side."""
+    shown = display([F.col(f"k{i}") for i in range(n_keys)])
+    told = lambda side, n: F.raise_error(F.concat(F.lit(f"the {side} has "), F.col(n).cast("string"), F.lit(" rows of key ("), shown, F.lit(")"))).cast("boolean")
+    return rows.where(F.when(F.col("n_source") > 1, told("source", "n_source")).when(F.col("n_target") > 1, told("target", "n_target")).otherwise(True))
 
 
 def _same_keys(a: str, b: str, keys: Iterable[str]) -> Column:
@@ -80,36 +105,39 @@ def chosen_rows(source: DataFrame, target: DataFrame, request: CompareRequest) -
         return source.where(request.predicate), target.where(request.predicate)
     if request.mode == "TopN":
         source = top_by_key(source, request.keys, request.top)
+        # the limit bounds the size that Spark estimates, and by that it broadcasts these keys or doesn't
         wanted = source.select(*[F.col(f"`{k}`") for k in request.keys])
-        target = target.alias("t").join(F.broadcast(wanted).alias("w") if request.top <= 100_000 else wanted.alias("w"), _same_keys("t", "w", request.keys), "left_semi")
+        target = target.alias("t").join(wanted.alias("w"), _same_keys("t", "w", request.keys), "left_semi")
     return source, target
 
 
 def classify(source: DataFrame, target: DataFrame, request: CompareRequest, check_keys: bool = True, extra: bool = False) -> DataFrame:
-    """Keys, ``classification`` and ``target_hash`` (null for inserts) of every row.
+    """Keys, ``classification`` and ``target_hash`` (null for inserts) of every row. Runs nothing.
 
     With extra also ``key_exists_on_target``, which tells real inserts from rows whose target copy a
-    filter leaves out.
+    filter leaves out. Unless check_keys is off, reading the result fails where a key repeats.
     """
-    whole_target = target
     keys = request.keys
     compared = [c for c in (request.compared if request.compared is not None else source.columns) if c not in keys]
     if request.mode == "SchemaOnly":
         source, target = source.limit(0), target.limit(0)
-    source, target = chosen_rows(source, target, request)
+    side = F.lit(_TARGET)
+    if extra and request.mode == "Filter":
+        side = F.when(F.expr(request.predicate), F.lit(_TARGET)).otherwise(_HIDDEN)
+        source = source.where(request.predicate)
+    else:
+        source, target = chosen_rows(source, target, request)
+    both = _keyed(source, keys, compared, request.profile, F.lit(_SOURCE)).union(_keyed(target, keys, compared, request.profile, side))
+    rows = _by_key(both, keys)
+    if request.mode in ("TopN", "Filter"):
+        rows = rows.where("n_source > 0")
     if check_keys:
-        refuse_duplicates(source, keys, "source")
-        refuse_duplicates(target, keys, "target")
-    kinds = {"AllRows": "full_outer", "SchemaOnly": "full_outer"}
-    s, t = _keyed(source, keys, compared, request.profile).alias("s"), _keyed(target, keys, compared, request.profile).alias("t")
-    joined = s.join(t, _same_keys("s", "t", keys), kinds.get(request.mode, "left_outer"))
-    kind = F.when(F.col("t.__here").isNull(), "Insert").when(F.col("s.__here").isNull(), "Delete").when(F.col("s.__hash") == F.col("t.__hash"), "Same").otherwise("Update")
-    shown = [F.when(F.col("s.__here").isNotNull(), F.col(f"s.`{k}`")).otherwise(F.col(f"t.`{k}`")).alias(k) for k in keys]
-    rows = joined.select(*shown, kind.alias("classification"), F.col("t.__hash").alias("target_hash"))
-    if not extra:
-        return rows
-    there = whole_target.select(*[F.col(f"`{k}`") for k in keys], F.lit(True).alias("__there")).alias("w")
-    return rows.alias("r").join(there, _same_keys("r", "w", keys), "left_outer").select("r.*", F.col("w.__there").isNotNull().alias("key_exists_on_target"))
+        rows = _unique(rows, len(keys))
+    same = (F.col("s_h1") == F.col("t_h1")) & (F.col("s_h2") == F.col("t_h2"))
+    kind = F.when(F.col("n_target") == 0, "Insert").when(F.col("n_source") == 0, "Delete").when(same, "Same").otherwise("Update")
+    shown = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
+    more = [((F.col("n_target") > 0) | (F.col("n_hidden") > 0)).alias("key_exists_on_target")] if extra else []
+    return rows.select(*shown, kind.alias("classification"), F.when(F.col("n_target") > 0, pair_hex(F.col("t_h1"), F.col("t_h2"))).alias("target_hash"), *more)
 
 
 def counts(classified: DataFrame) -> DataFrame:

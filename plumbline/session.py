@@ -190,7 +190,7 @@ class CompareSession:
         """Counts, excluded columns, the first 200 changed cells and bytes to fetch."""
         request = self.request(table, choice)
         a, b = self.source.table(table), self.target.table(table)
-        counted = {r["classification"]: r["n"] for r in compare.counts(compare.classify(a, b, request)).collect()}
+        counted = {r["classification"]: r["n"] for r in compare.collected(compare.counts(compare.classify(a, b, request)))}
         resolved = columns.resolve(self.source_schema.table(table), self.target_schema.table(table), request.keys)
         return {
             "counts": counted,

@@ -56,10 +56,34 @@ def test_empty_sides(spark, pair):
 
 def test_duplicate_keys_are_refused_by_side(spark, pair):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], CATEGORY)
-    with pytest.raises(compare.DuplicateKeys, match="source"):
-        compare.classify(twice, pair[1], CompareRequest(("id",)))
-    with pytest.raises(compare.DuplicateKeys, match="target"):
-        compare.classify(pair[0], twice, CompareRequest(("id",)))
+    with pytest.raises(compare.DuplicateKeys, match=r"the source has 2 rows of key \(1\)"):
+        compare.collected(compare.classify(twice, pair[1], CompareRequest(("id",))))
+    with pytest.raises(compare.DuplicateKeys, match="the target has 2"):
+        compare.collected(compare.counts(compare.classify(pair[0], twice, CompareRequest(("id",)))))
+    assert len(compare.classify(twice, pair[1], CompareRequest(("id",)), check_keys=False).collect()) == 3
+
+
+def test_a_compare_is_one_exchange_and_runs_nothing_while_built(spark, tmp_path):
+    schema = "a int, b string, c string, d double"
+    for side in ("s", "t"):
+        spark.createDataFrame([(1, "x", "y", 1.0), (None, None, "z", 2.0)], schema).write.parquet(f"{tmp_path}/{side}")
+    sides = [spark.read.parquet(f"{tmp_path}/{s}") for s in ("s", "t")]
+    for request, extra in ((CompareRequest(("a", "b")), False), (CompareRequest(("a", "b"), mode="Filter", predicate="d > 0"), False), (CompareRequest(("a", "b"), mode="Filter", predicate="d > 0"), True)):
+        group = f"built {request.mode} {extra}"
+        spark.sparkContext.setJobGroup(group, "")
+        found = compare.classify(*sides, request, extra=extra)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("Exchange") == 1 and "Join" not in plan and "Sort" not in plan
+        assert {r.classification for r in found.collect()} == {"Same"}
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_only_the_target_s_width_decides_whether_wanted_keys_are_sent_to_all(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id as string) as s").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    plan = lambda top: compare.classify(rows, rows, CompareRequest(("id",), mode="TopN", top=top))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(100) and "BroadcastHashJoin" not in plan(100_000_000)
 
 
 def test_null_empty_and_position_differ(spark):
