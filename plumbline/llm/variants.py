@@ -3,9 +3,11 @@
 Two words are near if one inserted, deleted or replaced code point makes one of the other. Bigrams are put in
 one order, rare ones first. A word's prefix are its three rarest bigrams (and what ties with the third); its pivots
 are two of them that share no code point, chosen by dynamic programming for the least sum of ranks. One edit leaves one of two disjoint bigrams whole, so of two near words the one whose prefix
-ends earlier in the order has a pivot in the other's prefix. It also hardly moves it: with an equal length the bigram
-stands at the same place, in a longer word there or one further, in a shorter one there or one before. So pivots
-meet prefixes in an equi-join on bigram, length and place, and what meets is verified by edit distance.
+ends earlier in the order has a pivot in the other's prefix. It also hardly moves it, and leaves the word whole on
+one side of it. If the edit comes after the bigram, this stands at the same place and the words are alike up to its end; if
+before, it stands as many places further as the other word is longer, and they are alike from it on. So pivots meet
+prefixes in an equi-join on place, length and the hash of the whole side, bigram included, and what meets is
+verified by edit distance.
 
 Bigrams of the alphabet are 8,100 at most, so their frequencies are broadcast. All else is joined and counted by key.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .store import discard, materialize
 
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +76,7 @@ def choose_pivots(places: list[int], costs: list[int], count: int, width: int =
 
 
 def _signed(grams: DataFrame) -> DataFrame:
-    """(word, last, gram, place, pivot) from (word, ranked array of (rank, gram, place)); last: rank of the prefix's last gram."""
+    """(word, last, left, right, place, pivot) of prefix grams; last: rank of the prefix's last gram; left, right: hashes of the word up to the gram's end and from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,14 +85,24 @@ def _signed(grams: DataFrame) -> DataFrame:
                 order = sorted(range(len(ranks)), key=ranks.__getitem__)
                 last = ranks[order[2]]
                 prefix = sorted((i for i in order if ranks[i] <= last), key=places.__getitem__)
+                left, right = _sides(word, [places[i] for i in prefix])
                 pivots = set(choose_pivots([places[i] for i in prefix], [ranks[i] for i in prefix], 2)) if len(prefix) < 1000 else _far_apart(places, prefix, order)
-                rows += ((word, last, ranks[i], places[i], j in pivots) for j, i in enumerate(prefix))
+                rows += ((word, last, left[j], right[j], places[i], j in pivots) for j, i in enumerate(prefix))
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    return grams.select("word", "ranks", "places").mapInArrow(run, "word string, last int, gram int, place int, pivot boolean")
+    return grams.select("word", "ranks", "places").mapInArrow(run, "word string, last int, left long, right long, place int, pivot boolean")
+
+
+def _sides(word: str, places: list[int]) -> tuple[list[int], list[int]]:
+    """Hashes of word up to the end of the bigram at each place (from 1), and from its start on."""
+    sums = [0]
+    for c in word:
+        sums.append((sums[-1] * _BASE + ord(c)) % _PRIME)
+    n = len(word)
+    return [sums[p + 1] for p in places], [(sums[n] - sums[p - 1] * pow(_BASE, n - p + 1, _PRIME)) % _PRIME for p in places]
 
 
 def _far_apart(places: list[int], prefix: list[int], order: list[int]) -> set[int]:
@@ -100,9 +113,9 @@ def _far_apart(places: list[int], prefix: list[int], order: list[int]) -> set[in
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 5
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "last", "gram", "place", "pivot"])
+    columns = list(zip(*rows)) or [()] * 6
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "last", "left", "right", "place", "pivot"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -115,10 +128,11 @@ def near_words(words: DataFrame) -> DataFrame:
     ranked = grams.join(F.broadcast(rank), F.col("g") == F.col("gram")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("place"), "rank"))).alias("r"))
     signed, path = materialize(_signed(ranked.select("word", F.col("r.rank").alias("ranks"), F.col("r.place").alias("places"))), "pivots")
     length = F.length("word")
-    shifts = F.array(*[F.struct((length + dl).alias("length"), (F.col("place") + dp).alias("place")) for dl, dp in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-    pivots = signed.where("pivot").select("word", "last", "gram", F.explode(shifts).alias("s")).select("word", "last", "gram", "s.*")
-    x, y = pivots.alias("x"), signed.select("word", "last", "gram", length.alias("length"), "place").alias("y")
-    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.length") == F.col("y.length")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.last") <= F.col("y.last"))
+    shifts = [("left", 0, 0), ("right", 0, 0), ("left", 1, 0), ("right", 1, 1), ("left", -1, 0), ("right", -1, -1)]
+    key = lambda side, longer, moved: F.xxhash64(F.lit(side), side, length + longer, F.col("place") + moved)
+    x = signed.where("pivot").select("word", "last", F.explode(F.array(*[key(*s) for s in shifts])).alias("key")).alias("x")
+    y = signed.select("word", "last", F.explode(F.array(key(*shifts[0]), key(*shifts[1]))).alias("key")).alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.last") <= F.col("y.last"))
     one_edit = F.levenshtein("x.word", "y.word", 1) == 1
     found = x.join(y, meet & one_edit).select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("b")).distinct()
     out, _ = materialize(found, "near")
