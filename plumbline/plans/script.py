@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.literals import literal_column, qualify, quote
 from ..model import Column, Schema, Table, fold
+from ..sources.store import materialize
 from .dependents import dependents
 from .ordering import Graph, topological
 from .schema_diff import ObjectDiff, narrowing, rename_header
@@ -225,6 +226,41 @@ def statements(change_set: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return change_set.select(ordinal.alias("ordinal"), *[F.col(f"`{k}`") for k in keys], sql.alias("sql"))
 
 
+#: Rows of one INSERT.
+BATCH_ROWS = 1_000
+
+
+def numbered(df: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
+    """df with the place of each row in the order of its keys, nulls first, from 0.
+
+    Rows are dealt by ranges of the key and sorted there; a row's place is its place in its range and the rows of all
+    ranges before. The ranges' sizes, a number a range, are all that meets in one place.
+    """
+    order = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    shown = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    # the low 33 bits of such an id count the rows of a partition; written, so that both reads see the same ranges
+    held = materialize(dealt.select(*shown, F.monotonically_increasing_id().alias("id")).select("*", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")), "numbered")
+    sizes = {r["range"]: r["n"] for r in held.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [(-1, 0)], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    offsets = df.sparkSession.createDataFrame(before, "part long, before long")
+    placed = held.join(F.broadcast(offsets), F.col("range") == F.col("part"))
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], (F.col("before") + F.col("at")).alias(name))
+
+
+def insert_batches(change_set: DataFrame, table: str, keys: list[str], size: int = BATCH_ROWS) -> DataFrame:
+    """``batch``, ``rows`` and ``sql``: the inserts of a change set in the order of their keys, so many rows a statement."""
+    inserts = change_set.where("op = 'Insert'").drop("op", "target_hash")
+    shown = [literal_column(F.col(f"`{c}`"), inserts.schema[c].dataType) for c in inserts.columns]
+    head = f"INSERT INTO {qualify(*table.split('.'))} ({', '.join(map(quote, inserts.columns))}) VALUES\n"
+    rows = numbered(inserts, keys, "__number").select("__number", F.concat(F.lit("("), F.concat_ws(", ", *shown), F.lit(")")).alias("row"))
+    batches = rows.groupBy(F.floor(F.col("__number") / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("__number", "row"))).alias("r"))
+    return batches.select("batch", F.size("r").alias("rows"), F.concat(F.lit(head), F.array_join(F.col("r.row"), ",\n")).alias("sql"))
+
+
 def data_order(tables: Iterable[Table]) -> tuple[list[str], list[str]]:
     """(tables by which to delete: children first, tables by which to insert: parents first)."""
     order = list(Graph(tables).data_order().all)

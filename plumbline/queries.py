@@ -20,6 +20,7 @@ from .operators import closure, columns, compare, drift, keys, screen
 from .plans import instances, ordering, schema_diff, script, sizes
 from .sources import catalog
 from .sources.catalog import ParquetDatabase
+from .sources.manifest import Conflict, VersionedDatabase
 from .sources.snapshot import SnapshotTable
 from .sources.store import shared_dir
 
@@ -508,6 +509,71 @@ def drift_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_counts(drift.drift(reviewed, now))
 
 
+_TOGETHER = ("customer", "orders", "events")
+_TOGETHER_SQL = " union all ".join(
+    f"select '{n}' as table_name, step, count(*) as rows_there, count(*) filter (classification not in ('Same', 'Insert')) as differing from ({classified_sql(n)}), (select unnest(['failed', 'refused']) as step) where classification <> 'Insert' group by step "
+    f"union all select '{n}', 'applied', count(*), 0 from {n}"
+    for n in _TOGETHER
+)
+
+
+@query(_TOGETHER_SQL)
+def apply_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables after a change whose last table fails, after one that another writer forestalled, and after one that succeeds."""
+    base = VersionedDatabase(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    source = {n: read(spark, sf_dir, n) for n in _TOGETHER}
+    with base.transaction() as t:
+        for name, rows in source.items():
+            t.write(name, perturbed(rows, name))
+
+    def change(t, expected: int | None = None) -> None:
+        for name, rows in source.items():
+            t.apply(name, compare.changes(rows, t.read(name), request(name)), TABLES[name].key)
+        if expected is not None:
+            t.write("events", t.read("events"), expected)
+
+    def seen(step: str) -> DataFrame:
+        out = None
+        for name, rows in source.items():
+            now = base.at(base.current()).table(name)
+            found = compare.classify(rows, now, request(name)).where("classification <> 'Insert'")
+            one = found.agg(F.count(F.lit(1)).alias("rows_there"), F.count_if(F.col("classification") != "Same").alias("differing")).select(F.lit(name).alias("table_name"), F.lit(step).alias("step"), "rows_there", "differing")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    try:
+        with base.transaction() as t:
+            change(t, -1)
+    except RuntimeError:
+        pass
+    failed = seen("failed")
+    try:
+        with base.transaction() as late:
+            change(late)
+            with base.transaction() as other:
+                other.write("orders", other.read("orders"))
+    except Conflict:
+        pass
+    refused = seen("refused")
+    with base.transaction() as t:
+        change(t)
+    return failed.unionByName(refused).unionByName(seen("applied"))
+
+
+_BATCHED = f"select *, row_number() over (order by c_custkey) - 1 as i from (select c.c_custkey, s.c_nationkey, s.c_mktsegment from ({classified_sql('customer')}) c join customer s using (c_custkey) where c.classification = 'Insert' union all select c_custkey + {2 * FAR}, c_nationkey, c_mktsegment from customer)"
+
+
+@query(
+    f"select i // 1000 as batch, count(*) as rows, 'INSERT INTO `customer` (`c_custkey`, `c_nationkey`, `c_mktsegment`) VALUES' || chr(10) || string_agg('(' || c_custkey || ', ' || c_nationkey || ', ''' || c_mktsegment || ''')', ',' || chr(10) order by i) as sql from ({_BATCHED}) group by all"
+)
+def insert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inserts of customers that the target lacks, the whole table once more among them, a thousand rows a statement."""
+    source, target = (df.drop("c_name", "c_acctbal") for df in sides(spark, sf_dir, "customer"))
+    wider = source.unionByName(source.withColumn("c_custkey", F.col("c_custkey") + 2 * FAR))
+    found = script.insert_batches(compare.changes(wider, target, request("customer")), "customer", ["c_custkey"])
+    return found.select("batch", F.col("rows").cast("long").alias("rows"), "sql")
+
+
 @query("select c_custkey, c_nationkey, c_mktsegment from customer where c_custkey % 3 = 0 or c_custkey in (select o_custkey from orders)")
 def apply_parents_converges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers of the target once all orders can be written: its own, and those that orders need."""

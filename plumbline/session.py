@@ -12,6 +12,7 @@ from .model import Schema, fold
 from .operators import closure, columns, compare, drift, keys, screen
 from .plans import collation, detail, fk_map, guards, schema_diff, script, selection, sizes
 from .sources.catalog import ParquetDatabase
+from .sources.manifest import Conflict, State, VersionedDatabase
 from .sources.snapshot import SnapshotTable
 from .sources.store import materialize
 
@@ -43,6 +44,7 @@ class CompareSession:
     selections: list[selection.Selection] = field(default_factory=list)
     exclusions: list[selection.Exclusion] = field(default_factory=list)
     reviewed: DataFrame | None = None
+    reviewed_state: State | None = None
     script_bytes: int = 0
     scanned: list[tuple[str, str, str]] | None = None
 
@@ -208,11 +210,11 @@ class CompareSession:
             self.choices[fold(table)] = choice
 
     def changes(self) -> dict[str, DataFrame]:
-        """The change set of every chosen table; closed_changes adds the parents that its rows need."""
+        """The change set of every chosen table, written once; closed_changes adds the parents that its rows need."""
         out = {}
         for name, choice in self.choices.items():
             table = self.source_schema.table(name)
-            out[table.name] = compare.changes(self.source.table(table.name), self.target.table(table.name), self.request(table.name), choice.picks)
+            out[table.name] = materialize(compare.changes(self.source.table(table.name), self.target.table(table.name), self.request(table.name), choice.picks), "changes")
         return out
 
     def closure(self, changes: dict[str, DataFrame]) -> closure.Closure:
@@ -246,6 +248,7 @@ class CompareSession:
 
     def script(self) -> script.Script:
         """Schema statements for the selection, data statements for chosen tables, warnings; remembers what was reviewed."""
+        self.reviewed_state = self.target.current() if isinstance(self.target, VersionedDatabase) else None
         diffs, plan = self._schema_plan()
         needed = selection.close_schema(plan, self.source_schema, self.target_schema, diffs)
         wanted = {fold(a) for a, _, _ in needed.required}
@@ -277,8 +280,16 @@ class CompareSession:
         if size > self.limits.inline_bytes:
             made.steps.append(script.Step(phase, name, f"-- staged: about {size} bytes, applied as a new version of the table", phase == "DataDeletes"))
             return
-        for row in script.statements(wanted, name, key).orderBy("ordinal", *key).collect():  # bounded by inline_bytes
+        inserts = wanted.where("op = 'Insert'")
+        for row in script.insert_batches(inserts, name, key).orderBy("batch").collect():  # bounded by inline_bytes
+            made.steps.append(script.Step(phase, name, row["sql"]))
+        for row in script.statements(wanted.where("op <> 'Insert'"), name, key).orderBy("ordinal", *key).collect():
             made.steps.append(script.Step(phase, name, row["sql"], phase == "DataDeletes"))
+        table = self.source_schema.table(name)
+        for column in [c.name for c in table.columns if c.identity] if table and phase == "DataUpserts" else []:
+            top = inserts.agg(F.max(f"`{column}`").alias("top")).first()["top"]
+            if top is not None:
+                made.warnings.append(f"{name}.{column}: the next identity has to be above {top}")
 
     def row_state(self) -> DataFrame | None:
         """Differences of all chosen tables, and of the parents that they need, as they are now."""
@@ -305,20 +316,38 @@ class CompareSession:
         rows = drift.drift_counts(drift.drift(self.reviewed, now)).collect()
         return [f"{r['table_name']}: {r['moved']} moved, {r['settled']} settled, {r['appeared']} appeared" for r in rows]
 
-    def apply(self, tables: dict[str, SnapshotTable], environment: str, confirmation: str, acknowledged: bool = False) -> dict:
-        """Applies the change sets to versioned tables if nothing forbids it; returns what blocked or what was done."""
+    def apply(self, tables: VersionedDatabase | dict[str, SnapshotTable], environment: str, confirmation: str, acknowledged: bool = False) -> dict:
+        """Applies the change sets if nothing forbids it; returns what blocked or what was done.
+
+        In a versioned database all tables change at once, and only if none has changed since the script was reviewed.
+        Tables of their own are all written and counted before the first is pointed to.
+        """
         changes, needed, parents = self.closed_changes()
         destructive = tuple(f"deletes in {n}" for n, c in changes.items() if not c.where("op = 'Delete'").isEmpty())
         request = guards.ApplyRequest(self.target_schema.name, environment, confirmation, acknowledged, destructive, tuple(self.drift()), len(changes), self.script_bytes)
         blocked = guards.blockers(request, self.limits)
         if parents.stopped:
             blocked += parents.warnings
-        blocked += [f"{n}: rows that others need can't be written, no versioned table is given" for n in needed if n not in tables]
+        known = set(tables.names()) if isinstance(tables, VersionedDatabase) else set(tables)
+        blocked += [f"{n}: rows that others need can't be written, no versioned table is given" for n in needed if n not in known]
         if blocked:
             return {"outcome": "Blocked", "why": blocked}
-        done = {}
-        for name in script.data_order(self.source_schema.tables)[1]:
-            if name in changes and name in tables:
-                done[name] = tables[name].apply(changes[name], self._parent_key(name))
+        order = [n for n in script.data_order(self.source_schema.tables)[1] if n in changes and n in known]
+        if isinstance(tables, VersionedDatabase):
+            try:
+                with tables.transaction(self.reviewed_state) as t:
+                    done = {n: t.apply(n, changes[n], self._parent_key(n)) for n in order}
+            except Conflict as e:
+                return {"outcome": "Blocked", "why": [str(e)]}
+        else:
+            done = {n: tables[n].prepare(changes[n], self._parent_key(n)) for n in order}
+            before = {n: tables[n].version() for n in order}
+            try:
+                for name in order:
+                    tables[name].point_to(done[name]["version"])
+            except Exception:
+                for name in order:
+                    tables[name].point_to(before[name])
+                raise
         self.scanned = None
         return {"outcome": "Applied", "done": done, "warnings": parents.warnings}

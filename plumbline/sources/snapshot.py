@@ -1,6 +1,6 @@
-"""Applying a change set: a new version of the table is written, counted, then pointed to.
+"""Applying a change set to one table: a new version is written, counted, then pointed to.
 
-Readers follow the pointer file, so they see the old version or the new one, never half of one. A
+Several tables change together in a VersionedDatabase (manifest.py). Readers follow the pointer file, so they see the old version or the new one, never half of one. A
 failure leaves the pointer as it was.
 """
 
@@ -35,14 +35,18 @@ class SnapshotTable:
 
     def write(self, df: DataFrame, expected_rows: int | None = None) -> str:
         """Writes df as the new version; raises, changing nothing, if its rows aren't as many as expected."""
+        name = self._written(df, expected_rows)
+        self.point_to(name)
+        return name
+
+    def _written(self, df: DataFrame, expected_rows: int | None) -> str:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
         if expected_rows is not None and (found := self.spark.read.parquet(f"{self.path}/{name}").count()) != expected_rows:
             raise RuntimeError(f"the new version has {found} rows, not {expected_rows}; the old one stays")
-        self._point_to(name)
         return name
 
-    def _point_to(self, name: str) -> None:
+    def point_to(self, name: str) -> None:
         """Writes a new pointer beside the old one and renames it over it."""
         fs, pointer = _files(self.spark, f"{self.path}/{POINTER}")
         jvm = self.spark.sparkContext._jvm
@@ -56,15 +60,20 @@ class SnapshotTable:
         options[0] = overwrite
         context.rename(fresh, pointer, options)
 
-    def apply(self, change_set: DataFrame, keys: Iterable[str]) -> dict:
-        """Applies inserts, updates and deletes; returns what was done."""
+    def prepare(self, change_set: DataFrame, keys: Iterable[str]) -> dict:
+        """Writes and counts the version after a change set; readers don't see it before it is pointed to."""
         started = time.time()
         by_op = {r["op"]: r["n"] for r in change_set.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
         before = self.read()
         expected = before.count() + by_op.get("Insert", 0) - by_op.get("Delete", 0)
-        version = self.write(apply_changes(before, change_set, keys), expected)
+        version = self._written(apply_changes(before, change_set, keys), expected)
         return {"version": version, "rows": expected, "applied": by_op, "seconds": time.time() - started}
 
+    def apply(self, change_set: DataFrame, keys: Iterable[str]) -> dict:
+        """Applies inserts, updates and deletes; returns what was done."""
+        done = self.prepare(change_set, keys)
+        self.point_to(done["version"])
+        return done
 
     def rebuild(self, columns: dict[str, str], renamed: dict[str, str] | None = None) -> str:
         """A new version with these columns (name: type, in order), from those of the same or the old name; new ones are null.
