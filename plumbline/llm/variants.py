@@ -6,8 +6,8 @@ are two of them that share no code point, chosen by dynamic programming for the
 ends earlier in the order has a pivot in the other's prefix. It also hardly moves it, and leaves the word whole on
 one side of it. If the edit comes after the bigram, this stands at the same place and the words are alike up to its end; if
 before, it stands as many places further as the other word is longer, and they are alike from it on. So pivots meet
-prefixes in an equi-join on place, length and the hash of the whole side, bigram included, and what meets is
-verified by edit distance.
+prefixes in an equi-join on place, length and the hash of the whole side, bigram included. What meets is verified by edit
+distance, after a look at which letters each word has an odd number of times: one edit changes two of these at most.
 
 Bigrams of the alphabet are 8,100 at most, so their frequencies are broadcast. All else is joined and counted by key.
 
@@ -76,7 +76,7 @@ def choose_pivots(places: list[int], costs: list[int], count: int, width: int =
 
 
 def _signed(grams: DataFrame) -> DataFrame:
-    """(word, last, left, right, place, pivot) of prefix grams; last: rank of the prefix's last gram; left, right: hashes of the word up to the gram's end and from it on."""
+    """(word, odd, last, left, right, place, pivot) of prefix grams; odd: letters by the parity of their number; last: rank of the prefix's last gram; left, right: hashes of the word up to the gram's end and from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,15 +85,18 @@ def _signed(grams: DataFrame) -> DataFrame:
                 order = sorted(range(len(ranks)), key=ranks.__getitem__)
                 last = ranks[order[2]]
                 prefix = sorted((i for i in order if ranks[i] <= last), key=places.__getitem__)
+                odd = 0
+                for c in word:
+                    odd ^= 1 << ord(c) % 63
                 left, right = _sides(word, [places[i] for i in prefix])
                 pivots = set(choose_pivots([places[i] for i in prefix], [ranks[i] for i in prefix], 2)) if len(prefix) < 1000 else _far_apart(places, prefix, order)
-                rows += ((word, last, left[j], right[j], places[i], j in pivots) for j, i in enumerate(prefix))
+                rows += ((word, odd, last, left[j], right[j], places[i], j in pivots) for j, i in enumerate(prefix))
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    return grams.select("word", "ranks", "places").mapInArrow(run, "word string, last int, left long, right long, place int, pivot boolean")
+    return grams.select("word", "ranks", "places").mapInArrow(run, "word string, odd long, last int, left long, right long, place int, pivot boolean")
 
 
 def _sides(word: str, places: list[int]) -> tuple[list[int], list[int]]:
@@ -113,9 +116,9 @@ def _far_apart(places: list[int], prefix: list[int], order: list[int]) -> set[in
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "last", "left", "right", "place", "pivot"])
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "odd", "last", "left", "right", "place", "pivot"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -130,9 +133,10 @@ def near_words(words: DataFrame) -> DataFrame:
     length = F.length("word")
     shifts = [("left", 0, 0), ("right", 0, 0), ("left", 1, 0), ("right", 1, 1), ("left", -1, 0), ("right", -1, -1)]
     key = lambda side, longer, moved: F.xxhash64(F.lit(side), side, length + longer, F.col("place") + moved)
-    x = signed.where("pivot").select("word", "last", F.explode(F.array(*[key(*s) for s in shifts])).alias("key")).alias("x")
-    y = signed.select("word", "last", F.explode(F.array(key(*shifts[0]), key(*shifts[1]))).alias("key")).alias("y")
+    x = signed.where("pivot").select("word", "odd", "last", F.explode(F.array(*[key(*s) for s in shifts])).alias("key")).alias("x")
+    y = signed.select("word", "odd", "last", F.explode(F.array(key(*shifts[0]), key(*shifts[1]))).alias("key")).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.last") <= F.col("y.last"))
+    meet = meet & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2)
     one_edit = F.levenshtein("x.word", "y.word", 1) == 1
     found = x.join(y, meet & one_edit).select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("b")).distinct()
     out, _ = materialize(found, "near")
