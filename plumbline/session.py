@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.predicate import to_spark
 from .model import Schema, fold
-from .operators import closure, columns, compare, drift, keys, screen
+from .operators import closure, columns, compare, drift, keys, rescan, screen
+from .operators.rescan import FingerprintStore
 from .plans import collation, detail, fk_map, guards, schema_diff, script, selection, sizes
 from .sources.catalog import ParquetDatabase
 from .sources.manifest import Conflict, State, VersionedDatabase
@@ -47,6 +48,7 @@ class CompareSession:
     reviewed_state: State | None = None
     script_bytes: int = 0
     scanned: list[tuple[str, str, str]] | None = None
+    kept: FingerprintStore | None = None
 
     def __post_init__(self) -> None:
         self.source_schema: Schema = self.source.schema()
@@ -150,7 +152,7 @@ class CompareSession:
         return diffs, selection.compile_plan(selection.schema_units(diffs), self.selections, self.exclusions)
 
     def scan(self, again: bool = False) -> DataFrame:
-        """State and reason of every table, as found last unless asked again."""
+        """State and reason of every table, as found last unless asked again. With kept fingerprints only changed files are read."""
         schema = "table_name string, state string, reason string"
         if self.scanned is not None and not again:
             return self.source.spark.createDataFrame(self.scanned, schema)
@@ -166,10 +168,25 @@ class CompareSession:
             for name in failed:
                 side.pop(name, None)
         every = {n: self.key(n) for s in sides for n in s}
-        rows = screen.screened(*sides, every, {n: self.source.bytes_of(n) for n in sides[0]}, self.limits.scan_bytes) if any(sides) else []
+        sizes_ = {n: self.source.bytes_of(n) for n in sides[0]}
+        if not any(sides):
+            rows = []
+        elif self.kept is None:
+            rows = screen.screened(*sides, every, sizes_, self.limits.scan_bytes)
+        else:
+            rows = list(map(tuple, screen.screen(*sides, every, sizes_, self.limits.scan_bytes, fingerprints=lambda side, named: self._kept_prints(side, named, failed)).collect()))
         self.scanned = sorted(rows + [(n, "not comparable", why) for n, why in failed.items()])
         return self.source.spark.createDataFrame(self.scanned, schema)
 
+    def _kept_prints(self, side: str, named: dict[str, list[str]], failed: dict[str, str]) -> DataFrame:
+        """Fingerprints of a side's tables by what is kept of their files; failed gets what can't be read."""
+        database = self.source if side == "source" else self.target
+        watched = {f"{side}:{database.path}/{n}": n for n in named}
+        found = self.kept.scan(database.watched(n, key, named[n]) for key, n in watched.items())
+        failed.update({watched[k]: why for k, why in self.kept.failed.items()})
+        names = F.create_map(*[F.lit(x) for pair in watched.items() for x in pair])
+        return found.withColumn("table_name", names[F.col("table_name")])
+
     def request(self, table: str, choice: TableChoice | None = None) -> compare.CompareRequest:
         """The checked request for a table: key, columns, collations, filter."""
         choice = choice or self.choices.get(fold(table)) or TableChoice()

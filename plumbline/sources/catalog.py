@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import replace
 from typing import Protocol
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ class ParquetDatabase:
         return sorted(n[: -len(".parquet")] for n in found if n.endswith(".parquet") and not n.startswith(HIDDEN))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.parquet(self.folder(name))
 
     def constraints(self) -> dict:
         """Of the file, or as given: {table: {primary_key, uniques, indexes, foreign_keys, checks, not_null, columns}}, and modules, types, sequences."""
@@ -71,9 +72,19 @@ class ParquetDatabase:
         return Schema(self.path.rpartition("/")[2], tuple(tables), modules, types, sequences, tuple(warnings))
 
     def bytes_of(self, name: str) -> int:
-        fs, where = _files(self.spark, f"{self.path}/{name}.parquet")
+        fs, where = _files(self.spark, self.folder(name))
         return fs.getContentSummary(where).getLength()
 
+    def watched(self, name: str, kept_as: str, columns: list[str]):
+        """The table as one to scan by its files."""
+        from ..operators.rescan import watch_folder
+
+        return watch_folder(self.spark, kept_as, self.folder(name), columns)
+
+    def folder(self, name: str) -> str:
+        """Where the files of a table are."""
+        return f"{self.path}/{name}.parquet"
+
     def volume(self) -> DataFrame:
         """table_name, row_count (from file footers), data_bytes."""
         out = None
@@ -108,6 +119,14 @@ class CatalogDatabase(ParquetDatabase):
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"`{self.database}`.`{name}`")
 
+    def watched(self, name: str, kept_as: str, columns: list[str]):
+        """The table as one to scan by its files, in whatever format; its changed files are found among all by their paths."""
+        from ..operators.rescan import Watched, files_below
+
+        table, folders = self.table(name), sorted({f.rpartition("/")[0] for f in self.table(name).inputFiles()})
+        read = lambda paths: table if paths is None else table.where(F.col("_metadata.file_path").isin([quote(p, safe=":/=") for p in paths]))
+        return Watched(kept_as, files_below(self.spark, folders), read, tuple(columns))
+
     def constraints(self) -> dict:
         """As given, with the views and their texts as modules."""
         views = [{"kind": "VIEW", "name": n, "body": self.spark.sql(f"SHOW CREATE TABLE `{self.database}`.`{n}`").first()[0]} for n in self._listed(True)]
