@@ -73,6 +73,7 @@ class Key:
     unique: bool = True
     filter: str | None = None
     included: tuple[str, ...] = ()
+    kind: str = "btree"
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,8 @@ class Table:
     indexes: tuple[Key, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
     checks: tuple[Check, ...] = ()
+    statistics: tuple[Key, ...] = ()
+    storage: tuple[str, ...] = ()  # what the table is beyond an ordinary one: versioned, partitioned, replicated
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if fold(c.name) == fold(name)), None)
@@ -129,11 +132,12 @@ class Module:
 
 @dataclass(frozen=True)
 class UserType:
-    """An alias, composite, table or enum type."""
+    """An alias, composite, table or enum type; one of tables has keys, checks and indexes of its own."""
 
     name: str
     kind: str
     shape: str
+    keys: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -14,14 +14,15 @@ from pyspark.sql.types import StructType
 from ..functions.literals import literal_column, qualify, quote
 from ..model import Column, Schema, Table, fold
 from ..sources.store import materialize
-from .dependents import dependents
+from .dependents import Holders, Node
 from .ordering import Graph, topological
+from .rebuild import Rebuild, blockers, rebuild
 from .schema_diff import ObjectDiff, narrowing, rename_header
 from .selection import Plan
 
 #: Order of a script's steps.
 PHASES = (
-    "Schemas DropForeignKeys DropProgrammables DropTables DropTypes DropSequences CreateSequences CreateTypes CreateTables AlterColumns Keys Indexes "
+    "Schemas DropForeignKeys DropKeys DropProgrammables DropTables DropTypes DropSequences CreateSequences CreateTypes CreateTables AlterColumns Keys Indexes "
     "SecondaryIndexes CheckConstraints AddForeignKeys DataDeletes DataUpserts Programmables"
 ).split()
 _RANK = {p: i for i, p in enumerate(PHASES)}
@@ -40,6 +41,8 @@ class Script:
     steps: list[Step] = field(default_factory=list)
     refusals: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    rebuilds: dict[str, Rebuild] = field(default_factory=dict)
+    blocked: set[str] = field(default_factory=set)  # tables that should be rebuilt and can't be: nothing of them is scripted
 
     def ordered(self) -> list[Step]:
         """By phase; within one, as added."""
@@ -84,21 +87,38 @@ def column_change(target: Column | None, source: Column | None) -> str:
     return "default" if target.default != source.default else "none"
 
 
+#: Why an index isn't carried over, by its kind.
+INDEX_REASONS = {
+    "btree": "Spark finds rows by the statistics of files, so sort or bucket the table by these columns instead",
+    "columnstore": "Parquet is stored by columns already",
+    "spatial": "Spark has no shapes to index",
+    "xml": "Spark has no documents to index",
+    "fulltext": "Spark has no search over words",
+    "hash": "bucketing takes its place",
+}
+
+
+def index_refusal(table: str, key) -> str:
+    """That an index isn't carried over, with its kind and the reason."""
+    parts = [f"{'unique ' if key.unique else ''}{key.kind} index on {', '.join(key.columns)}"] + [f"including {', '.join(key.included)}"] * bool(key.included) + [f"where {key.filter}"] * bool(key.filter)
+    return f"{table}.{key.name}: an index has no counterpart ({' '.join(parts)}): {INDEX_REASONS.get(key.kind, 'Spark has no such index')}"
+
+
 def schema_script(plan: Plan, source: Schema, target: Schema, diffs: Iterable[ObjectDiff]) -> Script:
     """Statements for the plan's schema units; what Spark SQL can't express is refused, not left out silently."""
     out = Script()
     by_name = {fold(d.name): d for d in diffs}
     modules = {fold(m.name): m for m in source.modules}
     created = []
-    for unit in plan.units:
-        diff = by_name.get(fold(unit.object))
-        if unit.kind == "Data" or diff is None:
-            continue
+    units = [(u, by_name[fold(u.object)]) for u in plan.units if u.kind != "Data" and fold(u.object) in by_name]
+    _changes_between_tables(out, [d for u, d in units if d.type == "Table" and u.kind == "Alter"], {fold(d.name) for u, d in units if d.type == "Table" and u.kind == "Drop"}, source, target)
+    for unit, diff in units:
         name = qualify(*unit.object.split("."))
         if diff.type == "Table":
-            _table_steps(out, unit.kind, name, source.table(unit.object), target.table(unit.object), diff)
-            if unit.kind == "Alter":
-                _bracket(out, name, source, target, diff)
+            if fold(diff.name) in out.rebuilds:
+                _rebuild_steps(out, name, source.table(unit.object))
+            elif fold(diff.name) not in out.blocked:
+                _table_steps(out, unit.kind, name, source.table(unit.object), target.table(unit.object), diff)
         elif diff.type.upper() in ("VIEW", "FUNCTION", "PROCEDURE", "TRIGGER"):
             if unit.kind == "Drop":
                 out.steps.append(Step("DropProgrammables", unit.object, f"DROP {diff.type.upper()} IF EXISTS {name}", True))
@@ -117,12 +137,121 @@ def schema_script(plan: Plan, source: Schema, target: Schema, diffs: Iterable[Ob
     return out
 
 
+_CHILD_NODES = {"ForeignKey": "ForeignKey", "UniqueConstraint": "Unique", "CheckConstraint": "Check", "PrimaryKey": "PrimaryKey", "Index": "Index"}
+
+
+def _changes_between_tables(out: Script, altered: list[ObjectDiff], dropped: set[str], source: Schema, target: Schema) -> None:
+    """Which tables are rebuilt, and what else has to go before columns and keys change and come back after, each once over the whole plan.
+
+    What the plan itself drops, alone or with its table, isn't touched here; what goes and can't come back is refused.
+    """
+    holders = Holders(target)
+    changed, vanished, by_plan = {}, set(), {}
+    for diff in altered:
+        name, old, new = fold(diff.name), target.table(diff.name), source.table(diff.name)
+        for child in diff.children:
+            if child.type in _CHILD_NODES and child.kind != "SourceOnly":
+                by_plan[Node(_CHILD_NODES[child.type], name, "" if child.type == "PrimaryKey" else fold(child.name))] = None
+            if child.type == "Column" and child.kind != "SourceOnly":
+                a, b = old.column(child.name), new.column(child.name)
+                change, node = column_change(a, b), Node("Column", name, fold(child.name))
+                if change == "drop":
+                    vanished.add(node)
+                if change in ("drop", "computed", "rebuild") or change == "alter" and (a.type != b.type or a.collation != b.collation):
+                    changed[node] = change
+    while True:
+        starts = [n for n in (*changed, *by_plan) if n.table not in out.blocked]
+        down = holders.reach(starts)
+        out.rebuilds = {name: rebuild(source.table(name), target.table(name), target, why) for name, why in _reasons(down, changed, by_plan).items() if name not in dropped}
+        stops = {name: blockers(source.table(name), target.table(name), target) for name in out.rebuilds}
+        if not any(stops.values()):
+            break
+        for name, found in stops.items():  # without these tables less has to come down
+            if found:
+                out.blocked.add(name)
+                out.refusals.append(f"{source.table(name).name}: {'; '.join(out.rebuilds[name].why)}; it can't be rebuilt: {'; '.join(found)}")
+    down += [n for name in out.rebuilds for n in holders.refers_to(name) if n not in down]
+    for node in down:
+        if node in by_plan or node.table in dropped or node.kind in ("Column", "PrimaryKey") or node.kind != "ForeignKey" and node.table in out.rebuilds:
+            continue
+        table, held = holders.tables[node.table], holders.objects[node]
+        of = qualify(*table.name.split("."))
+        if node.kind == "Module":
+            told = sorted(c.name for c in changed if c.table == node.table)
+            out.warnings.append(f"{held.name} reads {table.name}, of which {', '.join(told)} changes")
+        elif node.kind == "Index":
+            out.warnings.append(f"{table.name}.{held.name}: this index holds what changes and goes with it")
+        elif node.kind == "Default":
+            column = Node("Column", node.table, node.name)
+            new = source.table(table.name).column(held.name) if column in changed and source.table(table.name) else None
+            if column in changed and column not in vanished and new is not None and new.default == held.default:
+                out.steps.append(Step("DropKeys", table.name, f"ALTER TABLE {of} ALTER COLUMN {quote(held.name)} DROP DEFAULT"))
+                out.steps.append(Step("Keys", table.name, f"ALTER TABLE {of} ALTER COLUMN {quote(held.name)} SET DEFAULT {held.default}"))
+        elif node.kind == "ForeignKey" and not _still_there(held, source, dropped):
+            out.refusals.append(f"{table.name}.{held.name}: it refers to what the plan takes from {held.parent}, and isn't dropped by the plan")
+        else:
+            out.steps.append(Step("DropForeignKeys" if node.kind == "ForeignKey" else "DropKeys", table.name, f"ALTER TABLE {of} DROP CONSTRAINT {quote(held.name)}"))
+            if node.table not in out.rebuilds:  # a rebuilt table gets its keys from the source
+                out.steps.append(_restored(node.kind, of, table.name, held))
+
+
+def _reasons(down: list[Node], changed: dict[Node, str], by_plan: Iterable[Node]) -> dict[str, list[str]]:
+    """By table, why no statement makes its changes."""
+    why: dict[str, list[str]] = {}
+    for node in down:
+        change = changed.get(node)
+        if change in ("computed", "rebuild"):
+            why.setdefault(node.table, []).append(f"{node.name} becomes or ceases to be {'computed' if change == 'computed' else 'an identity'}")
+        elif node.kind == "Column" and change is None:
+            why.setdefault(node.table, []).append(f"{node.name} is computed from what changes")
+        elif node.kind == "PrimaryKey":
+            why.setdefault(node.table, []).append("its primary key changes" if node in by_plan else "its primary key holds what changes")
+    return why
+
+
+def _still_there(fk, source: Schema, dropped: set[str]) -> bool:
+    """Whether the source's parent still has the columns of a key, as a key."""
+    parent = source.table(fk.parent)
+    if parent is None or fold(fk.parent) in dropped:
+        return False
+    return all(parent.column(c) for c in fk.parent_columns) and bool(Holders(Schema("", (parent,))).keys_on(fk.parent, fk.parent_columns))
+
+
+def _restored(kind: str, of: str, table: str, held) -> Step:
+    if kind == "ForeignKey":
+        return Step("AddForeignKeys", table, _add_key(of, held))
+    if kind == "Check":
+        return Step("CheckConstraints", table, f"ALTER TABLE {of} ADD CONSTRAINT {quote(held.name)} CHECK ({held.expression})")
+    return Step("Keys", table, f"ALTER TABLE {of} ADD CONSTRAINT {quote(held.name)} UNIQUE ({', '.join(map(quote, held.columns))})")
+
+
+def _rebuild_steps(out: Script, name: str, source: Table) -> None:
+    """The copy, its count and the swap, then all that the source has on the table."""
+    made = out.rebuilds[fold(source.name)]
+    out.steps.append(Step("AlterColumns", source.name, f"-- rebuilt: {'; '.join(made.why)}\n{made.sql()}", True))
+    if source.primary_key:
+        out.steps.append(Step("Keys", source.name, f"ALTER TABLE {name} ADD PRIMARY KEY ({', '.join(map(quote, source.primary_key))})"))
+    for c in source.columns:
+        if not c.nullable:
+            out.steps.append(Step("Keys", source.name, f"ALTER TABLE {name} ALTER COLUMN {quote(c.name)} SET NOT NULL"))
+        if c.default and not c.computed:
+            out.steps.append(Step("Keys", source.name, f"ALTER TABLE {name} ALTER COLUMN {quote(c.name)} SET DEFAULT {c.default}"))
+        if c.identity:
+            out.warnings.append(f"{source.name}.{c.name}: numbers are kept; Spark gives no next ones")
+        if c.computed:
+            out.warnings.append(f"{source.name}.{c.name}: values are computed once; Spark doesn't keep them up")
+    out.steps += [_restored("Unique", name, source.name, k) for k in source.uniques if not k.filter]
+    out.steps += [_restored("Check", name, source.name, k) for k in source.checks]
+    out.steps += [_restored("ForeignKey", name, source.name, k) for k in source.foreign_keys]
+    out.refusals += [index_refusal(source.name, k) for k in (*source.indexes, *[u for u in source.uniques if u.filter])]
+
+
 def _table_steps(out: Script, kind: str, name: str, source: Table | None, target: Table | None, diff: ObjectDiff) -> None:
     if kind == "Drop":
         out.steps.append(Step("DropTables", diff.name, f"DROP TABLE {name}", True))
     elif kind == "Create":
         out.steps.append(Step("CreateTables", diff.name, create_table(source)))
-        out.refusals += [f"{diff.name}.{k.name}: an index has no counterpart" for k in (*source.indexes, *[u for u in source.uniques if u.filter])]
+        out.refusals += [index_refusal(diff.name, k) for k in (*source.indexes, *[u for u in source.uniques if u.filter])]
         out.refusals += [f"{diff.name}.{c.name}: an identity has no counterpart" for c in source.columns if c.identity]
         for fk in source.foreign_keys:
             out.steps.append(Step("AddForeignKeys", diff.name, _add_key(name, fk)))
@@ -141,11 +270,13 @@ def _child_step(out: Script, name: str, source: Table, target: Table, child: Obj
             out.steps.append(Step("DropForeignKeys", source.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(child.name)}"))
         elif child.type in ("UniqueConstraint", "CheckConstraint") or child.type == "ForeignKey":
             if child.kind != "SourceOnly":
-                out.steps.append(Step("DropForeignKeys", source.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(child.name)}"))
+                phase = "DropForeignKeys" if child.type == "ForeignKey" else "DropKeys"
+                out.steps.append(Step(phase, source.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(child.name)}"))
             if child.kind != "TargetOnly":
                 out.steps.append(_added(name, source, child))
         else:
-            out.refusals.append(f"{source.name}.{child.name}: a {child.type} can't be changed by a statement")
+            key = next((k for k in (source if child.kind != "TargetOnly" else target).indexes if fold(k.name) == fold(child.name)), None)
+            out.refusals.append(index_refusal(source.name, key) if key and child.type == "Index" else f"{source.name}.{child.name}: a {child.type} can't be changed by a statement")
         return
     old, new = target.column(child.name), source.column(child.name)
     change = column_change(old, new)
@@ -164,8 +295,6 @@ def _child_step(out: Script, name: str, source: Table, target: Table, child: Obj
             out.steps.append(Step("AlterColumns", source.name, f"{alter}{'DROP' if new.nullable else 'SET'} NOT NULL"))
     if change in ("alter", "default") and old.default != new.default:
         out.steps.append(Step("AlterColumns", source.name, f"ALTER TABLE {name} ALTER COLUMN {quote(child.name)} " + (f"SET DEFAULT {new.default}" if new.default else "DROP DEFAULT")))
-    elif change in ("computed", "rebuild"):
-        out.refusals.append(f"{source.name}.{child.name}: the table has to be rebuilt for this ({change})")
 
 
 def _added(name: str, source: Table, child: ObjectDiff) -> Step:
@@ -178,34 +307,6 @@ def _added(name: str, source: Table, child: ObjectDiff) -> Step:
     return Step("CheckConstraints" if child.type == "CheckConstraint" else "Keys", source.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(found.name)} {body}")
 
 
-def _bracket(out: Script, name: str, source: Schema, target: Schema, diff: ObjectDiff) -> None:
-    """Keys and checks that hold a column whose type changes go before it and come back after; what can't is refused."""
-    old, new = target.table(diff.name), source.table(diff.name)
-    changed = [c.name for c in diff.children if c.type == "Column" and c.kind == "Different" and (a := old.column(c.name)) and (b := new.column(c.name)) and (a.type != b.type or a.collation != b.collation)]
-    if not changed:
-        return
-    held = dependents(target, old, changed)
-    own = {(c.type, fold(c.name)) for c in diff.children if c.changed}
-    for table, fk in [(diff.name, k) for k in held.outbound] + list(held.inbound):
-        if fold(table) == fold(diff.name) and ("ForeignKey", fold(fk.name)) in own:
-            continue  # goes or comes by itself
-        of = qualify(*table.split("."))
-        out.steps.append(Step("DropForeignKeys", table, f"ALTER TABLE {of} DROP CONSTRAINT {quote(fk.name)}"))
-        out.steps.append(Step("AddForeignKeys", table, _add_key(of, fk)))
-    for check in held.checks:
-        if ("CheckConstraint", fold(check.name)) not in own:
-            out.steps.append(Step("DropForeignKeys", diff.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(check.name)}"))
-            out.steps.append(Step("CheckConstraints", diff.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(check.name)} CHECK ({check.expression})"))
-    for unique in held.uniques:
-        if ("UniqueConstraint", fold(unique.name)) not in own:
-            out.steps.append(Step("DropForeignKeys", diff.name, f"ALTER TABLE {name} DROP CONSTRAINT {quote(unique.name)}"))
-            out.steps.append(Step("Keys", diff.name, f"ALTER TABLE {name} ADD CONSTRAINT {quote(unique.name)} UNIQUE ({', '.join(map(quote, unique.columns))})"))
-    if held.primary_key:
-        out.refusals.append(f"{diff.name}: its primary key holds {', '.join(changed)}; the table has to be rebuilt for this")
-    out.refusals += [f"{diff.name}.{c.name}: computed from {', '.join(changed)}; the table has to be rebuilt for this" for c in held.computed]
-    out.warnings += [f"{m} reads {diff.name}, of which {', '.join(changed)} changes" for m in held.modules]
-
-
 def _add_key(name: str, fk) -> str:
     columns, parents = (", ".join(map(quote, c)) for c in (fk.columns, fk.parent_columns))
     return f"ALTER TABLE {name} ADD CONSTRAINT {quote(fk.name)} FOREIGN KEY ({columns}) REFERENCES {qualify(*fk.parent.split('.'))} ({parents})" + "".join(f" ON {event} {action}" for event, action in (("DELETE", fk.on_delete), ("UPDATE", fk.on_update)) if action.upper() != "NO ACTION")

@@ -12,8 +12,9 @@ from .model import Schema, fold
 from .operators import closure, columns, compare, drift, keys, rescan, screen
 from .operators.rescan import FingerprintStore
 from .plans import collation, detail, fk_map, guards, schema_diff, script, selection, sizes
-from .sources.catalog import ParquetDatabase
-from .sources.manifest import Conflict, State, VersionedDatabase
+from .plans.rebuild import rebuild
+from .sources.catalog import ParquetDatabase, constraints_of
+from .sources.manifest import Conflict, State, Transaction, VersionedDatabase
 from .sources.snapshot import SnapshotTable
 from .sources.store import materialize
 
@@ -46,6 +47,8 @@ class CompareSession:
     exclusions: list[selection.Exclusion] = field(default_factory=list)
     reviewed: DataFrame | None = None
     reviewed_state: State | None = None
+    planned: selection.Plan = selection.Plan((), ())
+    not_rebuilt: set[str] = field(default_factory=set)
     script_bytes: int = 0
     scanned: list[tuple[str, str, str]] | None = None
     kept: FingerprintStore | None = None
@@ -271,6 +274,7 @@ class CompareSession:
         wanted = {fold(a) for a, _, _ in needed.required}
         closed = selection.Plan(plan.units + tuple(u for u in selection.schema_units(diffs) if fold(u.object) in wanted), plan.exclusions)
         made = script.schema_script(closed, self.source_schema, self.target_schema, diffs)
+        self.planned, self.not_rebuilt = closed, made.blocked
         made.refusals += [f"{a} is needed by {b} but excluded" for a, b in needed.blocked] + needed.unsatisfiable
         made.warnings += [f"{a} is needed by {b}: {why}" for a, b, why in needed.required]
         changes, parents, found = self.closed_changes()
@@ -336,24 +340,29 @@ class CompareSession:
     def apply(self, tables: VersionedDatabase | dict[str, SnapshotTable], environment: str, confirmation: str, acknowledged: bool = False) -> dict:
         """Applies the change sets if nothing forbids it; returns what blocked or what was done.
 
-        In a versioned database all tables change at once, and only if none has changed since the script was reviewed.
+        In a versioned database the reviewed plan's tables change at once, columns, keys and rows, and only if none has changed since.
         Tables of their own are all written and counted before the first is pointed to.
         """
         changes, needed, parents = self.closed_changes()
         destructive = tuple(f"deletes in {n}" for n, c in changes.items() if not c.where("op = 'Delete'").isEmpty())
+        if isinstance(tables, VersionedDatabase):
+            destructive += self._schema_losses()
         request = guards.ApplyRequest(self.target_schema.name, environment, confirmation, acknowledged, destructive, tuple(self.drift()), len(changes), self.script_bytes)
         blocked = guards.blockers(request, self.limits)
         if parents.stopped:
             blocked += parents.warnings
         known = set(tables.names()) if isinstance(tables, VersionedDatabase) else set(tables)
         blocked += [f"{n}: rows that others need can't be written, no versioned table is given" for n in needed if n not in known]
+        if isinstance(tables, VersionedDatabase):
+            blocked += [f"{n}: it has to be rebuilt and can't be" for n in sorted(self.not_rebuilt)]
         if blocked:
             return {"outcome": "Blocked", "why": blocked}
         order = [n for n in script.data_order(self.source_schema.tables)[1] if n in changes and n in known]
         if isinstance(tables, VersionedDatabase):
             try:
                 with tables.transaction(self.reviewed_state) as t:
-                    done = {n: t.apply(n, changes[n], self._parent_key(n)) for n in order}
+                    altered = self._apply_schema(t)
+                    done = {n: t.apply(n, changes[n], self._parent_key(n)) for n in order} | altered
             except Conflict as e:
                 return {"outcome": "Blocked", "why": [str(e)]}
         else:
@@ -368,3 +377,31 @@ class CompareSession:
                 raise
         self.scanned = None
         return {"outcome": "Applied", "done": done, "warnings": parents.warnings}
+
+    def _schema_losses(self) -> tuple[str, ...]:
+        """Tables, columns and values that the planned schema takes from the target."""
+        lost = [f"drops {u.object}" for u in self.planned.units if u.kind == "Drop" and self.target_schema.table(u.object)]
+        for unit in self.planned.units:
+            old, new = self.target_schema.table(unit.object), self.source_schema.table(unit.object)
+            if unit.kind == "Alter" and old and new:
+                lost += [f"drops {unit.object}.{c.name}" for c in old.columns if new.column(c.name) is None]
+                lost += [f"narrows {unit.object}.{c.name}" for c in old.columns if (to := new.column(c.name)) and schema_diff.narrowing(c, to).kind == "Narrows"]
+        return tuple(lost)
+
+    def _apply_schema(self, t: Transaction) -> dict[str, dict]:
+        """The planned tables with the source's columns and keys; rows stay as far as columns do."""
+        done = {}
+        for unit in self.planned.units:
+            old, new = self.target_schema.table(unit.object), self.source_schema.table(unit.object)
+            if unit.kind == "Drop" and old:
+                t.drop(old.name)
+            elif unit.kind == "Create" and new:
+                t.write(new.name, self.source.table(new.name).limit(0), 0)
+                t.describe(new.name, constraints_of(new))
+            elif unit.kind == "Alter" and old and new:
+                t.rebuild(old.name, rebuild(new, old, self.target_schema, []).columns)
+                t.describe(old.name, constraints_of(new))
+            else:
+                continue
+            done[unit.object] = {"schema": unit.kind}
+        return done

@@ -67,7 +67,7 @@ class ParquetDatabase:
                 warnings.append(f"{name} could not be read: {type(e).__name__}")
         known = {fold(m["name"]) for m in held.get("modules", [])} | {fold(t.name) for t in tables}
         modules = tuple(Module(m["kind"], m["name"], m["body"], _depends(m, known), m.get("table")) for m in held.get("modules", []))
-        types = tuple(UserType(t["name"], t["kind"], t["shape"]) for t in held.get("types", []))
+        types = tuple(UserType(t["name"], t["kind"], t["shape"], _type_keys(t)) for t in held.get("types", []))
         sequences = tuple(Sequence(q["name"], TypeSpec(q.get("type", "bigint")), *[q.get(k, d) for k, d in (("start", 1), ("increment", 1), ("minimum", None), ("maximum", None), ("cycles", False))]) for q in held.get("sequences", []))
         return Schema(self.path.rpartition("/")[2], tuple(tables), modules, types, sequences, tuple(warnings))
 
@@ -157,7 +157,16 @@ def _depends(module: dict, known: set[str]) -> tuple[str, ...]:
 
 
 def _keys(held: list[dict], unique: bool) -> tuple[Key, ...]:
-    return tuple(Key(k["name"], tuple(k["columns"]), k.get("unique", unique), k.get("filter"), tuple(k.get("included", ()))) for k in held)
+    return tuple(Key(k["name"], tuple(k["columns"]), k.get("unique", unique), k.get("filter"), tuple(k.get("included", ())), k.get("kind", "btree")) for k in held)
+
+
+def _type_keys(held: dict) -> tuple[str, ...]:
+    """Keys, checks and indexes of a type of tables, each as a text, in no order of the catalog's."""
+    keys = [f"PRIMARY KEY ({', '.join(held['primary_key'])})"] if held.get("primary_key") else []
+    keys += [f"UNIQUE ({', '.join(k['columns'])})" for k in held.get("uniques", [])]
+    keys += [f"INDEX {k['name']} ({', '.join(k['columns'])})" for k in held.get("indexes", [])]
+    keys += [f"CHECK ({c['expression']})" for c in held.get("checks", [])]
+    return tuple(sorted(keys))
 
 
 def _with_constraints(table: Table, held: dict) -> Table:
@@ -173,9 +182,28 @@ def _with_constraints(table: Table, held: dict) -> Table:
             ForeignKey(k["name"], tuple(k["columns"]), k["parent"], tuple(k["parent_columns"]), k.get("on_delete", "NO ACTION"), k.get("on_update", "NO ACTION"), k.get("disabled", False)) for k in held.get("foreign_keys", [])
         ),
         checks=tuple(Check(c["name"], c["expression"], tuple(c.get("columns", ()))) for c in held.get("checks", [])),
+        statistics=_keys(held.get("statistics", []), False),
+        storage=tuple(held.get("storage", ())),
     )
 
 
+def constraints_of(table: Table) -> dict:
+    """What a sidecar has to say of a table, so that reading it gives the same."""
+    keys = lambda of: [{"name": k.name, "columns": list(k.columns), "unique": k.unique, "filter": k.filter, "included": list(k.included), "kind": k.kind} for k in of]
+    more = {c.name: {n: v for n, v in (("identity", c.identity), ("computed", c.computed), ("default", c.default), ("collation", c.collation), ("generated", c.generated)) if v} for c in table.columns}
+    return {
+        "primary_key": list(table.primary_key),
+        "not_null": [c.name for c in table.columns if not c.nullable],
+        "columns": {n: v for n, v in more.items() if v},
+        "uniques": keys(table.uniques),
+        "indexes": keys(table.indexes),
+        "statistics": keys(table.statistics),
+        "foreign_keys": [{"name": k.name, "columns": list(k.columns), "parent": k.parent, "parent_columns": list(k.parent_columns), "on_delete": k.on_delete, "on_update": k.on_update, "disabled": k.disabled} for k in table.foreign_keys],
+        "checks": [{"name": c.name, "expression": c.expression, "columns": list(c.columns)} for c in table.checks],
+        "storage": list(table.storage),
+    }
+
+
 def probe(spark: SparkSession) -> dict:
     return {"version": spark.version, "catalog": spark.catalog.currentCatalog(), "database": spark.catalog.currentDatabase()}
 

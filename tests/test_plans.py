@@ -207,19 +207,141 @@ def test_keys_are_bracketed_round_a_changed_column():
 
     from plumbline.plans import schema_diff, script, selection
 
-    source = target = _keyed()
+    source = target = _stored(_keyed())
     mid = source.table("mid")
     columns = tuple(replace(c, type=TypeSpec("bigint")) if c.name == "code" else c for c in mid.columns)
     source = replace(source, tables=tuple(replace(mid, columns=columns, checks=(*mid.checks, Check("new", "id > 0"))) if t.name == "mid" else t for t in source.tables))
-    diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
-    plan = selection.compile_plan(selection.schema_units(diffs), [selection.Selection(selection.DATABASE)], [])
-    made = script.schema_script(plan, source, target, diffs)
+    made = _scripted(source, target)
     sql = [s.sql for s in made.ordered()]
     at = lambda part: next(i for i, s in enumerate(sql) if part in s)
     assert at("`low` DROP CONSTRAINT `to_mid`") < at("TYPE BIGINT") < at("`low` ADD CONSTRAINT `to_mid`")
-    assert at("DROP CONSTRAINT `u`") < at("TYPE BIGINT") < at("ADD CONSTRAINT `u` UNIQUE (`code`)")
+    assert at("`low` DROP CONSTRAINT `to_mid`") < at("DROP CONSTRAINT `u`") < at("TYPE BIGINT") < at("ADD CONSTRAINT `u` UNIQUE (`code`)")
     assert at("DROP CONSTRAINT `positive`") < at("TYPE BIGINT") < at("ADD CONSTRAINT `positive` CHECK") and at("ADD CONSTRAINT `new` CHECK (id > 0)")
-    assert any("twice" in r for r in made.refusals) and any(w.startswith("v reads mid") for w in made.warnings)
+    assert at("`code` DROP DEFAULT") < at("TYPE BIGINT") < at("`code` SET DEFAULT 1")
+    assert not made.refusals and any(w.startswith("v reads mid") for w in made.warnings) and any("mid.ix" in w for w in made.warnings)
+
+
+def _stored(schema):
+    """Without computed columns."""
+    from dataclasses import replace
+
+    return replace(schema, tables=tuple(replace(t, columns=tuple(c for c in t.columns if not c.computed)) for t in schema.tables))
+
+
+def _scripted(source, target, excluded=()):
+    from plumbline.plans import schema_diff, script, selection
+
+    diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
+    plan = selection.compile_plan(selection.schema_units(diffs), [selection.Selection(selection.DATABASE)], list(excluded))
+    return script.schema_script(plan, source, target, diffs)
+
+
+def _with(schema, **tables):
+    """The schema with tables replaced, or left out where None."""
+    from dataclasses import replace
+
+    changed = [tables.get(t.name, t) for t in schema.tables]
+    return replace(schema, tables=tuple(t for t in changed if t is not None))
+
+
+def _retyped(table, *names):
+    from dataclasses import replace
+
+    return replace(table, columns=tuple(replace(c, type=TypeSpec("bigint")) if c.name in names else c for c in table.columns))
+
+
+def test_a_key_between_two_changed_tables_goes_and_comes_once():
+    base = _stored(_keyed())
+    source = _with(base, mid=_retyped(base.table("mid"), "code"), low=_retyped(base.table("low"), "code"))
+    sql = [s.sql for s in _scripted(source, base).ordered()]
+    for verb in ("DROP", "ADD"):
+        assert sum(f"`low` {verb} CONSTRAINT `to_mid`" in s for s in sql) == 1
+    assert sum("TYPE BIGINT" in s for s in sql) == 2
+
+
+def test_a_key_that_the_plan_drops_or_changes_itself_is_left_to_it():
+    from dataclasses import replace
+
+    base = _stored(_keyed())
+    low = base.table("low")
+    gone = _scripted(_with(base, mid=_retyped(base.table("mid"), "code"), low=replace(low, foreign_keys=())), base).text()
+    assert gone.count("DROP CONSTRAINT `to_mid`") == 1 and "ADD CONSTRAINT `to_mid`" not in gone
+    other = replace(low, foreign_keys=(replace(low.foreign_keys[0], on_delete="CASCADE"),))
+    text = _scripted(_with(base, mid=_retyped(base.table("mid"), "code"), low=other), base).text()
+    assert text.count("DROP CONSTRAINT `to_mid`") == 1 and text.count("ADD CONSTRAINT `to_mid`") == 1 and "ON DELETE CASCADE" in text
+    dropped = _scripted(_with(base, mid=_retyped(base.table("mid"), "code"), low=None, loop=None), base).text()
+    assert "to_mid" not in dropped and "DROP TABLE `low`" in dropped
+
+
+def test_dropped_columns_take_what_holds_them_or_are_refused():
+    from dataclasses import replace
+
+    base = _stored(_keyed())
+    mid, low = base.table("mid"), base.table("low")
+    without = replace(mid, columns=tuple(c for c in mid.columns if c.name != "code"), uniques=(), indexes=(), checks=mid.checks[1:])
+    free = replace(low, foreign_keys=())
+    sql = [s.sql for s in _scripted(_with(base, mid=without, low=free), base).ordered()]
+    at = lambda part: next(i for i, s in enumerate(sql) if part in s)
+    assert at("DROP CONSTRAINT `to_mid`") < at("DROP CONSTRAINT `u`") < at("DROP COLUMN `code`") and not any("ADD CONSTRAINT" in s for s in sql)
+    assert sum("DROP CONSTRAINT `u`" in s for s in sql) == sum("DROP CONSTRAINT `positive`" in s for s in sql) == 1
+    # the other table keeps its key, which then has nothing to refer to
+    assert "low.to_mid: it refers to what the plan takes from mid" in _scripted(_with(base, mid=without), base).refusals[0]
+
+
+def test_computed_and_identity_changes_and_primary_keys_rebuild_the_table():
+    from dataclasses import replace
+
+    base = _keyed()
+    mid, top = base.table("mid"), base.table("top")
+    made = _scripted(_with(base, mid=_retyped(mid, "code")), base)
+    assert set(made.rebuilds) == {"mid"} and "computed from what changes" in made.rebuilds["mid"].why[0] and not any("rebuilt" in r for r in made.refusals)
+    assert made.rebuilds["mid"].columns["more"] == ("INT", "(code * 2) + 1") and made.rebuilds["mid"].columns["code"] == ("BIGINT", "`code`")
+    sql = [s.sql for s in made.ordered()]
+    at = lambda part: next(i for i, s in enumerate(sql) if part in s)
+    assert at("`low` DROP CONSTRAINT `to_mid`") < at("CREATE TABLE `mid__copy` AS SELECT") < at("ADD PRIMARY KEY (`id`)") < at("`low` ADD CONSTRAINT `to_mid`")
+    assert sum("CONSTRAINT `u`" in s for s in sql) == sum("CONSTRAINT `to_top`" in s for s in sql) == 1  # only put on the copy
+    # a key of two rebuilt tables goes once and comes with the child's copy
+    numbered = lambda t: replace(t, columns=tuple(replace(c, identity="(1,1)") if c.name == "id" else c for c in t.columns))
+    both = _scripted(_with(base, mid=numbered(mid), top=numbered(top)), base)
+    assert set(both.rebuilds) == {"mid", "top"}
+    for verb in ("DROP", "ADD"):
+        assert both.text().count(f"`mid` {verb} CONSTRAINT `to_top`") == 1
+    assert any("mid.id: numbers are kept" in w for w in both.warnings)
+    rekeyed = _scripted(_with(base, top=replace(top, columns=(*top.columns, Column("b", TypeSpec("int"))), primary_key=("id", "b"))), base)
+    assert "its primary key changes" in rekeyed.rebuilds["top"].why
+
+
+def test_what_stands_against_a_rebuild_is_named():
+    from dataclasses import replace
+
+    from plumbline.model import Module
+
+    base = _keyed()
+    mid = base.table("mid")
+    bound = replace(base, modules=(Module("VIEW", "w", "CREATE VIEW w WITH SCHEMABINDING AS SELECT id FROM mid", ("mid",)),))
+    stored = _with(bound, mid=replace(mid, storage=("versioned",)))
+    source = _with(bound, mid=replace(_retyped(mid, "code"), columns=(*_retyped(mid, "code").columns, Column("must", TypeSpec("int"), False))))
+    made = _scripted(source, stored)
+    refusal = next(r for r in made.refusals if "can't be rebuilt" in r)
+    assert "lose that it is versioned" in refusal and "w can't be without it" in refusal and "nothing for must" in refusal
+    assert not made.rebuilds and not any("`mid`" in s.sql and "ALTER COLUMN" in s.sql for s in made.steps)
+
+
+def test_indexes_statistics_storage_and_keys_of_types_are_told_apart():
+    from dataclasses import replace
+
+    from plumbline.model import Key, Schema, UserType
+    from plumbline.plans import schema_diff
+
+    number = TypeSpec("int")
+    old = Table("t", (Column("a", number), Column("b", number)), (), (), (Key("ix", ("a",), False),), statistics=(Key("st", ("a",), False),))
+    new = replace(old, indexes=(Key("ix", ("a",), False, None, ("b",), "columnstore"),), statistics=(Key("st", ("a", "b"), False),), storage=("partitioned",))
+    source, target = Schema("s", (new,), types=(UserType("list", "table", "a int", ("PRIMARY KEY (a)",)),)), Schema("t", (old,), types=(UserType("list", "table", "a int"),))
+    by = {d.name: d for d in schema_diff.schema_diff(source, target)}
+    assert {(c.type, p.name) for c in by["t"].children for p in c.properties} == {("Index", "Included"), ("Index", "Kind"), ("Statistics", "Columns")}
+    assert by["t"].properties[0].source == "partitioned" and by["list"].properties[0].name == "Keys"
+    refusals = _scripted(source, target).refusals
+    assert any("t.ix" in r and "columnstore index on a including b" in r and "stored by columns" in r for r in refusals)
 
 
 def test_fk_map_and_words():

@@ -49,7 +49,7 @@ def test_script_needs_parents_and_apply_converges(spark, session, tmp_path):
     assert session.closure(changes).required == [("category", 1, "company", "fk")]
     session.selections.append(Selection(DATABASE))
     text = session.script().text()
-    assert "INSERT INTO `company` (`id`, `name`, `category`) VALUES (2, 'B', 3)" in text
+    assert "INSERT INTO `company` (`id`, `name`, `category`) VALUES\n(2, 'B', 3)" in text
     tables = {}
     for name in ("category", "company"):
         tables[name] = SnapshotTable(spark, f"{tmp_path}/versions/{name}")
@@ -65,10 +65,10 @@ def test_script_needs_parents_and_apply_converges(spark, session, tmp_path):
 def test_parents_are_scripted_and_written_beside_picked_rows(spark, session, tmp_path):
     session.select("company", TableChoice())
     text = session.script().text()
-    assert text.index("INSERT INTO `category` (`id`, `name`) VALUES (3, 'Energy')") < text.index("INSERT INTO `company`")
+    assert text.index("INSERT INTO `category` (`id`, `name`) VALUES\n(3, 'Energy')") < text.index("INSERT INTO `company`")
     session.select("category", TableChoice(picks=spark.createDataFrame([(2,)], "id int")))
     text = session.script().text()
-    assert "VALUES (3, 'Energy')" in text and "'Wholesale'" in text and "DELETE" not in text
+    assert "(3, 'Energy')" in text and "'Wholesale'" in text and "DELETE" not in text
     tables = {}
     for name in ("category", "company"):
         tables[name] = SnapshotTable(spark, f"{tmp_path}/versions/{name}")
