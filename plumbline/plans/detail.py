@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from ..model import Table
 from .schema_diff import ObjectDiff
 
 
-def _many(n: int, one: str, more: str) -> str:
-    return f"{n} {one if n == 1 else more}"
-
-
 def summary(diff: ObjectDiff) -> str:
-    """Where an object is, or how many of its parts differ."""
-    if diff.kind != "Different":
-        return {"SourceOnly": "only on source", "TargetOnly": "only on target"}.get(diff.kind, "identical")
-    changed = [c.type for c in diff.children if c.changed]
-    columns, indexes = changed.count("Column"), changed.count("Index")
-    parts = [(columns, "column", "columns"), (indexes, "index", "indexes"), (len(changed) - columns - indexes, "constraint", "constraints")]
-    told = [_many(*p) for p in parts if p[0]]
-    return ", ".join(told) + " differ" if told else "body differs"
+    """One line: on which side it is missing, or which kinds of parts and which of its own properties aren't alike."""
+    missing = {"SourceOnly": "target", "TargetOnly": "source"}.get(diff.kind)
+    if missing:
+        return f"missing on the {missing}"
+    parts = Counter(child.type for child in diff.children if child.changed)
+    told = [f"{kind} x{n}" if n > 1 else kind for kind, n in sorted(parts.items())] + [p.name for p in diff.properties]
+    return f"not alike: {', '.join(told)}" if told else "alike"
 
 
 def sketch(table: Table) -> str:

@@ -77,24 +77,49 @@ class Described:
         return self.tables, self.views, self.routines
 
 
+@dataclass(frozen=True)
+class _Facts:
+    """Of a pair, what signals are told from."""
+
+    pair: Pair
+    known: tuple[Described | None, Described | None]
+
+    @property
+    def sides(self) -> list[str]:
+        return [side for side, name in (("source", self.pair.source), ("target", self.pair.target)) if name is not None]
+
+    @property
+    def troubles(self) -> list[str]:
+        """Why a side can't be read."""
+        told = []
+        for side, d in zip(("source", "target"), self.known):
+            closed = d and ("no access" if not d.accessible else d.state.lower() if d.state.upper() != "ONLINE" else d.problem)
+            told += [f"{side}: {closed}"] if closed else []
+        return told
+
+    def differing(self, measure: str) -> list[str]:
+        """Both sides' values of a measure, if they aren't the same."""
+        a, b = (getattr(d, measure) for d in self.known)
+        alike = a == b if not isinstance(a or b, str) else fold(a or "") == fold(b or "")
+        return [] if alike else [str(a), str(b)]
+
+
+#: Signals, whose names are fixed, the first that holds counts: when, and in words. Equal counts are no equal schemas.
+_SIGNALS = (
+    ("SourceOnly", lambda f: f.sides == ["source"], lambda f: "the target hasn't it; a plan never makes databases"),
+    ("TargetOnly", lambda f: f.sides == ["target"], lambda f: "the source hasn't it; a plan never drops databases"),
+    ("Unreadable", lambda f: f.troubles, lambda f: "; ".join(f.troubles)),
+    ("NotCompared", lambda f: None in f.known, lambda f: "not looked into so far"),
+    ("CollationDiffers", lambda f: f.differing("collation"), lambda f: " and ".join(f.differing("collation")) + " order and match texts differently"),
+    ("CountsDiffer", lambda f: f.differing("counts"), lambda f: "tables, views and routines: " + " and ".join(f.differing("counts"))),
+    ("CountsMatch", lambda f: True, lambda f: f"{f.known[0].counts} tables, views and routines on either side; only a comparison shows whether they are alike"),
+)
+
+
 def signal(pair: Pair, source: Described | None = None, target: Described | None = None) -> tuple[str, str]:
-    """What a pair says at a glance, and in words. Equal counts are never called equal schemas."""
-    if pair.kind in ("SourceOnly", "TargetOnly"):
-        return pair.kind, "only on source; no plan creates it" if pair.kind == "SourceOnly" else "only on target; no plan removes it"
-    sides = [("source", source), ("target", target)]
-    closed = [f"{'not accessible' if not d.accessible else d.state.lower()} on {side}" for side, d in sides if d and (not d.accessible or d.state.upper() != "ONLINE")]
-    if closed:
-        return "Unreadable", "on both sides but " + ", ".join(closed)
-    if source is None or target is None:
-        return "NotCompared", "on both sides; nothing was read yet"
-    if source.problem or target.problem:
-        return "Unreadable", f"on both sides but can't be read: {source.problem or target.problem}"
-    if fold(source.collation or "") != fold(target.collation or ""):
-        return "CollationDiffers", f"collations are {source.collation} and {target.collation}"
-    shown = ["/".join(map(str, d.counts)) for d in (source, target)]
-    if source.counts != target.counts:
-        return "CountsDiffer", f"{shown[0]} against {shown[1]} tables/views/routines"
-    return "CountsMatch", f"both have {shown[0]} tables/views/routines, which isn't yet the same schema"
+    """What a pair says at a glance, and in words."""
+    facts = _Facts(pair, (source, target))
+    return next((name, told(facts)) for name, holds, told in _SIGNALS if holds(facts))
 
 
 def survey(source: dict[str, Described | None], target: dict[str, Described | None], declared: list[tuple[str, str]] = ()) -> tuple[list[tuple[Pair, str, str]], list[str]]:

@@ -353,10 +353,12 @@ def test_fk_map_and_words():
     target = replace(source, tables=(source.tables[0], replace(source.tables[1], checks=()), *source.tables[3:]))
     diffs = schema_diff.schema_diff(source, target, schema_diff.Options())
     found = fk_map.fk_map(source, target, diffs, "MID", 2, "parents")
-    assert [(n.table, n.band, n.state) for n in found.nodes] == [("top", -1, "Untouched"), ("mid", 0, "Focus")] and found.nodes[1].note == "will be altered"
+    assert [(n.table, n.band, n.state) for n in found.nodes] == [("top", -1, "Untouched"), ("mid", 0, "Focus")] and found.nodes[1].note == "the plan changes it"
     assert [(e.child, e.parent, e.nullable, e.in_cycle) for e in found.edges] == [("mid", "top", False, False)]
-    assert len(found.notes) == 3 and "2 children aren't shown" in found.notes[0] and found.cyclic == ()
+    assert [n.partition(":")[0] for n in found.notes] == ["have rows that lean on mid, and on all of it", "every row of mid needs a row of", "not drawn in this direction, still in the way of the plan"]
+    assert found.notes[0].endswith(": low, loop") and found.cyclic == ()
+    assert fk_map.fk_map(source, replace(target, tables=()), diffs, "mid", 1).notes[:2] == ("every row of mid needs a row of: top", "new on the target, so nothing there can be compared: mid")
     assert [n.state for n in fk_map.fk_map(source, target, diffs, "mid", 1).nodes] == ["Untouched", "Focus", "InPlan"]
     by = {d.name: detail.summary(d) for d in diffs}
-    assert by["mid"] == "2 constraints differ" and by["low"] == "only on source" and by["top"] == "identical"
+    assert by["mid"] == "not alike: CheckConstraint x2" and by["low"] == "missing on the target" and by["top"] == "alike"
     assert "  FOREIGN KEY to_top (top) REFERENCES top (id)\n" in detail.sketch(source.table("mid")) and "  id INT NOT NULL\n" in detail.sketch(source.table("top"))

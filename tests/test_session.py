@@ -135,7 +135,7 @@ def test_selection_volumes_details_and_cached_scan(spark, session, tmp_path):
         session.tick("category")
     volumes = {r["table"]: r for r in session.volumes()}
     assert volumes["company"]["source_rows"] == 2 and volumes["company"]["target_rows"] == 1 and volumes["keyless"]["key_state"] == "none" and not volumes["fresh"]["on_target"]
-    assert session.detail("fresh")["summary"] == "only on source" and session.detail("fresh")["target"] is None
+    assert session.detail("fresh")["summary"] == "missing on the target" and session.detail("fresh")["target"] is None
     first = session.scan().collect()
     spark.createDataFrame([(9, "new")], "id int, name string").write.mode("append").parquet(f"{tmp_path}/target/category.parquet")
     assert session.scan().collect() == first and session.fk_map("company").nodes[0].table == "category"
