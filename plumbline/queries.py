@@ -197,6 +197,21 @@ FILTERS = {
         "LOG10(p_retailprice) > 2.97 AND LOG(p_retailprice) > LOG(1024, 2) - 3.15 AND EXP(0) = 1 AND p_partkey % 3 <> 1",
         "log10(p_retailprice) > 2.97 and ln(p_retailprice) > 6.85 and p_partkey % 3 <> 1",
     ),
+    "like_classes": (
+        "customer",
+        "c_name LIKE '%[02468]' AND c_name NOT LIKE '%[^0-4]_' AND c_mktsegment LIKE '[A-F]%' OR c_name LIKE 'Z!%' ESCAPE '!'",
+        "regexp_matches(c_name, '[02468]$') and not regexp_matches(c_name, '[^0-4].$') and regexp_matches(c_mktsegment, '^[A-F]') or c_name = 'Z%'",
+    ),
+    "joined_by_plus": (
+        "orders",
+        "o_orderstatus + '/' + o_orderpriority IN ('O/1-URGENT', 'F/5-LOW') OR LEFT(o_orderpriority, 1) + NULL = '1' OR o_orderkey + 1 + 1 = 9",
+        "o_orderstatus || '/' || o_orderpriority in ('O/1-URGENT', 'F/5-LOW') or o_orderkey + 2 = 9",
+    ),
+    "rounding": (
+        "orders",
+        "ROUND(o_totalprice, -3, 1) = ROUND(o_totalprice, -3) AND ROUND(-o_totalprice / 1000, 0, 1) > -150",
+        "trunc(o_totalprice / 1000) * 1000 = round(o_totalprice / 1000) * 1000 and trunc(-o_totalprice / 1000) > -150",
+    ),
     "dates_and_nulls": (
         "orders",
         "MONTH(o_orderdate) BETWEEN 3 AND 6 AND DAY(o_orderdate) / 10 = 1 AND COALESCE(NULLIF(o_orderstatus, 'F'), 'none') IN ('none', 'O') AND IIF(o_custkey > 10, 1, 0) = 1",
