@@ -10,9 +10,11 @@ are documents that share one of their prefix. In a bucket of copies nearly all d
 pairs. Only components are asked for: at first every set meets one centre of each of its buckets; then those
 outside of a bucket's largest component meet one of its members; at last every pair of different components that shares a
 prefix n-gram meets, if lengths and places allow the overlap. Pairs of one component add nothing and are left out,
-so every link between components is found, and none is assumed.
+so every link between components is found, and none is assumed. Before its segments are fetched a pair's parities are compared: of a set,
+two to four bits an n-gram say of which hashes it has an odd number. Sets differ in at least as many n-grams as
+parities do in bits, so what they rule out is no link.
 
-Frequency only sets the order. It is counted over all documents, from sorted blocks of 40 or more bits of each hash; the n-grams
+Frequency only sets the order. It is counted over all documents, by 40 or more bits of each hash; the n-grams
 of more than ``FREQUENT`` documents become a bitmap of fixed size, which is the same for all, so the order is one whatever the bitmap
 lets in. The similarity is compared in whole numbers, of sets of 64-bit hashes.
 
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, may_have
+from .bitmaps import bitmap, frequent, may_have
 from .minhash import _counted, components, weigh
 from .store import discard, materialize
 from .wordarrays import LOWER, grams, pieces, word_table, words_of
@@ -41,10 +43,6 @@ from .wordarrays import LOWER, grams, pieces, word_table, words_of
 FREQUENT = 100
 #: Fragments of the rare n-grams, as a power of two.
 FRAGMENT_BITS = 3
-#: Hashes that a task holds before it hands a sorted block on.
-HELD = 2_000_000
-#: Hashes of a part that one task counts, about.
-PART = 2_000_000
 _SPACE = word_table("space")
 
 
@@ -88,53 +86,13 @@ def shingles_of_words(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple
     return out, ends
 
 
-def _parts(texts: DataFrame) -> int:
-    """A power of two: into so many ranges hashes are dealt for counting."""
-    total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return 1 << max(8, int(total / 6 / PART).bit_length())
-
-
 def _frequent(texts: DataFrame, rules: JoinRules) -> Broadcast[np.ndarray]:
     """The bitmap of n-grams that more than FREQUENT of texts have."""
-    parts = _parts(texts)
-    bits = parts.bit_length() - 1
-
-    def blocks(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        held = np.sort(np.concatenate(hashes))
-        # a copy's n-gram is told FREQUENT + 1 times at most by one block, which is enough
-        if len(held) > FREQUENT + 1:
-            held = held[np.concatenate([np.ones(FREQUENT + 1, bool), held[FREQUENT + 1 :] != held[: -FREQUENT - 1]])]
-        cut = np.searchsorted(held, np.arange(parts, dtype=np.uint64) << np.uint64(64 - bits))
-        low = ((held << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        ends = np.append(cut[1:], len(held))
-        some = np.flatnonzero(ends > cut)
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : ends[i]].tobytes() for i in some], pa.binary())], names=["part", "block"])
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, _, hashes, _ in _sets(batch.column(0), rules):
-                held.append(hashes)
-                if sum(map(len, held)) > HELD:
-                    yield blocks(held)
-                    held = []
-        if held:
-            yield blocks(held)
-
-    def count(table: pa.Table) -> pa.Table:
-        part = np.uint64(table.column("part")[0].as_py())
-        low = np.sort(np.frombuffer(b"".join(table.column("block").to_pylist()), np.uint32))
-        later = low[FREQUENT:]
-        often = np.unique(later[later == low[: len(later)]])
-        h = (part << np.uint64(64 - bits)) | (often.astype(np.uint64) << np.uint64(32 - bits))
-        return pa.table([pa.array(h.view(np.int64))], ["h"])
-
-    dealt = texts.select("text").mapInArrow(sort, "part int, block binary")
-    return bitmap(dealt.groupBy("part").applyInArrow(count, "h long"))
+    return frequent(texts.select("text"), lambda batch: (hashes for _, _, hashes, _ in _sets(batch.column(0), rules)), FREQUENT + 1)
 
 
 def _prefixes(texts: DataFrame, frequent: Broadcast[np.ndarray], rules: JoinRules) -> DataFrame:
-    """(content, size, prefix array<long>), the prefix in the global order."""
+    """(content, size, prefix array<long>, parity array<long>), the prefix in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +106,19 @@ def _prefixes(texts: DataFrame, frequent: Broadcast[np.ndarray], rules: JoinRule
                 kept = ordered[place < wanted[doc]]
                 cuts = np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes), lists], names=["content", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes), lists, _parities(hashes, doc, sizes)], names=["content", "size", "prefix", "parity"])
 
-    return texts.select("content", "text").mapInArrow(run, "content binary, size long, prefix array<long>")
+    return texts.select("content", "text").mapInArrow(run, "content binary, size long, prefix array<long>, parity array<long>")
+
+
+def _parities(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """By set, bits that say of which hashes, cut to so many bits, it has an odd number; at least two bits an n-gram, a power of two."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begins = np.concatenate([[0], np.cumsum(bits)])
+    cell = begins[:-1][doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=begins[-1]) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((begins // 64).astype(np.int32)), pa.array(words))
 
 
 def _entries(sets: DataFrame, shared: Broadcast[np.ndarray]) -> DataFrame:
@@ -199,11 +167,33 @@ def _segments(texts: DataFrame, frequent: Broadcast[np.ndarray], rules: JoinRule
     return texts.select("c", "text").mapInArrow(run, "c long, fragment int, part array<long>")
 
 
-def _common(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, common) of pairs (a, b): counted in every fragment, summed by pair. Pairs without any are left out."""
-    x, y = segments.select(F.col("c").alias("a"), "fragment", F.col("part").alias("xs")), segments.select(F.col("c").alias("c_b"), F.col("fragment").alias("f_b"), F.col("part").alias("ys"))
-    met = pairs.join(x, "a").join(y, (F.col("b") == F.col("c_b")) & (F.col("fragment") == F.col("f_b")))
-    return met.select("a", "b", "sizes", F.size(F.array_intersect("xs", "ys")).alias("n")).groupBy("a", "b", "sizes").agg(F.sum("n").alias("common"))
+def _apart(x: str, y: str) -> Column:
+    """In how many bits two parities differ, the longer folded to the shorter's length."""
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(p: str) -> Column:
+        halves = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(p) == n, F.col(p)).otherwise(halves)
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+
+
+def _possible(pairs: DataFrame, parities: DataFrame, rules: JoinRules) -> DataFrame:
+    """Pairs (a, b, sa, sb) whose parities don't differ in more bits than linked sets do in n-grams.
+
+    Lengths of parities are powers of two, and the sizes of a pair are near, so one is the other's or twice it.
+    """
+    x, y = parities.select(F.col("c").alias("ca"), F.col("parity").alias("pa")), parities.select(F.col("c").alias("cb"), F.col("parity").alias("pb"))
+    met = pairs.join(x, F.col("a") == F.col("ca")).join(y, F.col("b") == F.col("cb"))
+    return met.where((100 + rules.percent) * _apart("pa", "pb") <= (100 - rules.percent) * (F.col("sa") + F.col("sb"))).select("a", "b", "sa", "sb")
+
+
+def _links(pairs: DataFrame, segments: DataFrame, rules: JoinRules) -> DataFrame:
+    """(a, b) of pairs (a, b, sa, sb) that link: what they share is counted in every fragment, and summed by pair."""
+    x, y = segments.select(F.col("c").alias("ca"), "fragment", F.col("part").alias("xs")), segments.select(F.col("c").alias("cb"), F.col("fragment").alias("f"), F.col("part").alias("ys"))
+    met = pairs.join(x, F.col("a") == F.col("ca")).join(y, (F.col("b") == F.col("cb")) & (F.col("fragment") == F.col("f")))
+    summed = met.select("a", "b", "sa", "sb", F.size(F.array_intersect("xs", "ys")).alias("n")).groupBy("a", "b", "sa", "sb").agg(F.sum("n").alias("common"))
+    return summed.where(rules.enough(F.col("common"), F.col("sa") + F.col("sb"))).select("a", "b")
 
 
 def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], rules: JoinRules) -> DataFrame:
@@ -219,14 +209,16 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
     grams_of = sets.select("c", F.explode("prefix").alias("s"))
     buckets = written(grams_of.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("centre")).where("n > 1").select(F.col("s").alias("k"), "centre"), "buckets")
     entries = written(_entries(sets, bitmap(buckets, "k")).join(buckets, F.col("s") == F.col("k")).drop("k"), "entries")
-    marks = entries.select("c", "size").distinct()
-    labels, labels_path = materialize(marks.select(F.col("c").alias("node"), F.col("c").alias("root")), "labels")
+    met = entries.select("c").distinct()
+    parities = sets.select("c", "parity")
+    labels, labels_path = materialize(met.select(F.col("c").alias("node"), F.col("c").alias("root")), "labels")
     segments: dict[str, DataFrame] = {}
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
-        """Of pairs (a, b, sizes) those that link, and their number."""
-        pairs = written(pairs.distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        """Of pairs (a, b, sa, sb) those that link, and their number."""
+        # written, so that Spark knows how few they are before it deals out what belongs to them
+        possible = written(_possible(pairs.distinct(), parities, rules), "possible")
+        ends = possible.select(F.explode(F.array("a", "b")).alias("c")).distinct()
         if "all" in segments:
             ends = ends.join(segments["all"].select("c").distinct(), "c", "left_anti")
         chosen = written(ends.join(sets.select("c", "content"), "c"), "chosen")
@@ -234,7 +226,7 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
         first = near.join(chosen, "content").groupBy("c").agg(F.any_value("text").alias("text"))
         more = written(_segments(first, frequent, rules), "segments")
         segments["all"] = segments["all"].unionByName(more) if "all" in segments else more
-        links = _common(pairs, segments["all"]).where(rules.enough(F.col("common"), F.col("sizes"))).select("a", "b")
+        links = _links(possible, segments["all"], rules)
         out, path, (n, _) = _counted(links, "links", "a", "b")
         spent.append(path)
         return out, n
@@ -255,7 +247,10 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
         return rules.enough(F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place")), sizes)
 
     def pair(x: str, y: str) -> list[Column]:
-        return [F.greatest(f"{x}.c", f"{y}.c").alias("a"), F.least(f"{x}.c", f"{y}.c").alias("b"), (F.col(f"{x}.size") + F.col(f"{y}.size")).alias("sizes")]
+        first = F.col(f"{x}.c") > F.col(f"{y}.c")
+        ends = F.when(first, F.struct(f"{x}.c", f"{x}.size", f"{y}.c", f"{y}.size")).otherwise(F.struct(f"{y}.c", f"{y}.size", f"{x}.c", f"{x}.size"))
+        ends = ends.cast("struct<a: bigint, sa: bigint, b: bigint, sb: bigint>")
+        return [ends[n].alias(n) for n in ("a", "b", "sa", "sb")]
 
     def held_against(rows: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs of rows and the one member (s, c, size, place) of their bucket."""
@@ -292,7 +287,7 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id"
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))).alias("content"), F.col(f"`{text}`").alias("text"))
     texts = rows.select("content", "text")
     frequent = _frequent(texts, rules)
-    of_content = _prefixes(texts, frequent, rules).groupBy("content").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    of_content = _prefixes(texts, frequent, rules).groupBy("content").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
     sets, _ = materialize(of_content.withColumn("c", F.monotonically_increasing_id()), "sets")
     roots = _roots(texts, sets, frequent, rules)
     least = rows.groupBy("content").agg(F.min("id").alias("least")).withColumnRenamed("content", "key")

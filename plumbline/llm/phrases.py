@@ -9,7 +9,7 @@ all triples that hold a pair which reaches it are counted, since they may drop i
 is known. Where fewer than ``first`` phrases survive there, the threshold falls and the frontier grows, until
 they do (ties included) or the whole tree is grown.
 
-Every growth is one pass over the texts. A task counts its own grams before anything is shuffled, so a word of every line costs
+Every growth is one pass over the texts; pairs are counted by hash first, then only the frequent ones by their text. A task counts its own grams before anything is shuffled, so a word of every line costs
 a few rows a task. Which grams are worth counting is told by bitmaps of fixed size; they may let a gram through
 for nothing, never miss one, and counts are always of the text itself.
 
@@ -30,14 +30,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, may_have
+from .bitmaps import bitmap, frequent, may_have
 from .store import discard, materialize
 from .wordarrays import LOWER, grams, mix, pieces, words_of
 
 #: Scores are shares of so much.
 SCALE = 1_000_000
 #: Grams that a task holds before it hands them on.
-HELD = 1_000_000
+HELD = 100_000
+#: Rows of texts taken at once.
+ROWS = 200
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_BREAK
@@ -60,13 +62,28 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(zlib.crc32(lang.encode()) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, number of its piece) of the words of texts that each end in a line feed."""
+    data = LOWER[data]
+    start, end, hashes, _ = words_of(data, offsets, _WORD)
+    return start, end, hashes, np.cumsum(_BREAK[data])[start]
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    """(lang, texts) of a batch (lang, text), a few rows at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        codes = part.column(0).dictionary_encode()
+        for code, lang in enumerate(codes.dictionary.to_pylist()):
+            yield lang, part.column(1).take(pa.array(np.flatnonzero(codes.indices.to_numpy() == code)))
+
+
 def _grams_of(data: np.ndarray, offsets: np.ndarray, size: int, choose: Chooser, salt: np.uint64) -> pa.Array:
     """Chosen grams of consecutive words of a piece, space-joined. Every text ends in a line feed."""
     data = LOWER[data]
-    start, end, hashes, _ = words_of(data, offsets, _WORD)
+    start, end, hashes, part = _words(data, offsets)
     if len(start) < size:
         return pa.array([], pa.large_string())
-    part = np.cumsum(_BREAK[data])[start]
     last = len(start) - size + 1
     at = np.flatnonzero((part[:last] == part[size - 1 :]) & choose(hashes, salt))
     kept = _WORD[data]
@@ -90,23 +107,20 @@ def _counted(docs: DataFrame, size: int, choose: Chooser, least: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
-        for batch in batches:
-            codes = batch.column(0).dictionary_encode()
-            for code, lang in enumerate(codes.dictionary.to_pylist()):
-                texts = batch.column(1).take(pa.array(np.flatnonzero(codes.indices.to_numpy() == code)))
-                for _, _, data, offsets in pieces(texts):
-                    found = pc.value_counts(_grams_of(data, offsets, size, choose, _salt(lang)))
-                    gram, n = found.field(0).cast(pa.string()), found.field(1)
-                    if size == 1:
-                        gram, n = pa.concat_arrays([gram, pa.array([""], pa.string())]), pa.concat_arrays([n, pa.array([pc.sum(n).as_py() or 0], pa.int64())])
-                    held.append(pa.table([pa.array([lang] * len(gram), pa.string()), gram, n], ["lang", "gram", "n"]))
-                    rows += len(gram)
-                if rows > HELD:
-                    held = [merged(held)]
-                    rows = held[0].num_rows
-                    if rows > HELD // 2:
-                        yield from held[0].to_batches()
-                        held, rows = [], 0
+        for lang, texts in (x for batch in batches for x in _by_lang(batch)):
+            for _, _, data, offsets in pieces(texts):
+                found = pc.value_counts(_grams_of(data, offsets, size, choose, _salt(lang)))
+                gram, n = found.field(0).cast(pa.string()), found.field(1)
+                if size == 1:
+                    gram, n = pa.concat_arrays([gram, pa.array([""], pa.string())]), pa.concat_arrays([n, pa.array([pc.sum(n).as_py() or 0], pa.int64())])
+                held.append(pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(gram)), gram, n], ["lang", "gram", "n"]))
+                rows += len(gram)
+            if rows > HELD:
+                held = [merged(held)]
+                rows = held[0].num_rows
+                if rows > HELD // 2:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
         if held:
             yield from merged(held).to_batches()
 
@@ -139,10 +153,22 @@ def _all(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
     return np.ones(len(hashes), bool)
 
 
-def _of_frequent_words(words: Broadcast) -> Chooser:
+def _often_pairs(texts: DataFrame, words: Broadcast, least: int) -> Broadcast:
+    """The bitmap of pairs of frequent words that occur often enough."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for lang, some in _by_lang(batch):
+            for _, _, data, offsets in pieces(some):
+                _, _, words_, part = _words(data, offsets)
+                often = may_have(words.value, mix(words_ ^ _salt(lang)))
+                yield mix(_hash(words_, 2) ^ _salt(lang))[often[:-1] & often[1:] & (part[:-1] == part[1:])]
+
+    return frequent(texts.select("lang", "text"), hashes, least)
+
+
+def _of_pairs(often: Broadcast) -> Chooser:
     def choose(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
-        often = may_have(words.value, mix(hashes ^ salt))
-        return often[:-1] & often[1:]
+        return may_have(often.value, mix(_hash(hashes, 2) ^ salt))
 
     return choose
 
@@ -189,8 +215,8 @@ def mine(docs: DataFrame, rules: PhraseRules = PhraseRules(), text: str = "text"
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.concat(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\n")).alias("text"))
     all_words, words_path = materialize(_counted(texts, 1, _all, rules.least_count), "words")
     words = all_words.where("gram <> ''")
-    often_words = bitmap(_hashes(words))
-    counted, path = materialize(_counted(texts, 2, _of_frequent_words(often_words), rules.least_count), "pairs")
+    often = _often_pairs(texts, bitmap(_hashes(words)), rules.least_count)
+    counted, path = materialize(_counted(texts, 2, _of_pairs(often), rules.least_count), "pairs")
     first_word, last_word = F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)
     parted = counted.withColumns({"x": first_word, "y": last_word})
     after = parted.groupBy("lang", "x").agg(F.max("n").alias("most")).select(F.col("lang").alias("_lang"), F.col("x").alias("_x"), "most")
