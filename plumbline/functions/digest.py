@@ -61,7 +61,7 @@ def row_hash(text: Column, algorithm: str = "sha256") -> Column:
 
 
 def pair_hash(text: Column) -> tuple[Column, Column]:
-    """128 bits of a row's text as two whole numbers, which aggregates hold at a fixed width."""
+    """128 bits of a row's text, or of a value, as two whole numbers, which aggregates hold at a fixed width."""
     return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import display, pair_hash, pair_hex, render, row_text
+from ..sources.store import materialize
 
 CLASSES = ("Insert", "Update", "Delete", "Same")
 MODES = ("SchemaOnly", "AllRows", "TopN", "Filter")
@@ -165,16 +166,45 @@ def unmatched_picks(picks: DataFrame, found: DataFrame, keys: Iterable[str]) ->
     return picks.alias("p").join(found.alias("c"), _same_keys("p", "c", keys), "left_anti")
 
 
+#: Ranges by which wanted keys are looked for in a table's files.
+RANGES = 16
+
+
+def key_ranges(wanted: DataFrame, key: str, n: int = RANGES) -> list[tuple]:
+    """At most n (least, greatest) of a key column that together hold all its values, in order; nulls are in none.
+
+    Keys are dealt by ranges that hold equally many, so far-off groups of keys end in ranges of their own.
+    """
+    held = wanted.select(F.col(f"`{key}`").alias("k")).where("k is not null")
+    parts = held.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("least"), F.max("k").alias("greatest"))
+    return sorted((r["least"], r["greatest"]) for r in parts.collect())  # n rows
+
+
+def fetch(df: DataFrame, wanted: DataFrame, keys: Iterable[str], ranges: list[tuple] | None = None) -> DataFrame:
+    """The rows of df with a wanted key. With ranges of the first key column, files and row groups outside of them aren't read."""
+    keys = list(keys)
+    if ranges is not None:
+        column = F.col(f"`{keys[0]}`")
+        inside = column.isNull()
+        for least, greatest in ranges:
+            inside = inside | column.between(least, greatest) if least != greatest else inside | (column == least)
+        df = df.where(inside)
+    return df.alias("f").join(wanted.select(*[F.col(f"`{k}`") for k in keys]).alias("w"), _same_keys("f", "w", keys), "left_semi")
+
+
 def cell_diffs(source: DataFrame, target: DataFrame, request: CompareRequest, limit: int | None = 200) -> DataFrame:
     """Keys, ``column_name``, ``source_value`` and ``target_value`` of changed cells of the first updated rows by key.
 
-    A limit of rows is part of the report; None is all rows.
+    A limit of rows is part of the report; None is all rows. The first rows' keys are found once and written; of both
+    tables only the ranges that hold them are read.
     """
     keys = request.keys
     compared = [c for c in (request.compared if request.compared is not None else source.columns) if c not in keys]
     updated = classify(source, target, request, check_keys=False).where("classification = 'Update'").select(*keys)
     if limit is not None:
-        updated = top_by_key(updated, keys, limit)
+        updated = materialize(top_by_key(updated, keys, limit), "updated")
+        ranges = key_ranges(updated, keys[0])
+        source, target = fetch(source, updated, keys, ranges), fetch(target, updated, keys, ranges)
     joined = updated.alias("u").join(source.alias("s"), _same_keys("u", "s", keys)).join(target.alias("t"), _same_keys("u", "t", keys))
     cells = [F.struct(F.lit(c).alias("column_name"), render(F.col(f"s.`{c}`"), source.schema[c].dataType, request.profile).alias("source_value"), render(F.col(f"t.`{c}`"), target.schema[c].dataType, request.profile).alias("target_value")) for c in compared]
     changed = F.filter(F.array(*cells), lambda x: ~x["source_value"].eqNullSafe(x["target_value"]))

@@ -6,27 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType
 
-#: Distinct counts in one aggregate make Spark repeat each row for each of them.
-AT_ONCE = 8
+from ..functions.digest import pair_hash
+
 _NOT_KEYS = (ArrayType, MapType, StructType, BinaryType, VariantType)
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, row_count, distinct_count, null_count, could_be_key of all columns that can be compared.
 
-    A column could be a key if it has no null and as many values as there are rows, of which there are some.
+    A column could be a key if it has no null and as many values as there are rows, of which there are some. One scan,
+    however many columns: rows become cells (column, 128 bits of the value), which are counted by cell, in part before the
+    shuffle, then by column.
     """
     names = [c for c in columns or df.columns if not isinstance(df.schema[c].dataType, _NOT_KEYS)]
-    out = None
-    for at in range(0, len(names), AT_ONCE):
-        some = names[at : at + AT_ONCE]
-        measures = [x for i, c in enumerate(some) for x in (F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"))]
-        wide = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), F.col(f"d{i}").alias("distinct_count"), F.col(f"n{i}").alias("null_count")) for i, c in enumerate(some)])
-        tall = wide.select(F.explode(rows).alias("r")).select("r.*")
-        out = tall if out is None else out.unionByName(tall)
-    if out is None:
+    if not names:
         raise ValueError("no column can be a key")
+    cell = lambda i, c: F.struct(F.lit(i).alias("i"), c.isNull().alias("none"), *[h.alias(n) for n, h in zip(("h1", "h2"), pair_hash(c))])
+    cells = df.select(F.explode(F.array(*[cell(i, F.col(f"`{c}`")) for i, c in enumerate(names)])).alias("c")).select("c.*")
+    by_cell = cells.groupBy("i", "none", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    by_column = by_cell.groupBy("i").agg(F.sum("n").alias("row_count"), F.count_if(~F.col("none")).alias("distinct_count"), F.sum(F.when(F.col("none"), F.col("n")).otherwise(0)).alias("null_count"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "place int, column_name string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    out = listed.join(by_column, F.col("place") == F.col("i"), "left").select("column_name", *map(zero, ("row_count", "distinct_count", "null_count")))
     return out.withColumn("could_be_key", (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count")) & (F.col("row_count") > 0))
 
 

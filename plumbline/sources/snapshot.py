@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digest import render
 from ..operators.compare import apply_changes
 from .catalog import _files
 
@@ -98,8 +99,25 @@ def staged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Null is nothing, the empty text is quoted, quotes are doubled."""
-    df.write.option("escape", '"').option("emptyValue", '""').option("nullValue", "").option("lineSep", "\n").csv(path, header=True)
+    """Values are always quoted, quotes are doubled, null is nothing, lines end in a line feed.
+
+    Spark's own writer quotes all or as needed, and with all takes null for the empty text; so lines are put together here
+    and written as text.
+    """
+    quoted = lambda text: F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.coalesce(quoted(render(F.col(f"`{f.name}`"), f.dataType)), F.lit("")) for f in df.schema.fields]
+    head = ",".join('"' + n.replace('"', '""') + '"' for n in df.columns)
+    # a header in every file, as Spark's writer does
+    lines = df.select(F.concat_ws(",", *cells).alias("value"))
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(headed, "value string").write.option("lineSep", "\n").text(path)
 
 
 class RunLog:

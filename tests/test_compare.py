@@ -1,5 +1,8 @@
 """Row compare, screening, keys, closure, drift, applying."""
 
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,45 @@ def test_drift(spark, pair):
     now = drift.snapshot(compare.classify(pair[0], later, request), "t", ["id"])
     assert {(r.row_key, r.kind) for r in drift.drift(before, now).collect()} == {("2", "moved"), ("4", "settled"), ("5", "appeared")}
     assert drift.drift(before, before).collect() == []
+
+
+def test_a_profile_is_one_scan_without_repeating_rows(spark, tmp_path):
+    import decimal
+
+    rows = [(i, i % 3, None if i % 4 == 0 else f"v{i % 5}", i / 2, decimal.Decimal(i % 2), *[i % (k + 2) for k in range(20)]) for i in range(40)]
+    spark.createDataFrame(rows, "a int, b long, c string, d double, e decimal(5,1), " + ", ".join(f"x{k} int" for k in range(20))).write.parquet(f"{tmp_path}/wide")
+    df = spark.read.parquet(f"{tmp_path}/wide").withColumn("f", F.array("a"))
+    found = keys.profile(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" not in plan and plan.count("Generate") == 1
+    rows_ = {r.column_name: (r.row_count, r.distinct_count, r.null_count, r.could_be_key) for r in found.collect()}
+    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns if c != "f"]).first().asDict()
+    assert {c: r[1] for c, r in rows_.items()} == want and rows_["c"][2] == 10 and rows_["a"] == (40, 40, 0, True) and len(rows_) == 25
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),)], "z double")
+    assert tuple(keys.profile(zeros).first())[1:4] == (4, 2, 0)
+
+
+def test_details_read_only_where_wanted_keys_are(spark, tmp_path):
+    spark.range(0, 100_000, 1, 10).selectExpr("id", "id % 7 as v").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+
+    few = spark.createDataFrame([(5,), (6,), (95_000,)], "id long")
+    ranges = compare.key_ranges(few, "id")
+    for path in glob.glob(f"{tmp_path}/t/.*.crc"):
+        os.remove(path)
+    for path in glob.glob(f"{tmp_path}/t/part-*"):  # in every file that holds no wanted key the data is spoilt, its statistics aren't
+        keys_ = {r.id // 10_000 for r in spark.read.parquet(path).select("id").limit(1).collect()}
+        if keys_ & {0, 9}:
+            continue
+        with open(path, "r+b") as f:
+            data = f.read()
+            footer = len(data) - 8 - int.from_bytes(data[-8:-4], "little")
+            f.seek(4)
+            f.write(b"X" * (footer - 4))
+    with pytest.raises(Exception):
+        table.agg(F.sum("id")).collect()
+    assert sorted(r.id for r in compare.fetch(table, few, ["id"], ranges).collect()) == [5, 6, 95_000]
+    changed = table.withColumn("v", F.when(F.col("id").isin(7, 95_001), 99).otherwise(F.col("v")))
+    wanted = spark.createDataFrame([(7,), (95_001,)], "id long")
+    assert compare.fetch(changed, wanted, ["id"], compare.key_ranges(wanted, "id")).where("v = 99").count() == 2
+    assert compare.key_ranges(few, "id", 3)[0][0] == 5 and compare.key_ranges(few.limit(0), "id") == []

@@ -47,10 +47,12 @@ def test_snapshot_converges_and_fails_whole(spark, tmp_path):
 
 
 def test_csv_and_log(spark, tmp_path):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, 'q"uo,te')], "id int, s string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, 'q"uo,te'), (4, "two\nlines"), (None, "NULL")], "id int, s string")
     snapshot.write_csv(df.coalesce(1), f"{tmp_path}/csv")
-    text = open(glob.glob(f"{tmp_path}/csv/*.csv")[0]).read()
-    assert text == 'id,s\n1,\n2,""\n3,"q""uo,te"\n'
+    text = open(glob.glob(f"{tmp_path}/csv/part-*")[0]).read()
+    assert text == '"id","s"\n"1",\n"2",""\n"3","q""uo,te"\n"4","two\nlines"\n,"NULL"\n'
+    back = spark.read.csv(f"{tmp_path}/csv", header=True, multiLine=True, escape='"', schema="id int, s string", emptyValue="", nullValue=None)
+    assert back.where("id = 3").first().s == 'q"uo,te' and back.where("id = 4").first().s == "two\nlines" and back.count() == 5
     log = snapshot.RunLog(spark, f"{tmp_path}/log")
     assert log.latest() == []
     for i in range(3):
