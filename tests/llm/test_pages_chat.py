@@ -215,6 +215,19 @@ def test_each_layout_of_a_host_has_a_template(spark):
     assert found == {i: f"Title {i}\nBody of page {i}." if i < 12 else f"Thing {i} is good." for i in range(20)}
 
 
+def test_long_runs_of_digits_are_read_once():
+    import time
+
+    for text in ("1" * 1_000_000, "1." * 500_000, "1.1.1" * 200_000, "+1" + "(" * 1_000_000):
+        started = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - started < 5
+    rnd, plain = random.Random(1), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(5000):
+        text = "".join(rnd.choice("012.. x") for _ in range(rnd.randint(0, 30)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in pii._IP.finditer(text)]
+
+
 def test_base_spans_of_long_and_odd_texts():
     assert pii.base_spans("1.1.1." + "0" * 5000 + "1") == [("ip", 0, 5007)]
     long = "1.1.1." + "9" * 5000 + " " + "4" * 6000 + " +" + "5" * 5000 + " a@" + "b." * 5000 + "c"
