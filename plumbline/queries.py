@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.digest import canonical, row_hash, row_text
 from .functions.predicate import to_spark
-from .model import Column, ForeignKey, Table, TypeSpec
-from .operators import closure, columns, compare, drift, keys, screen
-from .plans import instances, ordering, schema_diff, script, sizes
+from .model import Column, ForeignKey, Schema, Table, TypeSpec
+from .operators import closure, columns, compare, drift, keys, rescan, screen
+from .plans import instances, ordering, rebuild, schema_diff, script, sizes
 from .sources import catalog
 from .sources.catalog import ParquetDatabase
 from .sources.manifest import Conflict, VersionedDatabase
@@ -342,6 +342,27 @@ def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir)
 
 
+_KEPT_SQL = " union all ".join(
+    f"select {i} as scan, {read_} as files_read, * from ({fingerprint_sql('orders', source)})"
+    for i, read_, source in ((1, 8, "(select * from orders)"), (2, 1, f"(select * from orders union all select * replace (o_orderkey + {FAR} as o_orderkey) from orders where o_orderkey % 50 = 0)"), (3, 0, f"(select * from orders union all select * replace (o_orderkey + {FAR} as o_orderkey) from orders where o_orderkey % 50 = 0)"))
+)
+
+
+@query(_KEPT_SQL)
+def scan_by_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of orders in eight files, after one more was written, and once again; and how many files each scan read."""
+    root, rows = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}", read(spark, sf_dir, "orders")
+    store, columns_, out = rescan.FingerprintStore(spark, f"{root}/kept"), TABLES["orders"].names, None
+    rows.repartition(8).write.parquet(f"{root}/orders")
+    for scan in (1, 2, 3):
+        if scan == 2:
+            rows.where("o_orderkey % 50 = 0").withColumn("o_orderkey", F.col("o_orderkey") + FAR).coalesce(1).write.mode("append").parquet(f"{root}/orders")
+        found = store.scan([rescan.watch_folder(spark, "orders", f"{root}/orders", columns_, "portable", "md5")])
+        one = found.select(F.lit(scan).alias("scan"), F.lit(store.files_read["orders"]).alias("files_read"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("select 6::bigint as comparable, 4::bigint as differing, 2::bigint as not_comparable, 1::bigint as skipped")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.scan_summary(_scan(spark, sf_dir))
@@ -354,9 +375,16 @@ def hash_rows_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n_nationkey", text.alias("row_text")).withColumn("row_hash", row_hash(F.col("row_text"))).withColumn("row_md5", row_hash(F.col("row_text"), "md5"))
 
 
-@query("select * from (values (1, '|-:|1:x'), (2, '|1:x|-:'), (3, '|0:|1:x'), (4, '|-:|-:')) as t(id, row_text)")
+_NULLED = "select c_custkey as id, case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then '' else c_mktsegment end as a, case when c_custkey % 4 = 0 then null else left(c_name, (c_custkey % 4)::int) end as b from customer"
+
+
+@query(f"select id, '|' || coalesce(length(a)::varchar || ':' || a, '-:') || '|' || coalesce(length(b)::varchar || ':' || b, '-:') as row_text from ({_NULLED})")
 def digest_null_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, None, "x"), (2, "x", None), (3, "", "x"), (4, None, None)], "id int, a string, b string")
+    """Customers with some texts taken away or emptied: null, the empty text and a text's place all show."""
+    key = F.col("c_custkey")
+    a = F.when(key % 3 == 0, None).when(key % 3 == 1, "").otherwise(F.col("c_mktsegment"))
+    b = F.when(key % 4 != 0, F.substring("c_name", F.lit(1), (key % 4).cast("int")))
+    df = read(spark, sf_dir, "customer").select(key.alias("id"), a.alias("a"), b.alias("b"))
     return df.select("id", canonical([(F.col("a"), df.schema["a"].dataType), (F.col("b"), df.schema["b"].dataType)]).alias("row_text"))
 
 
@@ -629,23 +657,74 @@ def statements_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Schemas and instances.
 
 
-@query("select * from (values ('Column', 'c_extra', 'SourceOnly', null, null), ('Column', 'c_name', 'Different', 'Nullable', 'False'), ('Column', 'c_note', 'TargetOnly', null, null), ('Column', 'c_total', 'Different', 'DataType', 'DECIMAL(18,2)')) as t(type, name, kind, property, source_value)")
+def _typed(spark: SparkSession, sf_dir: str, change: bool) -> tuple[dict[str, DataFrame], list[Table]]:
+    """All tables as they are, or with columns dropped, added and of other types, by a rule that SQL can state."""
+    frames, tables = {}, []
+    for name in sorted(TABLES):
+        df = read(spark, sf_dir, name)
+        if change:
+            kinds = {"int": "bigint", "bigint": "int", "double": "float"}
+            shown = [F.col(f.name).cast(kinds.get(f.dataType.simpleString(), f.dataType.simpleString())).alias(f.name.upper()) for i, f in enumerate(df.schema.fields) if i != 2]
+            df = df.select(*shown, F.lit("").alias("added"))
+        frames[name] = df
+        tables.append(Table.of(name, df.schema, primary_key=TABLES[name].key))
+    return frames, tables
+
+
+_SPARK_KINDS = "case data_type when 'INTEGER' then 'INT' when 'VARCHAR' then 'STRING' when 'TIMESTAMP' then 'TIMESTAMP_NTZ' else data_type end"
+_COLUMNS = f"(select table_name, column_name, row_number() over (partition by table_name order by column_index) - 1 as place, {_SPARK_KINDS} as type, case data_type when 'BIGINT' then 'INT' when 'INTEGER' then 'BIGINT' when 'DOUBLE' then 'FLOAT' else '' end as other from duckdb_columns() where table_name in ({', '.join(repr(n) for n in TABLES)}))"
+
+
+@query(
+    f"""select table_name, column_name, 'Column' as type, case when place = 2 then 'SourceOnly' else 'Different' end as kind, case when place = 2 then null else 'DataType' end as property, case when place = 2 then null else type end as source_value, case when place = 2 then null else other end as target_value
+from {_COLUMNS} where place = 2 or other <> ''
+union all select distinct table_name, 'added', 'Column', 'TargetOnly', null, null, null from {_COLUMNS}"""
+)
 def schema_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = TypeSpec("string")
-    key = Column("c_custkey", TypeSpec("bigint"), False)
-    source = Table("customer", (key, Column("c_name", text, False), Column("c_extra", text), Column("c_total", TypeSpec("decimal", precision=18, scale=2))))
-    target = Table("customer", (key, Column("C_NAME", TypeSpec("STRING"), True), Column("c_note", text), Column("c_total", TypeSpec("decimal", precision=12, scale=2))))
-    rows = schema_diff.diff_frame(spark, schema_diff.table_diff(source, target).children)
-    return rows.select("type", "name", "kind", "property", "source_value")
+    """Every column that differs between the tables and their copies of other types."""
+    out = None
+    for source, target in zip(_typed(spark, sf_dir, False)[1], _typed(spark, sf_dir, True)[1]):
+        found = schema_diff.table_diff(Table(source.name, tuple(_open(c) for c in source.columns), source.primary_key), Table(target.name, tuple(_open(c) for c in target.columns), source.primary_key))
+        rows = schema_diff.diff_frame(spark, found.children).select(F.lit(source.name).alias("table_name"), F.col("name").alias("column_name"), "type", "kind", "property", "source_value", "target_value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-_MATRIX = [("bigint", "int", "Narrows"), ("int", "bigint", "None"), ("float", "real", "Narrows"), ("nvarchar", "varchar", "Narrows"), ("varchar", "nvarchar", "None"), ("int", "varchar", "Converts"), ("binary", "varbinary", "None"), ("datetime2", "datetime2", "None")]
+def _open(c: Column) -> Column:
+    """A column without what isn't compared here."""
+    return Column(c.name, c.type, True, c.ordinal)
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}', '{k}')" for a, b, k in _MATRIX) + ") as t(old_type, new_type, kind)")
+@query(f"select table_name, column_name, type as old_type, other as new_type, case when type = 'INT' then 'None' else 'Narrows' end as kind from {_COLUMNS} where place <> 2 and other <> ''")
 def narrowing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b, schema_diff.narrowing(Column("c", TypeSpec(a)), Column("c", TypeSpec(b))).kind) for a, b, _ in _MATRIX]
-    return spark.createDataFrame(rows, "old_type string, new_type string, kind string")
+    """What each column of the tables would lose in the type that its copy has."""
+    rows = []
+    for source, target in zip(_typed(spark, sf_dir, False)[1], _typed(spark, sf_dir, True)[1]):
+        for c in source.columns:
+            to = target.column(c.name)
+            if to is not None and to.type != c.type:
+                rows.append((source.name, c.name, str(c.type), str(to.type), schema_diff.narrowing(_open(c), _open(to)).kind))
+    return spark.createDataFrame(rows, "table_name string, column_name string, old_type string, new_type string, kind string")
+
+
+@query(f"select c_custkey, c_name, c_nationkey, c_custkey * 2 as twice, null::varchar as note, true as applied from customer where c_custkey % 10 <> 0 or c_custkey % 20 = 0 union all select -1, 'state', 2, 0, null, true")
+def apply_schema_and_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer table of other types, with a dropped, a new and a computed column, and missing rows, brought to the source's form in one step."""
+    rows = read(spark, sf_dir, "customer")
+    base = VersionedDatabase(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", {"customer": {"primary_key": ["c_custkey"]}})
+    with base.transaction() as t:
+        t.write("customer", rows.where("c_custkey % 10 <> 0").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal"))
+    wanted = rows.select("c_custkey", "c_name", "c_nationkey", (F.col("c_custkey") * 2).alias("twice"), F.lit(None).cast("string").alias("note"))
+    source = Table.of("customer", wanted.schema, primary_key=("c_custkey",))
+    source = replace(source, columns=tuple(replace(c, nullable=c.name != "c_custkey", computed="[c_custkey] * 2" if c.name == "twice" else None) for c in source.columns))
+    old = base.schema()
+    with base.transaction() as t:
+        t.rebuild("customer", rebuild.rebuild(source, old.table("customer"), old, []).columns)
+        t.describe("customer", catalog.constraints_of(source))
+        t.apply("customer", compare.changes(wanted.where("c_custkey % 20 = 0 or c_custkey % 10 <> 0"), t.read("customer"), request("customer")), ["c_custkey"])
+    same = not [d for d in schema_diff.schema_diff(Schema("s", (source,)), base.schema()) if d.changed]
+    state = spark.createDataFrame([(-1, "state", base.current().number, 0, None)], wanted.schema)
+    return base.table("customer").unionByName(state).withColumn("applied", F.lit(same))
 
 
 @query(
