@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from ..model import Table, fold
 
 
@@ -31,6 +35,44 @@ KNOWN = {
 }
 
 
+def read_collations(spark: SparkSession, names: Iterable[str]) -> dict[str, Collation]:
+    """What Spark knows of collations by these names; others are left out."""
+    wanted = sorted({fold(n) for n in names})
+    if not wanted:
+        return {}
+    rows = spark.sql("SELECT * FROM collations()").where(F.lower("NAME").isin(wanted)).collect()  # a row a name
+    short = {"CASE_SENSITIVE": "cs", "CASE_INSENSITIVE": "ci", "ACCENT_SENSITIVE": "as", "ACCENT_INSENSITIVE": "ai"}
+    found = {}
+    for r in rows:
+        own = KNOWN.get(fold(r["NAME"]))
+        style = "_".join([short.get(r["CASE_SENSITIVITY"] or "", "cs"), short.get(r["ACCENT_SENSITIVITY"] or "", "as"), (r["LANGUAGE"] or "").lower(), (r["PAD_ATTRIBUTE"] or "").lower()])
+        found[fold(r["NAME"])] = own or Collation(r["NAME"], 65001, style)
+    return found
+
+
+def facts(names: Iterable[str], *askers: Callable[[list[str]], dict[str, Collation]]) -> dict[str, Collation]:
+    """What is known of collations: the first asked answers for what it knows, the next is asked about the rest only."""
+    known: dict[str, Collation] = {}
+    left = sorted({fold(n) for n in names})
+    for ask in askers:
+        if left:
+            known |= {fold(n): c for n, c in ask(left).items()}
+            left = [n for n in left if n not in known]
+    return known
+
+
+def told(by_table: dict[str, list[Finding]], source: str | None = None, target: str | None = None) -> list[str]:
+    """What the findings of a database mean: which tables can't be compared, which differences don't matter here."""
+    stopped = sorted(t for t, found in by_table.items() if blocked(found))
+    out = [f"not compared for their collations: {', '.join(stopped)}"] if stopped else []
+    mild = sum(f.risk == "Advisory" for found in by_table.values() for f in found)
+    if mild:
+        out.append(f"{mild} columns order or fold texts differently; rows are matched by their very characters, so none of that changes a result")
+    if not stopped and fold(source or "") != fold(target or ""):
+        out.append(f"the databases default to {source} and {target}, which no compared column takes up")
+    return out
+
+
 @dataclass(frozen=True)
 class Finding:
     column: str

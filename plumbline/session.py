@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.predicate import to_spark
-from .model import Schema, fold
+from .model import Column, Key, Schema, fold
 from .operators import closure, columns, compare, drift, keys, rescan, screen
 from .operators.rescan import FingerprintStore
 from .plans import collation, detail, fk_map, guards, schema_diff, script, selection, sizes
@@ -52,6 +52,7 @@ class CompareSession:
     script_bytes: int = 0
     scanned: list[tuple[str, str, str]] | None = None
     kept: FingerprintStore | None = None
+    _collations: dict[str, collation.Collation] | None = None
 
     def __post_init__(self) -> None:
         self.source_schema: Schema = self.source.schema()
@@ -69,11 +70,29 @@ class CompareSession:
         return self.key_overrides.get(fold(table)) or (columns.default_key(found) if found else ())
 
     def key_options(self, table: str) -> dict:
-        """Declared keys, else a profile of single columns, and what is recommended."""
+        """Declared keys, else a profile of single columns, what is recommended, and a note on every column."""
         found = self.source_schema.table(table)
-        declared = [k.columns for k in columns.declared_keys(found)]
-        profiled = [] if declared else [(r["column_name"], r["could_be_key"]) for r in keys.profile(self.source.table(table)).collect()]
-        return {"declared": declared, "profile": profiled, "recommended": keys.recommend(declared, profiled)}
+        declared = columns.declared_keys(found)
+        rows = [] if declared else keys.profile(self.source.table(table)).collect()  # a row a column
+        profiled = [(r["column_name"], r["could_be_key"]) for r in rows]
+        by_column = {fold(r["column_name"]): r for r in rows}
+        notes = {c.name: self._key_note(c, declared, by_column.get(fold(c.name))) for c in found.columns}
+        return {"declared": [k.columns for k in declared], "profile": profiled, "recommended": keys.recommend([k.columns for k in declared], profiled), "notes": notes}
+
+    @staticmethod
+    def _key_note(column: Column, declared: list[Key], measured) -> str:
+        """What speaks for or against a column as a key by itself."""
+        holder = next((k for k in declared if [fold(c) for c in k.columns] == [fold(column.name)]), None)
+        if holder:
+            return f"a key by {holder.name or 'the primary key'}"
+        part = next((k for k in declared if fold(column.name) in map(fold, k.columns)), None)
+        if part:
+            return f"part of the key by {part.name or 'the primary key'}"
+        if measured is None:
+            return "may be null" if column.nullable else "not measured"
+        if measured["null_count"]:
+            return f"null in {measured['null_count']} of {measured['row_count']} rows"
+        return "another value in every row" if measured["could_be_key"] else f"{measured['distinct_count']} values in {measured['row_count']} rows"
 
     def choose_key(self, table: str, chosen: tuple[str, ...]) -> None:
         """Takes a key that is unique on both sides; raises with the numbers otherwise."""
@@ -200,7 +219,7 @@ class CompareSession:
         if not key:
             raise NotComparable(f"{table} has no primary key; choose one")
         resolved = columns.resolve(a, b, key)
-        found = collation.findings(a, b, key, resolved.compared)
+        found = collation.findings(a, b, key, resolved.compared, self.collation_facts())
         if collation.blocked(found):
             raise NotComparable("; ".join(f"{f.column}: {f.why}" for f in found if f.risk == "Blocking"))
         if not resolved.can_compare:
@@ -221,6 +240,21 @@ class CompareSession:
             "transfer": sizes.transfer(counted.get("Insert", 0), counted.get("Update", 0), len(resolved.compared)),
         }
 
+    def collation_facts(self) -> dict[str, collation.Collation]:
+        """What is known of all collations of both sides: the source is asked first, the target about the rest."""
+        if self._collations is None:
+            names = {c.collation for s in (self.source_schema, self.target_schema) for t in s.tables for c in t.columns if c.collation}
+            self._collations = collation.facts(names, self.source.collations, self.target.collations)
+        return self._collations
+
+    def collation_warnings(self) -> list[str]:
+        """What differences of collations mean for this comparison."""
+        by_table = {}
+        for a in self.source_schema.tables:
+            if b := self.target_schema.table(a.name):
+                by_table[a.name] = collation.findings(a, b, self.key(a.name), columns.resolve(a, b, self.key(a.name)).compared, self.collation_facts())
+        return collation.told(by_table)
+
     def select(self, table: str, choice: TableChoice) -> None:
         """Puts a table's rows into the plan; SchemaOnly takes them out."""
         if choice.mode == "SchemaOnly":

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..model import Check, ForeignKey, Key, Module, Schema, Sequence, Table, TypeSpec, UserType, fold
 
+from ..plans.collation import Collation, read_collations
+
 SIDECAR = "constraints.json"
 #: How names of system objects begin: they are in no comparison.
 HIDDEN = ("_", ".", "sys.", "information_schema.")
@@ -75,6 +77,11 @@ class ParquetDatabase:
         fs, where = _files(self.spark, self.folder(name))
         return fs.getContentSummary(where).getLength()
 
+    def collations(self, names: list[str]) -> dict[str, Collation]:
+        """What the sidecar says of collations by these names, else what Spark knows."""
+        stated = {fold(c["name"]): Collation(c["name"], c.get("code_page", 65001), c["style"], c.get("unicode", True)) for c in self.constraints().get("collations", [])}
+        return read_collations(self.spark, names) | {n: stated[fold(n)] for n in names if fold(n) in stated}
+
     def watched(self, name: str, kept_as: str, columns: list[str]):
         """The table as one to scan by its files."""
         from ..operators.rescan import watch_folder
@@ -145,12 +152,55 @@ def open_database(spark: SparkSession, kind: str, where: str, constraints: dict
     return known[kind](spark, where, constraints)
 
 
+_NAME_OR_SIGN = re.compile(r"""`[^`]*`|\[[^\]]*\]|"[^"]*"|\w+|[.,();]""")
+#: After these words a name of a table or routine stands; a comma goes on with names only after FROM and USING.
+_BEFORE_NAMES = frozenset("FROM JOIN USING INTO UPDATE EXEC EXECUTE CALL TABLE REFERENCES".split())
+_END_OF_LIST = frozenset("WHERE GROUP ORDER HAVING WINDOW UNION EXCEPT INTERSECT SELECT SET VALUES ON LIMIT".split())
+
+
+def names_in(body: str) -> list[str]:
+    """Names that stand where tables or routines do in a statement's text: after FROM, JOIN and the like, after commas of a FROM, and before a bracket.
+
+    Comments and texts in quotes hold no names.
+    """
+    bare = re.sub(r"/\*.*?\*/|--[^\n]*|'(?:[^']|'')*'", " ", body, flags=re.S)
+    signs = _NAME_OR_SIGN.findall(bare)
+    found: list[str] = []
+    listed = [False]  # by depth of brackets, whether a comma goes on with names
+    at = 0
+    wanted = False
+    while at < len(signs):
+        sign = signs[at]
+        word = sign.upper()
+        at += 1
+        if sign == "(":
+            listed.append(False)
+        elif sign == ")":
+            listed = listed[:-1] or [False]
+            wanted = False
+        elif sign == ",":
+            wanted = listed[-1]
+        elif word in _BEFORE_NAMES:
+            wanted, listed[-1] = True, word in ("FROM", "USING")
+        elif word in _END_OF_LIST:
+            wanted, listed[-1] = False, False
+        elif sign not in ".;":
+            parts = [sign]
+            while at + 1 < len(signs) and signs[at] == ".":
+                parts.append(signs[at + 1])
+                at += 2
+            called = at < len(signs) and signs[at] == "("
+            if wanted or called:
+                found.append(".".join(p.strip('`[]"') for p in parts))
+            wanted = False
+    return found
+
+
 def _depends(module: dict, known: set[str]) -> tuple[str, ...]:
-    """What a module needs: as stated, and every known name that its text has after FROM or JOIN."""
+    """What a module needs: as stated, and every known name that its text uses as a table or routine."""
     stated = dict.fromkeys(module.get("depends_on", ()))
-    for name in re.findall(r"(?i)\b(?:from|join)\s+([\w.`\[\]\"]+)", module["body"]):
-        plain = re.sub(r"[`\[\]\"]", "", name)
-        plain = plain if fold(plain) in known else plain.rpartition(".")[2]
+    for name in names_in(module["body"]):
+        plain = name if fold(name) in known else name.rpartition(".")[2]
         if fold(plain) in known and fold(plain) != fold(module["name"]) and fold(plain) not in {fold(n) for n in stated}:
             stated[plain] = None
     return tuple(stated)

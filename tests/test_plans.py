@@ -362,3 +362,31 @@ def test_fk_map_and_words():
     by = {d.name: detail.summary(d) for d in diffs}
     assert by["mid"] == "not alike: CheckConstraint x2" and by["low"] == "missing on the target" and by["top"] == "alike"
     assert "  FOREIGN KEY to_top (top) REFERENCES top (id)\n" in detail.sketch(source.table("mid")) and "  id INT NOT NULL\n" in detail.sketch(source.table("top"))
+
+
+def test_collations_are_asked_of_the_source_first(spark):
+    asked = []
+
+    def asker(name, knows):
+        def ask(names):
+            asked.append((name, names))
+            return {n: collation.Collation(n, 65001, name) for n in names if n in knows}
+
+        return ask
+
+    found = collation.facts(["A", "b", "a", "c"], asker("source", {"a"}), asker("target", {"a", "b"}))
+    assert asked == [("source", ["a", "b", "c"]), ("target", ["b", "c"])] and {n: c.style for n, c in found.items()} == {"a": "source", "b": "target"}
+    real = collation.read_collations(spark, ["de_CI", "UNICODE_CI", "nowhere"])
+    assert set(real) == {"de_ci", "unicode_ci"} and real["de_ci"].style.startswith("ci_as_german") and collation.read_collations(spark, []) == {}
+    F_ = collation.Finding
+    assert collation.told({"t": [F_("a", "Blocking", "x")], "u": [F_("b", "Advisory", "y")]}, "p", "q") == ["not compared for their collations: t", "1 columns order or fold texts differently; rows are matched by their very characters, so none of that changes a result"]
+    assert "default to p and q" in collation.told({}, "p", "q")[0] and collation.told({}, "p", "P") == []
+
+
+def test_names_stand_where_tables_and_routines_do():
+    from plumbline.sources.catalog import names_in
+
+    body = """CREATE VIEW v AS /* FROM hidden */ SELECT t.a, dbo.f(t.b), 'FROM text' -- JOIN gone
+    FROM [t] x, `u`.`w` AS y, (SELECT * FROM inner_one i, other) z JOIN "q" ON x.a = q.a, last_one WHERE a IN (SELECT b FROM deep) ORDER BY c, d"""
+    assert names_in(body) == ["dbo.f", "t", "u.w", "inner_one", "other", "q", "IN", "deep"]
+    assert names_in("UPDATE a SET b = 1, c = 2; INSERT INTO d VALUES (1, e); EXEC p") == ["a", "d", "p"]

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from plumbline.functions.predicate import Refusal
+from plumbline.model import Column, Key, TypeSpec
 from plumbline.plans.guards import Limits
 from plumbline.plans.selection import DATABASE, Selection
 from plumbline.session import CompareSession, NotComparable, TableChoice
@@ -140,3 +141,13 @@ def test_selection_volumes_details_and_cached_scan(spark, session, tmp_path):
     spark.createDataFrame([(9, "new")], "id int, name string").write.mode("append").parquet(f"{tmp_path}/target/category.parquet")
     assert session.scan().collect() == first and session.fk_map("company").nodes[0].table == "category"
     assert session.scan(again=True).count() == len(first)
+
+
+def test_notes_on_columns_and_collations(spark, session):
+    notes = session.key_options("keyless")["notes"]
+    assert notes == {"id": "1 values in 2 rows", "name": "another value in every row", "category": "another value in every row"}
+    note, a, b = session._key_note, Column("a", TypeSpec("int"), False), Column("b", TypeSpec("int"))
+    held = [Key("u", ("A",)), Key("w", ("c", "b"))]
+    assert (note(a, held, None), note(b, held, None), note(b, [], None), note(a, [], None)) == ("a key by u", "part of the key by w", "may be null", "not measured")
+    assert note(b, [], {"null_count": 2, "row_count": 5, "distinct_count": 3, "could_be_key": False}) == "null in 2 of 5 rows"
+    assert session.collation_warnings() == [] and set(session.collation_facts()) <= {"utf8_binary"}
