@@ -12,6 +12,15 @@ def fold(name: str) -> str:
     return name.lower()
 
 
+# Types of other catalogs, by the Spark type that holds their values. Names that Spark has mean Spark's types.
+_SPARK_NAMES = {
+    "bit": "boolean", "bool": "boolean", "int2": "smallint", "int4": "int", "int8": "bigint", "real": "float", "float4": "float", "float8": "double", "double precision": "double",
+    "money": "decimal(19,4)", "smallmoney": "decimal(10,4)", "nvarchar": "string", "varchar": "string", "nchar": "string", "char": "string", "text": "string", "ntext": "string", "bpchar": "string",
+    "sysname": "string", "xml": "string", "json": "string", "jsonb": "string", "uniqueidentifier": "string", "uuid": "string", "time": "string", "varbinary": "binary", "image": "binary", "bytea": "binary",
+    "rowversion": "binary", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz", "smalldatetime": "timestamp_ntz", "datetimeoffset": "timestamp", "timestamptz": "timestamp",
+}
+
+
 @dataclass(frozen=True)
 class TypeSpec:
     """A column type as a catalog names it; equal whatever the name's case."""
@@ -43,6 +52,20 @@ class TypeSpec:
             return f"{name}({self.precision}{'' if self.scale is None else f',{self.scale}'})"
         return name
 
+    def spark_name(self) -> str:
+        """The Spark type that holds its values, as DDL writes it; a name that isn't known stays as it is."""
+        name = fold(self.name)
+        if name in ("decimal", "numeric"):
+            return f"decimal({self.precision or 10},{self.scale or 0})"
+        return _SPARK_NAMES.get(name, name)
+
+    def spark(self) -> DataType:
+        """The same as a type; raises where there is none."""
+        try:
+            return DataType.fromDDL(self.spark_name())
+        except Exception as e:
+            raise ValueError(f"no Spark type holds {self}") from e
+
     @staticmethod
     def of(kind: DataType) -> TypeSpec:
         """The spec of a Spark type."""

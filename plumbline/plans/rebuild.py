@@ -21,7 +21,7 @@ class Rebuild:
     def sql(self) -> str:
         """Statements of Spark SQL; the count is asserted before anything is dropped."""
         old, new = qualify(*self.table.split(".")), qualify(*self.copy.split("."))
-        shown = ",\n  ".join(f"CAST({expression} AS {kind}) AS {quote(name)}" for name, (kind, expression) in self.columns.items())
+        shown = ",\n  ".join(f"CAST({expression} AS {type_}) AS {quote(name)}" for name, (type_, expression) in self.columns.items())
         return ";\n".join(
             (
                 f"CREATE TABLE {new} AS SELECT\n  {shown}\nFROM {old}",
@@ -58,11 +58,11 @@ def rebuild(source: Table, target: Table, schema: Schema, why: list[str]) -> Reb
     for c in sorted(source.columns, key=lambda c: c.ordinal):
         old = target.column(c.name)
         if c.computed:
-            columns[c.name] = (str(c.type), expression(c.computed, frozenset({fold(c.name)})))
+            columns[c.name] = (c.type.spark_name().upper(), expression(c.computed, frozenset({fold(c.name)})))
         elif old is not None:
-            columns[c.name] = (str(c.type), quote(old.name))
+            columns[c.name] = (c.type.spark_name().upper(), quote(old.name))
         else:
-            columns[c.name] = (str(c.type), c.default or "NULL")
+            columns[c.name] = (c.type.spark_name().upper(), c.default or "NULL")
     taken, copy = {fold(t.name) for t in schema.tables}, f"{target.name}__copy"
     while fold(copy) in taken:
         copy += "_"

@@ -390,3 +390,17 @@ def test_names_stand_where_tables_and_routines_do():
     FROM [t] x, `u`.`w` AS y, (SELECT * FROM inner_one i, other) z JOIN "q" ON x.a = q.a, last_one WHERE a IN (SELECT b FROM deep) ORDER BY c, d"""
     assert names_in(body) == ["dbo.f", "t", "u.w", "inner_one", "other", "q", "IN", "deep"]
     assert names_in("UPDATE a SET b = 1, c = 2; INSERT INTO d VALUES (1, e); EXEC p") == ["a", "d", "p"]
+
+
+def test_types_become_spark_types_and_come_back():
+    from pyspark.sql.types import DataType
+
+    for name in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string", "binary", "date", "timestamp", "timestamp_ntz", "decimal(18,2)", "array<float>", "struct<a:int,b:string>", "map<string,int>"):
+        kind = DataType.fromDDL(name)
+        assert TypeSpec.of(kind).spark() == kind
+    for spec, name in ((TypeSpec("NVARCHAR", 50), "string"), (TypeSpec("numeric", precision=9, scale=3), "decimal(9,3)"), (TypeSpec("datetime2", scale=7), "timestamp_ntz"), (TypeSpec("bit"), "boolean"), (TypeSpec("money"), "decimal(19,4)")):
+        assert spec.spark().simpleString() == name
+    import pytest
+
+    with pytest.raises(ValueError, match="no Spark type holds GEOGRAPHY_X"):
+        TypeSpec("geography_x").spark()
