@@ -17,11 +17,12 @@ from .functions.digest import canonical, row_hash, row_text
 from .functions.predicate import to_spark
 from .model import Column, ForeignKey, Schema, Table, TypeSpec
 from .operators import closure, columns, compare, drift, keys, rescan, screen
-from .plans import instances, ordering, rebuild, schema_diff, script, sizes
+from .plans import instances, ordering, rebuild, schema_diff, script, selection, sizes
+from .session import CompareSession
 from .sources import catalog
 from .sources.catalog import ParquetDatabase
 from .sources.manifest import Conflict, VersionedDatabase
-from .sources.snapshot import SnapshotTable
+from .sources.snapshot import SnapshotTable, stage, staged
 from .sources.store import shared_dir
 
 FAR = 1_000_000_000
@@ -643,6 +644,63 @@ def apply_orders_converges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.apply_changes(target, compare.changes(source, target, request("orders")), ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
+@query("select * from part")
+def apply_staged_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target after a change set that went through files by operation, in one version of the table."""
+    source, target = sides(spark, sf_dir, "part")
+    root = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    table = SnapshotTable(spark, f"{root}/part")
+    table.write(target)
+    stage(compare.changes(source, target, request("part")), f"{root}/changes")
+    table.apply(staged(spark, f"{root}/changes"), ["p_partkey"])
+    return table.read()
+
+
+_VOLUMES = ("nation", "customer", "lineitem", "labels")
+
+
+@query(
+    " union all ".join(
+        f"select '{n}' as table_name, (select count(*) from {n}) as source_rows, {f'(select count(*) from {perturbed_sql(n)})' if n != 'lineitem' else '0'} as target_rows, '{'declared' if TABLES[n].key else 'none'}' as key_state, {'true' if n != 'lineitem' else 'false'} as on_target"
+        for n in _VOLUMES
+    )
+)
+def volumes_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large tables are on either side, and whether they have a key."""
+    sources, targets = (VersionedDatabase(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", {n: {"primary_key": list(TABLES[n].key)} for n in _VOLUMES}) for _ in range(2))
+    with sources.transaction() as t, targets.transaction() as u:
+        for name in _VOLUMES:
+            t.write(name, read(spark, sf_dir, name))
+            if name != "lineitem":
+                u.write(name, perturbed(read(spark, sf_dir, name), name))
+    rows = [(r["table"], r["source_rows"], r["target_rows"], r["key_state"], r["on_target"]) for r in CompareSession(sources, targets).volumes()]
+    return spark.createDataFrame(rows, "table_name string, source_rows bigint, target_rows bigint, key_state string, on_target boolean")
+
+
+_KEYS_BETWEEN = [(k, t, p) for t, ks in FOREIGN_KEYS.items() for k, _, p, _ in ks]
+
+
+@query(
+    "select *, 1 as dropped, case when child = 'lineitem' then 1 else 0 end as added, child <> 'lineitem' as with_its_table from (values "
+    + ", ".join(f"('{k}', '{t}', '{p}')" for k, t, p in _KEYS_BETWEEN)
+    + ") as t(foreign_key, child, parent)"
+)
+def keys_once_over_a_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each foreign key is dropped and added by statements when the types of all key columns change, and whether it comes back with its rebuilt table."""
+    base = ParquetDatabase(spark, sf_dir, CONSTRAINTS).schema()
+    wide = {"INT": TypeSpec("decimal", precision=20, scale=0), "BIGINT": TypeSpec("decimal", precision=20, scale=0)}
+    keyed = {(t.name, c) for t in base.tables for c in t.primary_key} | {(t.name, c) for t in base.tables for k in t.foreign_keys for c in k.columns}
+    changed = base.with_tables(*[replace(t, columns=tuple(replace(c, type=wide.get(str(c.type), c.type)) if (t.name, c.name) in keyed else c for c in t.columns)) for t in base.tables])
+    diffs = schema_diff.schema_diff(changed, base)
+    made = script.schema_script(selection.compile_plan(selection.schema_units(diffs), [selection.Selection(selection.DATABASE)], []), changed, base, diffs)
+    rows = []
+    for key, child, parent in _KEYS_BETWEEN:
+        steps = [s for s in made.ordered() if f"CONSTRAINT `{key}`" in s.sql]
+        added = sum("ADD CONSTRAINT" in s.sql for s in steps)
+        rows.append((key, child, parent, sum("DROP CONSTRAINT" in s.sql for s in steps), 0 if child in made.rebuilds else added, child in made.rebuilds and added == 1))
+    return spark.createDataFrame(rows, "foreign_key string, child string, parent string, dropped int, added int, with_its_table boolean")
+
+
 @query(
     f"""select case op when 'Delete' then 0 when 'Insert' then 1 else 2 end as ordinal, n_nationkey,
 case op when 'Delete' then 'DELETE FROM `nation` WHERE `n_nationkey` = ' || n_nationkey
