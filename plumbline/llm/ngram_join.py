@@ -7,12 +7,12 @@ the counts are summed by pair, so no task ever holds two whole sets of long docu
 
 Two sets that are similar enough share an n-gram so early in both that what follows can still make up the overlap: candidates
 are documents that share one of their prefix. In a bucket of copies nearly all do, so a bucket doesn't yield all its
-pairs. Only components are asked for: at first every set meets one centre of each of its buckets; then those
-outside of a bucket's largest component meet one of its members; at last every pair of different components that shares a
+pairs. Only components are asked for: at first every set meets two centres of each of its buckets; then those
+outside of a bucket's largest component meet a few of its members; at last every pair of different components that shares a
 prefix n-gram meets, if lengths and places allow the overlap. Pairs of one component add nothing and are left out,
 so every link between components is found, and none is assumed. Before its segments are fetched a pair's parities are compared: of a set,
 two to four bits an n-gram say of which hashes it has an odd number. Sets differ in at least as many n-grams as
-parities do in bits, so what they rule out is no link.
+parities do in bits, so what they rule out is no link. The last pairs are held by parities of 512 bits even before they are made.
 
 Frequency only sets the order. It is counted over all documents, by 40 or more bits of each hash; the n-grams
 of more than ``FREQUENT`` documents become a bitmap of fixed size, which is the same for all, so the order is one whatever the bitmap
@@ -43,6 +43,10 @@ from .wordarrays import LOWER, grams, pieces, word_table, words_of
 FREQUENT = 100
 #: Fragments of the rare n-grams, as a power of two.
 FRAGMENT_BITS = 3
+#: Bits of the parities by which pairs are ruled out where many meet.
+SKETCH_BITS = 512
+#: Of a bucket's largest component, so many members are met by those outside.
+MEMBERS = 6
 _SPACE = word_table("space")
 
 
@@ -106,14 +110,19 @@ def _prefixes(texts: DataFrame, frequent: Broadcast[np.ndarray], rules: JoinRule
                 kept = ordered[place < wanted[doc]]
                 cuts = np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes), lists, _parities(hashes, doc, sizes)], names=["content", "size", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes), lists, *_parities(hashes, doc, sizes)], names=["content", "size", "prefix", "parity", "sketch"])
 
-    return texts.select("content", "text").mapInArrow(run, "content binary, size long, prefix array<long>, parity array<long>")
+    return texts.select("content", "text").mapInArrow(run, "content binary, size long, prefix array<long>, parity array<long>, sketch array<long>")
 
 
-def _parities(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """By set, bits that say of which hashes, cut to so many bits, it has an odd number; at least two bits an n-gram, a power of two."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+def _parities(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """By set, parities of at least two bits an n-gram, a power of two, and of SKETCH_BITS."""
+    wide = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    return _parity(hashes, doc, wide), _parity(hashes, doc, np.full(len(sizes), SKETCH_BITS))
+
+
+def _parity(hashes: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> pa.Array:
+    """By set, so many bits that say of which hashes, cut to them, it has an odd number."""
     begins = np.concatenate([[0], np.cumsum(bits)])
     cell = begins[:-1][doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
     odd = (np.bincount(cell, minlength=begins[-1]) & 1).astype(np.uint8)
@@ -207,7 +216,7 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
         return out
 
     grams_of = sets.select("c", F.explode("prefix").alias("s"))
-    buckets = written(grams_of.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("centre")).where("n > 1").select(F.col("s").alias("k"), "centre"), "buckets")
+    buckets = written(grams_of.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("centre"), F.max("c").alias("other")).where("n > 1").select(F.col("s").alias("k"), "centre", "other"), "buckets")
     entries = written(_entries(sets, bitmap(buckets, "k")).join(buckets, F.col("s") == F.col("k")).drop("k"), "entries")
     met = entries.select("c").distinct()
     parities = sets.select("c", "parity")
@@ -253,11 +262,11 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
         return [ends[n].alias(n) for n in ("a", "b", "sa", "sb")]
 
     def held_against(rows: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs of rows and the one member (s, c, size, place) of their bucket."""
+        """Pairs of rows and the chosen members (s, c, size, place) of their buckets."""
         x, y = rows.alias("x"), members.alias("y")
         return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & could_link("x", "y")).select(*pair("x", "y"))
 
-    links, n = linked(held_against(entries, entries.where("c = centre")))
+    links, n = linked(held_against(entries, entries.where("c = centre or c = other")))
     for last in (False, True):
         if n:
             merged(links)
@@ -269,13 +278,16 @@ def _roots(texts: DataFrame, sets: DataFrame, frequent: Broadcast[np.ndarray], r
         if not last:
             if not n:
                 continue
-            member = F.min_by(F.struct("c", "size", "place"), F.xxhash64("c", "s")).alias("m")
-            inside = written(rows.where("root = largest").groupBy("s").agg(member).select("s", "m.*"), "inside")
+            members = F.array(*[F.min_by(F.struct("c", "size", "place"), F.xxhash64("c", "s", F.lit(i))) for i in range(MEMBERS)])
+            inside = written(rows.where("root = largest").groupBy("s").agg(members.alias("m")).select("s", F.explode(F.array_distinct("m")).alias("m")).select("s", "m.*"), "inside")
             links, n = linked(held_against(outside, inside))
         else:
-            x, y = outside.alias("x"), rows.alias("y")
+            # in a group of many that are nearly similar enough all would meet, so that sketches already speak in the join
+            x, y = (held.join(sets.select(F.col("c").alias("cs"), "sketch"), F.col("c") == F.col("cs")).alias(name) for held, name in ((outside, "x"), (rows, "y")))
+            apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+            near = (100 + rules.percent) * apart <= (100 - rules.percent) * (F.col("x.size") + F.col("y.size"))
             once = (F.col("y.root") == F.col("y.largest")) | (F.col("x.c") > F.col("y.c"))
-            links, n = linked(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & once & could_link("x", "y")).select(*pair("x", "y")))
+            links, n = linked(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & once & could_link("x", "y") & near).select(*pair("x", "y")))
             if n:
                 merged(links)
     discard(spark, *spent)
@@ -287,7 +299,7 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id"
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))).alias("content"), F.col(f"`{text}`").alias("text"))
     texts = rows.select("content", "text")
     frequent = _frequent(texts, rules)
-    of_content = _prefixes(texts, frequent, rules).groupBy("content").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
+    of_content = _prefixes(texts, frequent, rules).groupBy("content").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"), F.any_value("sketch").alias("sketch"))
     sets, _ = materialize(of_content.withColumn("c", F.monotonically_increasing_id()), "sets")
     roots = _roots(texts, sets, frequent, rules)
     least = rows.groupBy("content").agg(F.min("id").alias("least")).withColumnRenamed("content", "key")

@@ -95,3 +95,18 @@ def test_bitmap_has_all_its_hashes(spark):
     bits = bitmap(spark.createDataFrame([(int(h),) for h in hashes], "h long")).value
     assert may_have(bits, hashes.view(np.uint64)).all()
     assert may_have(bits, np.random.default_rng(2).integers(0, 2**64, 5000, np.uint64)).sum() < 20
+
+
+def test_parities_never_rule_out_a_link(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(50)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 5, 30, 31, 33, 34, 66, 130]))) for _ in range(60)]
+    texts += [" ".join((t + " tail").split()[rnd.randrange(2) :]) for t in texts]
+    frame = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "content binary, text string")
+    held = {r.content[0]: (r.size, r.parity) for r in ngram_join._prefixes(frame, ngram_join._frequent(frame, ngram_join.JoinRules()), ngram_join.JoinRules()).collect()}
+    pairs = [(i, j, held[i][1], held[j][1]) for i in held for j in held if i < j and max(len(held[i][1]), len(held[j][1])) <= 2 * min(len(held[i][1]), len(held[j][1]))]
+    found = spark.createDataFrame(pairs, "i int, j int, x array<long>, y array<long>").select("i", "j", ngram_join._apart("x", "y").alias("d")).collect()
+    assert len(found) == len(pairs)
+    for r in found:
+        assert r.d <= len(shingles(texts[r.i]) ^ shingles(texts[r.j]))
+    assert any(r.d > 0 for r in found)

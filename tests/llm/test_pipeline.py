@@ -39,7 +39,7 @@ def test_stages_keep_columns(spark):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
