@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.digest import display, pair_hash, pair_hex, render, row_text
+from ..functions.digest import canonical, display, pair_hash, pair_hex, render
 from ..sources.store import materialize
 
 CLASSES = ("Insert", "Update", "Delete", "Same")
@@ -69,8 +70,12 @@ _SOURCE, _TARGET, _HIDDEN = 0, 1, 2
 
 
 def _keyed(df: DataFrame, keys: tuple[str, ...], compared: list[str], profile: str, side: Column) -> DataFrame:
-    first, second = pair_hash(row_text(df.schema, compared, profile))
-    return df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], first.alias("h1"), second.alias("h2"), side.cast("int").alias("side"))
+    # rendered in a step of its own: the digests name each text several times
+    texts = [render(F.col(f"`{c}`"), df.schema[c].dataType, profile).alias(f"v{i}") for i, c in enumerate(compared)]
+    shown = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], *texts, side.cast("int").alias("side"))
+    first, second = pair_hash(canonical([(F.col(f"v{i}"), StringType()) for i in range(len(compared))]))
+    return rows.select(*shown, first.alias("h1"), second.alias("h2"), "side")
 
 
 def _by_key(both: DataFrame, keys: tuple[str, ...]) -> DataFrame:

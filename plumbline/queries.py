@@ -23,7 +23,7 @@ from .sources import catalog
 from .sources.catalog import ParquetDatabase
 from .sources.manifest import Conflict, VersionedDatabase
 from .sources.snapshot import SnapshotTable, stage, staged
-from .sources.store import shared_dir
+from .sources.store import materialize, shared_dir
 
 FAR = 1_000_000_000
 
@@ -570,27 +570,30 @@ def apply_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, rows in source.items():
             t.write(name, perturbed(rows, name))
 
+    found = {}  # change sets by table and version; one holds for as long as the version it was found for is current
+
     def change(t, expected: int | None = None) -> None:
         for name, rows in source.items():
-            t.apply(name, compare.changes(rows, t.read(name), request(name)), TABLES[name].key)
+            at = name, t.base.versions[name]
+            if at not in found:
+                found[at] = materialize(compare.changes(rows, t.read(name), request(name)), "changes")
+            t.apply(name, found[at], TABLES[name].key, written=True)
         if expected is not None:
             t.write("events", t.read("events"), expected)
 
-    def seen(step: str) -> DataFrame:
-        out = None
-        for name, rows in source.items():
-            now = base.at(base.current()).table(name)
-            found = compare.classify(rows, now, request(name)).where("classification <> 'Insert'")
-            one = found.agg(F.count(F.lit(1)).alias("rows_there"), F.count_if(F.col("classification") != "Same").alias("differing")).select(F.lit(name).alias("table_name"), F.lit(step).alias("step"), "rows_there", "differing")
-            out = one if out is None else out.unionByName(one)
-        return out
+    shown: dict[tuple[str, str], tuple[VersionedDatabase, list[str]]] = {}  # steps by table and version; a version doesn't change, so it is compared once
+
+    def see(step: str) -> None:
+        now = base.at(base.current())
+        for at in now.state().versions.items():
+            shown.setdefault(at, (now, []))[1].append(step)
 
     try:
         with base.transaction() as t:
             change(t, -1)
     except RuntimeError:
         pass
-    failed = seen("failed")
+    see("failed")
     try:
         with base.transaction() as late:
             change(late)
@@ -598,10 +601,17 @@ def apply_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
                 other.write("orders", other.read("orders"))
     except Conflict:
         pass
-    refused = seen("refused")
+    see("refused")
     with base.transaction() as t:
         change(t)
-    return failed.unionByName(refused).unionByName(seen("applied"))
+    see("applied")
+    out = None
+    for (name, _), (then, steps) in shown.items():
+        there = compare.classify(source[name], then.table(name), request(name)).where("classification <> 'Insert'")
+        counted = there.agg(F.count(F.lit(1)).alias("rows_there"), F.count_if(F.col("classification") != "Same").alias("differing"))
+        one = counted.select(F.lit(name).alias("table_name"), F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"), "rows_there", "differing")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _BATCHED = f"select *, row_number() over (order by c_custkey) - 1 as i from (select c.c_custkey, s.c_nationkey, s.c_mktsegment from ({classified_sql('customer')}) c join customer s using (c_custkey) where c.classification = 'Insert' union all select c_custkey + {2 * FAR}, c_nationkey, c_mktsegment from customer)"
@@ -652,7 +662,7 @@ def apply_staged_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = SnapshotTable(spark, f"{root}/part")
     table.write(target)
     stage(compare.changes(source, target, request("part")), f"{root}/changes")
-    table.apply(staged(spark, f"{root}/changes"), ["p_partkey"])
+    table.apply(staged(spark, f"{root}/changes"), ["p_partkey"], written=True)
     return table.read()
 
 

@@ -396,11 +396,11 @@ class CompareSession:
             try:
                 with tables.transaction(self.reviewed_state) as t:
                     altered = self._apply_schema(t)
-                    done = {n: t.apply(n, changes[n], self._parent_key(n)) for n in order} | altered
+                    done = {n: t.apply(n, changes[n], self._parent_key(n), written=True) for n in order} | altered
             except Conflict as e:
                 return {"outcome": "Blocked", "why": [str(e)]}
         else:
-            done = {n: tables[n].prepare(changes[n], self._parent_key(n)) for n in order}
+            done = {n: tables[n].prepare(changes[n], self._parent_key(n), written=True) for n in order}
             before = {n: tables[n].version() for n in order}
             try:
                 for name in order:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import render
 from ..operators.compare import apply_changes
 from .catalog import _files
+from .store import kept
 
 POINTER = "CURRENT"
 
@@ -61,18 +62,24 @@ class SnapshotTable:
         options[0] = overwrite
         context.rename(fresh, pointer, options)
 
-    def prepare(self, change_set: DataFrame, keys: Iterable[str]) -> dict:
-        """Writes and counts the version after a change set; readers don't see it before it is pointed to."""
+    def prepare(self, change_set: DataFrame, keys: Iterable[str], written: bool = False) -> dict:
+        """Writes and counts the version after a change set; readers don't see it before it is pointed to.
+
+        The change set is read three times, so it is written first; written: it already comes from files.
+        """
         started = time.time()
+        if not written:
+            with kept(change_set, "changes") as held:
+                return self.prepare(held, keys, written=True)
         by_op = {r["op"]: r["n"] for r in change_set.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
         before = self.read()
         expected = before.count() + by_op.get("Insert", 0) - by_op.get("Delete", 0)
         version = self._written(apply_changes(before, change_set, keys), expected)
         return {"version": version, "rows": expected, "applied": by_op, "seconds": time.time() - started}
 
-    def apply(self, change_set: DataFrame, keys: Iterable[str]) -> dict:
+    def apply(self, change_set: DataFrame, keys: Iterable[str], written: bool = False) -> dict:
         """Applies inserts, updates and deletes; returns what was done."""
-        done = self.prepare(change_set, keys)
+        done = self.prepare(change_set, keys, written)
         self.point_to(done["version"])
         return done
 
